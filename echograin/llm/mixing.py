@@ -71,11 +71,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     cells = cells.withColumn("before", before)
     want = want.withColumnRenamed("source", "s")
     # With one pi a source, Pareto's ratio rises with u: cells in order of u are cells in order of rank.
-    reach = cells.join(F.broadcast(want.select("s", "rest")), F.col("source").eqNullSafe(F.col("s")))
+    reach = cells.join(want.select("s", "rest"), F.col("source").eqNullSafe(F.col("s")))
     reach = reach.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
     reach = reach.groupBy(F.col("s").alias("s2")).agg(F.min("cell").alias("end_cell"), F.min_by("before", "cell").alias("end_before"))
-    ends = want.join(F.broadcast(reach), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2", "rate")
-    rows = placed.join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("s")), "left")
+    # Small tables (a row a source) are written, so Spark knows their size and broadcasts them only under its limit.
+    ends = want.join(reach, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2", "rate")
+    ends = materialize(ends, "mix-ends")
+    rows = placed.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
 
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
     at_end = rows.where(F.col("cell") == F.col("end_cell")).withColumn("q", F.when(F.col("pi") > 0, odds).otherwise(F.col("u")))
