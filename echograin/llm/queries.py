@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import chat, html, mixing, packing, quality
 from .common import table
 
 
@@ -16,9 +16,34 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def default_tokenizer() -> str:
+    """Where the public word-level BPE vocabulary lies; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer(), with_ids=False).drop("token_ids")
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mixing": op3_source_mixing,
+    "op8_main_text": op8_main_text,
+    "op9_packing": op9_packing,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLES = {
     "op3_source_mixing": mixing.ORACLE_SQL,
