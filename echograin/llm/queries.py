@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, mixing, packing, quality
+from . import chat, html, mixing, packing, quality, suffix_tree, toxicity
 from .common import table
 
 
@@ -16,6 +16,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -41,6 +49,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mixing": op3_source_mixing,
+    "op6_suffix_tree": op6_suffix_tree,
+    "op7_toxicity": op7_toxicity,
     "op8_main_text": op8_main_text,
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
