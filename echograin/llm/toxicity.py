@@ -1,16 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting takes a bounded sample of labelled rows (``max_labelled``, by hash order of the id, never the held-out fold).
-Words whose document frequency differs between the labels (two-proportion z of at least ``min_z``) span the vector
-space; examples are their TF-IDF vectors, equal vectors merged with their label counts. The index keeps, for each word,
+Words, and word beginnings of ``PREFIXES`` bytes, whose document frequency differs between the labels (two-proportion z
+of at least ``min_z``) are the terms that span the vector space; beginnings reach inflected forms. All other words are one common term
+(in powers of two, so that vectors merge), which lets a vector's direction tell how much of a text the terms are. Examples are their TF-IDF vectors, equal vectors merged with their label counts. The index keeps, for each word,
 postings in blocks of ``BLOCK`` examples and each block's largest weight. A query adds up its words' block maxima to an
 upper bound for every block and opens blocks from the highest bound down, until the bound is below the k-th best cosine,
 so the nearest are exact. Their votes weigh by distance and are smoothed by the sample's rate, which keeps scores
-calibrated; a text without any of the words gets the rate of such examples. The nearest examples are the evidence.
+calibrated; a text without a word gets the rate of such examples. The nearest examples are the evidence.
 
 The index is a few megabytes at most and goes with the task; every text is scored whole, in one pass without a shuffle.
 
-Defined cases: null and empty texts score as texts without the words; a null label teaches nothing and several labels
+Defined cases: null and empty texts are texts without a word; a null label teaches nothing and several labels
 of one id count as their largest; without labelled rows every score is 0; repeated rows are scored each for itself;
 an empty table gives an empty result; label, lang and source never enter a score, and other columns are not read.
 """
@@ -18,7 +19,7 @@ an empty table gives an empty result; label, lang and source never enter a score
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,9 @@ NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_WEIGHT = 1.0
 EVIDENCE = 3
+PREFIXES = (4, 5, 6)
+#: Weight of the common term, higher than the 1 that its document frequency gives, chosen on held-out labels.
+COMMON_IDF = 3.0
 
 _EDGE = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 
@@ -45,18 +49,27 @@ def words_of(text: bytes) -> list[bytes]:
     return [w.strip(_EDGE) for w in text.lower().split()]
 
 
+def terms_of(words: Iterable[bytes]) -> Iterator[bytes]:
+    """The words, and their beginnings with the length in front."""
+    for w in words:
+        yield w
+        for n in PREFIXES:
+            yield bytes((n,)) + w[:n]
+
+
 def _word_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("word", pa.binary()), ("toxic", pa.int64()), ("n", pa.int64())])
     for batch in text_slices(batches, "text", 16 << 20):
         seen: Counter = Counter()
         for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            seen.update((w, toxic) for w in set(words_of(text)))
+            seen.update((w, toxic) for w in set(terms_of(set(words_of(text)))))
         yield rows_of(schema, [[k[0] for k in seen], [k[1] for k in seen], list(seen.values())])
 
 
 @dataclass
 class Index:
-    words: dict[bytes, int]
+    #: Terms by length of beginning, whole words at 0.
+    terms: dict[int, dict[bytes, int]]
     idf: np.ndarray
     #: For each word and block: where its postings start in ``rows`` and ``weights``.
     starts: np.ndarray
@@ -69,11 +82,18 @@ class Index:
     prior: float
     empty_rate: float
 
-    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        get = self.words.get
-        tf = Counter(k for k in (get(w.strip(_EDGE)) for w in text.lower().split()) if k is not None)
+    def vector(self, text: bytes, n_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their weights at length 1; ``n_words`` where ``text`` is but the words that hold terms."""
+        words = words_of(text)
+        n_words = len(words) if n_words is None else n_words
+        tf: Counter[int] = Counter()
+        for n, known in self.terms.items():
+            tf.update(known[w] for w in (words if n == 0 else [w[:n] for w in words]) if w in known)
+        if not n_words:
+            return np.zeros(0, np.int64), np.zeros(0)
+        tf[len(self.idf) - 1] = 1 << (n_words.bit_length() - 1)
         terms = np.fromiter(sorted(tf), np.int64, len(tf))
-        w = np.array([1 + np.log(tf[k]) for k in terms]) * self.idf[terms] if len(tf) else np.zeros(0)
+        w = np.array([1 + np.log(tf[k]) for k in terms]) * self.idf[terms]
         return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -112,14 +132,19 @@ class Index:
         return (toxic + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT), evidence
 
 
-def build_index(words: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, bytes]]) -> Index:
-    """``examples``: (doc_id, toxic, text)."""
-    index = Index({w: k for k, w in enumerate(words)}, idf, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(words), 0)), np.zeros((0, 2), np.int64), [], 0.0, 0.0)
+def build_index(words: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, bytes, int]]) -> Index:
+    """``examples``: (doc_id, toxic, the words of the text that hold terms, its number of words)."""
+    terms: dict[int, dict[bytes, int]] = {}
+    for k, w in enumerate(words):
+        n = w[0] if w[0] in PREFIXES else 0
+        terms.setdefault(n, {})[w[1:] if n else w] = k
+    idf = np.append(idf, COMMON_IDF)  # of the common term, which every text has
+    index = Index(terms, idf, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(idf), 0)), np.zeros((0, 2), np.int64), [], 0.0, 0.0)
     merged: dict[tuple, list] = {}
     empty, total = [0, 0], [0, 0]
-    for doc_id, toxic, text in examples:
+    for doc_id, toxic, text, n_words in examples:
         total[toxic] += 1
-        terms, w = index.vector(text)
+        terms, w = index.vector(text, n_words)
         if not len(terms):
             empty[toxic] += 1
             continue
@@ -128,12 +153,12 @@ def build_index(words: list[bytes], idf: np.ndarray, examples: list[tuple[int, i
         held[1] = min(held[1], doc_id)
     order = sorted(merged)  # examples with the same leading words share blocks, so bounds are tight
     n_blocks = -(-len(order) // BLOCK)
-    block_max = np.zeros((len(words), n_blocks))
+    block_max = np.zeros((len(idf), n_blocks))
     postings = sorted((t, row, x) for row, (terms, w) in enumerate(order) for t, x in zip(terms, w, strict=True))
     slot = np.array([t * n_blocks + row // BLOCK for t, row, _ in postings], np.int64)
     for t, row, x in postings:
         block_max[t, row // BLOCK] = max(block_max[t, row // BLOCK], x)
-    index.starts = np.searchsorted(slot, np.arange(len(words) * n_blocks + 1)) if n_blocks else np.zeros(1, np.int64)
+    index.starts = np.searchsorted(slot, np.arange(len(idf) * n_blocks + 1)) if n_blocks else np.zeros(1, np.int64)
     index.rows, index.weights = np.array([p[1] for p in postings], np.int64), np.array([p[2] for p in postings])
     index.block_max, index.counts = block_max, np.array([merged[k][0] for k in order], np.int64).reshape(-1, 2)
     index.doc_ids = [merged[k][1] for k in order]
@@ -163,19 +188,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     chosen = counted.where(F.length("word") > 0).where(F.col("bad") + F.col("clean") >= MIN_DOCUMENTS).withColumn("z", z).where(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "word").limit(max_words).collect()
     words = [bytes(r.word) for r in chosen]
     idf = np.array([np.log((1 + n) / (1 + r.bad + r.clean)) + 1 for r in chosen])
-    found = rows.mapInArrow(_restrict(frozenset(words)), "doc_id bigint, toxic bigint, text string").toArrow()
-    examples = sorted(zip(found.column("doc_id").to_pylist(), found.column("toxic").to_pylist(), (t.encode() for t in found.column("text").to_pylist()), strict=True))
+    found = rows.mapInArrow(_restrict(frozenset(words)), "doc_id bigint, toxic bigint, text string, n_words bigint").toArrow()
+    examples = sorted((r["doc_id"], r["toxic"], r["text"].encode(), r["n_words"]) for r in found.to_pylist())
     return build_index(words, idf, examples)
 
 
 def _restrict(words: frozenset[bytes]):
-    """Examples with nothing but the chosen words in their texts."""
+    """Examples with nothing but the words that hold a chosen term in their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("text", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("text", pa.string()), ("n_words", pa.int64())])
         for batch in text_slices(batches, "text", 16 << 20):
-            texts = [b" ".join(w for w in words_of(t) if w in words).decode() for t in utf8(batch.column(0))]
-            yield rows_of(schema, [batch.column(2).to_pylist(), batch.column(1).to_pylist(), texts])
+            split = [words_of(t) for t in utf8(batch.column(0))]
+            texts = [b" ".join(w for w in own if not words.isdisjoint(terms_of((w,)))).decode() for own in split]
+            yield rows_of(schema, [batch.column(2).to_pylist(), batch.column(1).to_pylist(), texts, [len(own) for own in split]])
 
     return run
 
