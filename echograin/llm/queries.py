@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, mixing, packing, quality, suffix_tree, toxicity
+from . import chat, html, mixing, packing, pii, quality, suffix_tree, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mixing": op3_source_mixing,
+    "op4_surrogates": op4_surrogates,
     "op6_suffix_tree": op6_suffix_tree,
     "op7_toxicity": op7_toxicity,
     "op8_main_text": op8_main_text,
