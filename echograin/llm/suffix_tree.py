@@ -203,7 +203,8 @@ def fit(train: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, test: float
     n, v = (x or 0 for x in counted.agg(F.sum("c"), F.count("*")).first())
     frequent = counted.where(F.col("c") >= max(2, p_min * n)).toArrow()  # at most 1/p_min rows
     words, counts = frequent.column("word").to_pylist(), frequent.column("c").to_numpy()
-    model = Model({words[k]: i for i, k in enumerate(rank := np.argsort(-counts, kind="stable"))}, counts[rank], n, v)
+    rank = np.argsort(-counts, kind="stable")
+    model = Model({words[k]: i for i, k in enumerate(rank)}, counts[rank], n, v)
     for order in range(2, depth + 2):
         shared = spark.sparkContext.broadcast(model)
         found = train.select("text").mapInArrow(_late(shared, order), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
