@@ -236,8 +236,9 @@ class Join:
         placed = placed.select("region", "doc_id", F.lag("doc_id").over(each).alias("before"), F.lead("doc_id").over(each).alias("after"))
         shared = materialize(placed.where("before IS NOT NULL OR after IS NOT NULL").select("region", "doc_id"), "jaccard-shared")
         members = shared.join(of, "doc_id").select("region", F.col("first").alias("doc")).distinct()
-        sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where("n > 1")
-        members = materialize(members.join(sizes, "region"), "jaccard-members")
+        sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where("n > 1").drop("n")
+        first = F.array(F.struct(F.col("pivot").alias("doc"), F.col("pivot").alias("c")))
+        members = materialize(members.join(sizes, "region").withColumns({"pivots": first, "last": F.lit(False)}), "jaccard-members")
         release(shared)
 
         ids = materialize(members.select(F.col("doc").alias("doc_id")).distinct(), "jaccard-ids")
@@ -254,7 +255,7 @@ class Join:
             members = self._divide(members, measured, labels)
             if members is None:
                 break
-            asked = members.where("asked").select(F.explode("pivots").alias("pivot"), "doc", "c").where("pivot.doc <> doc AND pivot.c <> c")
+            asked = members.select(F.explode("pivots").alias("pivot"), "doc", "c").where("pivot.doc <> doc AND pivot.c <> c")
             asked = asked.select(F.least("pivot.doc", "doc").alias("a"), F.greatest("pivot.doc", "doc").alias("b")).distinct()
             measured = self._measure(asked)
             found = materialize(found.unionByName(measured.where(self._linked()).select("a", "b")), "jaccard-links")
@@ -268,9 +269,11 @@ class Join:
         known = measured.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared", "either")
         known = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "shared", "either"))
         ring = F.floor((F.col("either") - F.col("shared")) * radius.denominator / (F.col("either") * radius.numerator)).cast("int")
-        labelled = members.select("region", "doc", "pivot").join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
+        labelled = members.where(~F.col("last")).select("region", "doc", "pivot", F.col("pivots.doc").alias("pivots"))
+        labelled = labelled.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
         spread = labelled.groupBy("region").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("region")
-        open_ = labelled.join(spread, "region").join(known.withColumnsRenamed({"x": "pivot", "y": "doc"}), ["pivot", "doc"], "left").where("doc <> pivot")
+        # A pivot has met every member of another component by now, so it leaves.
+        open_ = labelled.where(~F.array_contains("pivots", F.col("doc"))).join(spread, "region").join(known.withColumnsRenamed({"x": "pivot", "y": "doc"}), ["pivot", "doc"], "left")
         # Not measured (it is of the pivot's component by another way): it may lie in any ring, so it stays in all of them.
         rings = F.when(F.col("either").isNull(), F.sequence(F.lit(0), F.lit(math.ceil(1 / radius) + 1))).otherwise(F.array(ring, ring + 1))
         inner = open_.select(F.explode(rings).alias("ring"), "region", "doc", "c").select(F.xxhash64("region", "ring").alias("region"), "doc", "c").distinct()
@@ -282,7 +285,7 @@ class Join:
         leaf = out.where(F.col("all") <= LEAF).groupBy("region").agg(F.collect_list(F.struct("doc", "c")).alias("pivots"))
         small = out.where(F.col("all") <= LEAF).drop("pivots").join(leaf, "region")
         large = out.where(F.col("all") > LEAF)
-        cols = ["region", "doc", "c", "pivots", F.col("pivots")[0]["doc"].alias("pivot"), F.lit(True).alias("asked")]
+        cols = ["region", "doc", "c", "pivots", F.col("pivots")[0]["doc"].alias("pivot")]
         out = materialize(small.select(*cols, F.lit(True).alias("last")).unionByName(large.select(*cols, F.lit(False).alias("last"))), "jaccard-members")
         return None if out.isEmpty() else out
 
