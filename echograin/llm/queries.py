@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, jaccard, mixing, packing, pii, quality, suffix_tree, toxicity
+from . import chat, html, jaccard, mixing, packing, permutation, pii, quality, suffix_tree, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mixing": op3_source_mixing,
     "op4_surrogates": op4_surrogates,
+    "op5_pivot_permutation": op5_pivot_permutation,
     "op6_suffix_tree": op6_suffix_tree,
     "op7_toxicity": op7_toxicity,
     "op8_main_text": op8_main_text,
