@@ -293,3 +293,27 @@ class Join:
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, t: Fraction | float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     return Join(docs, doc_id, text, width, Fraction(t).limit_denominator(1000)).run()
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, t: Fraction | float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` but those whose component has a smaller id.
+
+    Ids to drop set bits of a filter of bounded size; rows that it lets by stay where they are, and only the others
+    meet the ids in an exact join.
+    """
+    found = jaccard_join(docs, doc_id, text, width, t)
+    out = materialize(found.where("component_id < doc_id").select("doc_id").distinct(), "jaccard-dropped")
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(out, out.count()))
+
+    @F.arrow_udf("boolean")
+    def maybe(ids: pa.Array) -> pa.Array:
+        bits = shared.value.view(np.uint64)
+        hit = np.ones(len(ids), bool)
+        for at in _bits(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), len(bits) * 64):
+            hit &= (bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
+        return pa.array(hit)
+
+    flagged = docs.withColumn("_maybe", maybe(F.col(doc_id).cast("long")))
+    sure = flagged.where(~F.col("_maybe")).drop("_maybe")
+    rest = flagged.where("_maybe").drop("_maybe")
+    return sure.unionByName(rest.join(out.select(F.col("doc_id").alias("_out")), rest[doc_id] == F.col("_out"), "left_anti"))

@@ -57,42 +57,56 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     return first.select("source", "source_size", F.when(capped, F.col("most").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for each row of ``docs``; ``copies`` is how often it is taken."""
-    sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "mix-sizes")
+def plan(sizes: DataFrame, seed: str = SEED) -> DataFrame:
+    """A row a source: s, source_size, target, whole, pi, rest, and the cell where the fixed size ends with the words before."""
     want = targets(sizes).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     want = want.withColumn("whole", F.floor("rate")).withColumn("pi", F.col("rate") - F.col("whole"))
-    want = materialize(want.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "mix-targets")
-
-    u = uniform(F.col("doc_id"), seed)
-    placed = sizes.withColumn("u", u).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
-    cells = placed.groupBy("source", "cell").agg(F.sum("size").alias("words"))
+    want = want.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).drop("rate")
+    want = materialize(want.withColumnRenamed("source", "s"), "mix-targets")
+    cells = sizes.withColumn("cell", _cell(seed)).groupBy("source", "cell").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    cells = cells.withColumn("before", before)
-    want = want.withColumnRenamed("source", "s")
     # With one pi a source, Pareto's ratio rises with u: cells in order of u are cells in order of rank.
-    reach = cells.join(want.select("s", "rest"), F.col("source").eqNullSafe(F.col("s")))
+    reach = cells.withColumn("before", before).join(want.select("s", "rest"), F.col("source").eqNullSafe(F.col("s")))
     reach = reach.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
     reach = reach.groupBy(F.col("s").alias("s2")).agg(F.min("cell").alias("end_cell"), F.min_by("before", "cell").alias("end_before"))
-    # Small tables (a row a source) are written, so Spark knows their size and broadcasts them only under its limit.
-    ends = want.join(reach, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2", "rate")
-    ends = materialize(ends, "mix-ends")
-    rows = placed.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
+    # A small table (a row a source) that is written, so Spark knows its size and broadcasts it only under its limit.
+    return materialize(want.join(reach, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "mix-ends")
+
+
+def _cell(seed: str) -> Column:
+    return F.floor(uniform(F.col("doc_id"), seed) * CELLS).cast("int")
+
 
+def with_copies(rows: DataFrame, ends: DataFrame, seed: str = SEED) -> DataFrame:
+    """``rows`` (doc_id, source, size and any others) with source_size, target and copies."""
+    rows = rows.withColumns({"u": uniform(F.col("doc_id"), seed), "cell": _cell(seed)}).join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
     at_end = rows.where(F.col("cell") == F.col("end_cell")).withColumn("q", F.when(F.col("pi") > 0, odds).otherwise(F.col("u")))
     ranked = Window.partitionBy("s").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("end_before") + F.sum("size").over(ranked)
     at_end = at_end.withColumn("extra", ((F.col("pi") > 0) & (upto - F.col("size") / 2 <= F.col("rest"))).cast("int")).drop("q")
     others = rows.where(F.col("end_cell").isNull() | (F.col("cell") != F.col("end_cell"))).withColumn("extra", ((F.col("pi") > 0) & (F.col("cell") < F.coalesce("end_cell", F.lit(CELLS)))).cast("int"))
-    copies = (F.col("whole") + F.col("extra")).cast("long")
-    return at_end.unionByName(others).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = at_end.unionByName(others)
+    return out.withColumn("copies", (F.col("whole") + F.col("extra")).cast("long")).drop("u", "cell", "s", "whole", "pi", "rest", "end_cell", "end_before", "extra")
+
+
+def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> list[Column]:
+    return [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")]
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken for each row of ``docs``; ``copies`` is how often it is taken."""
+    sizes = materialize(docs.select(*_sizes(docs, doc_id, text, source)), "mix-sizes")
+    out = with_copies(sizes, plan(sizes, seed), seed)
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def repeat_taken(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with each row as often as ``mixed`` takes it (one row an id there)."""
-    copies = mixed.where(F.col("copies") > 0).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    return docs.join(copies, docs[doc_id] == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_id", "_copies", "_copy")
+def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it. Only rows of the cells where sizes end are moved."""
+    sizes = materialize(docs.select(*_sizes(docs, doc_id, text, source)), "mix-sizes")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    taken = with_copies(docs.select(row, *_sizes(docs, doc_id, text, source)), plan(sizes, seed), seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 ORACLE_SQL = rf"""

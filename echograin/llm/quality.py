@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, rows_of, text_slices, utf8
 
@@ -141,18 +142,44 @@ def divergence(p: Column, q: Column, size: int) -> Column:
     return F.when((sum_of(p) > 0) & (sum_of(q) > 0), F.aggregate(parts, F.lit(0.0), lambda s, x: add(s, x, sum_of(p), sum_of(q)))).otherwise(F.lit(0.0))
 
 
-def judge(found: DataFrame) -> DataFrame:
-    """Base test and divergence verdicts for the rows of :func:`measures`."""
+def verdict(found: DataFrame, refs: DataFrame) -> DataFrame:
+    """``found`` (n_words, n_repeat_words, lang and histograms) with base_failed, divergences and kept."""
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    wide = found.join(F.broadcast(references(found)), "lang", "left").withColumns({"char_total": F.aggregate("char_hist", F.lit(0).cast("long"), lambda s, x: s + x), "base_failed": base_failed})
+    # refs has a row for each listed language at most.
+    wide = found.join(F.broadcast(refs), "lang", "left").withColumns({"char_total": F.aggregate("char_hist", F.lit(0).cast("long"), lambda s, x: s + x), "base_failed": base_failed})
     scored = wide.withColumns({
         "char_divergence": F.coalesce(divergence(F.col("char_hist"), F.col("char_ref"), N_CLASSES), F.lit(0.0)),
         "word_divergence": F.coalesce(divergence(F.col("word_hist"), F.col("word_ref"), WIDTH), F.lit(0.0)),
     })
     strange = ((F.col("char_total") >= MIN_CHARS) & (F.col("char_divergence") > MAX_CHAR_DIVERGENCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_divergence") > MAX_WORD_DIVERGENCE))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~strange).alias("kept"), "char_divergence", "word_divergence")
+    return scored.withColumn("kept", ~F.col("base_failed") & ~strange)
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row for each row of ``docs``: base figures, divergences from the language's reference and the verdict."""
-    return judge(materialize(measures(docs, doc_id, text, lang), "quality"))
+    found = materialize(measures(docs, doc_id, text, lang), "quality")
+    judged = verdict(found, references(found))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_divergence", "word_divergence")
+
+
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep. References come first, in a pass of their own, and go with the second
+    pass as a table of a row a listed language, so no text is moved."""
+    refs = materialize(references(measures(docs.withColumn("_id", F.lit(0)), "_id", text, lang)), "quality-references")
+    columns = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    at = columns.index(text), columns.index(lang)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(at[0])], ["row", "text"])
+            for part in text_slices([whole], "text"):
+                langs = part.column(0).field(at[1]).to_pylist()
+                found = [measure(t, g) for t, g in zip(utf8(part.column(1)), langs, strict=True)]
+                counts = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 4)]
+                hists = [pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in (5, 6)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), *counts, *hists], ["row", "lang", "n_words", "n_repeat_words", "char_hist", "word_hist"])
+
+    extra = [("lang", T.StringType()), ("n_words", T.LongType()), ("n_repeat_words", T.LongType()), *((n, T.ArrayType(T.LongType())) for n in ("char_hist", "word_hist"))]
+    schema = T.StructType([*packed.schema.fields, *(T.StructField(n, t) for n, t in extra)])
+    return verdict(packed.mapInArrow(run, schema), refs).where("kept").select("row.*")
