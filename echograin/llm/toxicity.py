@@ -5,7 +5,7 @@ Words, and word beginnings of ``PREFIXES`` bytes, whose document frequency diffe
 of at least ``min_z``) are the terms that span the vector space; beginnings reach inflected forms. All other words are one common term
 (in powers of two, so that vectors merge), which lets a vector's direction tell how much of a text the terms are. Examples are their TF-IDF vectors, equal vectors merged with their label counts. The index keeps, for each word,
 postings in blocks of ``BLOCK`` examples and each block's largest weight. A query adds up its words' block maxima to an
-upper bound for every block and opens blocks from the highest bound down, until the bound is below the k-th best cosine,
+upper bound for every block and opens blocks from the highest bound down, some at a time, until the bound is below the k-th best cosine,
 so the nearest are exact. Their votes weigh by distance and are smoothed by the sample's rate, which keeps scores
 calibrated; a text without a word gets the rate of such examples. The nearest examples are the evidence.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, rows_of, text_slices, utf8
 
 MODULUS, HELD_OUT = 5, 0
-MAX_LABELLED = 20_000
-MAX_WORDS = 2_000
+MAX_LABELLED = 8_000
+MAX_WORDS = 1_000
 MIN_Z = 6.0
 MIN_DOCUMENTS = 5
 NEIGHBOURS = 15
@@ -71,10 +71,9 @@ class Index:
     #: Terms by length of beginning, whole words at 0.
     terms: dict[int, dict[bytes, int]]
     idf: np.ndarray
-    #: For each word and block: where its postings start in ``rows`` and ``weights``.
-    starts: np.ndarray
-    rows: np.ndarray
-    weights: np.ndarray
+    #: Posting blocks, BLOCK weights each, the first one empty; ``at`` has each term's and block's place among them.
+    postings: np.ndarray
+    at: np.ndarray
     block_max: np.ndarray
     #: For each example vector: examples merged in it by label, the smallest id, the larger label.
     counts: np.ndarray
@@ -99,23 +98,24 @@ class Index:
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(cosine, example vector), best first, until they stand for ``k`` examples; vectors sharing no word are none."""
         bounds = w @ self.block_max[terms]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
         best: list[tuple[float, int]] = []
-        floor, n_blocks = 0.0, self.block_max.shape[1]
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < floor - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, q in zip(terms, w, strict=True):
-                a, z = self.starts[t * n_blocks + b], self.starts[t * n_blocks + b + 1]
-                sums[self.rows[a:z] - b * BLOCK] += q * self.weights[a:z]
-            best += [(float(sums[i]), int(b * BLOCK + i)) for i in np.flatnonzero(sums > 0)]
+        floor, step = 0.0, 2
+        while len(order) and bounds[order[0]] >= floor - 1e-12:
+            now, order = order[:step], order[step:]
+            now = now[bounds[now] >= floor - 1e-12]
+            sums = np.einsum("t,tbi->bi", w, self.postings[self.at[np.ix_(terms, now)]])
+            b, i = np.nonzero((sums > 0) & (sums >= floor))
+            best += zip(sums[b, i].tolist(), (now[b] * BLOCK + i).tolist(), strict=True)
             best.sort(key=lambda x: (-x[0], x[1]))
             held = 0
-            for at, (cosine, row) in enumerate(best):
+            for n, (cosine, row) in enumerate(best):
                 held += int(self.counts[row].sum())
                 if held >= k:
-                    floor, best = cosine, best[: at + 1]
+                    floor, best = cosine, best[: n + 1]
                     break
+            step *= 2
         return best
 
     def score(self, text: bytes, k: int = NEIGHBOURS) -> tuple[float, list[dict]]:
@@ -139,7 +139,7 @@ def build_index(words: list[bytes], idf: np.ndarray, examples: list[tuple[int, i
         n = w[0] if w[0] in PREFIXES else 0
         terms.setdefault(n, {})[w[1:] if n else w] = k
     idf = np.append(idf, COMMON_IDF)  # of the common term, which every text has
-    index = Index(terms, idf, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(idf), 0)), np.zeros((0, 2), np.int64), [], 0.0, 0.0)
+    index = Index(terms, idf, np.zeros((1, BLOCK)), np.zeros((len(idf), 0), np.int64), np.zeros((len(idf), 0)), np.zeros((0, 2), np.int64), [], 0.0, 0.0)
     merged: dict[tuple, list] = {}
     empty, total = [0, 0], [0, 0]
     for doc_id, toxic, text, n_words in examples:
@@ -153,14 +153,17 @@ def build_index(words: list[bytes], idf: np.ndarray, examples: list[tuple[int, i
         held[1] = min(held[1], doc_id)
     order = sorted(merged)  # examples with the same leading words share blocks, so bounds are tight
     n_blocks = -(-len(order) // BLOCK)
-    block_max = np.zeros((len(idf), n_blocks))
-    postings = sorted((t, row, x) for row, (terms, w) in enumerate(order) for t, x in zip(terms, w, strict=True))
-    slot = np.array([t * n_blocks + row // BLOCK for t, row, _ in postings], np.int64)
-    for t, row, x in postings:
-        block_max[t, row // BLOCK] = max(block_max[t, row // BLOCK], x)
-    index.starts = np.searchsorted(slot, np.arange(len(idf) * n_blocks + 1)) if n_blocks else np.zeros(1, np.int64)
-    index.rows, index.weights = np.array([p[1] for p in postings], np.int64), np.array([p[2] for p in postings])
-    index.block_max, index.counts = block_max, np.array([merged[k][0] for k in order], np.int64).reshape(-1, 2)
+    index.at = np.zeros((len(idf), n_blocks), np.int64)
+    filled = [np.zeros(BLOCK)]
+    for row, (own, w) in enumerate(order):
+        for t, x in zip(own, w, strict=True):
+            if not index.at[t, row // BLOCK]:
+                index.at[t, row // BLOCK] = len(filled)
+                filled.append(np.zeros(BLOCK))
+            filled[index.at[t, row // BLOCK]][row % BLOCK] = x
+    index.postings = np.stack(filled)
+    index.block_max = index.postings.max(axis=1)[index.at]
+    index.counts = np.array([merged[k][0] for k in order], np.int64).reshape(-1, 2)
     index.doc_ids = [merged[k][1] for k in order]
     index.prior = total[1] / max(1, sum(total))
     # Laplace-smoothed, so that a handful of such examples is no certainty.
@@ -174,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("long").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # The sample has max_labelled rows at most, two numbers each, so its broadcast is bounded.
-    rows = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic", "doc_id")
+    rows = docs.join(F.broadcast(sample), "doc_id").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"))  # copies teach once
     counted = rows.select("text", "toxic").mapInArrow(_word_labels, "word binary, toxic bigint, n bigint").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean")
     )
@@ -206,10 +209,11 @@ def _restrict(words: frozenset[bytes]):
     return run
 
 
-def _score_batches(index: Index):
+def _score_batches(shared):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in text_slices(batches, "text", 16 << 20):
             found = [index.score(t) for t in utf8(batch.column(1))]
             yield rows_of(schema, [batch.column(0).to_pylist(), batch.column(2).to_pylist(), [x[0] for x in found], [x[1] for x in found]])
@@ -221,5 +225,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """doc_id, held_out, score, predicted and evidence (nearest examples) for each row of ``docs``."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (crc_mod(F.col(doc_id), MODULUS) == HELD_OUT).alias("held_out"))
     index = fit(own.select("doc_id", "text"), labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).alias("toxic")), **limits)
-    found = own.mapInArrow(_score_batches(index), "doc_id bigint, held_out boolean, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
+    found = own.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(index)), "doc_id bigint, held_out boolean, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
