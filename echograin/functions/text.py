@@ -84,7 +84,7 @@ def guess_language(snippet: Column) -> Column:
 
 def literate_counts(content: Column) -> Column:
     """Comment and blank lines of a literate text in SQL: fence parity by a running count over its lines."""
-    body = F.regexp_replace(content, "\n$", "")
+    body = F.regexp_replace(content, "\n\\z", "")
     lines = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, "^[ \t\f\r]+|[ \t\f\r]+$", ""))
     start = F.struct(F.lit(0).alias("fence"), F.lit(0).cast("bigint").alias("comment"), F.lit(0).cast("bigint").alias("blank"))
 

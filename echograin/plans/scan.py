@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import ScanOptions, SearchOptions
 from ..operators import pairs, search
 from ..operators.entries import entries
-from ..sources.files import corpus, files
+from ..sources.files import corpus, listing
 
 
 @dataclass
@@ -25,7 +25,7 @@ class ScanResult:
 
     def stats(self) -> dict:
         """Counts of a finished scan."""
-        walked = files(self.findings.sparkSession, self.root, self.options.walk).count()
+        walked = listing(self.findings.sparkSession, self.root, self.options.walk).count()
         naive = self.options.use_naive
         found = pairs.naive_pairs(self.entries, self.options.max_bucket, self.options.min_shared) if naive else pairs.candidates(pairs.bands(self.entries))
         return {"files_walked": walked, "entries_indexed": self.entries.count(), "candidate_pairs": found.count(), "findings": self.findings.count(), "backend": "naive" if naive else "lsh", "elapsed": round(time.time() - self.began, 3)}

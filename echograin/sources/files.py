@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import posixpath
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import WalkOptions
@@ -40,79 +43,119 @@ def glob_regex(pattern: str) -> str | None:
     return ("^" if anchored else "(?:^|/)") + out + ("/" if only_dir else "(?:/|$)")
 
 
-def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, list[tuple[bool, str]]]]:
-    """(directory, [(is_exception, regex)]) of the tree's ignore files, outermost first. Such files are few."""
-    base = root.rstrip("/")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    in_git = path.getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(base + "/.git"))
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{.gitignore,.ignore}").load(base).select("path", F.col("content").cast("string").alias("text")).collect()
-    found = []
-    for r in rows:
-        rel = _relative(r.path, base)
-        if rel.endswith(".gitignore") and not in_git:
-            continue
-        rules = [(line.lstrip().startswith("!"), regex) for line in (r.text or "").splitlines() if (regex := glob_regex(line))]
-        found.append((posixpath.dirname(rel), rules))
-    return sorted(found, key=lambda x: (x[0].count("/") + bool(x[0]), x[0]))
-
-
-def _relative(path: str, base: str) -> str:
-    strip = lambda p: re.sub(r"^[a-z]+:/*", "/", p)
-    return strip(path)[len(strip(base).rstrip("/")) + 1 :]
-
-
-def allowed(path: Column, options: WalkOptions, rules: list[tuple[str, list[tuple[bool, str]]]] = ()) -> Column:
-    """Whether the walk takes a relative path. Within ignore files the last matching rule decides."""
-    keep = ~text.is_excluded(path) if options.use_default_excludes else F.lit(True)
-    for pattern in options.excludes:
-        if regex := glob_regex(pattern):
-            keep &= ~path.rlike(regex)
-    if options.respect_ignore_files:
-        ignored = F.lit(False)
-        for folder, own in rules:
-            inside = path.startswith(folder + "/") if folder else F.lit(True)
-            rest = F.substring(path, len(folder) + 2 if folder else 1, 1 << 20)
-            for exception, regex in own:
-                ignored = F.when(inside & rest.rlike(regex), F.lit(not exception)).otherwise(ignored)
-        keep &= ~ignored & ~text.is_hidden(path)
-    return keep
-
-
-def files(spark: SparkSession, root: str, options: WalkOptions = WalkOptions()) -> DataFrame:
-    """path (relative), ext, lang, raw content of the files that the walk takes and whose language is known.
-
-    Paths are filtered before contents are read; the language table is a bounded dimension of some tens of rows.
-    """
-    base = root.rstrip("/")
-    rules = ignore_rules(spark, base) if options.respect_ignore_files else []
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    start = len(re.sub(r"^[a-z]+:/*", "/", base).rstrip("/")) + 2
-    rel = raw.withColumn("path", F.substring(plain, start, 1 << 20)).where(allowed(F.col("path"), options, rules))
-    return rel.withColumn("ext", text.extension(F.col("path"))).join(F.broadcast(languages.extensions(spark)), "ext").select("path", "ext", "lang", "content")
+def _kept(path: str, options: WalkOptions, rules: list[tuple[str, list[tuple[bool, str]]]], is_dir: bool) -> bool:
+    """Whether the walk takes a relative path (a directory: goes into it). The last matching ignore rule decides."""
+    name = posixpath.basename(path)
+    shown = path + "/" if is_dir else path
+    if options.use_default_excludes and name in text.DEFAULT_EXCLUDES:
+        return False
+    if any((regex := glob_regex(p)) and re.search(regex, shown) for p in options.excludes):
+        return False
+    if not options.respect_ignore_files:
+        return True
+    if name.startswith("."):
+        return False
+    ignored = False
+    for folder, own in rules:
+        inside = shown[len(folder) + 1 :] if folder else shown
+        for exception, regex in own:
+            if re.search(regex, inside):
+                ignored = not exception
+    return not ignored
+
+
+class _Tree:
+    """Directory listings and small files through the cluster's file systems. Names alone pass the driver, and
+    directories that are left out are never opened. (Spark's own file sources skip names with a leading underscore.)"""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.base = self.path(root.rstrip("/") or "/")
+        self.fs = self.base.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, rel: str):
+        return self.path(self.base, rel) if rel else self.base
+
+    def exists(self, rel: str) -> bool:
+        return self.fs.exists(self.at(rel))
+
+    def read(self, rel: str) -> str:
+        stream = self.fs.open(self.at(rel))
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8", "replace")
+        finally:
+            stream.close()
+
+    def list(self, rel: str) -> list[tuple[str, bool, str]]:
+        try:
+            found = [(x.getPath().getName(), x.isDirectory(), x.getPath().toString()) for x in self.fs.listStatus(self.at(rel))]
+        except Exception:  # a folder that cannot be read is left out, as unreadable entries are
+            return []
+        return sorted(found)
+
+    def rules(self, rel: str, names: set[str], in_git: bool) -> list[tuple[bool, str]]:
+        out = []
+        for name in (".gitignore", ".ignore"):
+            if name in names and (in_git or name == ".ignore"):
+                lines = self.read(posixpath.join(rel, name)).splitlines()
+                out += [(line.lstrip().startswith("!"), regex) for line in lines if (regex := glob_regex(line))]
+        return out
+
+
+def walk(spark: SparkSession, root: str, options: WalkOptions = WalkOptions()) -> list[tuple[str, str]]:
+    """(relative path, address) of the files that the walk takes."""
+    tree, found = _Tree(spark, root), []
+    in_git = options.respect_ignore_files and tree.exists(".git")
+    stack: list[tuple[str, list]] = [("", [])]
+    while stack:
+        rel, rules = stack.pop()
+        entries = tree.list(rel)
+        if options.respect_ignore_files and (own := tree.rules(rel, {n for n, _, _ in entries}, in_git)):
+            rules = [*rules, (rel, own)]
+        for name, is_dir, address in entries:
+            path = posixpath.join(rel, name)
+            if _kept(path, options, rules, is_dir):
+                (stack if is_dir else found).append((path, rules if is_dir else address))
+    return sorted(found)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("lang", pa.string()), ("content", pa.binary())])
+    for batch in batches:
+        for path, lang, address in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            local = re.fullmatch(r"file:/*(/.*)", address)
+            try:
+                fs, at = (pa.fs.LocalFileSystem(), local[1]) if local else pa.fs.FileSystem.from_uri(address)
+                with fs.open_input_stream(at) as stream:
+                    content = stream.read()
+            except OSError:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([lang]), pa.array([content], pa.binary())], schema=schema)
+
+
+def listing(spark: SparkSession, root: str, options: WalkOptions = WalkOptions()) -> DataFrame:
+    """path, ext, lang, address of files whose language is known. The language table is a bounded dimension."""
+    rows = spark.createDataFrame(walk(spark, root, options), "path string, address string")
+    return rows.withColumn("ext", text.extension(F.col("path"))).join(F.broadcast(languages.extensions(spark)), "ext")
+
+
+def files(spark: SparkSession, root: str, options: WalkOptions = WalkOptions(), only_lang: str | None = None) -> DataFrame:
+    """path, lang, content (binary): contents are read where the tasks run, after every filter on paths."""
+    rows = listing(spark, root, options)
+    if only_lang:
+        rows = rows.where(F.lower("lang") == only_lang.lower())
+    spread = rows.select("path", "lang", "address").repartition(spark.sparkContext.defaultParallelism * 2)
+    return spread.mapInArrow(_read, "path string, lang string, content binary")
 
 
 def directories(spark: SparkSession, root: str, options: WalkOptions = WalkOptions()) -> DataFrame:
     """Directories that hold a file the walk takes."""
-    base = root.rstrip("/")
-    rules = ignore_rules(spark, base) if options.respect_ignore_files else []
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path")
-    start = len(re.sub(r"^[a-z]+:/*", "/", base).rstrip("/")) + 2
-    rel = raw.select(F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), start, 1 << 20).alias("path")).where(allowed(F.col("path"), options, rules))
-    return rel.select(F.regexp_replace("path", "/?[^/]*$", "").alias("path")).distinct()
+    rows = spark.createDataFrame(walk(spark, root, options), "path string, address string")
+    return rows.select(F.regexp_replace("path", "/?[^/]*$", "").alias("path")).distinct()
 
 
 def corpus(spark: SparkSession, root: str, options: WalkOptions = WalkOptions(), only_lang: str | None = None) -> DataFrame:
     """entry_id, path, lang, content; files that are not valid UTF-8 are dropped."""
-    found = files(spark, root, options)
-    if only_lang:
-        found = found.where(F.lower("lang") == only_lang.lower())
+    found = files(spark, root, options, only_lang)
     decoded = F.try_validate_utf8(F.col("content").cast("string"))
     return found.select(text.md5_60(F.col("path")).alias("entry_id"), "path", "lang", decoded.alias("content")).where("content IS NOT NULL")
-
-
-def from_documents(docs: DataFrame) -> DataFrame:
-    """A table of documents as a corpus of plain texts under source/id.txt."""
-    path = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return docs.select(F.col("doc_id").alias("entry_id"), path.alias("path"), F.lit("Text").alias("lang"), F.col("text").alias("content"))
