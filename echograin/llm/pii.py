@@ -38,7 +38,7 @@ SYLLABLES = {"latin": "ba bel dor fan gar hol jen kam lin mor nas pel ras sol ta
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _KEYWORD = r"(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": rf"(?i:\b{_KEYWORD})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9/+_-]{{12,}}|\bAKIA[0-9A-Z]{{16}}\b",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
@@ -50,6 +50,11 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text can hold an entity: every pattern but the names' needs one of a few characters. Null is none."""
+    return F.coalesce((text.rlike("[0-9@=:]|AKIA") | text.rlike(PATTERNS["name"])) & text.rlike(ANY), F.lit(False))
+
+
 def _digits(e: Column) -> Column:
     return F.regexp_replace(e, r"\D", "")
 
@@ -153,7 +158,9 @@ def written(e: Column, kind: Column, given: Column) -> Column:
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     """kind, norm, given for the distinct rows (kind, norm) of ``entities``: collision-free surrogates."""
-    names = materialize(entities.select("kind", "norm").distinct(), "pii-entities")
+    # Few bytes but long expressions: a stated number of partitions keeps them from being put together in one task.
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = materialize(entities.select("kind", "norm").distinct().repartition(parts, "kind", "norm"), "pii-entities")
     asked = materialize(names.withColumn("attempt", F.lit(0)).withColumn("given", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)), "pii-asked")
     held = None
     while True:
@@ -174,9 +181,9 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, count: str = "n
     """``docs`` with surrogates in ``text`` and the number of entities replaced in ``count``."""
     columns = [F.col(f"`{c}`") for c in docs.columns if c != count]
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    clean = docs.where(F.col(text).isNull() | ~F.col(text).rlike(ANY)).select(*columns, F.lit(0).cast("long").alias(count))
+    clean = docs.where(~may_hold(F.col(text))).select(*columns, F.lit(0).cast("long").alias(count))
     body = F.col("row")[text]
-    dirty = docs.where(F.col(text).rlike(ANY)).select(F.struct(*columns).alias("row"), found.alias("entities"))
+    dirty = docs.where(may_hold(F.col(text))).select(F.struct(*columns).alias("row"), found.alias("entities"))
     dirty = materialize(dirty.withColumn("own", F.md5(F.concat_ws("\x1f", F.size("entities").cast("string"), body).cast("binary"))), "pii-texts")
     each = dirty.select("own", F.explode(F.array_distinct("entities")).alias("e")).distinct().withColumn("kind", kind_of(F.col("e"))).where(F.col("kind").isNotNull())
     each = materialize(each.withColumn("norm", normal(F.col("e"), F.col("kind"))), "pii-each")
