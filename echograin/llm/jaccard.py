@@ -248,21 +248,32 @@ class Join:
 
         asked = members.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
         measured = self._measure(asked)
-        links = measured.where(self._linked()).select("a", "b")
-        found = links
+        labels = components(measured.where(self._linked()).select("a", "b"))
         while True:
-            labels = components(found)
             members = self._divide(members, measured, labels)
             if members is None:
                 break
             asked = members.select(F.explode("pivots").alias("pivot"), "doc", "c").where("pivot.doc <> doc AND pivot.c <> c")
             asked = asked.select(F.least("pivot.doc", "doc").alias("a"), F.greatest("pivot.doc", "doc").alias("b")).distinct()
             measured = self._measure(asked)
-            found = materialize(found.unionByName(measured.where(self._linked()).select("a", "b")), "jaccard-links")
-        labels = components(found.unionByName(copies))
+            new = measured.where(self._linked()).select("a", "b")
+            if not new.isEmpty():
+                labels = self._merge(labels, new)
+        labels = components(labels.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(copies))
         rows = digests.join(labels, digests["doc_id"] == labels["v"], "left")
         return rows.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
+    def _merge(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after more links: components of the graph whose nodes are components."""
+        of = labels.select(F.col("v").alias("v"), "c")
+        for end in "ab":
+            links = links.join(of.select(F.col("v").alias(end), F.col("c").alias(f"{end}_c")), end, "left").withColumn(f"{end}_c", F.coalesce(f"{end}_c", end))
+        links = materialize(links.select("a", "b", "a_c", "b_c"), "jaccard-links")
+        merged = components(links.select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))).select(F.col("v").alias("c"), F.col("c").alias("into"))
+        ends = links.select(F.col("a").alias("v"), F.col("a_c").alias("c")).unionByName(links.select(F.col("b").alias("v"), F.col("b_c").alias("c")))
+        every = labels.select("v", "c").unionByName(ends).distinct()
+        return materialize(every.join(merged, "c", "left").select("v", F.coalesce("into", "c").alias("c")), "jaccard-labels")
+
     def _divide(self, members: DataFrame, measured: DataFrame, labels: DataFrame) -> DataFrame | None:
         """Regions for the next round, with pivots; None if no region holds two components."""
         radius = 1 - self.t
@@ -313,7 +324,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
             hit &= (bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
         return pa.array(hit)
 
-    flagged = docs.withColumn("_maybe", maybe(F.col(doc_id).cast("long")))
-    sure = flagged.where(~F.col("_maybe")).drop("_maybe")
-    rest = flagged.where("_maybe").drop("_maybe")
-    return sure.unionByName(rest.join(out.select(F.col("doc_id").alias("_out")), rest[doc_id] == F.col("_out"), "left_anti"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    flagged = docs.select(row, F.col(doc_id).alias("id"), maybe(F.col(doc_id).cast("long")).alias("maybe"))
+    rest = flagged.where("maybe").join(out.select(F.col("doc_id").alias("out")), F.col("id") == F.col("out"), "left_anti")
+    return flagged.where("NOT maybe").select("row.*").unionByName(rest.select("row.*"))
