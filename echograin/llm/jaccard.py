@@ -11,11 +11,11 @@ the outermost regions are drawn in projections of the space, where it does:
    document with too many empty parts is also placed at the next, finer level, until its filled parts suffice.
 2. *Regions.* A region's first member is its pivot; every member's exact distance to the pivot is measured. Members
    within the radius are linked.
-3. *Recursion.* Regions in which more than one component is left are divided by distance to the pivot into rings one
-   radius wide; by the triangle inequality a linked pair lies in one ring or in two neighbouring ones, so each member is
-   replicated into its ring and the next. The pivot leaves, each new region takes new pivots, one for each of its
-   rarer components (at most ``PIVOTS``), and so on; regions of up to ``LEAF`` members compare all members of different
-   components. It ends when no region holds two components. Nothing is dropped, sampled or capped.
+3. *Recursion.* Distances to the first pivot lay each region in rings one radius wide; by the triangle inequality a
+   linked pair lies in one ring or in two neighbouring ones, and only such pairs are ever compared again. While a
+   region holds more than one component, up to ``PIVOTS`` members outside its largest component are its next pivots:
+   they are compared with the members of other components in their window, and leave. It ends when no region holds
+   two components. Nothing is dropped, sampled or capped.
 
 Equal sets are collapsed first. Shingles are 64-bit hashes, set identities 128-bit.
 
@@ -46,8 +46,7 @@ from .graph import components
 SHINGLE = 3
 THRESHOLD = Fraction(9, 10)
 CLASS_RATIO = {Fraction(9, 10): 1.25}
-LEAF = 16
-PIVOTS = 8
+PIVOTS = 32
 CACHE_WORDS = 300_000
 FILTER_BITS = 1 << 27
 
@@ -236,9 +235,11 @@ class Join:
         placed = placed.select("region", "doc_id", F.lag("doc_id").over(each).alias("before"), F.lead("doc_id").over(each).alias("after"))
         shared = materialize(placed.where("before IS NOT NULL OR after IS NOT NULL").select("region", "doc_id"), "jaccard-shared")
         members = shared.join(of, "doc_id").select("region", F.col("first").alias("doc")).distinct()
-        sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where("n > 1").drop("n")
-        first = F.array(F.struct(F.col("pivot").alias("doc"), F.col("pivot").alias("c")))
-        members = materialize(members.join(sizes, "region").withColumns({"pivots": first, "last": F.lit(False)}), "jaccard-members")
+        # Regions with the same members (count, smallest and a 64-bit sum of hashes agree) are one.
+        sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.min("doc").alias("pivot"), F.bit_xor(F.xxhash64("doc")).alias("sum")).where("n > 1")
+        kinds = sizes.groupBy("n", "pivot", "sum").agg(F.min("region").alias("region")).select("region", "pivot")
+        first = F.array(F.struct(F.col("pivot").alias("doc")))
+        members = materialize(members.join(kinds, "region").withColumn("pivots", first), "jaccard-members")
         release(shared)
 
         ids = materialize(members.select(F.col("doc").alias("doc_id")).distinct(), "jaccard-ids")
@@ -253,7 +254,7 @@ class Join:
             members = self._divide(members, measured, labels)
             if members is None:
                 break
-            asked = members.select(F.explode("pivots").alias("pivot"), "doc", "c").where("pivot.doc <> doc AND pivot.c <> c")
+            asked = members.select(F.explode("pivots").alias("pivot"), "doc", "c", "ring").where("pivot.c <> c AND abs(pivot.ring - ring) <= 1")
             asked = asked.select(F.least("pivot.doc", "doc").alias("a"), F.greatest("pivot.doc", "doc").alias("b")).distinct()
             measured = self._measure(asked)
             new = measured.where(self._linked()).select("a", "b")
@@ -275,29 +276,21 @@ class Join:
         return materialize(every.join(merged, "c", "left").select("v", F.coalesce("into", "c").alias("c")), "jaccard-labels")
 
     def _divide(self, members: DataFrame, measured: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Regions for the next round, with pivots; None if no region holds two components."""
-        radius = 1 - self.t
-        known = measured.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared", "either")
-        known = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "shared", "either"))
-        ring = F.floor((F.col("either") - F.col("shared")) * radius.denominator / (F.col("either") * radius.numerator)).cast("int")
-        labelled = members.where(~F.col("last")).select("region", "doc", "pivot", F.col("pivots.doc").alias("pivots"))
-        labelled = labelled.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
-        spread = labelled.groupBy("region").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("region")
-        # A pivot has met every member of another component by now, so it leaves.
-        open_ = labelled.where(~F.array_contains("pivots", F.col("doc"))).join(spread, "region").join(known.withColumnsRenamed({"x": "pivot", "y": "doc"}), ["pivot", "doc"], "left")
-        # Not measured (it is of the pivot's component by another way): it may lie in any ring, so it stays in all of them.
-        rings = F.when(F.col("either").isNull(), F.sequence(F.lit(0), F.lit(math.ceil(1 / radius) + 1))).otherwise(F.array(ring, ring + 1))
-        inner = open_.select(F.explode(rings).alias("ring"), "region", "doc", "c").select(F.xxhash64("region", "ring").alias("region"), "doc", "c").distinct()
-        by_part = inner.groupBy("region", "c").agg(F.count("*").alias("n"), F.min("doc").alias("low"))
-        rare = Window.partitionBy("region").orderBy("n", "c")
-        ranked = by_part.withColumns({"rank": F.row_number().over(rare), "parts": F.count("*").over(Window.partitionBy("region")), "all": F.sum("n").over(Window.partitionBy("region"))}).where("parts > 1")
-        pivots = ranked.where((F.col("rank") <= PIVOTS) & (F.col("rank") < F.col("parts"))).groupBy("region").agg(F.max("all").alias("all"), F.collect_list(F.struct(F.col("low").alias("doc"), "c")).alias("pivots"))
-        out = inner.join(pivots, "region")
-        leaf = out.where(F.col("all") <= LEAF).groupBy("region").agg(F.collect_list(F.struct("doc", "c")).alias("pivots"))
-        small = out.where(F.col("all") <= LEAF).drop("pivots").join(leaf, "region")
-        large = out.where(F.col("all") > LEAF)
-        cols = ["region", "doc", "c", "pivots", F.col("pivots")[0]["doc"].alias("pivot")]
-        out = materialize(small.select(*cols, F.lit(True).alias("last")).unionByName(large.select(*cols, F.lit(False).alias("last"))), "jaccard-members")
+        """Regions for the next round, with their next pivots; None if no region holds two components."""
+        # Pivots have met every member that they can be linked with, so they leave.
+        left = members.where(~F.array_contains("pivots.doc", F.col("doc"))).drop("pivots", "c")
+        if "ring" not in left.columns:
+            radius = 1 - self.t
+            ring = F.floor((F.col("either") - F.col("shared")) * radius.denominator / (F.col("either") * radius.numerator)).cast("int")
+            left = left.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), ring.alias("ring")), ["pivot", "doc"]).drop("pivot")
+        left = left.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
+        parts = left.groupBy("region", "c").agg(F.count("*").alias("n"))
+        main = parts.groupBy("region").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        open_ = left.join(main, "region").join(parts, ["region", "c"])
+        rare = Window.partitionBy("region").orderBy("n", "c", "doc")
+        pivots = open_.where("c <> main").withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= PIVOTS)
+        pivots = pivots.groupBy("region").agg(F.collect_list(F.struct("doc", "c", "ring")).alias("pivots"))
+        out = materialize(open_.join(pivots, "region").select("region", "doc", "c", "ring", "pivots"), "jaccard-members")
         return None if out.isEmpty() else out
 
 
