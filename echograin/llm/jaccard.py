@@ -46,7 +46,7 @@ from .graph import components
 SHINGLE = 3
 THRESHOLD = Fraction(9, 10)
 CLASS_RATIO = {Fraction(9, 10): 1.25}
-PIVOTS = 32
+PIVOTS = 64
 CACHE_WORDS = 300_000
 FILTER_BITS = 1 << 27
 
