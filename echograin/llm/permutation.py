@@ -30,7 +30,7 @@ from .common import materialize
 from .graph import components
 
 THRESHOLD = 0.9
-PREFIX = 6
+PREFIX = 10
 MAX_PIVOTS = 4096
 CHUNK = 512
 
