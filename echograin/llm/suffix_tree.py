@@ -1,16 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 States are contexts of up to ``depth`` preceding words; a text is scored word by word in the longest state that is a
-suffix of what went before. A context is a candidate while it, its symbols and its shorter forms make up at least
-``p_min`` of all training tokens, so a level has at most 1/p_min entries however large the corpus is; it is retained
-where its next-symbol distribution diverges from its parent's: the likelihood gain of its counts (a Kullback-Leibler
-divergence times its count) has to pay for its parameters, ``test`` times half a logarithm of the corpus size each.
-A retained state needs its parents, which stay with it. Distributions are smoothed by interpolation with the parent's
-(Witten-Bell; counts below the limit join the parent's share), down to add-one unigrams over all training tokens.
-
-Counting is level by level over whole texts: Arrow batches are summed in the Python worker before the shuffle, and the
-bounded result goes to the driver, which builds the tree and broadcasts it. Unigram counts of the other, rare words
-are unbounded and are never broadcast: what each text has of them leaves as hashes and is joined with the counts.
+suffix of what went before. Every gram seen ``min_count`` times in training is counted, however large the corpus; a
+context is retained where its next-symbol distribution diverges from its parent's: the likelihood gain of its counts
+(a Kullback-Leibler divergence times its count) has to pay for its parameters, ``test`` times half a logarithm of the
+corpus size each. A retained state needs its parents, which stay with it. Distributions are smoothed by interpolation
+with the parent's (Witten-Bell; counts below the limit join the parent's share), down to add-one unigrams over all
+training tokens.
+
+Words, grams, states and weights are tables in the shared folder, keyed by 64-bit hashes, and grow with the corpus. A
+text's log score is a sum over its grams of all orders: a gram adds what it changes against its parent's share, and,
+as a context, its share. So one join of a text's grams with one table of weights scores it. Two broadcasts of fixed
+size spare rows but decide nothing: the weights of the most frequent grams, and a bitmap of hashes, which leaves out
+only keys that are surely not in the table.
 
 Defined cases: null text is empty and scores as its end alone; a table without training rows gives N = V = 0, so every
 token has the probability 1; repeated rows count each time; a null id counts as remainder 0, so for training; an
@@ -33,11 +35,13 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialize, rows_of, text_slices, utf8
 
 DEPTH = 2
-P_MIN = 1e-6
+MIN_COUNT = 2
 TEST = 1.0
 MODULUS, HELD_OUT = 7, 2
 #: Distinct words a worker holds before it hands its counts on.
 FLUSH = 200_000
+#: Weights that are broadcast, and bits of the bitmap of keys, at any corpus size.
+CACHE, BITS = 400_000, 27
 END = b""
 SEED = 42
 
@@ -195,20 +199,21 @@ def build_level(model: Model, keys: np.ndarray, counts: np.ndarray, order: int,
     model.levels.append(level)
 
 
-def fit(train: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, test: float = TEST) -> tuple[Model, DataFrame]:
-    """The tree and the table of all training words' counts (hash, c); ``train`` has a column ``text``."""
+def fit(train: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, test: float = TEST) -> tuple[Model, DataFrame]:
+    """The tree in the driver's memory, for small corpora only (tests hold the tables against it), and the table of all
+    training words' counts (hash, c); ``train`` has a column ``text``."""
     spark = train.sparkSession
     counted = train.select("text").mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
     counted = materialize(counted, "pst-words")
     n, v = (x or 0 for x in counted.agg(F.sum("c"), F.count("*")).first())
-    frequent = counted.where(F.col("c") >= max(2, p_min * n)).toArrow()  # at most 1/p_min rows
+    frequent = counted.where(F.col("c") >= min_count).toArrow()
     words, counts = frequent.column("word").to_pylist(), frequent.column("c").to_numpy()
     rank = np.argsort(-counts, kind="stable")
     model = Model({words[k]: i for i, k in enumerate(rank)}, counts[rank], n, v)
     for order in range(2, depth + 2):
         shared = spark.sparkContext.broadcast(model)
         found = train.select("text").mapInArrow(_late(shared, order), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-        kept = found.where(F.col("n") >= max(2, p_min * n)).toArrow()  # at most 1/p_min rows
+        kept = found.where(F.col("n") >= min_count).toArrow()
         build_level(model, kept.column("key").to_numpy(), kept.column("n").to_numpy(), order, test)
     return model, counted.select(F.xxhash64(F.col("word").cast("string")).alias("hash"), "c")
 
@@ -233,39 +238,161 @@ def score_text(model: Model, text: bytes) -> tuple[int, int, float, float, list[
     return len(ids), int(known.sum()), float(np.log10(own).sum()), float(np.log10(p).sum()), [words[i] for i in np.flatnonzero(~known)]
 
 
-def _score_batches(shared):
+class Hashes(dict):
+    """Hashes of words, computed once each."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= FLUSH:
+            self.clear()
+        h = self[word] = word_hash(word)
+        return h
+
+
+def hashed(texts: list[bytes], hashes: Hashes, depth: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Lengths of the texts with their ends, keys of the grams of each order that end at each token of all texts, and
+    the tokens' places in their texts (a gram of order k is one from place k - 1 on)."""
+    words: list[bytes] = []
+    sizes = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        own = words_of(text)
+        words += own
+        words.append(END)
+        sizes[i] = len(own) + 1
+    first = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    keys = [first]
+    for order in range(2, depth + 2):
+        context = np.concatenate([first[:1], keys[-1][:-1]])
+        x = context * np.uint64(0x9E3779B97F4A7C15) + first + np.uint64(order)
+        for factor in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(factor)
+        keys.append(x ^ (x >> np.uint64(32)))
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return sizes, [k.view(np.int64) for k in keys], place
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the column ``key``, 2 ** BITS of them: a key whose bit is not set is not in the column."""
+    at = F.shiftrightunsigned("key", 64 - BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 as int))")
+    found = keys.select(F.shiftrightunsigned(at, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) >> np.uint64(64 - 5 - len(bits).bit_length())
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+_GRAMS = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("shorter", pa.int64()), ("n", pa.int64())])
+
+
+def _gram_batches(shared, order: int):
+    """Counts of the grams of ``order`` words whose prefix and suffix may be grams of the level below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hashes = shared and shared.value, Hashes()
+        for batch in text_slices(batches, "text", 16 << 20):
+            _, keys, place = hashed(utf8(batch.column(0)), hashes, order - 1)
+            at = np.flatnonzero(place >= order - 1)
+            if order > 1:
+                there = maybe(bits, keys[-2])
+                at = at[there[at] & there[at - 1]]
+            key, first, n = np.unique(keys[-1][at], return_index=True, return_counts=True)
+            context, shorter = (keys[-2][at - 1][first], keys[-2][at][first]) if order > 1 else (key, key)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (key, context, shorter, n)], schema=_GRAMS)
+
+    return run
+
+
+def counted_grams(train: DataFrame, order: int, bits: np.ndarray | None = None) -> DataFrame:
+    shared = None if bits is None else train.sparkSession.sparkContext.broadcast(bits)
+    found = train.select("text").mapInArrow(_gram_batches(shared, order), "key bigint, context bigint, shorter bigint, n bigint")
+    return found.groupBy("key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("n").alias("n"))
+
+
+def fit_tables(train: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, test: float = TEST) -> tuple[DataFrame, int, int]:
+    """The tree as a table of weights (key, w, base, known, n), training tokens and distinct words."""
+    words = materialize(counted_grams(train, 1).select("key", "n"), "pst-words")
+    n, v = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
+    nothing = F.lit(0.0)
+    parts = [words.select("key", F.log10(F.col("n") + 1).alias("w"), F.log10(F.col("n") + 1).alias("base"), F.lit(1).alias("known"), "n")]
+    level = words.select("key", F.col("key").alias("shorter"), "n", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p")).where(F.col("n") >= min_count)
+    states = None
+    for order in range(2, depth + 2):
+        grams_ = counted_grams(train, order, bitmap(level.select("key"))).where(F.col("n") >= min_count)
+        grams_ = materialize(grams_.join(level.select(F.col("key").alias("shorter"), F.col("p").alias("parent")), "shorter"), f"pst-grams-{order}")
+        sums = grams_.groupBy("context").agg(F.sum("n").alias("kept"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("parent"))).alias("gain"), F.sum("parent").alias("mass"))
+        sums = sums.join(level.select(F.col("key").alias("context"), F.col("n").alias("total"), "shorter"), "context").withColumn("total", F.greatest("total", "kept"))
+        rest = F.col("total") - F.col("kept")
+        gain = F.col("gain") - F.col("kept") * F.log("total") + F.when(rest > 0, rest * F.log(rest / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(nothing)
+        good = sums.where(gain >= F.lit(test * np.log(max(n, 2)) / 2) * F.col("kinds"))
+        if states is not None:  # a state's parent stands in the tree too
+            good = good.join(states.select(F.col("context").alias("shorter")), "shorter", "left_semi")
+        states = materialize(good.select("context", (rest + F.col("kinds")).cast("double").alias("share"), (F.col("total") + F.col("kinds")).cast("double").alias("sum")), f"pst-states-{order}")
+        p = F.coalesce((F.col("n") + F.col("share") * F.col("parent")) / F.col("sum"), F.col("parent"))
+        change = F.log10(p) - F.log10(F.col("share") / F.col("sum")) - F.log10("parent")
+        level = materialize(grams_.join(states, "context", "left").select("key", "shorter", "n", p.alias("p"), change.alias("w")), f"pst-level-{order}")
+        parts.append(level.where("w IS NOT NULL").select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), "n"))
+        parts.append(states.select(F.col("context").alias("key"), F.log10(F.col("share") / F.col("sum")).alias("w"), nothing.alias("base"), F.lit(0).alias("known"), F.lit(0).cast("long").alias("n")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    weights = whole.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("w", "base", "known", "n")])
+    return materialize(weights, "pst-weights"), n, v
+
+
+_SCORES = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, tree double, rare array<bigint>"
+
+
+def _score_batches(shared, depth: int):
+    """Sums of the broadcast weights of each text; keys of its other grams that may have one."""
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = shared.value, TaskContext.get().partitionId() << 40
+        (cached, w, base, known, bits), hashes, row = shared.value, Hashes(), TaskContext.get().partitionId() << 40
         for batch in text_slices(batches, "text"):
-            out = []
-            for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(1)), strict=True):
-                n, known, base, tree, rare = score_text(model, text)
-                out.append((row, doc_id, held, n, known, base, tree, [word_hash(w) for w in rare]))
-                row += 1
-            yield rows_of(schema, list(map(list, zip(*out, strict=True))))
+            sizes, keys, place = hashed(utf8(batch.column(1)), hashes, depth)
+            rows, of = batch.num_rows, np.repeat(np.arange(batch.num_rows), sizes)
+            sums, owners, rare = np.zeros((3, rows)), [], []
+            for k, key in enumerate(keys):
+                own, key = of[place >= k], key[place >= k]
+                at, hit = find(cached, key)
+                if hit.any():
+                    for i, column in enumerate((w, base, known)):
+                        sums[i] += np.bincount(own[hit], column[at[hit]], rows)
+                open_ = ~hit & maybe(bits, key)
+                owners.append(own[open_])
+                rare.append(key[open_])
+            owner, key = np.concatenate(owners), np.concatenate(rare)
+            rank = np.argsort(owner, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[rank]))
+            numbers = [pa.array(x) for x in (sizes, np.rint(sums[2]).astype(np.int64), sums[1], sums[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + rows)), batch.column(0), batch.column(2), *numbers, lists], schema=schema)
+            row += rows
 
     return run
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int = DEPTH) -> DataFrame:
     """Scores of the rows of ``docs`` (doc_id, text, held_out)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    ddl = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, tree double, rare array<bigint>"
-    found = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(_score_batches(shared), ddl), "pst-scores")
-    rare = found.select("row", F.explode("rare").alias("hash")).join(counts, "hash", "left")
-    own = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.n + model.v + 1)))
-    rare = rare.groupBy("row").agg(F.sum(own).alias("rare_score"), F.count("c").alias("rare_known"))
-    own_part = F.coalesce("rare_score", F.lit(0.0))
+    top = weights.orderBy(F.desc("n"), "key").limit(CACHE).toArrow()
+    columns = [top.column(c).to_numpy() for c in ("key", "w", "base", "known")]
+    rank = np.argsort(columns[0])
+    shared = docs.sparkSession.sparkContext.broadcast((*(c[rank] for c in columns), bitmap(weights)))
+    found = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(_score_batches(shared, depth), _SCORES), "pst-scores")
+    rare = found.select("row", F.explode("rare").alias("key")).join(weights, "key")
+    rare = rare.groupBy("row").agg(F.sum("w").alias("rare_w"), F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"))
+    unseen = F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     return found.drop("rare").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + own_part).alias("base_score"), (F.col("tree") + own_part).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - unseen).alias("base_score"), (F.col("tree") + F.coalesce("rare_w", F.lit(0.0)) - unseen).alias("score"),
     )
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, p_min: float = P_MIN, test: float = TEST) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT, test: float = TEST) -> DataFrame:
     """Fits on the rows whose id's crc32 leaves another remainder than the held-out one, and scores all rows."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (crc_mod(F.col(doc_id), MODULUS) == HELD_OUT).alias("held_out"))
-    model, counts = fit(own.where(~F.col("held_out")), depth, p_min, test)
-    return score(own, model, counts)
+    return score(own, *fit_tables(own.where(~F.col("held_out")), depth, min_count, test), depth)

@@ -209,6 +209,38 @@ def test_suffix_tree_learns_context(spark):
     assert rows and all(r.score > r.base_score / 3 for r in rows)
 
 
+def test_suffix_tree_tables_keep_every_repeated_gram(spark, monkeypatch):
+    texts = [*EDGES, *(prose(80, k) + f" pair{k // 2} follows it{k // 2} twice{k // 2}" for k in range(40))]
+    docs = corpus(spark, texts)
+    train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+    model, counts = suffix_tree.fit(train, test=0.1)
+    assert all(len(level.states) for level in model.levels)
+    seen = {r.hash: r.c for r in counts.collect()}
+    total = model.n + model.v + 1
+    for cache, bits in ((suffix_tree.CACHE, suffix_tree.BITS), (10, 8)):
+        monkeypatch.setattr(suffix_tree, "CACHE", cache)
+        monkeypatch.setattr(suffix_tree, "BITS", bits)
+        rows = suffix_tree.score_documents(docs, test=0.1).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            n, known, base, tree, rare = suffix_tree.score_text(model, (texts[r.doc_id] or "").encode())
+            counted = [seen.get(suffix_tree.word_hash(w), 0) for w in rare]
+            own = sum(math.log10((c + 1) / total) for c in counted)
+            assert (r.n_tokens, r.n_known) == (n, known + sum(c > 0 for c in counted))
+            assert r.base_score == pytest.approx(base + own) and r.score == pytest.approx(tree + own)
+
+
+def test_suffix_tree_levels_grow_with_the_corpus(spark):
+    # 1.2 million tokens of filler in one text would raise a floor of a share of the corpus above two.
+    filler = "filler " * 1_200_000
+    texts = [filler, filler, filler, *["odd pair stands here"] * 2]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    weights, n, _ = suffix_tree.fit_tables(docs, test=0.0)
+    assert n > 3_000_000
+    key = suffix_tree.hashed([b"odd pair"], suffix_tree.Hashes(), 1)[1][1][1]
+    assert weights.where(F.col("key") == int(key)).count() == 1
+
+
 # Toxicity
 
 
