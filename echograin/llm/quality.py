@@ -2,8 +2,9 @@
 
 Each document's character-class and common-word histograms are held against its language's reference, the summed
 histograms of all documents of that language, with the Jensen-Shannon divergence (base 2, 0 to 1); the square root of
-the limits below is the Jensen-Shannon distance. Short documents carry too little evidence, so each test has a
-minimum length; below it the test passes.
+the limits below is the Jensen-Shannon distance. A sample of n from the reference itself diverges by about
+(classes - 1) / (8 n ln 2), so each limit is a floor and a term that falls with the document's length. Below a minimum
+length a test passes.
 
 One Arrow pass over the texts leaves a few dozen integers a document in a shared table; references are a partial
 aggregate of that table (one row for each listed language), and the divergences are plain column expressions.
@@ -40,10 +41,11 @@ PUNCTUATION = ".,;:!?'\"()-"
 N_CLASSES = 8
 WIDTH = max(map(len, COMMON_WORDS.values())) + 1
 
-MAX_CHAR_DIVERGENCE = 0.10
-MAX_WORD_DIVERGENCE = 0.13
+#: Limits, floor and term: floor + term / length. A word term of 6.2 is one and a half times what a clean sample has.
+CHAR_FLOOR, CHAR_TERM = 0.03, 15.0
+WORD_FLOOR, WORD_TERM = 0.02, 6.2
 MIN_CHARS = 300
-MIN_WORDS = 150
+MIN_WORDS = 50
 
 _EDGE = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -151,7 +153,9 @@ def verdict(found: DataFrame, refs: DataFrame) -> DataFrame:
         "char_divergence": F.coalesce(divergence(F.col("char_hist"), F.col("char_ref"), N_CLASSES), F.lit(0.0)),
         "word_divergence": F.coalesce(divergence(F.col("word_hist"), F.col("word_ref"), WIDTH), F.lit(0.0)),
     })
-    strange = ((F.col("char_total") >= MIN_CHARS) & (F.col("char_divergence") > MAX_CHAR_DIVERGENCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_divergence") > MAX_WORD_DIVERGENCE))
+    over = lambda d, floor, term, n: F.col(d) * F.col(n) > floor * F.col(n) + term
+    strange = (F.col("char_total") >= MIN_CHARS) & over("char_divergence", CHAR_FLOOR, CHAR_TERM, "char_total")
+    strange |= (F.col("n_words") >= MIN_WORDS) & over("word_divergence", WORD_FLOOR, WORD_TERM, "n_words")
     return scored.withColumn("kept", ~F.col("base_failed") & ~strange)
 
 

@@ -67,6 +67,17 @@ def test_quality_divergence_rejects_odd_text_and_keeps_clean(spark):
     assert quality.quality_rules(corpus(spark, [])).count() == 0
 
 
+def test_quality_limits_fall_with_length(spark):
+    # Menus without any common word, short and long, beside clean text of the same lengths.
+    names = "house river stone green walking under garden window silver market bridge summer".split()
+    menu = lambda n: " | ".join(names[k % 12] + names[k // 12 % 12] + names[k // 144] for k in range(n))
+    clean = [prose(n, n) for n in (55, 70, 90, 120, 200, 400, 800) for _ in range(5)]
+    texts = clean + [menu(n) for n in (60, 70, 200)]
+    rows = {r.doc_id: r for r in quality.quality_rules(corpus(spark, texts)).collect()}
+    assert all(rows[k].kept for k in range(len(clean)))
+    assert not any(rows[k].kept or rows[k].base_failed for k in range(len(clean), len(texts)))
+
+
 def test_divergence_is_jensen_shannon(spark):
     p, q = [3, 0, 5], [1, 4, 5]
     got = spark.range(1).select(quality.divergence(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)), 3).alias("d")).first().d
