@@ -118,6 +118,12 @@ def test_sketch_estimates_jaccard():
     assert (E.sketch(np.zeros(0, np.int64), a, b) == E.P).all()
 
 
+def test_language_table_is_wide():
+    assert len(languages.TABLE) > 300 and len(languages.by_key()) == len(languages.TABLE)
+    found = {e: languages.resolve(e) for e in ("dart", "zig", "m", "clj", "erl", "ps1", "vue", "scss")}
+    assert found == {"dart": "Dart", "zig": "Zig", "m": "ObjectiveC", "clj": "Clojure", "erl": "Erlang", "ps1": "PowerShell", "vue": "Vue", "scss": "Sass"}
+
+
 def test_languages():
     assert languages.resolve("Python") == "Python" and languages.resolve(".py") == "Python"
     assert languages.resolve("python") is None and languages.by_extension()["rs"].key == "Rust"
