@@ -1,43 +1,46 @@
 """N-gram Jaccard join in metric space.
 
-Jaccard distance is a metric, and the join partitions it by pivots. Over whole documents almost every distance is near
-1, where the triangle inequality separates nothing (a window of two radii around any pivot holds the whole corpus), so
-the outermost regions are drawn in projections of the space, where it does:
-
-1. *Projections.* A size class splits the universe of shingles by hash into more parts than two linked sets can differ
-   in elements. Two linked sets then agree on one part at least (pigeonhole), so in that projection they lie at distance
-   0 of the same pivot, the projected set itself. Its Voronoi cell is a region, named by a hash of the projected set.
-   A document near the edge of its size class is replicated into the next class, the window |x| <= |y| <= |x| / t. A
-   document with too many empty parts is also placed at the next, finer level, until its filled parts suffice.
-2. *Regions.* A region's first member is its pivot; every member's exact distance to the pivot is measured. Members
-   within the radius are linked.
-3. *Recursion.* Distances to the first pivot lay each region in rings one radius wide; by the triangle inequality a
-   linked pair lies in one ring or in two neighbouring ones, and only such pairs are ever compared again. While a
-   region holds more than one component, up to ``PIVOTS`` members outside its largest component are its next pivots:
-   they are compared with the members of other components in their window, and leave. It ends when no region holds
-   two components. Nothing is dropped, sampled or capped.
-
-Equal sets are collapsed first. Shingles are 64-bit hashes, set identities 128-bit.
-
-Texts never move: sets of the documents in regions are computed where their texts are, picked by a bit filter of
-bounded size (an exact join follows). Regions are a window over one exchange, spilling, never a collected list.
+Jaccard distance is a metric, and the join works by pivots, regions and windows:
+
+1. *Pivots and their regions.* Distances between whole documents are nearly all close to 1, where a window of two radii
+   around any pivot holds almost the whole corpus (README has figures), so a document must first learn which pivots are
+   not in its far cell. Every set is ordered by one total order of shingles, rare ones first; of a set of n, the first
+   n - ceil(t n) + 1 are its prefix, and two linked sets share a shingle of both prefixes. The pivot of a shingle is the
+   document that has it in its prefix and whose mixed id is smallest; the region of a pivot is all documents that meet
+   it so. Linked documents therefore lie together in a region at least, and a document that meets nobody leaves at once.
+   Mixed ids are one order for all shingles, so a group of near copies makes a few regions, not one for every shingle.
+2. *Small regions* (``CAPACITY`` of shingles and documents) are compared whole, in one task each: exact intersections,
+   from which a spanning forest of the links is returned, never the links themselves.
+3. *Large regions* are cut by Voronoi cells: ``PIVOTS`` members of theirs are new pivots, every member's distance to
+   them is measured, a member goes to the cell of its nearest pivot and, by the triangle inequality, into the window of
+   each pivot that is at most two radii farther (a linked document may have that one as its nearest). Pivots have met
+   everybody and leave; cells are regions again, recursively.
+4. A region that cells do not separate (all members as near to each other as to the pivots) is compared in blocks: what
+   is one component already is not compared again, so documents outside a region's largest component, in chunks, meet
+   all chunks. Its work grows with the product of the two, which is what exactness takes; no pair leaves a block.
+
+Equal sets are collapsed: a task hands on the first of them that it meets, and those are mapped to the smallest id before
+any set moves. Texts never move; sets of documents in regions are computed where their texts are, picked by a bit filter
+of bounded size (what it lets by in excess is not used). The order of shingles never changes a result: the list of
+frequent ones is bounded (``FREQUENT``) and counted over all documents.
+
+Shingles are 64-bit hashes, set identities 128-bit.
 
 Defined cases: null, empty or word-free text has no shingles, is in no region and its own component; fewer words than
-the shingle length make one shingle; rows with the same id are one document that stands for each of its texts, and its
-largest set is counted; a null id is a component of its own (null); an empty table gives an empty result; other columns
-are not read.
+the shingle length make one shingle; rows with the same id are one document that stands for each of its texts, and each
+row keeps its own count; a null id is a component of its own (null); an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release, text_slices, utf8
@@ -45,10 +48,18 @@ from .graph import components
 
 SHINGLE = 3
 THRESHOLD = Fraction(9, 10)
-CLASS_RATIO = {Fraction(9, 10): 1.25}
-PIVOTS = 64
+#: What a task compares at once: shingles, with MEMBER more for each document.
+CAPACITY = 1 << 20
+MEMBER = 256
+PIVOTS = 16
+#: Cells may hold this many times their region together before they count as no separation, and nest so deep.
+REPLICAS, LEVELS = 2.0, 8
+#: Shingles that come last in the order of prefixes, the most frequent ones; it decides work, never results.
+FREQUENT = 1 << 19
+FREQUENT_IN_SLICE = 3
 CACHE_WORDS = 300_000
 FILTER_BITS = 1 << 27
+SLICE = 16 << 20
 
 _U = np.uint64
 
@@ -67,12 +78,17 @@ _words = _Words()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (multiply and shift)."""
+    """A 64-bit finalizer (multiply and shift), one to one."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
+def key_of(ids: np.ndarray) -> np.ndarray:
+    """Mixed ids, one to one: the order in which documents are pivots."""
+    return mix(ids.astype(np.int64).view(np.uint64) + _U(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def shingles(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word n-grams."""
     words = text.lower().split()
@@ -86,91 +102,91 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def most_different(size: int, t: Fraction) -> int:
-    """Elements in which a set of ``size``, and one linked to it, can differ at most."""
-    return math.floor((1 - t) / t * size)
+def digest(s: np.ndarray) -> tuple[int, int]:
+    return tuple(mix(s ^ _U(a)).sum(dtype=np.uint64).view(np.int64) for a in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
-class Classes:
-    """Size classes: bounds, and the number of parts at a level."""
+def ints(column: pa.Array) -> np.ndarray:
+    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def __init__(self, t: Fraction) -> None:
-        self.t, self.ratio = t, CLASS_RATIO.get(t, 1.6)
-        self.first = next(n for n in range(1, 1 << 20) if most_different(n, t) >= 1)  # smaller sets link only if equal
 
-    def index(self, size: int) -> int:
-        return max(0, math.floor(math.log(size / self.first) / math.log(self.ratio) + 1e-9))
+def _digest_batches(width: int):
+    """A row a text (digest and size), and rows without id for shingles that several new texts of a slice share."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("shingle", pa.bool_())])
 
-    def low(self, c: int) -> int:
-        n = max(1, int(self.first * self.ratio**c) - 2)
-        while self.index(n) < c:
-            n += 1
-        return n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in text_slices(batches, "text", SLICE):
+            rows, out, found = batch.num_rows, np.zeros((3, batch.num_rows), np.int64), []
+            for i, text in enumerate(utf8(batch.column(1))):
+                s = shingles(text, width)
+                out[:, i] = len(s), *digest(s)
+                if len(s) and (name := tuple(out[:, i].tolist())) not in seen:
+                    if len(seen) >= CACHE_WORDS:
+                        seen.clear()
+                    seen.add(name)
+                    found.append(s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key_of(ints(batch.column(0)))), *map(pa.array, out), pa.array(np.zeros(rows, bool))], schema=schema)
+            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, _U), np.zeros(0, np.int64))
+            h, n = h[n >= FREQUENT_IN_SLICE].view(np.int64), n[n >= FREQUENT_IN_SLICE]
+            none = np.zeros(len(h), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h), pa.array(n), pa.array(none), pa.array(none), pa.array(np.ones(len(h), bool))], schema=schema)
 
-    def parts(self, c: int, level: int) -> int:
-        largest = self.low(c + 1) - 1
-        differ = math.floor(2 * (1 - self.t) / (1 + self.t) * largest)
-        return (math.ceil(1.1 * differ) + 2) << level
+    return run
 
-    def of(self, size: int) -> list[int]:
-        """A set's own class and those of larger sets that it can be linked with."""
-        return list(range(self.index(size), self.index(math.floor(size / self.t)) + 1)) if size >= self.first else []
 
+def order_of(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places of ``hashes`` in the order of shingles: by rank of frequency (0 for all that are not listed), then hash."""
+    if not len(frequent):
+        return np.arange(len(hashes))
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    last = np.where(frequent[at] == hashes, rank[at], 0).astype(np.uint64)
+    return np.argsort((last << _U(58)) | (hashes >> _U(6)), kind="stable")
 
-def regions(hashes: np.ndarray, classes: Classes) -> np.ndarray:
-    """Names of the regions of a sorted set of hashes: one for each filled part of each of its classes and levels."""
-    n, out = len(hashes), []
-    enough = most_different(n, classes.t)
-    value = mix(hashes)
-    for c in classes.of(n):
-        level = 0
-        while True:
-            parts = classes.parts(c, level)
-            part = ((hashes >> _U(32)) * _U(parts)) >> _U(32)  # rises with the hash, so parts are runs
-            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            name = np.add.reduceat(value, starts) + mix(part[starts] + _U(c << 40) + _U(level << 56))
-            out.append(mix(name))
-            if len(starts) > enough or parts > 1 << 24:
-                break
-            level += 1
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
+def prefix_length(n: int, t: Fraction) -> int:
+    return n + 1 - -(-n * t.numerator // t.denominator) if n else 0
 
-def _digest_batches(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            out = np.zeros((3, batch.num_rows), np.int64)
-            for i, text in enumerate(utf8(batch.column(1))):
-                s = shingles(text, width)
-                out[:, i] = len(s), mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64), mix(s + _U(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], schema=schema)
-
-    return run
+_LISTS = "shingle bigint, key bigint, n int, rest int"
 
 
-def _region_batches(width: int, t: Fraction):
-    schema = pa.schema([("region", pa.int64()), ("doc_id", pa.int64())])
+def _list_batches(width: int, t: Fraction, shared):
+    """The prefix of each text that a task has not met before: shingle, key, size, shingles from there on."""
+    schema = pa.schema([("shingle", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("rest", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(t)
+        frequent, rank = shared.value
+        seen: set = set()
         for batch in text_slices(batches, "text"):
-            ids = batch.column(0).to_pylist()
-            found = [regions(shingles(text, width), classes) for text in utf8(batch.column(1))]
-            sizes = [len(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], schema=schema)
+            heads, owners, sizes, rests = [], [], [], []
+            for key, text in zip(key_of(ints(batch.column(0))).tolist(), utf8(batch.column(1)), strict=True):
+                s = shingles(text, width)
+                if not len(s) or (name := (len(s), *digest(s))) in seen:
+                    continue
+                if len(seen) >= CACHE_WORDS:
+                    seen.clear()
+                seen.add(name)
+                head = s[order_of(s, frequent, rank)[: prefix_length(len(s), t)]]
+                heads.append(head)
+                owners.append(key)
+                sizes.append(len(s))
+                rests.append(len(s) - np.arange(len(head)))
+            if heads:
+                counts = [len(x) for x in heads]
+                columns = np.concatenate(heads).view(np.int64), np.repeat(np.array(owners, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate(rests).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=schema)
 
     return run
 
 
-def _bits(ids: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(ids.view(np.uint64) + _U(0x9E3779B97F4A7C15))
+def _bits(keys: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = keys.view(np.uint64)
     return (h % _U(n_bits)).astype(np.int64), ((h >> _U(32)) % _U(n_bits)).astype(np.int64)
 
 
-def id_filter(ids: DataFrame, n: int) -> np.ndarray:
-    """Bits that the ids of ``ids`` (column doc_id) set: at most FILTER_BITS, whatever their number."""
+def key_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits that the column ``key`` sets: at most FILTER_BITS, whatever their number."""
     n_bits = min(FILTER_BITS, max(1 << 13, 1 << (16 * max(n, 1) - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,144 +196,361 @@ def id_filter(ids: DataFrame, n: int) -> np.ndarray:
             bits = (np.uint64(1) << (at % 64).astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at // 64), pa.array(bits)], schema=schema)
 
-    words = ids.select("doc_id").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = keys.select("key").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(n_bits // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out
+    return out.view(np.uint64)
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(keys), bool)
+    for at in _bits(keys, len(bits) * 64):
+        hit &= (bits[at // 64] >> (at % 64).astype(np.uint64)) & _U(1) == 1
+    return hit
 
 
 def _set_batches(width: int, shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value.view(np.uint8), bitorder="little")
         for batch in text_slices(batches, "text"):
-            one, two = _bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), len(bits))
-            batch = batch.filter(pa.array((bits[one] & bits[two]).astype(bool)))
+            key = key_of(ints(batch.column(0)))
+            hit = may_hold(shared.value, key)
+            batch, key = batch.filter(pa.array(hit)), key[hit]
             found = [shingles(text, width).view(np.int64) for text in utf8(batch.column(1))]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), items], schema=schema)
+            sizes = np.array([len(x) for x in found], np.int64)
+            items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), pa.array(sizes), items], schema=schema)
 
     return run
 
 
+def intersections(items: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, a matrix. Shingles of many sets are counted by a product of dense slices, the others
+    by the pairs of sets that hold them."""
+    m = len(items)
+    _, code, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), [len(x) for x in items])
+    out = np.zeros((m, m), np.float32)
+    often = count > max(2, m // 12)
+    for which, dense in ((often, True), ((count >= 2) & ~often, False)):
+        at = which[code]
+        own, of = code[at], row[at]
+        if not len(own):
+            continue
+        rank = np.argsort(own, kind="stable")
+        own, of = own[rank], of[rank]
+        if dense:
+            column = np.cumsum(np.append(0, own[1:] != own[:-1]))
+            cuts = np.searchsorted(column, np.arange(0, column[-1] + 2048, 2048))
+            for a, z in zip(cuts, np.append(cuts[1:], len(column))):
+                if z > a:
+                    x = np.zeros((m, 2048 if m > 64 else column[z - 1] - column[a] + 1), np.float32)
+                    x[of[a:z], column[a:z] - column[a]] = 1
+                    out += x @ x.T
+        else:
+            held = count[own]
+            pairs, waiting = [], 0
+            flat = out.reshape(-1)
+            for c in np.unique(held).tolist():
+                sets = of[held == c].reshape(-1, c)
+                i, j = np.triu_indices(c, 1)
+                step = max(1, (1 << 21) // len(i))
+                for k in range(0, len(sets), step):
+                    part = sets[k : k + step]
+                    pairs += [(part[:, i] * m + part[:, j]).ravel(), (part[:, j] * m + part[:, i]).ravel()]
+                    waiting += 2 * part.shape[0] * len(i)
+                    if waiting > 1 << 22:
+                        flat += np.bincount(np.concatenate(pairs), minlength=m * m).astype(np.float32)
+                        pairs, waiting = [], 0
+            if pairs:
+                at, n = np.unique(np.concatenate(pairs), return_counts=True)
+                flat[at] += n.astype(np.float32)
+    return out
+
+
+def forest(ids: np.ndarray, items: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
+    """(id, smallest id of its component) for each document of ``ids`` that is linked with another."""
+    m, sizes = len(items), np.array([len(x) for x in items], np.int64)
+    num, both = t.numerator, t.numerator + t.denominator
+    if m == 2:
+        shared = len(np.intersect1d(*items, assume_unique=True))
+        return [(int(ids.max()), int(ids.min()))] if ids[0] != ids[1] and shared * both >= num * int(sizes.sum()) else []
+    shared = intersections(items)
+    linked = np.zeros((m, m), bool)
+    for k in range(0, m, 512):
+        linked[k : k + 512] = shared[k : k + 512].astype(np.int64) * both >= num * (sizes[k : k + 512, None] + sizes[None, :])
+    out, open_ = [], np.ones(m, bool)
+    for k in range(m):
+        if open_[k]:
+            open_[k] = False
+            members = front = np.array([k])
+            while len(front):
+                front = np.flatnonzero(linked[front].any(axis=0) & open_)
+                open_[front] = False
+                members = np.concatenate([members, front])
+            own = np.unique(ids[members])
+            out += [(x, int(own[0])) for x in own[1:].tolist()]
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal values in ``names``, which are sorted; one run is held at a time."""
+    here, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            name = tuple(keys[:, a].tolist())
+            if name != here and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            here = name
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    out = []
+    for chunk in column.chunks:
+        values, ends = chunk.flatten().to_numpy(), np.append(0, np.cumsum(chunk.value_lengths().to_numpy(zero_copy_only=False)))
+        out += [values[a:z] for a, z in zip(ends, ends[1:])]
+    return out
+
+
+def _block_batches(t: Fraction, names: list[str]):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in _groups(batches, names):
+            if group.num_rows > 1:
+                out += forest(group.column("doc_id").to_numpy(), _sets(group.column("items")), t)
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return run
+
+
+_CELLS = "region bigint, key bigint, doc_id bigint, n bigint, cells array<bigint>, linked array<bigint>"
+
+
+def _cell_batches(t: Fraction):
+    """Rows (region, salt, pivot first, ...): each member's cells (pivots within two radii of its nearest) and links."""
+    lists = pa.list_(pa.int64())
+    schema = pa.schema([("region", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cells", lists), ("linked", lists)])
+    window = 2 * float(1 - t) + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, pivots, table = None, [], None
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("region", "salt", "member", "key", "doc_id")]
+            for region, salt, member, key, doc, s in zip(*columns, _sets(pa.chunked_array([batch.column(batch.schema.get_field_index("items"))])), strict=True):
+                if (region, salt) != here:
+                    here, pivots, table = (region, salt), [], None
+                if not member:
+                    pivots.append((key, doc, s))
+                    continue
+                if table is None:
+                    every = np.unique(np.concatenate([p[2] for p in pivots]))
+                    table = np.zeros((len(every), len(pivots)), np.int32)
+                    for j, p in enumerate(pivots):
+                        table[np.searchsorted(every, p[2]), j] = 1
+                    sizes = np.array([len(p[2]) for p in pivots])
+                at = np.minimum(np.searchsorted(every, s), len(every) - 1)
+                shared = table[at[every[at] == s]].sum(axis=0)
+                either = len(s) + sizes - shared
+                far = 1 - shared / either
+                linked = shared * t.denominator >= either * t.numerator
+                cells = np.flatnonzero(far <= far.min() + window)
+                for column, x in zip(out, (region, key, doc, len(s), [pivots[j][0] for j in cells], [pivots[j][1] for j in np.flatnonzero(linked)]), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _weight() -> Column:
+    return F.sum(F.col("n") + MEMBER)
+
+
 class Join:
-    """One run over ``docs``: digests, regions, links, components."""
+    """One run over ``docs``: digests, lists, regions, links, components."""
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, t: Fraction = THRESHOLD) -> None:
-        self.t, self.width = Fraction(t), width
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, t: Fraction = THRESHOLD, capacity: int = CAPACITY) -> None:
+        self.t, self.width, self.capacity = Fraction(t), width, capacity
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.known = self.docs.where(F.col("doc_id").isNotNull())
-
-    def _measure(self, pairs: DataFrame) -> DataFrame:
-        """a, b, shared, either (sizes of intersection and union) for distinct pairs of documents."""
-        a = self.sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-        b = self.sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sum"))
-        # An id with several texts gives several rows; the nearest counts.
-        best = both.groupBy("a", "b").agg(F.max_by(F.struct("shared", "sum"), F.col("shared") / (F.col("sum") - F.col("shared"))).alias("m"))
-        return materialize(best.select("a", "b", F.col("m.shared").alias("shared"), (F.col("m.sum") - F.col("m.shared")).alias("either")), "jaccard-pairs")
-
-    def _linked(self) -> F.Column:
-        return F.col("shared") * self.t.denominator >= F.col("either") * self.t.numerator
+        self.spark = docs.sparkSession
+        self.links: list[DataFrame] = []
+
+    def _order(self, found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The most frequent shingles, sorted, with the logarithm of their counts."""
+        counts = found.where("shingle").groupBy("key").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+        h = counts.column("key").to_numpy().view(np.uint64)
+        rank = np.minimum(np.log2(np.maximum(counts.column("n").to_numpy(), 1)) * 2, 62).astype(np.uint64)
+        by = np.argsort(h)
+        return h[by], rank[by]
+
+    def _regions(self, lists: DataFrame) -> DataFrame:
+        """region (key of its pivot), key: distinct members of regions, pivots aside."""
+        num, both = self.t.numerator, self.t.numerator + self.t.denominator
+        sums = lists.groupBy("shingle").agg(
+            F.count("*").alias("c"), F.min("key").alias("first"), F.max("key").alias("last"), F.bit_xor("key").alias("x"), F.min("rest").alias("rest"), F.min("n").alias("low"), F.max("n").alias("high")
+        )
+        sums = materialize(sums.where("c > 1 AND first < last"), "jaccard-lists-shared")
+        # Lists of two and three are known by their aggregates. Two of unlike sizes, or with too few shingles left, are none.
+        near = (F.col("low") * F.lit(self.t.denominator) >= F.col("high") * F.lit(num)) & (F.col("rest") * F.lit(both) >= (F.col("low") + F.col("high")) * F.lit(num))
+        two = sums.where((F.col("c") == 2) & near).select(F.col("first").alias("region"), F.col("last").alias("key"))
+        three = sums.where("c = 3")
+        third = three.select(F.col("first").alias("region"), F.col("x").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("last")).alias("key"))
+        more = lists.join(sums.where("c > 3").select("shingle", "first"), "shingle").select(F.col("first").alias("region"), "key")
+        every = two.unionByName(three.select(F.col("first").alias("region"), F.col("last").alias("key"))).unionByName(third).unionByName(more)
+        out = materialize(every.where("region <> key").distinct(), "jaccard-regions")
+        release(sums)
+        return out
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for each row."""
-        digests = materialize(self.docs.mapInArrow(_digest_batches(self.width), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint"), "jaccard-digests")
-        same = digests.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first"))
-        of = digests.where("n_shingles > 0 AND doc_id IS NOT NULL").join(same, ["h1", "h2", "n_shingles"]).select("doc_id", "first")
-        of = materialize(of.distinct(), "jaccard-first")
-        copies = of.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-
-        each = Window.partitionBy("region").orderBy("doc_id")
-        placed = self.known.mapInArrow(_region_batches(self.width, self.t), "region bigint, doc_id bigint")
-        placed = placed.select("region", "doc_id", F.lag("doc_id").over(each).alias("before"), F.lead("doc_id").over(each).alias("after"))
-        shared = materialize(placed.where("before IS NOT NULL OR after IS NOT NULL").select("region", "doc_id"), "jaccard-shared")
-        members = shared.join(of, "doc_id").select("region", F.col("first").alias("doc")).distinct()
-        # Regions with the same members (count, smallest and a 64-bit sum of hashes agree) are one.
-        sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.min("doc").alias("pivot"), F.bit_xor(F.xxhash64("doc")).alias("sum")).where("n > 1")
-        kinds = sizes.groupBy("n", "pivot", "sum").agg(F.min("region").alias("region")).select("region", "pivot")
-        first = F.array(F.struct(F.col("pivot").alias("doc")))
-        members = materialize(members.join(kinds, "region").withColumn("pivots", first), "jaccard-members")
-        release(shared)
-
-        ids = materialize(members.select(F.col("doc").alias("doc_id")).distinct(), "jaccard-ids")
-        bits = self.docs.sparkSession.sparkContext.broadcast(id_filter(ids, ids.count()))
-        sets = self.known.mapInArrow(_set_batches(self.width, bits), "doc_id bigint, items array<bigint>")
-        self.sets = materialize(sets.join(ids, "doc_id", "left_semi"), "jaccard-sets")
-
-        asked = members.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-        measured = self._measure(asked)
-        labels = components(measured.where(self._linked()).select("a", "b"))
-        while True:
-            members = self._divide(members, measured, labels)
-            if members is None:
-                break
-            asked = members.select(F.explode("pivots").alias("pivot"), "doc", "c", "ring").where("pivot.c <> c AND abs(pivot.ring - ring) <= 1")
-            asked = asked.select(F.least("pivot.doc", "doc").alias("a"), F.greatest("pivot.doc", "doc").alias("b")).distinct()
-            measured = self._measure(asked)
-            new = measured.where(self._linked()).select("a", "b")
-            if not new.isEmpty():
-                labels = self._merge(labels, new)
-        labels = components(labels.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(copies))
+        ddl = "doc_id bigint, key bigint, n_shingles bigint, h1 bigint, h2 bigint, shingle boolean"
+        found = materialize(self.docs.mapInArrow(_digest_batches(self.width), ddl), "jaccard-digests")
+        digests = found.where("NOT shingle")
+        sets = digests.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        same = sets.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first"), F.min_by("key", "doc_id").alias("first_key"), F.count("*").alias("c")).where("c > 1")
+        of = materialize(sets.join(same, ["h1", "h2", "n_shingles"]).select("doc_id", "key", "first", "first_key").distinct(), "jaccard-copies")
+        self.links.append(of.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+
+        shared = self.spark.sparkContext.broadcast(self._order(found))
+        lists = materialize(self.known.mapInArrow(_list_batches(self.width, self.t, shared), _LISTS), "jaccard-lists")
+        regions = self._regions(lists)
+        release(lists)
+        # Copies stand for their smallest id; ids with several rows stand for themselves.
+        several = sets.groupBy("key").count().where("count > 1").select("key")
+        moved = of.where("key <> first_key").join(several, "key", "left_anti").select("key", "first_key").distinct()
+        for end in ("region", "key"):
+            to = moved.select(F.col("key").alias(end), F.col("first_key").alias("to"))
+            regions = regions.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        whole = regions.where("region <> key").distinct()
+        members = materialize(whole.unionByName(whole.select("region", F.col("region").alias("key"))).distinct(), "jaccard-members")
+
+        ids = members.select("key").distinct()
+        n_ids = ids.count()
+        bits = self.spark.sparkContext.broadcast(key_filter(ids, n_ids))
+        texts = self.known.mapInArrow(_set_batches(self.width, bits), "key bigint, doc_id bigint, n bigint, items array<bigint>")
+        self.sets = materialize(texts, "jaccard-sets")
+        sizes = self.sets.groupBy("key").agg(F.max("n").alias("n"))
+        sized = materialize(members.join(sizes, "key").select("region", "key", "n"), "jaccard-sized")
+        release(members)
+        self._join(sized)
+        labels = components(self._all_links())
         rows = digests.join(labels, digests["doc_id"] == labels["v"], "left")
         return rows.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
-    def _merge(self, labels: DataFrame, links: DataFrame) -> DataFrame:
-        """Labels after more links: components of the graph whose nodes are components."""
-        of = labels.select(F.col("v").alias("v"), "c")
-        for end in "ab":
-            links = links.join(of.select(F.col("v").alias(end), F.col("c").alias(f"{end}_c")), end, "left").withColumn(f"{end}_c", F.coalesce(f"{end}_c", end))
-        links = materialize(links.select("a", "b", "a_c", "b_c"), "jaccard-links")
-        merged = components(links.select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))).select(F.col("v").alias("c"), F.col("c").alias("into"))
-        ends = links.select(F.col("a").alias("v"), F.col("a_c").alias("c")).unionByName(links.select(F.col("b").alias("v"), F.col("b_c").alias("c")))
-        every = labels.select("v", "c").unionByName(ends).distinct()
-        return materialize(every.join(merged, "c", "left").select("v", F.coalesce("into", "c").alias("c")), "jaccard-labels")
-
-    def _divide(self, members: DataFrame, measured: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Regions for the next round, with their next pivots; None if no region holds two components."""
-        # Pivots have met every member that they can be linked with, so they leave.
-        left = members.where(~F.array_contains("pivots.doc", F.col("doc"))).drop("pivots", "c")
-        if "ring" not in left.columns:
-            radius = 1 - self.t
-            ring = F.floor((F.col("either") - F.col("shared")) * radius.denominator / (F.col("either") * radius.numerator)).cast("int")
-            left = left.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), ring.alias("ring")), ["pivot", "doc"]).drop("pivot")
-        left = left.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
-        parts = left.groupBy("region", "c").agg(F.count("*").alias("n"))
-        main = parts.groupBy("region").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        open_ = left.join(main, "region").join(parts, ["region", "c"])
-        rare = Window.partitionBy("region").orderBy("n", "c", "doc")
-        pivots = open_.where("c <> main").withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= PIVOTS)
-        pivots = pivots.groupBy("region").agg(F.collect_list(F.struct("doc", "c", "ring")).alias("pivots"))
-        out = materialize(open_.join(pivots, "region").select("region", "doc", "c", "ring", "pivots"), "jaccard-members")
-        return None if out.isEmpty() else out
-
-
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, t: Fraction | float = THRESHOLD) -> DataFrame:
+    def _all_links(self) -> DataFrame:
+        out = self.links[0]
+        for x in self.links[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def _blocks(self, rows: DataFrame, names: list[str]) -> None:
+        """Links within each group of ``rows`` (names, key), as a spanning forest."""
+        filled = rows.join(self.sets.select("key", "doc_id", "items"), "key").select(*names, "doc_id", "items")
+        dealt = filled.repartition(*names).sortWithinPartitions(*names)
+        self.links.append(materialize(dealt.mapInArrow(_block_batches(self.t, names), "a bigint, b bigint"), "jaccard-links"))
+
+    def _join(self, members: DataFrame) -> None:
+        """Compare regions (region, key, n): small ones whole, large ones by cells or, at last, in blocks."""
+        hard: list[DataFrame] = []
+        level = 0
+        while True:
+            weights = materialize(members.groupBy("region").agg(_weight().alias("w"), F.count("*").alias("m")).where("m > 1"), "jaccard-weights")
+            large = weights.where(F.col("w") > self.capacity).select("region", "w")
+            if large.isEmpty():
+                self._blocks(members.select("region", "key"), ["region"])
+                break
+            small = weights.where(F.col("w") <= self.capacity).select("region")
+            self._blocks(members.join(small, "region", "left_semi").select("region", "key"), ["region"])
+            rest = members.join(large, "region")
+            if level == LEVELS:
+                hard.append(rest.select("region", "key", "n"))
+                break
+            members, stalled = self._cells(rest, level)
+            hard.append(stalled)
+            level += 1
+        for rows in hard:
+            if not rows.isEmpty():
+                self._chunks(rows)
+
+    def _cells(self, rest: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Regions of the next level, and members of regions that cells do not separate. ``rest``: region, key, n, w."""
+        salts = F.ceil(F.col("w") / self.capacity).cast("int")
+        pick = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(PIVOTS))
+        pivots = materialize(rest.groupBy("region", pick.alias("pick")).agg(F.min("key").alias("key"), F.first("w").alias("w")).select("region", "key", "w"), "jaccard-pivots")
+        each = pivots.select("region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"), "key")
+        others = rest.join(pivots.select("region", "key"), ["region", "key"], "left_anti")
+        rows = each.unionByName(others.select("region", F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"), F.lit(True).alias("member"), "key"))
+        filled = rows.join(self.sets.select("key", "doc_id", "items"), "key").select("region", "salt", "member", "key", "doc_id", "items")
+        dealt = filled.repartition("region", "salt").sortWithinPartitions("region", "salt", "member")
+        found = materialize(dealt.mapInArrow(_cell_batches(self.t), _CELLS), "jaccard-cells")
+        between = pivots.select("region", "key")
+        self.links.append(found.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b")).where("a <> b"))
+        self._blocks(between, ["region"])  # pivots with each other
+        cost = found.groupBy("region").agg(_weight().alias("w"), F.sum((F.col("n") + MEMBER) * F.size("cells")).alias("spread"))
+        bad = materialize(cost.where(F.col("spread") > REPLICAS * F.col("w")).select("region"), "jaccard-stalled")
+        stalled = found.join(bad, "region", "left_semi").select("region", "key", "n")
+        cells = found.join(bad, "region", "left_anti").select("region", "key", "n", F.explode("cells").alias("cell"))
+        return materialize(cells.select(F.xxhash64("region", "cell", F.lit(level)).alias("region"), "key", "n").distinct(), "jaccard-sized"), materialize(stalled.distinct(), "jaccard-hard")
+
+    def _chunks(self, rows: DataFrame) -> None:
+        """Blocks of chunks: members outside a region's largest component meet all others."""
+        labels = components(self._all_links())
+        named = rows.join(self.sets.select("key", "doc_id"), "key").join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        named = materialize(named.select("region", "key", "n", "c").distinct(), "jaccard-named")
+        parts = named.groupBy("region", "c").agg(_weight().alias("w"))
+        main = parts.groupBy("region").agg(F.max_by("c", F.struct("w", "c")).alias("main"), F.max("w").alias("most"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
+        chunks = lambda w: F.greatest(F.lit(1), F.ceil(w / (self.capacity / 2))).cast("int")
+        main = main.select("region", "main", chunks(F.col("most")).alias("inner"), chunks(F.col("w") - F.col("most")).alias("outer"))
+        open_ = named.join(main, "region")
+        out = open_.where("c <> main").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("outer")).cast("int"))
+        out = out.select("region", "key", "chunk", F.explode(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)).alias("other"))
+        ins = open_.where("c = main").withColumn("chunk", (F.col("outer") + F.pmod(F.xxhash64("key"), F.col("inner"))).cast("int"))
+        ins = ins.select("region", "key", "chunk", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("other"))
+        pairs = out.unionByName(ins).select("region", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "key")
+        self._blocks(pairs.distinct(), ["region", "i", "j"])
+
+
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, t: Fraction | float = THRESHOLD, capacity: int = CAPACITY) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    return Join(docs, doc_id, text, width, Fraction(t).limit_denominator(1000)).run()
+    return Join(docs, doc_id, text, width, Fraction(t).limit_denominator(1000), capacity).run()
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, t: Fraction | float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` but those whose component has a smaller id.
+    """The rows of ``docs`` but those whose component has a smaller id; of equal rows with one id, or without id, one.
 
-    Ids to drop set bits of a filter of bounded size; rows that it lets by stay where they are, and only the others
-    meet the ids in an exact join.
+    Ids to look at again set bits of a filter of bounded size; rows that it lets by stay where they are, and only the
+    others meet the ids in an exact join. A row without id belongs to no component, so only its equals go.
     """
     found = jaccard_join(docs, doc_id, text, width, t)
-    out = materialize(found.where("component_id < doc_id").select("doc_id").distinct(), "jaccard-dropped")
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(out, out.count()))
+    key = F.xxhash64("doc_id")
+    twice = docs.groupBy(F.col(doc_id).cast("long").alias("doc_id")).count().where("doc_id IS NOT NULL AND count > 1").select("doc_id", F.lit(False).alias("gone"))
+    out = found.where("component_id < doc_id").select("doc_id", F.lit(True).alias("gone")).unionByName(twice)
+    out = materialize(out.groupBy("doc_id").agg(F.max("gone").alias("gone")).withColumn("key", key), "jaccard-dropped")
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(out, out.count()))
 
     @F.arrow_udf("boolean")
-    def maybe(ids: pa.Array) -> pa.Array:
-        bits = shared.value.view(np.uint64)
-        hit = np.ones(len(ids), bool)
-        for at in _bits(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), len(bits) * 64):
-            hit &= (bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
-        return pa.array(hit)
+    def maybe(keys: pa.Array) -> pa.Array:
+        return pa.array(may_hold(shared.value, ints(keys)))
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    flagged = docs.select(row, F.col(doc_id).alias("id"), maybe(F.col(doc_id).cast("long")).alias("maybe"))
-    rest = flagged.where("maybe").join(out.select(F.col("doc_id").alias("out")), F.col("id") == F.col("out"), "left_anti")
-    return flagged.where("NOT maybe").select("row.*").unionByName(rest.select("row.*"))
+    id_ = F.col(doc_id).cast("long")
+    flagged = docs.select(row, id_.alias("id"), (id_.isNull() | maybe(F.xxhash64(id_))).alias("maybe"))
+    rest = flagged.where("maybe").join(out.select(F.col("doc_id").alias("out"), "gone"), F.col("id") == F.col("out"), "left").where("gone IS NULL OR NOT gone")
+    again = F.col("id").isNull() | F.col("gone").isNotNull()
+    twins = rest.where(again).withColumn("digest", F.md5(F.coalesce(F.to_json("row"), F.lit("")))).dropDuplicates(["id", "digest"])
+    return flagged.where("NOT maybe").select("row.*").unionByName(rest.where(~again).select("row.*")).unionByName(twins.select("row.*"))

@@ -79,20 +79,53 @@ def test_jaccard_join_is_exact(spark, width, t, share):
     assert got == brute(texts, width, t)
 
 
-def test_a_large_group_of_near_copies_recurses(spark):
+@pytest.mark.parametrize("capacity", [jaccard.CAPACITY, 6_000, 20_000])
+def test_a_large_group_of_near_copies_recurses(spark, capacity):
+    """Capacities under the groups' sizes take them through cells and, where those do not separate, through blocks."""
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(120)]
     texts = [(k, " ".join(edited(rng, base, 0.02))) for k in range(150)]
     texts += [(1000 + k, " ".join(edited(rng, base, 0.06))) for k in range(30)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(texts, DOCS)).collect()}
+    for family in range(6):  # families far from each other that share a passage
+        own = base[:40] + [f"f{family}_{i}" for i in range(60)]
+        texts += [(2000 + 100 * family + k, " ".join(edited(rng, own, 0.004))) for k in range(12)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(texts, DOCS), capacity=capacity).collect()}
     assert got == brute(texts, 3, Fraction(9, 10))
 
 
+def test_five_thousand_near_copies(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = [(k, " ".join(edited(rng, base, 0.015))) for k in range(5000)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(texts, DOCS).repartition(8)).collect()}
+    sets = [jaccard.shingles(x.encode(), 3) for _, x in texts]
+    sizes, shared = np.array([len(x) for x in sets]), jaccard.intersections(sets).astype(int)
+    linked = shared * 10 >= 9 * (sizes[:, None] + sizes[None, :] - shared)
+    np.fill_diagonal(linked, True)
+    root = np.arange(5000)
+    while True:
+        low = np.array([root[row].min() for row in linked])
+        if (low[low] == root).all():
+            break
+        root = low[low]
+    assert [got[k] for k in range(5000)] == root.tolist()
+
+
 def test_jaccard_join_edges(spark):
     rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, None)], DOCS).selectExpr("*", "1 AS n_shingles", "2 AS region")
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(rows).collect()), key=str)
     assert got == [(0, 2, None), (1, 2, 1), (1, 2, 1), (2, 0, 2)]
     assert jaccard.jaccard_join(rows.limit(0)).count() == 0
+    # An id with two texts stands for both; its own copy elsewhere and a near copy of the other text join it.
+    two = [(7, "q w e r t y u i"), (7, "a b c d e f g h"), (5, "a b c d e f g h"), (9, "q w e r t y u i"), (8, "z x")]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(two, DOCS)).collect()}
+    assert got == {5: 5, 7: 5, 8: 8, 9: 5}
+
+
+def test_one_of_each_keeps_one_of_equal_rows(spark):
+    docs = spark.createDataFrame([(3, "a b"), (3, "a b"), (None, "a b"), (None, "a b"), (None, None), (4, "x y z")], DOCS)
+    out = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()), key=str)
+    assert out == [(3, "a b"), (4, "x y z"), (None, "a b"), (None, None)]
 
 
 def test_one_of_each(spark):
@@ -102,27 +135,33 @@ def test_one_of_each(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(9, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([Fraction(9, 10), Fraction(4, 5)]), st.integers(0, 1 << 30))
-def test_linked_sets_share_a_region(common, one, two, t, seed):
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([Fraction(9, 10), Fraction(4, 5)]), st.integers(0, 1 << 30))
+def test_linked_sets_share_a_prefix_shingle(common, one, two, t, seed):
     rng = np.random.default_rng(seed)
     h = np.unique(rng.integers(0, 1 << 63, common + one + two, dtype=np.uint64))
-    x, y = h[: len(h) - two], np.concatenate([h[:common], h[len(h) - two :]])
-    x, y = np.unique(x), np.unique(y)
-    linked = len(np.intersect1d(x, y)) * t.denominator >= len(np.union1d(x, y)) * t.numerator
-    classes = jaccard.Classes(t)
-    if linked and not np.array_equal(x, y):
-        assert set(jaccard.regions(x, classes).tolist()) & set(jaccard.regions(y, classes).tolist())
+    x, y = h[: len(h) - two], np.unique(np.concatenate([h[:common], h[len(h) - two :]]))
+    frequent = np.sort(rng.choice(h, len(h) // 3, replace=False))
+    rank = rng.integers(1, 40, len(frequent)).astype(np.uint64)
+    head = lambda s: set(s[jaccard.order_of(s, frequent, rank)[: jaccard.prefix_length(len(s), t)]].tolist())
+    if len(np.intersect1d(x, y)) * t.denominator >= len(np.union1d(x, y)) * t.numerator:
+        assert head(x) & head(y)
 
 
-def test_id_filter(spark):
-    ids = spark.createDataFrame([(k * 977 - 5,) for k in range(500)], "doc_id bigint")
-    bits = np.unpackbits(jaccard.id_filter(ids, 500).view(np.uint8), bitorder="little")
-    own = np.array([k * 977 - 5 for k in range(500)], np.int64)
-    a, b = jaccard._bits(own, len(bits))
-    assert (bits[a] & bits[b]).all() and bits.mean() < 0.2
+@settings(max_examples=40, deadline=None)
+@given(st.integers(3, 200), st.integers(1, 60), st.integers(0, 1 << 30))
+def test_intersections(m, size, seed):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 1 << 40, 300)
+    items = [np.unique(rng.choice(pool[: rng.integers(1, 300)], size)) for _ in range(m)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in items] for a in items])
+    assert ((jaccard.intersections(items) == want) | np.eye(m, dtype=bool)).all()
 
 
-# Embeddings
+def test_key_filter(spark):
+    own = jaccard.key_of(np.array([k * 977 - 5 for k in range(500)], np.int64))
+    bits = jaccard.key_filter(spark.createDataFrame([(int(k),) for k in own], "key bigint"), 500)
+    assert jaccard.may_hold(bits, own).all()
+    assert jaccard.may_hold(bits, jaccard.key_of(np.arange(10**6, 10**6 + 5000))).mean() < 0.2
 
 
 def vectors(rng, n, dim=64, noise=0.3):
