@@ -2,6 +2,7 @@
 
 Jaccard distance is a metric, and the join works by pivots, regions and windows:
 
+0. *Sets.* Every text is one pass away from its set; a set leaves a digest, its prefix and a signature (below).
 1. *Pivots and their regions.* Distances between whole documents are nearly all close to 1, where a window of two radii
    around any pivot holds almost the whole corpus (README has figures), so a document must first learn which pivots are
    not in its far cell. Every set is ordered by one total order of shingles, rare ones first; of a set of n, the first
@@ -9,8 +10,10 @@ Jaccard distance is a metric, and the join works by pivots, regions and windows:
    document that has it in its prefix and whose mixed id is smallest; the region of a pivot is all documents that meet
    it so. Linked documents therefore lie together in a region at least, and a document that meets nobody leaves at once.
    Mixed ids are one order for all shingles, so a group of near copies makes a few regions, not one for every shingle.
-2. *Small regions* (``CAPACITY`` of shingles and documents) are compared whole, in one task each: exact intersections,
-   from which a spanning forest of the links is returned, never the links themselves.
+2. *Small regions* (``CAPACITY`` of shingles and documents) are first parted by signatures, which bound distances from
+   below: a byte for each part of the universe of shingles, and sets that differ in more parts than linked sets can in
+   elements are not linked. What is left is compared whole, in one task each: exact intersections, from which a spanning
+   forest of the links is returned, never the links themselves.
 3. *Large regions* are cut by Voronoi cells: ``PIVOTS`` members of theirs are new pivots, every member's distance to
    them is measured, a member goes to the cell of its nearest pivot and, by the triangle inequality, into the window of
    each pivot that is at most two radii farther (a linked document may have that one as its nearest). Pivots have met
@@ -39,18 +42,17 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, text_slices, utf8
+from .common import materialize, release, text_slices
 from .graph import components
 
 SHINGLE = 3
 THRESHOLD = Fraction(9, 10)
 #: What a task compares at once: shingles, with MEMBER more for each document.
-CAPACITY = 1 << 20
-MEMBER = 256
+CAPACITY = 1 << 22
+MEMBER = 1 << 10
 PIVOTS = 16
 #: Cells may hold this many times their region together before they count as no separation, and nest so deep.
 REPLICAS, LEVELS = 2.0, 8
@@ -60,23 +62,12 @@ FREQUENT_IN_SLICE = 3
 CACHE_WORDS = 300_000
 FILTER_BITS = 1 << 27
 SLICE = 16 << 20
+#: Bytes of text that are hashed at a time.
+PART = 1 << 20
 
 _U = np.uint64
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 48:
-            self[word] = h
-        return h
-
-
-_words = _Words()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (multiply and shift), one to one."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -89,17 +80,75 @@ def key_of(ids: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.int64).view(np.uint64) + _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def _byte_values() -> np.ndarray:
+    values = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
+    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+    return values
+
+
+_BYTES = _byte_values()
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    if not _powers or len(_powers[0]) < n:
+        n = max(n, 1 << 16)
+        _powers[:] = [np.cumprod(np.full(n, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers
+
+
+def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of UTF-8 bytes, and the place where each begins; ``edges`` (the first
+    bytes of texts) begin a word too. A word's hash is a polynomial of values of its bytes, from running sums."""
+    space = _SPACE[data]
+    first = np.ones(len(data), bool)
+    first[1:] = space[:-1]
+    first[edges[edges < len(data)]] = True
+    last = np.ones(len(data), bool)
+    last[:-1] = space[1:] | first[1:]
+    starts, ends = np.flatnonzero(first & ~space), np.flatnonzero(last & ~space)
+    up, down = _power_tables(len(data))
+    terms = _BYTES[data] * up[: len(data)]
+    sums = np.cumsum(terms)
+    h = (sums[ends] - sums[starts] + terms[starts]) * down[starts]
+    return mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)), starts
+
+
+def text_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word n-grams of each text (none for null), in the column's order."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    hashes, starts, at = [], [], 0
+    while at < len(data):  # parts of some megabytes, cut behind white space or between texts
+        to = min(at + PART, len(data))
+        while to < len(data) and not _SPACE[data[to - 1]]:
+            more = np.flatnonzero(_SPACE[data[to : to + PART]])
+            to = min(len(data), to + (int(more[0]) + 1 if len(more) else PART))
+        h, own = word_hashes(data[at:to], ends[(ends >= at) & (ends < to)] - at)
+        hashes.append(h)
+        starts.append(own + at)
+        at = to
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    bounds = np.searchsorted(np.concatenate(starts) if starts else np.zeros(0, np.int64), ends)
+
+    def grams(h: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        for k in range(n):
+            out = mix(out * _U(0x9E3779B97F4A7C15) + h[k : k + len(out)])
+        return out
+
+    every = grams(h, width)
+    for a, z in zip(bounds.tolist(), bounds[1:].tolist()):
+        yield np.unique(every[a : z - width + 1] if z - a >= width else grams(h[a:z], z - a) if z > a else h[:0])
+
+
 def shingles(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(width, len(h)), np.uint64)
-    for k in range(min(width, len(h))):
-        out = mix(out * _U(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+    return next(text_sets(pa.array([text], pa.binary()), width))
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -118,8 +167,7 @@ def _digest_batches(width: int):
         seen: set = set()
         for batch in text_slices(batches, "text", SLICE):
             rows, out, found = batch.num_rows, np.zeros((3, batch.num_rows), np.int64), []
-            for i, text in enumerate(utf8(batch.column(1))):
-                s = shingles(text, width)
+            for i, s in enumerate(text_sets(batch.column(1), width)):
                 out[:, i] = len(s), *digest(s)
                 if len(s) and (name := tuple(out[:, i].tolist())) not in seen:
                     if len(seen) >= CACHE_WORDS:
@@ -148,20 +196,75 @@ def prefix_length(n: int, t: Fraction) -> int:
     return n + 1 - -(-n * t.numerator // t.denominator) if n else 0
 
 
-_LISTS = "shingle bigint, key bigint, n int, rest int"
+def parts_of(n: int, t: Fraction) -> int:
+    """Parts of a signature, a power of two at least twice the elements in which a set of ``n`` and one linked to it
+    can differ."""
+    return 1 << max(3, (2 * int((1 - t) / t * n)).bit_length())
+
+
+def signature(s: np.ndarray, t: Fraction) -> bytes:
+    """A byte for each part of the universe of shingles, the sum of the hashes that the sorted set ``s`` has there.
+
+    Two sets differ in as many elements at least as their signatures do in parts; a signature of half the parts is the
+    sum of neighbours.
+    """
+    parts = parts_of(len(s), t)
+    part = (s >> _U(64 - parts.bit_length() + 1)).astype(np.int64)
+    return np.bincount(part, (s & _U(0xFF)).astype(np.float64), parts).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def plausible(sizes: np.ndarray, signatures: list[bytes], t: Fraction) -> np.ndarray:
+    """Root (a place, the smallest) of each set among those that sizes and signatures let be linked, by chains."""
+    m, root = len(sizes), np.arange(len(sizes))
+    length = np.array([len(x) for x in signatures])
+    num, den = t.numerator, t.denominator
+    a_, b_ = [], []
+    for parts in np.unique(length):
+        own, double = np.flatnonzero(length == parts), np.flatnonzero(length == 2 * parts)
+        rows = [np.frombuffer(b"".join(signatures[k] for k in own), np.uint8).reshape(-1, parts)]
+        if len(double):
+            fine = np.frombuffer(b"".join(signatures[k] for k in double), np.uint8).reshape(-1, 2 * parts)
+            rows.append(fine[:, ::2] + fine[:, 1::2])
+        matrix, at = np.concatenate(rows), np.concatenate([own, double])
+        for i in range(len(own)):
+            rest = at[i + 1 :]
+            if not len(rest):
+                continue
+            n, others = sizes[own[i]], sizes[rest]
+            near = np.minimum(n, others) * den >= np.maximum(n, others) * num
+            j = np.flatnonzero(near)
+            differ = (matrix[i + 1 + j] != matrix[i]).sum(axis=1) if len(j) else j
+            total = n + others[j]
+            j = j[(total - differ) * den >= (total + differ) * num]
+            a_.append(np.full(len(j), own[i]))
+            b_.append(rest[j])
+    if a_:
+        a, b = np.concatenate(a_), np.concatenate(b_)
+        while len(a):
+            before = root.copy()
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            root = root[root]
+            if (before == root).all():
+                break
+    return root
+
+
+_LISTS = "shingle bigint, key bigint, n int, rest int, signature binary"
 
 
 def _list_batches(width: int, t: Fraction, shared):
-    """The prefix of each text that a task has not met before: shingle, key, size, shingles from there on."""
-    schema = pa.schema([("shingle", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("rest", pa.int32())])
+    """The prefix of each text that a task has not met before (shingle, key, size, shingles from there on), and a row
+    without shingle for its signature."""
+    schema = pa.schema([("shingle", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("rest", pa.int32()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
         seen: set = set()
         for batch in text_slices(batches, "text"):
-            heads, owners, sizes, rests = [], [], [], []
-            for key, text in zip(key_of(ints(batch.column(0))).tolist(), utf8(batch.column(1)), strict=True):
-                s = shingles(text, width)
+            heads, owners, sizes, rests, signatures = [], [], [], [], []
+            for key, s in zip(key_of(ints(batch.column(0))).tolist(), text_sets(batch.column(1), width), strict=True):
                 if not len(s) or (name := (len(s), *digest(s))) in seen:
                     continue
                 if len(seen) >= CACHE_WORDS:
@@ -172,10 +275,36 @@ def _list_batches(width: int, t: Fraction, shared):
                 owners.append(key)
                 sizes.append(len(s))
                 rests.append(len(s) - np.arange(len(head)))
+                signatures.append(signature(s, t))
             if heads:
-                counts = [len(x) for x in heads]
-                columns = np.concatenate(heads).view(np.int64), np.repeat(np.array(owners, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate(rests).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=schema)
+                counts, none = [len(x) for x in heads], len(heads)
+                keys, sizes = np.array(owners, np.int64), np.array(sizes, np.int32)
+                columns = np.concatenate(heads).view(np.int64), np.repeat(keys, counts), np.repeat(sizes, counts), np.concatenate(rests).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(sum(counts), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.array(keys), pa.array(sizes), pa.nulls(none, pa.int32()), pa.array(signatures, pa.binary())], schema=schema)
+
+    return run
+
+
+def _plausible_batches(t: Fraction):
+    """Regions (region, key, n, signature) parted by what signatures exclude; each part is named by its smallest key."""
+    schema = pa.schema([("region", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        for group in _groups(batches, ["region"]):
+            if group.num_rows < 2:
+                continue
+            group = group.sort_by("key")
+            key, n = group.column("key").to_numpy(), group.column("n").to_numpy().astype(np.int64)
+            root = plausible(n, group.column("signature").to_pylist(), t)
+            some = np.bincount(root, minlength=len(root))[root] > 1
+            out.append(np.stack([key[root][some], key[some], n[some]]))
+            if sum(x.shape[1] for x in out) > 20_000:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(out, axis=1))), schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(out, axis=1))), schema=schema)
 
     return run
 
@@ -217,7 +346,7 @@ def _set_batches(width: int, shared):
             key = key_of(ints(batch.column(0)))
             hit = may_hold(shared.value, key)
             batch, key = batch.filter(pa.array(hit)), key[hit]
-            found = [shingles(text, width).view(np.int64) for text in utf8(batch.column(1))]
+            found = [s.view(np.int64) for s in text_sets(batch.column(1), width)]
             sizes = np.array([len(x) for x in found], np.int64)
             items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), pa.array(sizes), items], schema=schema)
@@ -428,30 +557,48 @@ class Join:
 
         shared = self.spark.sparkContext.broadcast(self._order(found))
         lists = materialize(self.known.mapInArrow(_list_batches(self.width, self.t, shared), _LISTS), "jaccard-lists")
-        regions = self._regions(lists)
-        release(lists)
+        regions = self._regions(lists.where("shingle IS NOT NULL").select("shingle", "key", "n", "rest"))
         # Copies stand for their smallest id; ids with several rows stand for themselves.
         several = sets.groupBy("key").count().where("count > 1").select("key")
         moved = of.where("key <> first_key").join(several, "key", "left_anti").select("key", "first_key").distinct()
-        for end in ("region", "key"):
-            to = moved.select(F.col("key").alias(end), F.col("first_key").alias("to"))
-            regions = regions.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+
+        def known_as(rows: DataFrame, column: str) -> DataFrame:
+            to = moved.select(F.col("key").alias(column), F.col("first_key").alias("to"))
+            return rows.join(to, column, "left").withColumn(column, F.coalesce("to", column)).drop("to")
+
+        regions = known_as(known_as(regions, "region"), "key")
         whole = regions.where("region <> key").distinct()
         members = materialize(whole.unionByName(whole.select("region", F.col("region").alias("key"))).distinct(), "jaccard-members")
 
+        signatures = known_as(lists.where("shingle IS NULL").select("key", "n", "signature"), "key")
+        members = self._parted(members, materialize(signatures.select("key", "n", "signature").dropDuplicates(["key", "n", "signature"]), "jaccard-signatures"))
         ids = members.select("key").distinct()
-        n_ids = ids.count()
-        bits = self.spark.sparkContext.broadcast(key_filter(ids, n_ids))
+        bits = self.spark.sparkContext.broadcast(key_filter(ids, ids.count()))
         texts = self.known.mapInArrow(_set_batches(self.width, bits), "key bigint, doc_id bigint, n bigint, items array<bigint>")
         self.sets = materialize(texts, "jaccard-sets")
-        sizes = self.sets.groupBy("key").agg(F.max("n").alias("n"))
-        sized = materialize(members.join(sizes, "key").select("region", "key", "n"), "jaccard-sized")
-        release(members)
-        self._join(sized)
+        release(lists)
+        self._join(members)
         labels = components(self._all_links())
         rows = digests.join(labels, digests["doc_id"] == labels["v"], "left")
         return rows.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
+    def _parted(self, members: DataFrame, signatures: DataFrame) -> DataFrame:
+        """region, key, n: regions of a task's size without the members that signatures leave alone there, others whole.
+
+        A signature is a fortieth of its set, and most documents that meet by a shingle have no more in common."""
+        # An id with several texts has several signatures.
+        single = signatures.groupBy("key").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+        sized = materialize(members.join(single, "key").select("region", "key", "n", "rows"), "jaccard-sized")
+        weights = sized.groupBy("region").agg(_weight().alias("w"), F.max("rows").alias("rows"))
+        whole = weights.where((F.col("w") > self.capacity) | (F.col("rows") > 1)).select("region")
+        large = sized.join(whole, "region", "left_semi").select("region", "key", F.col("n").cast("long").alias("n"))
+        filled = sized.join(whole, "region", "left_anti").select("region", "key").join(signatures, "key").select("region", "key", "n", "signature")
+        dealt = filled.repartition("region").sortWithinPartitions("region")
+        parted = dealt.mapInArrow(_plausible_batches(self.t), "region bigint, key bigint, n bigint")
+        out = materialize(parted.unionByName(large).distinct(), "jaccard-parted")
+        release(members, sized)
+        return out
+
     def _all_links(self) -> DataFrame:
         out = self.links[0]
         for x in self.links[1:]:

@@ -157,6 +157,36 @@ def test_intersections(m, size, seed):
     assert ((jaccard.intersections(items) == want) | np.eye(m, dtype=bool)).all()
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 600), st.integers(0, 80), st.integers(0, 80), st.sampled_from([Fraction(9, 10), Fraction(4, 5)]), st.integers(0, 1 << 30))
+def test_signatures_part_no_linked_sets(common, one, two, t, seed):
+    rng = np.random.default_rng(seed)
+    h = rng.permutation(np.unique(rng.integers(0, 1 << 64, common + one + two, dtype=np.uint64)))
+    x, y = np.sort(h[: len(h) - two]), np.sort(np.concatenate([h[:common], h[len(h) - two :]]))
+    x, y = np.unique(x), np.unique(y)
+    sizes, far = np.array([len(x), len(y), 3]), np.unique(rng.integers(0, 1 << 64, 3, dtype=np.uint64))
+    root = jaccard.plausible(sizes, [jaccard.signature(s, t) for s in (x, y, far)], t)
+    if len(np.intersect1d(x, y)) * t.denominator >= len(np.union1d(x, y)) * t.numerator:
+        assert root[0] == root[1]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("aB \t\n\x0b\u00a0é漢", max_size=40)), max_size=12), st.integers(1, 5), st.integers(1, 30))
+def test_text_sets(texts, width, part):
+    """Equal sets of word n-grams for equal sets of hashes, whatever the parts in which bytes are hashed."""
+    column, before = jaccard.pa.array(texts, jaccard.pa.string()), jaccard.PART
+    try:
+        jaccard.PART = part
+        got = [frozenset(s.tolist()) for s in jaccard.text_sets(column, width)]
+        assert [frozenset(s.tolist()) for s in jaccard.text_sets(column.slice(1), width)] == got[1:]
+    finally:
+        jaccard.PART = before
+    words = [(x or "").encode().lower().split() for x in texts]
+    want = [frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset() for w in words]
+    assert [len(s) for s in got] == [len(s) for s in want]
+    assert [[a == b for b in got] for a in got] == [[a == b for b in want] for a in want]
+
+
 def test_key_filter(spark):
     own = jaccard.key_of(np.array([k * 977 - 5 for k in range(500)], np.int64))
     bits = jaccard.key_filter(spark.createDataFrame([(int(k),) for k in own], "key bigint"), 500)
