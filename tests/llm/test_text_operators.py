@@ -172,6 +172,34 @@ def test_surrogate_collisions_are_resolved(spark):
     assert len(got) == 40 and len(set(given)) == 40 and not set(given) & {f"{k:02d}" for k in range(40)}
 
 
+def test_surrogate_spaces_widen(spark):
+    """Mails without a letter to change, one-letter mails, secrets of punctuation, more names than the first space has."""
+    hard = [("email", "_@-.x.com"), ("email", "_@-.y.com"), ("secret", "-" * 12), ("secret", "_" * 12), ("ipv6", "fe80::1"), ("ipv6", "fe80::2")]
+    hard += [("email", f"{c}@a.b.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("given", f"f:n{k}") for k in range(300)]
+    rows = spark.createDataFrame(hard, "kind string, norm string").unionByName(spark.range(20_000).selectExpr("'family' AS kind", "concat('n', id) AS norm"))
+    got = pii.assign(rows)
+    assert got.count() == len(hard) + 20_000 == got.select("kind", "given").distinct().count()
+    assert got.join(rows.withColumnRenamed("norm", "given"), ["kind", "given"]).count() == 0
+
+
+def test_surrogate_names_keep_coreference(spark):
+    texts = [
+        "Mrs. Anna Smith came. Later Anna Smith said that Smith was ill; ANNA and Smithson stayed. Dr. John F. Doe saw Doe.",
+        "Mr. Γιώργος Παππάς and Mr. Smith-Jones met MR. Smith. Mr. O'Brien, г-н Иван Петров: Петров.",
+        "Smith is no name here, nor is Anna.",
+        "IBAN DE89 3704 0044 0532 0130 00 and 2001:db8::8a2e:370:7334, fe80:0:0:0:1:2:3:4; std::vector 12:30:45",
+    ]
+    rows = {r.doc_id: r.text for r in pii.replace(corpus(spark, texts)).collect()}
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. Later (\w+) (\w+) said that (\w+) was ill; ANNA and Smithson stayed\. Dr\. (\w+) F\. (\w+) saw (\w+)\.", rows[0])
+    assert m[1] == m[3] and m[2] == m[4] == m[5] and m[7] == m[8] and not {"Anna", "Smith", "John", "Doe"} & set(m.groups())
+    n = re.fullmatch(r"Mr\. ([\u0370-\u03ff]+) ([\u0370-\u03ff]+) and Mr\. (\w+-\w+) met MR\. Smith\. Mr\. (\w+), г-н ([\u0400-\u04ff]+) ([\u0400-\u04ff]+): ([\u0400-\u04ff]+)\.", rows[1])
+    assert n and n[6] == n[7] != "Петров" and n[3] != "Smith-Jones"
+    assert rows[2] == texts[2]
+    iban = re.search(r"IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d)", rows[3])[1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban != "DE89370400440532013000"
+    assert "370:7334" not in rows[3] and "1:2:3:4" not in rows[3] and rows[3].endswith("; std::vector 12:30:45")
+
+
 def test_surrogates_keep_clashing_columns_and_repeated_rows(spark):
     docs = corpus(spark, ["a@b.com x", "a@b.com x"]).withColumns({"own": F.lit(1), "e": F.lit(2), "row": F.lit(3), "kind": F.lit(4), "doc_id": F.lit(7)})
     out = pii.replace(docs)
@@ -179,6 +207,15 @@ def test_surrogates_keep_clashing_columns_and_repeated_rows(spark):
     rows = out.collect()
     assert len(rows) == 2 and rows[0].text == rows[1].text != "a@b.com x" and rows[0].row == 3
     assert pii.replace(docs.limit(0)).count() == 0
+    counted = docs.withColumn("n_replaced", F.lit("own"))
+    assert pii.replace(counted).columns == [*counted.columns, "n_replaced_"]
+    assert {r.n_replaced for r in pii.replace(counted).collect()} == {"own"}
+
+
+def test_surrogates_in_a_very_long_text(spark):
+    body = prose(100_000) + " mail me at x.y@z.org "
+    row = pii.replace(corpus(spark, [body + body])).first()
+    assert row.n_replaced == 2 and "x.y@z.org" not in row.text and len(row.text) > 860_000
 
 
 # Language model
@@ -387,3 +424,49 @@ def test_chat_round_trip(spark):
     formatted = chat.format_turns(df).where("conv_id = 1").select(F.explode("segments").alias("s")).select("s.*").collect()
     assert [s.loss for s in formatted] == [False] * 7 + [True, False]
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+
+
+LAYOUTS = [
+    '<div class="page has-sidebar">{}</div>',
+    '<div id="content" class="layout-right-sidebar">{}</div>',
+    '<div class="modal-open">{}</div>',
+    '<div class="no-comments">{}</div>',
+    '<div class="header-fixed">{}</div>',
+    '<form action="/"><input name="q">{}</form>',
+    '<div class="siteHeader"><a href="/">Logo</a></div><div role="main">{}</div>',
+    '<section class="wrapper sidebar-left"><div class="inner">{}</div></section>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_main_text_survives_layouts(layout):
+    rng = np.random.default_rng(len(layout))
+    paragraphs = [prose(int(rng.integers(20, 60)), k) for k in range(5)]
+    body = "".join(f"<p>{x}</p>" for x in paragraphs)
+    entry = f'<div class="entry-header"><h1>The headline</h1></div><div class="entry-content">{body}</div>'
+    around = '<nav><a href="/a">menu one</a></nav><div class="sidebar-widget">side words here</div>{}<div class="comment-list"><article class="comment">' + "<p>I say, so many words, again and again.</p>" * 3 + '</article></div><footer>foot</footer><div id="cookie-notice">cookies</div>'
+    for page in (entry, f"<article>{entry}</article>", f"<!-->{entry}", f"<head><title>t</title>{entry}"):
+        got = html.extract("<html><body>" + layout.format(around.format(page)) + "</body></html>")
+        assert got == "\n\n".join(["The headline", *paragraphs]), page[:20]
+
+
+def test_main_text_keeps_wide_furniture_names_out():
+    body = "".join(f"<p>{prose(30, k)}</p>" for k in range(4))
+    comments = "".join(f"<p>{prose(30, k)}</p>" for k in range(20, 30))
+    page = f'<body><div id="post">{body}</div><div id="comments">{comments}</div></body>'
+    assert html.extract(page) == "\n\n".join(prose(30, k) for k in range(4))
+    assert html.extract("<body><nav>menu words</nav></body>") == ""
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "deep text, deep" + "</div>" * 60_000, "<a '" * 60_000, "<a '" * 60_000 + ">x", "<li><b>x, y " * 40_000, "<p><table><td>" * 30_000, "<a '>' " * 40_000 + '"', "<!-- " * 90_000, "</p>" * 100_000, "<div><p>one, two " * 30_000, "<" * 300_000, "<ul><li>" * 40_000 + "z"])
+def test_main_text_time_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html.extract(page)
+    assert time.process_time() - began < 5
+
+
+def test_main_text_of_an_empty_table(spark):
+    assert html.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    assert html.extract("<div>" * 3000 + "a<div>b</div>c") == "a\n\nb\n\nc"
