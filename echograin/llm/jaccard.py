@@ -7,7 +7,8 @@ Jaccard distance is a metric, and the join works by pivots, regions and windows:
    around any pivot holds almost the whole corpus (README has figures), so a document must first learn which pivots are
    not in its far cell. Every set is ordered by one total order of shingles, rare ones first; of a set of n, the first
    n - ceil(t n) + 1 are its prefix, and two linked sets share a shingle of both prefixes. The pivot of a shingle is the
-   document that has it in its prefix and whose mixed id is smallest; the region of a pivot is all documents that meet
+   document that has it in its prefix (among sets of nearly its size, where they are many) and whose mixed id is
+   smallest; the region of a pivot is all documents that meet
    it so. Linked documents therefore lie together in a region at least, and a document that meets nobody leaves at once.
    Mixed ids are one order for all shingles, so a group of near copies makes a few regions, not one for every shingle.
 2. *Small regions* (``CAPACITY`` of shingles and documents) are first parted by signatures, which bound distances from
@@ -57,8 +58,8 @@ PIVOTS = 16
 #: Cells may hold this many times their region together before they count as no separation, and nest so deep.
 REPLICAS, LEVELS = 2.0, 8
 #: Shingles that come last in the order of prefixes, the most frequent ones; it decides work, never results.
-FREQUENT = 1 << 19
-FREQUENT_IN_SLICE = 3
+FREQUENT = 1 << 21
+FREQUENT_IN_SLICE = 2
 CACHE_WORDS = 300_000
 FILTER_BITS = 1 << 27
 SLICE = 16 << 20
@@ -525,24 +526,37 @@ class Join:
         h = counts.column("key").to_numpy().view(np.uint64)
         rank = np.minimum(np.log2(np.maximum(counts.column("n").to_numpy(), 1)) * 2, 62).astype(np.uint64)
         by = np.argsort(h)
-        return h[by], rank[by]
+        return h[by], rank[by].astype(np.uint8)
 
     def _regions(self, lists: DataFrame) -> DataFrame:
         """region (key of its pivot), key: distinct members of regions, pivots aside."""
-        num, both = self.t.numerator, self.t.numerator + self.t.denominator
-        sums = lists.groupBy("shingle").agg(
-            F.count("*").alias("c"), F.min("key").alias("first"), F.max("key").alias("last"), F.bit_xor("key").alias("x"), F.min("rest").alias("rest"), F.min("n").alias("low"), F.max("n").alias("high")
-        )
-        sums = materialize(sums.where("c > 1 AND first < last"), "jaccard-lists-shared")
-        # Lists of two and three are known by their aggregates. Two of unlike sizes, or with too few shingles left, are none.
-        near = (F.col("low") * F.lit(self.t.denominator) >= F.col("high") * F.lit(num)) & (F.col("rest") * F.lit(both) >= (F.col("low") + F.col("high")) * F.lit(num))
-        two = sums.where((F.col("c") == 2) & near).select(F.col("first").alias("region"), F.col("last").alias("key"))
-        three = sums.where("c = 3")
-        third = three.select(F.col("first").alias("region"), F.col("x").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("last")).alias("key"))
-        more = lists.join(sums.where("c > 3").select("shingle", "first"), "shingle").select(F.col("first").alias("region"), "key")
-        every = two.unionByName(three.select(F.col("first").alias("region"), F.col("last").alias("key"))).unionByName(third).unionByName(more)
+        num, den = self.t.numerator, self.t.denominator
+
+        def summed(rows: DataFrame, names: list[str]) -> DataFrame:
+            sums = rows.groupBy(*names).agg(
+                F.count("*").alias("c"), F.min("key").alias("first"), F.max("key").alias("last"), F.bit_xor("key").alias("x"), F.min("rest").alias("rest"), F.max("rest").alias("most"), F.min("n").alias("low"), F.max("n").alias("high")
+            )
+            # Of two sets whose first common shingle this is, the smaller has so many shingles left from here on.
+            near = (F.col("most") * F.lit(num + den) >= F.col("low") * F.lit(2 * num)) & (F.col("first") < F.col("last"))
+            two = (F.col("low") * F.lit(den) >= F.col("high") * F.lit(num)) & (F.col("rest") * F.lit(num + den) >= (F.col("low") + F.col("high")) * F.lit(num))
+            return sums.where(near & ((F.col("c") > 2) | (two & (F.col("c") == 2))))
+
+        # Lists of two and three are known by their aggregates: keys are numbers, and the third is what is left of them.
+        def few(sums: DataFrame, most: int) -> DataFrame:
+            third = F.col("x").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("last"))
+            keys = F.when(F.col("c") == 2, F.array("last")).otherwise(F.array("last", third))
+            return sums.where(F.col("c") <= most).select(F.col("first").alias("region"), F.explode(keys).alias("key"))
+
+        sums = materialize(summed(lists, ["shingle"]), "jaccard-lists-shared")
+        # Longer lists are parted by size: linked sizes lie in one class of the ratio 1 / t or in two neighbouring ones.
+        class_ = F.floor(F.log("n") / F.lit(float(np.log(den / num)))).cast("int")
+        longer = lists.join(sums.where("c > 2").select("shingle"), "shingle")
+        classed = materialize(longer.select("shingle", "key", "n", "rest", F.explode(F.array(class_, class_ + 1)).alias("class")), "jaccard-lists-classed")
+        own = materialize(summed(classed, ["shingle", "class"]), "jaccard-lists-classes")
+        more = classed.join(own.where("c > 3").select("shingle", "class", "first"), ["shingle", "class"]).select(F.col("first").alias("region"), "key")
+        every = few(sums, 2).unionByName(few(own, 3)).unionByName(more)
         out = materialize(every.where("region <> key").distinct(), "jaccard-regions")
-        release(sums)
+        release(sums, classed, own)
         return out
 
     def run(self) -> DataFrame:
