@@ -1,212 +1,289 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting takes a bounded sample of labelled rows (``max_labelled``, by hash order of the id, never the held-out fold).
-Words, and word beginnings of ``PREFIXES`` bytes, whose document frequency differs between the labels (two-proportion z
-of at least ``min_z``) are the terms that span the vector space; beginnings reach inflected forms. All other words are one common term
-(in powers of two, so that vectors merge), which lets a vector's direction tell how much of a text the terms are. Examples are their TF-IDF vectors, equal vectors merged with their label counts. The index keeps, for each word,
-postings in blocks of ``BLOCK`` examples and each block's largest weight. A query adds up its words' block maxima to an
-upper bound for every block and opens blocks from the highest bound down, some at a time, until the bound is below the k-th best cosine,
-so the nearest are exact. Their votes weigh by distance and are smoothed by the sample's rate, which keeps scores
-calibrated; a text without a word gets the rate of such examples. The nearest examples are the evidence.
-
-The index is a few megabytes at most and goes with the task; every text is scored whole, in one pass without a shuffle.
-
-Defined cases: null and empty texts are texts without a word; a null label teaches nothing and several labels
-of one id count as their largest; without labelled rows every score is 0; repeated rows are scored each for itself;
-an empty table gives an empty result; label, lang and source never enter a score, and other columns are not read.
+Fitting takes a bounded sample of labelled rows (at most ``MAX_LABELLED`` rows and ``MAX_TOKENS`` words, by hash order of
+the id, never the held-out fold). Every word of the sample is a term of the vector space, none is left out: a term's
+weight in a text is (1 + ln tf) idf c, where c = z^2 / (z^2 + Z_HALF^2) is its contrast between the labels, z the
+two-proportion statistic of its document frequencies. Without c, plain TF-IDF, the nearest texts are those that share
+rare ordinary words (README has figures); with it the same cosine looks at what the labels are about. Words that no
+example has tell nothing.
+
+The index keeps, for each term, postings in blocks of ``BLOCK`` examples (ordered so that like ones share blocks) and
+each block's largest weight. A query adds up its terms' block maxima to an upper bound for every block and opens blocks
+from the highest bound down, some at a time, until the bound is below the k-th best cosine, so the nearest are exact.
+Their votes weigh by distance, smoothed by the sample's rate. Scores are calibrated by a logistic curve through the
+sample's own votes, each example scored without itself; a text without a known word gets the rate of such examples. The
+nearest examples are the evidence.
+
+The index is bounded by the sample's words and goes with the task; every text is scored whole, in one pass without a
+shuffle.
+
+Defined cases: null and empty texts are texts without a word; a null label or id teaches nothing and several labels of
+one id count as their largest; copies of a text teach once a label; without labelled rows every score is 0; repeated
+rows are scored each for itself; ties among neighbours go to the smaller id; an empty table gives an empty result;
+label, lang and source never enter a score, and other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, rows_of, text_slices, utf8
+from .common import crc_mod, materialize, n_words, release, rows_of, text_slices
+from .hashing import NO_LETTERS, word_hashes
 
 MODULUS, HELD_OUT = 5, 0
-MAX_LABELLED = 8_000
-MAX_WORDS = 1_000
-MIN_Z = 6.0
-MIN_DOCUMENTS = 5
+MAX_LABELLED, MAX_TOKENS = 8_000, 8_000_000
+#: The contrast at which a word counts half: six standard errors, which chance does not reach in a billion words.
+Z_HALF = 6.0
 NEIGHBOURS = 15
 BLOCK = 64
+CENTRES = 64
+#: A term in more than one block of so many is bounded by its blocks' largest weights before it is added up.
+OFTEN = 3
+#: The most frequent terms, in most blocks anyway, are a matrix; queries meet it some at a time.
+COMMON, BATCH = 512, 64
 PRIOR_WEIGHT = 1.0
 EVIDENCE = 3
-PREFIXES = (4, 5, 6)
-#: Weight of the common term, higher than the 1 that its document frequency gives, chosen on held-out labels.
-COMMON_IDF = 3.0
 
-_EDGE = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 
+def bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct words (hashes, sorted) and their counts, for each text."""
+    h, bounds = word_hashes(column, NO_LETTERS)
+    for a, z in zip(bounds.tolist(), bounds[1:].tolist()):
+        yield np.unique(h[a:z], return_counts=True)
 
-def words_of(text: bytes) -> list[bytes]:
-    return [w.strip(_EDGE) for w in text.lower().split()]
 
-
-def terms_of(words: Iterable[bytes]) -> Iterator[bytes]:
-    """The words, and their beginnings with the length in front."""
-    for w in words:
-        yield w
-        for n in PREFIXES:
-            yield bytes((n,)) + w[:n]
-
-
-def _word_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("word", pa.binary()), ("toxic", pa.int64()), ("n", pa.int64())])
-    for batch in text_slices(batches, "text", 16 << 20):
-        seen: Counter = Counter()
-        for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            seen.update((w, toxic) for w in set(terms_of(set(words_of(text)))))
-        yield rows_of(schema, [[k[0] for k in seen], [k[1] for k in seen], list(seen.values())])
+def ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers first[k], first[k] + 1, ... (counts[k] of them) for all k, in order."""
+    total = np.cumsum(counts)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - counts), counts)
 
 
 @dataclass
 class Index:
-    #: Terms by length of beginning, whole words at 0.
-    terms: dict[int, dict[bytes, int]]
-    idf: np.ndarray
-    #: Posting blocks, BLOCK weights each, the first one empty; ``at`` has each term's and block's place among them.
-    postings: np.ndarray
-    at: np.ndarray
-    block_max: np.ndarray
-    #: For each example vector: examples merged in it by label, the smallest id, the larger label.
-    counts: np.ndarray
-    doc_ids: list[int]
+    #: Terms (sorted hashes) with their weights; entries[k]:entries[k + 1] are term k's blocks.
+    terms: np.ndarray
+    weight: np.ndarray
+    entries: np.ndarray
+    #: Of each entry: block, largest weight, and where its postings begin (one more at the end).
+    block: np.ndarray
+    largest: np.ndarray
+    begin: np.ndarray
+    #: Postings: example and weight in its vector of length 1.
+    example: np.ndarray
+    posting: np.ndarray
+    #: Examples by number: id and label.
+    doc_ids: np.ndarray
+    toxic: np.ndarray
     prior: float
     empty_rate: float
-
-    def vector(self, text: bytes, n_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and their weights at length 1; ``n_words`` where ``text`` is but the words that hold terms."""
-        words = words_of(text)
-        n_words = len(words) if n_words is None else n_words
-        tf: Counter[int] = Counter()
-        for n, known in self.terms.items():
-            tf.update(known[w] for w in (words if n == 0 else [w[:n] for w in words]) if w in known)
-        if not n_words:
+    #: The most frequent terms (numbers, sorted) and their weights in all examples.
+    common: np.ndarray
+    matrix: np.ndarray
+    #: Slope and shift of the calibration.
+    curve: tuple[float, float] = (1.0, 0.0)
+
+    def vector(self, words: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and their weights at length 1; none if no word is known."""
+        if not len(self.terms) or not len(words):
             return np.zeros(0, np.int64), np.zeros(0)
-        tf[len(self.idf) - 1] = 1 << (n_words.bit_length() - 1)
-        terms = np.fromiter(sorted(tf), np.int64, len(tf))
-        w = np.array([1 + np.log(tf[k]) for k in terms]) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """(cosine, example vector), best first, until they stand for ``k`` examples; vectors sharing no word are none."""
-        bounds = w @ self.block_max[terms]
+        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        known = self.terms[at] == words
+        at = at[known]
+        w = (1 + np.log(tf[known])) * self.weight[at]
+        length = np.sqrt((w * w).sum())
+        return (at, w / length) if length > 0 else (at[:0], w[:0])
+
+    def _postings(self, at: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """What the entries ``at`` add to each example, each times its share of the query."""
+        sizes = self.begin[at + 1] - self.begin[at]
+        posts = ranges(self.begin[at], sizes)
+        return np.bincount(self.example[posts], np.repeat(share, sizes) * self.posting[posts], -(-len(self.doc_ids) // BLOCK) * BLOCK).astype(float)
+
+    def common_sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What the most frequent terms add to each example, for each of some queries, and which terms are left."""
+        query, left = np.zeros((len(vectors), len(self.common))), []
+        for k, (terms, w) in enumerate(vectors):
+            at = np.minimum(np.searchsorted(self.common, terms), len(self.common) - 1)
+            hit = self.common[at] == terms if len(self.common) else np.zeros(len(terms), bool)
+            query[k, at[hit]] = w[hit]
+            left.append(~hit)
+        return query @ self.matrix, left
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and examples, best first, ``k`` at most; examples sharing no word are none. ``base`` is what terms
+        that are not among ``terms`` add to each example."""
+        counts = self.entries[terms + 1] - self.entries[terms]
+        at, share = ranges(self.entries[terms], counts), np.repeat(w, counts)
+        # Terms in few blocks are added up at once; of the others, a block's largest weights bound what they can add.
+        rare = np.repeat(counts * OFTEN <= len(self.doc_ids) // BLOCK + 1, counts)
+        sums = self._postings(at[rare], share[rare])
+        if base is not None:
+            sums += base
+        at, share = at[~rare], share[~rare]
+        block, n_blocks = self.block[at], len(sums) // BLOCK
+        if without >= 0:
+            sums[without] = -np.inf
+        bounds = sums.reshape(-1, BLOCK).max(axis=1, initial=0.0) + np.bincount(block, share * self.largest[at], n_blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        best: list[tuple[float, int]] = []
-        floor, step = 0.0, 2
+        best, found, floor, step = np.zeros(0), np.zeros(0, np.int64), 0.0, 4
         while len(order) and bounds[order[0]] >= floor - 1e-12:
             now, order = order[:step], order[step:]
             now = now[bounds[now] >= floor - 1e-12]
-            sums = np.einsum("t,tbi->bi", w, self.postings[self.at[np.ix_(terms, now)]])
-            b, i = np.nonzero((sums > 0) & (sums >= floor))
-            best += zip(sums[b, i].tolist(), (now[b] * BLOCK + i).tolist(), strict=True)
-            best.sort(key=lambda x: (-x[0], x[1]))
-            held = 0
-            for n, (cosine, row) in enumerate(best):
-                held += int(self.counts[row].sum())
-                if held >= k:
-                    floor, best = cosine, best[: n + 1]
-                    break
-            step *= 2
-        return best
-
-    def score(self, text: bytes, k: int = NEIGHBOURS) -> tuple[float, list[dict]]:
-        terms, w = self.vector(text)
-        if not len(terms):
-            return self.empty_rate, []
-        near, left = self.nearest(terms, w, k), k
-        weight = toxic = 0.0
-        for cosine, row in near:
-            clean, bad = self.counts[row]
-            share = min(1.0, left / (clean + bad)) / (0.05 + 1 - min(cosine, 1.0))
-            weight, toxic, left = weight + share * (clean + bad), toxic + share * bad, left - min(left, clean + bad)
-        evidence = [{"doc_id": self.doc_ids[row], "cosine": round(c, 6), "toxic": int(self.counts[row][1] > self.counts[row][0])} for c, row in near[:EVIDENCE]]
-        return (toxic + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT), evidence
-
-
-def build_index(words: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, bytes, int]]) -> Index:
-    """``examples``: (doc_id, toxic, the words of the text that hold terms, its number of words)."""
-    terms: dict[int, dict[bytes, int]] = {}
-    for k, w in enumerate(words):
-        n = w[0] if w[0] in PREFIXES else 0
-        terms.setdefault(n, {})[w[1:] if n else w] = k
-    idf = np.append(idf, COMMON_IDF)  # of the common term, which every text has
-    index = Index(terms, idf, np.zeros((1, BLOCK)), np.zeros((len(idf), 0), np.int64), np.zeros((len(idf), 0)), np.zeros((0, 2), np.int64), [], 0.0, 0.0)
-    merged: dict[tuple, list] = {}
-    empty, total = [0, 0], [0, 0]
-    for doc_id, toxic, text, n_words in examples:
-        total[toxic] += 1
-        terms, w = index.vector(text, n_words)
-        if not len(terms):
-            empty[toxic] += 1
-            continue
-        held = merged.setdefault((tuple(terms.tolist()), tuple(w.tolist())), [[0, 0], doc_id])
-        held[0][toxic] += 1
-        held[1] = min(held[1], doc_id)
-    order = sorted(merged)  # examples with the same leading words share blocks, so bounds are tight
-    n_blocks = -(-len(order) // BLOCK)
-    index.at = np.zeros((len(idf), n_blocks), np.int64)
-    filled = [np.zeros(BLOCK)]
-    for row, (own, w) in enumerate(order):
-        for t, x in zip(own, w, strict=True):
-            if not index.at[t, row // BLOCK]:
-                index.at[t, row // BLOCK] = len(filled)
-                filled.append(np.zeros(BLOCK))
-            filled[index.at[t, row // BLOCK]][row % BLOCK] = x
-    index.postings = np.stack(filled)
-    index.block_max = index.postings.max(axis=1)[index.at]
-    index.counts = np.array([merged[k][0] for k in order], np.int64).reshape(-1, 2)
-    index.doc_ids = [merged[k][1] for k in order]
-    index.prior = total[1] / max(1, sum(total))
+            opened = np.zeros(n_blocks, bool)
+            opened[now] = True
+            mine = opened[block]
+            whole = (sums + self._postings(at[mine], share[mine])).reshape(-1, BLOCK)[now].ravel()
+            hit = np.flatnonzero((whole > 0) & (whole >= floor))
+            if len(hit) > 4 * k:  # the others can't be among the best
+                least = np.partition(whole[hit], len(hit) - k)[len(hit) - k]
+                hit = hit[whole[hit] >= least]
+            best, found = np.concatenate([best, whole[hit]]), np.concatenate([found, now[hit // BLOCK] * BLOCK + hit % BLOCK])
+            rank = np.lexsort((self.doc_ids[found], -best))[:k]
+            best, found = best[rank], found[rank]
+            floor = best[-1] if len(best) == k else 0.0
+            step *= 4
+        return best, found
+
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> Iterator[tuple[float | None, list[dict]]]:
+        """For each bag: share of toxic votes, None without a known word, and the nearest examples."""
+        for at in range(0, len(texts), BATCH):
+            vectors = [self.vector(*bag) for bag in texts[at : at + BATCH]]
+            sums, left = self.common_sums(vectors)
+            for i, (terms, w) in enumerate(vectors):
+                if not len(terms):
+                    yield None, []
+                    continue
+                cosine, row = self.nearest(terms[left[i]], w[left[i]], k, without[at + i] if without else -1, sums[i])
+                share = 1 / (1.05 - np.minimum(cosine, 1.0))
+                score = ((share * self.toxic[row]).sum() + PRIOR_WEIGHT * self.prior) / (share.sum() + PRIOR_WEIGHT)
+                yield float(score), [{"doc_id": int(self.doc_ids[r]), "cosine": round(float(c), 6), "toxic": int(self.toxic[r])} for c, r in zip(cosine[:EVIDENCE], row[:EVIDENCE])]
+
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[dict]]]:
+        for raw, evidence in self.votes(texts):
+            yield (self.empty_rate, []) if raw is None else (float(calibrated(raw, *self.curve)), evidence)
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def calibrated(raw: np.ndarray | float, slope: float, shift: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-(slope * logit(raw) + shift)))
+
+
+def fit_curve(raw: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Logistic curve (slope, shift) of labels on votes, held to the identity by one example's worth; it always rises."""
+    x, theta = np.stack([logit(raw), np.ones(len(raw))], axis=1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (p - toxic) + theta - (1, 0))
+        theta = theta - np.clip(step, -1, 1)
+    return max(float(theta[0]), 0.05), float(theta[1])
+
+
+def build_index(doc_ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, words: np.ndarray, tf: np.ndarray) -> Index:
+    """``words`` and ``tf`` are the examples' bags one after the other, ``sizes`` their lengths."""
+    n, bad = len(doc_ids), int(toxic.sum())
+    row = np.repeat(np.arange(n), sizes)
+    terms, of = np.unique(words, return_inverse=True)
+    df, df_bad = np.bincount(of, minlength=len(terms)), np.bincount(of, toxic[row], len(terms))
+    share = df / max(n, 1)
+    spread = np.sqrt(share * (1 - share) * (1 / max(bad, 1) + 1 / max(n - bad, 1)))
+    z = np.where(spread > 0, (df_bad / max(bad, 1) - (df - df_bad) / max(n - bad, 1)) / np.where(spread > 0, spread, 1), 0.0)
+    weight = np.log((1 + n) / (1 + df)) * z * z / (z * z + Z_HALF * Z_HALF)
+    w = (1 + np.log(tf)) * weight[of]
+    length = np.sqrt(np.bincount(row, w * w, n))
+    full = length > 0
+    w = w / np.where(full, length, 1)[row]
+    # Examples stand by their nearest of some of them: like ones share blocks, which makes bounds tight. No more than that.
+    near, best = np.zeros(n, np.int64), np.full(n, -1.0)
+    for k, centre in enumerate(range(0, n, max(1, n // CENTRES))):
+        dense = np.zeros(len(terms))
+        dense[of[row == centre]] = w[row == centre]
+        cosine = np.bincount(row, w * dense[of], n)
+        better = cosine > best
+        near[better], best[better] = k, cosine[better]
+    order = np.lexsort((doc_ids, -best, near))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    at = np.lexsort((place[row], of))
+    at = at[w[at] > 0]
+    of, example, posting = of[at], place[row[at]], w[at]
+    entry = of * (n // BLOCK + 1) + example // BLOCK
+    first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1])) if len(entry) else np.zeros(0, np.int64)
+    largest = np.maximum.reduceat(posting, first) if len(first) else np.zeros(0)
+    entries = np.searchsorted(of[first], np.arange(len(terms) + 1))
+    common = np.sort(np.argsort(-df, kind="stable")[:COMMON])
+    matrix = np.zeros((len(common), -(-n // BLOCK) * BLOCK))
+    for k, term in enumerate(common.tolist()):
+        a, z = np.searchsorted(of, (term, term + 1))
+        matrix[k, example[a:z]] = posting[a:z]
+    empty, prior = ~full, bad / max(n, 1)
     # Laplace-smoothed, so that a handful of such examples is no certainty.
-    index.empty_rate = (empty[1] + index.prior) / (sum(empty) + 1) if sum(total) else 0.0
-    return index
+    rate = (toxic[empty].sum() + prior) / (empty.sum() + 1) if n else 0.0
+    return Index(terms, weight, entries, (example[first] // BLOCK).astype(np.int32), largest, np.append(first, len(posting)), example.astype(np.int32), posting, doc_ids[order], toxic[order], prior, float(rate), common, matrix)
+
 
+_BAGS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("words", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32()))])
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS, min_z: float = MIN_Z) -> Index:
+
+def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches, "text"):
+        found = list(bags(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array([w.view(np.int64) for w, _ in found], _BAGS[2].type), pa.array([c.astype(np.int32) for _, c in found], _BAGS[3].type)], schema=_BAGS)
+
+
+def _own_votes(shared):
+    """Votes for each example by the others."""
+    schema = pa.schema([("toxic", pa.int64()), ("raw", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        places: dict[tuple[int, int], int] = {(d, t): k for k, (d, t) in enumerate(zip(index.doc_ids.tolist(), index.toxic.tolist()))}
+        for batch in batches:
+            docs, toxic, words, tf = (batch.column(k).to_pylist() for k in range(4))
+            texts = [(np.array(w, np.int64).view(np.uint64), np.array(c, np.int64)) for w, c in zip(words, tf, strict=True)]
+            own = [places[x] for x in zip(docs, toxic, strict=True)]
+            yield rows_of(schema, [toxic, [raw for raw, _ in index.votes(texts, without=own)]])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Index:
     """``docs``: doc_id, text. ``labels``: doc_id, toxic; only rows outside the held-out fold are read."""
+    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), MODULUS) != HELD_OUT))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("long").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # The sample has max_labelled rows at most, two numbers each, so its broadcast is bounded.
     rows = docs.join(F.broadcast(sample), "doc_id").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"))  # copies teach once
-    counted = rows.select("text", "toxic").mapInArrow(_word_labels, "word binary, toxic bigint, n bigint").groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean")
-    )
-    size = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
-    n, bad = size.n, size.bad or 0
-    if not n:
-        return build_index([], np.zeros(0), [])
-    share = (F.col("bad") + F.col("clean")) / F.lit(float(n))
-    spread = F.sqrt(share * (1 - share) * F.lit(1 / max(bad, 1) + 1 / max(n - bad, 1)))
-    z = F.when(spread > 0, (F.col("bad") / F.lit(float(max(bad, 1))) - F.col("clean") / F.lit(float(max(n - bad, 1)))) / spread).otherwise(F.lit(0.0))
-    chosen = counted.where(F.length("word") > 0).where(F.col("bad") + F.col("clean") >= MIN_DOCUMENTS).withColumn("z", z).where(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "word").limit(max_words).collect()
-    words = [bytes(r.word) for r in chosen]
-    idf = np.array([np.log((1 + n) / (1 + r.bad + r.clean)) + 1 for r in chosen])
-    found = rows.mapInArrow(_restrict(frozenset(words)), "doc_id bigint, toxic bigint, text string, n_words bigint").toArrow()
-    examples = sorted((r["doc_id"], r["toxic"], r["text"].encode(), r["n_words"]) for r in found.to_pylist())
-    return build_index(words, idf, examples)
-
-
-def _restrict(words: frozenset[bytes]):
-    """Examples with nothing but the words that hold a chosen term in their texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("text", pa.string()), ("n_words", pa.int64())])
-        for batch in text_slices(batches, "text", 16 << 20):
-            split = [words_of(t) for t in utf8(batch.column(0))]
-            texts = [b" ".join(w for w in own if not words.isdisjoint(terms_of((w,)))).decode() for own in split]
-            yield rows_of(schema, [batch.column(2).to_pylist(), batch.column(1).to_pylist(), texts, [len(own) for own in split]])
-
-    return run
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = materialize(rows.withColumn("n", n_words(F.col("text"))), "toxicity-sample")
+    few = sizes.select("doc_id", "toxic", F.sum("n").over(before).alias("upto")).where((F.col("upto") <= max_tokens)).drop("upto")
+    bag_rows = sizes.join(F.broadcast(few), ["doc_id", "toxic"]).select("text", "toxic", "doc_id").mapInArrow(_bag_batches, "doc_id bigint, toxic bigint, words array<bigint>, tf array<int>")
+    bag_rows = materialize(bag_rows, "toxicity-bags")
+    found = bag_rows.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    flat = lambda c, kind: found.column(c).combine_chunks().flatten().to_numpy().astype(kind)
+    lengths = np.array([len(x) for x in found.column("tf")], np.int64)
+    index = build_index(found.column("doc_id").to_numpy(), found.column("toxic").to_numpy(), lengths, flat("words", np.int64).view(np.uint64), flat("tf", np.int64))
+    shared = spark.sparkContext.broadcast(index)
+    own = bag_rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_own_votes(shared), "toxic bigint, raw double").where("raw IS NOT NULL").toArrow()
+    if own.num_rows:
+        # In a fixed order, so that sums are equal in reruns.
+        raw, toxic = own.column("raw").to_numpy(), own.column("toxic").to_numpy()
+        rank = np.lexsort((toxic, raw))
+        index.curve = fit_curve(raw[rank], toxic[rank])
+    shared.unpersist()
+    release(sizes, bag_rows)
+    return index
 
 
 def _score_batches(shared):
@@ -214,8 +291,8 @@ def _score_batches(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in text_slices(batches, "text", 16 << 20):
-            found = [index.score(t) for t in utf8(batch.column(1))]
+        for batch in text_slices(batches, "text"):
+            found = list(index.scores(list(bags(batch.column(1)))))
             yield rows_of(schema, [batch.column(0).to_pylist(), batch.column(2).to_pylist(), [x[0] for x in found], [x[1] for x in found]])
 
     return run

@@ -314,23 +314,60 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs, marks.limit(0)).agg(F.max("score")).first()[0] == 0
 
 
-def test_block_max_search_is_exact():
+def plain_toxicity(train, query, k):
+    """Cosines (best first) of a text with examples (id, text, label) by the definition, in plain Python."""
+    bag = lambda t: Counter(x for x in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()) if x)
+    n, bad = len(train), sum(y for _, _, y in train)
+    bags = [bag(t) for _, t, _ in train]
+    df, df_bad = Counter(w for b in bags for w in b), Counter(w for b, (_, _, y) in zip(bags, train, strict=True) for w in b if y)
+
+    def vector(b):
+        out = {}
+        for w, tf in b.items():
+            if df[w]:
+                share = df[w] / n
+                spread = math.sqrt(share * (1 - share) * (1 / bad + 1 / (n - bad)))
+                z = (df_bad[w] / bad - (df[w] - df_bad[w]) / (n - bad)) / spread if spread else 0
+                out[w] = (1 + math.log(tf)) * math.log((1 + n) / (1 + df[w])) * z * z / (z * z + 36)
+        length = math.sqrt(sum(x * x for x in out.values()))
+        return {w: x / length for w, x in out.items()} if length else {}
+
+    q = vector(bag(query))
+    found = [(sum(x * v.get(w, 0) for w, x in q.items()), i) for (i, _, _), v in ((e, vector(b)) for e, b in zip(train, bags, strict=True))]
+    return sorted((-c, i) for c, i in found if c > 0)[:k]
+
+
+@pytest.mark.parametrize("common", [0, 4, 512])
+def test_block_max_search_is_exact(common, monkeypatch):
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(2)
-    words = [f"w{k}".encode() for k in range(40)]
-    examples = [(k, int(rng.integers(2)), b" ".join(words[i] for i in rng.integers(40, size=rng.integers(0, 6))), 30) for k in range(900)]
-    index = toxicity.build_index(words, rng.uniform(1, 3, 40), examples)
-    whole = np.zeros((len(index.counts), len(index.idf)))
-    for t in range(len(index.idf)):
-        for b in range(index.at.shape[1]):
-            part = index.postings[index.at[t, b]]
-            whole[b * toxicity.BLOCK : (b + 1) * toxicity.BLOCK, t] = part[: len(whole) - b * toxicity.BLOCK]
-    for _ in range(50):
-        terms, w = index.vector(b" ".join(words[i] for i in rng.integers(40, size=4)))
-        q = np.zeros(len(index.idf))
-        q[terms] = w
-        near = index.nearest(terms, w, 5)
-        want = np.sort(whole @ q)[::-1][: len(near)]
-        assert np.allclose([c for c, _ in near], want)
+    words = np.array([f"w{k}" for k in range(200)])
+    skew = 1 / np.arange(1, 201)
+    text = lambda n: " ".join(rng.choice(words, n, p=skew / skew.sum()))
+    train = [(k, text(int(rng.integers(1, 25))) + (" Vile!" if k % 7 == 0 else ""), int(k % 7 == 0 or k % 11 == 0)) for k in range(700)]
+    bags = list(toxicity.bags(toxicity.pa.array([t for _, t, _ in train])))
+    index = toxicity.build_index(np.array([k for k, _, _ in train]), np.array([y for _, _, y in train]), np.array([len(w) for w, _ in bags]), np.concatenate([w for w, _ in bags]), np.concatenate([c for _, c in bags]))
+    queries = [text(int(rng.integers(1, 30))) + (" vile" if k % 3 == 0 else "") for k in range(30)] + ["unknown", "", "vile w0"]
+    own = list(toxicity.bags(toxicity.pa.array(queries)))
+    vectors = [index.vector(*b) for b in own]
+    sums, left = index.common_sums(vectors)
+    for query, (terms, w), base, rest in zip(queries, vectors, sums, left, strict=True):
+        if len(terms):
+            cosine, row = index.nearest(terms[rest], w[rest], 7, base=base)
+            want = plain_toxicity(train, query, 7)
+            assert np.allclose(cosine, [-c for c, _ in want]) and len(cosine) == len(want)
+        else:
+            assert not plain_toxicity(train, query, 7)
+
+
+def test_toxicity_edges(spark):
+    docs = corpus(spark, [None, "", "vile one", "vile one", "kind one", "long " * 50_000]).withColumns({"held_out": F.lit("x"), "words": F.lit(1), "toxic": F.lit(2)})
+    marks = spark.createDataFrame([(k, int(k in (2, 3))) for k in range(6)], "doc_id bigint, toxic int").withColumn("text", F.lit("t"))
+    rows = toxicity.score_documents(docs.unionByName(docs), marks).collect()
+    assert len(rows) == 12 and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.score_documents(docs.limit(0), marks).count() == 0
+    slope, shift = toxicity.fit_curve(np.array([0.1, 0.2, 0.8, 0.9] * 50), np.array([0, 0, 1, 1] * 50))
+    assert toxicity.calibrated(0.1, slope, shift) < 0.1 and toxicity.calibrated(0.9, slope, shift) > 0.9
 
 
 # Pages
