@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,3 +79,38 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 def rows_of(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal values in ``names`` (numbers), which are sorted; one run is held at a time."""
+    here, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            name = tuple(keys[:, a].tolist())
+            if name != here and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            here = name
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def spanning(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """(id, smallest id of its component) for each other document of a component, by a symmetric matrix of links."""
+    out, open_ = [], np.ones(len(ids), bool)
+    for k in range(len(ids)):
+        if open_[k]:
+            open_[k] = False
+            members = front = np.array([k])
+            while len(front):
+                front = np.flatnonzero(linked[front].any(axis=0) & open_)
+                open_[front] = False
+                members = np.concatenate([members, front])
+            own = np.unique(ids[members])
+            out += [(x, int(own[0])) for x in own[1:].tolist()]
+    return out
