@@ -4,12 +4,15 @@ Each partition keeps ``open_windows`` open windows. A document's ids come in onl
 at once as sequences of their own, and what is left goes, uncut, to the open window that it fills best. Where it fits
 none, the fullest window is topped up with the piece's head (documents may be cut freely; gaps under ``min_cut`` stay)
 and emitted, and the rest opens a window of its own. Windows still open at a partition's end are leftovers: they are
-merged whole, best-fit, in groups of ``MERGE`` partitions, and what those leave in one last round, whose input is at
-most ``open_windows`` windows a group.
+merged whole, best-fit, in groups of ``MERGE`` partitions, of which each hands its ``open_windows`` emptiest windows on
+to a group of ``MERGE`` groups, and so on up a tree, so no group holds more than ``MERGE`` times ``open_windows`` rows.
 
 Tokenizing is the cost, so each Python worker keeps a bounded table of words it has met. Lower-case runs of letters,
 with the punctuation after them, go straight to the tokenizer's model; any other word takes its whole pipeline. Words
-never span white space and the tokenizer drops white space, so ids are those of the whole text.
+never span white space and the tokenizer drops white space, so ids are those of the whole text. Control strings count
+as such in their own spelling only, so words that hold one in any case go to the pipeline as they are written.
+
+A piece's ``token_ids`` are its ids as little-endian unsigned 32-bit numbers.
 
 Defined cases: a null or empty text has no ids but the end id; repeated rows and ids are packed each for itself (their
 pieces carry equal ids); an empty table gives an empty result; other columns are not read.
@@ -20,7 +23,6 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -55,6 +57,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[bytes, bytes] = {}
+        self.marks = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # The byte-level alphabet: printable bytes stand for themselves, the rest for code points from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
@@ -75,7 +78,16 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> np.ndarray:
         known, parts = self.words, []
-        for w in text.lower().split():
+        lower = text.lower()
+        if any(mark in lower for mark in self.marks):
+            for raw in text.split():
+                w = raw.lower()
+                if any(mark in w for mark in self.marks):
+                    parts.append(np.asarray(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, self.kind).tobytes())
+                else:
+                    parts.append(self._word(w))
+            return np.frombuffer(b"".join(parts), self.kind).astype("<u4")
+        for w in lower.split():
             ids = known.get(w)
             if ids is None:
                 ids = self._word(w)
@@ -135,8 +147,8 @@ class Packer:
             insort(self.open, (used, number, held))
 
 
-_FIELDS = [*((n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), ("token_ids", pa.list_(pa.int32())), *((n, pa.int64()) for n in ("sequence_id", "offset")), ("full", pa.bool_()), ("part", pa.int64())]
-_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, token_ids array<int>, sequence_id bigint, offset bigint, full boolean, part bigint"
+_FIELDS = [*((n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens")), ("token_ids", pa.binary()), *((n, pa.int64()) for n in ("sequence_id", "offset")), ("full", pa.bool_()), ("part", pa.int64())]
+_SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, token_ids binary, sequence_id bigint, offset bigint, full boolean, part bigint"
 
 
 def _rows(windows: list[tuple[int, list]], full: bool, part: int) -> pa.RecordBatch:
@@ -151,7 +163,7 @@ def _rows(windows: list[tuple[int, list]], full: bool, part: int) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _pack_batches(path: str, window: int, space: int, min_cut: int, with_ids: bool):
+def _pack_batches(path: str, window: int, space: int, min_cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         packer, encode = Packer(window, space, min_cut, part << 32), encoder(path).encode
@@ -160,8 +172,7 @@ def _pack_batches(path: str, window: int, space: int, min_cut: int, with_ids: bo
                 ids = np.append(encode(text), np.uint32(END_ID)).astype("<u4")
 
                 def piece(start: int, n: int, ids: np.ndarray = ids, doc_id: int | None = doc_id) -> tuple:
-                    own = ids[start : start + n]
-                    return doc_id, start, n, zlib.crc32(own.tobytes()), len(ids), own.tolist() if with_ids else None
+                    return doc_id, start, n, len(ids), ids[start : start + n].tobytes()
 
                 packer.add(len(ids), piece)
             yield _rows(packer.closed, True, part)
@@ -171,8 +182,14 @@ def _pack_batches(path: str, window: int, space: int, min_cut: int, with_ids: bo
     return run
 
 
+_MOVES = "g bigint, sequence_id bigint, into bigint, shift bigint, used bigint, open boolean"
+
+
 def _merge(window: int, space: int):
-    """Best-fit of whole leftover windows; the rows of a group are its windows' lengths, in a fixed order."""
+    """Best-fit of whole leftover windows (g, sequence_id, used): which goes into which, and how far it moves there.
+
+    The ``space`` emptiest of those that are not nearly full stay open, with what they hold.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["used", "sequence_id"], ascending=[False, True])
@@ -185,25 +202,37 @@ def _merge(window: int, space: int):
                 held, into = 0, number
             out.append((number, into, held))
             insort(open_, (held + used, into))
-        short = {into for used, into in open_ if used < window * 15 // 16}
-        return pd.DataFrame({"sequence_id": [x[0] for x in out], "into": [x[1] for x in out], "shift": [x[2] for x in out], "open": [x[1] in short for x in out]})
+        held = {into: used for used, into in open_}
+        short = {into for used, into in open_[:space] if used < window * 15 // 16}
+        numbers, into, shift = zip(*out, strict=True)
+        return pd.DataFrame({"g": group["g"].iloc[0], "sequence_id": numbers, "into": into, "shift": shift, "used": [held[x] for x in into], "open": [x in short and x == n for n, x in zip(numbers, into, strict=True)]})
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, open_windows: int = OPEN_WINDOWS, min_cut: int = MIN_CUT, with_ids: bool = True) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, token_ids, sequence_id, offset.
+def _moves(left: DataFrame, window: int, space: int) -> DataFrame:
+    """sequence_id, to, by: where each leftover window (sequence_id, used, part) goes, and how far it moves there."""
+    top = left.agg(F.max("part")).first()[0] or 0
+    moves = left.select("sequence_id", F.col("sequence_id").alias("to"), F.lit(0).cast("long").alias("by"))
+    open_ = left.select("sequence_id", "used", F.floor(F.col("part") / MERGE).alias("g"))
+    while True:
+        step = materialize(open_.groupBy("g").applyInPandas(_merge(window, space), _MOVES), "packed-merge")
+        way = step.select(F.col("sequence_id").alias("to"), "into", "shift")
+        moves = moves.join(way, "to", "left").select("sequence_id", F.coalesce("into", "to").alias("to"), (F.col("by") + F.coalesce("shift", F.lit(0))).alias("by"))
+        if top < MERGE:
+            return moves
+        top //= MERGE
+        open_ = step.where("open").select("sequence_id", "used", F.floor(F.col("g") / MERGE).alias("g"))
 
-    ``with_ids=False`` leaves ``token_ids`` null, for callers that only need the digests.
-    """
+
+def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, open_windows: int = OPEN_WINDOWS, min_cut: int = MIN_CUT) -> DataFrame:
+    """One row a piece: doc_id, start, length, doc_tokens, token_ids, sequence_id, offset."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = materialize(own.mapInArrow(_pack_batches(tokenizer_path, window, open_windows, min_cut, with_ids), _SCHEMA), "packed")
-    # Which leftover window goes into which, and how far it moves there: a table of at most open_windows rows a partition.
-    left = pieces.where(~F.col("full")).groupBy("sequence_id").agg(F.sum("length").alias("used"), F.first("part").alias("part"))
-    moves = "sequence_id bigint, into bigint, shift bigint, open boolean"
-    first = materialize(left.groupBy((F.col("part") / MERGE).cast("long").alias("g")).applyInPandas(_merge(window, open_windows), moves), "packed-merge")
-    again = first.where("open").join(left.select("sequence_id", "used"), "sequence_id").groupBy("into").agg(F.sum("used").alias("used")).withColumnRenamed("into", "sequence_id")
-    last = again.groupBy(F.lit(0).alias("g")).applyInPandas(_merge(window, open_windows), moves).select(F.col("sequence_id").alias("into"), F.col("into").alias("into2"), F.col("shift").alias("shift2"))
-    moved = first.join(last, "into", "left").select("sequence_id", F.coalesce("into2", "into").alias("to"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("by"))
-    placed = pieces.join(materialize(moved, "packed-moves"), "sequence_id", "left")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "token_ids", F.coalesce("to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"))
+    pieces = materialize(own.mapInArrow(_pack_batches(tokenizer_path, window, open_windows, min_cut), _SCHEMA), "packed")
+    left = materialize(pieces.where(~F.col("full")).groupBy("sequence_id").agg(F.sum("length").alias("used"), F.first("part").alias("part")), "packed-left")
+    moves = materialize(_moves(left, window, open_windows), "packed-moves")
+    columns = [F.col(c) for c in ("doc_id", "start", "length", "doc_tokens", "token_ids")]
+    # Full windows never move; leftovers are a few windows a partition.
+    stay = pieces.where("full").select(*columns, "sequence_id", "offset")
+    moved = pieces.where(~F.col("full")).join(moves, "sequence_id").select(*columns, F.col("to").alias("sequence_id"), (F.col("offset") + F.col("by")).alias("offset"))
+    return stay.unionByName(moved)

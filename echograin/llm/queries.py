@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, html, jaccard, mixing, packing, permutation, pii, quality, suffix_tree, toxicity
 from .common import table
@@ -48,7 +49,8 @@ def default_tokenizer() -> str:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer(), with_ids=False).drop("token_ids")
+    packed = packing.pack(table(spark, sf_dir, "documents"), default_tokenizer())
+    return packed.withColumn("ids_crc32", F.crc32("token_ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "token_ids")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -418,8 +418,8 @@ def test_packing(spark, tokenizer):
     rows = packing.pack(docs, default_tokenizer(), window=512, open_windows=3).toPandas()
     for doc_id, own in rows.sort_values("start").groupby("doc_id"):
         ids = [*tokenizer.encode(texts[doc_id] or "", add_special_tokens=False).ids, 2]
-        assert [x for part in own.token_ids for x in part] == ids and (own.doc_tokens == len(ids)).all()
-        assert all(zlib.crc32(np.array(p, "<u4").tobytes()) == c for p, c in zip(own.token_ids, own.ids_crc32))
+        assert np.frombuffer(b"".join(own.token_ids), "<u4").tolist() == ids and (own.doc_tokens == len(ids)).all()
+        assert own.start.tolist() == [0, *own.length.cumsum()[:-1]] and all(len(p) == 4 * n for p, n in zip(own.token_ids, own.length))
     assert rows.doc_id.nunique() == len(texts)
     ends = rows.sort_values("offset").groupby("sequence_id")
     for _, own in ends:
@@ -429,6 +429,19 @@ def test_packing(spark, tokenizer):
     assert packing.pack(docs.limit(0), default_tokenizer()).count() == 0
 
 
+def test_packing_edges_and_the_merge_tree(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "MERGE", 3)
+    docs = corpus(spark, [prose(30, k) for k in range(40)]).repartition(20).withColumns({"sequence_id": F.lit("x"), "offset": F.lit(None).cast("int"), "doc_id": F.when(F.col("doc_id") % 9 > 0, F.col("doc_id"))})
+    rows = packing.pack(docs.withColumn("part", F.lit(1)), default_tokenizer(), window=256, open_windows=2).toPandas()
+    assert rows.doc_id.isna().sum() >= 5 and rows[rows.start == 0].shape[0] == 40
+    for _, own in rows.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 256
+    assert rows.sequence_id.nunique() * 256 < 1.6 * rows.length.sum()
+    merge = packing._merge(100, 4)
+    step = merge(packing.pd.DataFrame({"g": 0, "sequence_id": range(60), "used": [60] * 50 + [30] * 10}))
+    assert len(step) == 60 and step.open.sum() <= 4 and step.groupby("into")["used"].first().max() <= 100
+
+
 def test_packer_keeps_its_bounds():
     rng = np.random.default_rng(3)
     p = packing.Packer(100, 4, 10)
