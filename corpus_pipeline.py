@@ -44,7 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs, default_tokenizer(), with_ids=False).drop("token_ids")
+    return packing.pack(docs, default_tokenizer())
 
 
 STAGES = [("quality rules", quality_stage), ("n-gram Jaccard join", near_duplicate_stage), ("PII", pii_stage), ("mixing sources to target weights", mixing_stage), ("packing", packing_stage)]
