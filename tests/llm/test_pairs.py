@@ -264,9 +264,9 @@ def test_embedding_edges(spark):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
-    words = "the of and to in is that for it was on as with by at from this be are house river stone green walking under".split()
-    rng = np.random.default_rng(6)
-    texts = [" ".join(rng.choice(words, 150)) + f" mail a{k}@x.org" for k in range(40)]
+    from tests.llm.test_text_operators import speech
+
+    texts = [speech(150, k) + f" mail a{k}@x.org" for k in range(40)]
     texts += [texts[0], texts[1] + " extra", "short", None, "!!! ### " * 100]
     rows = [(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate(texts)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"

@@ -26,6 +26,18 @@ def corpus(spark, texts, lang="en", source="s"):
     return spark.createDataFrame([(k, t, lang, source, len(t) if t else None) for k, t in enumerate(texts)], DOCS)
 
 
+def speech(n: int, seed: int = 0, lang: str = "en") -> str:
+    """Sentences with a language's frequent words at their frequencies and invented words for the others."""
+    rng = np.random.default_rng(seed)
+    share = np.array(quality.PER_MILLE[lang]) / 1000
+    common = rng.choice(len(share) + 1, n, p=[*share, 1 - share.sum()])
+    words = [quality.COMMON_WORDS[lang][k] if k < len(share) else "".join(rng.choice(list("abdeghilmnorstu"), int(rng.integers(4, 9)))) for k in common]
+    for k in range(0, n, 11):
+        words[k] = words[k].capitalize()
+        words[k - 1] += "."
+    return " ".join(words)
+
+
 EDGES = [None, "", "   \n\t", "one", "one two", "é ünï 漢字", "x " * 5000, "a\x00b c"]
 
 
@@ -55,36 +67,64 @@ def test_quality_measures(spark):
         assert not (r.base_failed and r.kept)
 
 
-def test_quality_divergence_rejects_odd_text_and_keeps_clean(spark):
-    clean = [prose(200, k) for k in range(30)]
-    odd = [" ".join(f"{w}$$$ ###{k}" for k, w in enumerate(prose(100, 7).split()))]
-    rows = {r.doc_id: r for r in quality.quality_rules(corpus(spark, clean + odd)).collect()}
-    assert all(rows[k].kept for k in range(30)) and not rows[30].kept and not rows[30].base_failed
-    kept = quality.keep(corpus(spark, clean + odd).withColumn("row", F.lit("clash")))
-    assert kept.columns == [*DOCS.replace(" bigint", "").replace(" string", "").split(", "), "row"] and kept.count() == 30
-    other = corpus(spark, odd, lang=None)
-    assert quality.quality_rules(other).first().kept
-    assert quality.quality_rules(corpus(spark, [])).count() == 0
-
-
-def test_quality_limits_fall_with_length(spark):
-    # Menus without any common word, short and long, beside clean text of the same lengths.
-    names = "house river stone green walking under garden window silver market bridge summer".split()
-    menu = lambda n: " | ".join(names[k % 12] + names[k // 12 % 12] + names[k // 144] for k in range(n))
-    clean = [prose(n, n) for n in (55, 70, 90, 120, 200, 400, 800) for _ in range(5)]
-    texts = clean + [menu(n) for n in (60, 70, 200)]
-    rows = {r.doc_id: r for r in quality.quality_rules(corpus(spark, texts)).collect()}
-    assert all(rows[k].kept for k in range(len(clean)))
-    assert not any(rows[k].kept or rows[k].base_failed for k in range(len(clean), len(texts)))
-
-
-def test_divergence_is_jensen_shannon(spark):
-    p, q = [3, 0, 5], [1, 4, 5]
-    got = spark.range(1).select(quality.divergence(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)), 3).alias("d")).first().d
-    a, b = np.array(p) / 8, np.array(q) / 10
-    m = (a + b) / 2
-    kl = lambda x: sum(u * math.log2(u / v) for u, v in zip(x, m) if u > 0)
-    assert got == pytest.approx((kl(a) + kl(b)) / 2)
+def odd_texts(n):
+    """Junk that passes the base test: symbols in every word, menus, shouting, single letters."""
+    kinds = [lambda w, k: f"{w}$$$ ###{k}", lambda w, k: f"{w}{k} |", lambda w, k: f"{w}{k}".upper() + "!!", lambda w, k: w[:1] + str(k)]
+    return [" ".join(kinds[i % 4](w, k) for k, w in enumerate(prose(100 + i, i).split())) for i in range(n)]
+
+
+@pytest.mark.parametrize("lang", ["en", "fr", "de", "es"])
+def test_quality_keeps_clean_text_beside_a_majority_of_junk(spark, lang):
+    clean = [speech(n, n + k, lang) for n in (55, 80, 120, 200, 400, 900) for k in range(3)]
+    odd = odd_texts(120)
+    docs = corpus(spark, odd + clean, lang=lang)
+    rows = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert all(rows[120 + k].kept for k in range(len(clean)))
+    assert not any(rows[k].kept or rows[k].base_failed for k in range(120))
+    kept = quality.keep(docs.withColumn("row", F.lit("clash")))
+    assert kept.columns == [*DOCS.replace(" bigint", "").replace(" string", "").split(", "), "row"]
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(120, 120 + len(clean)))
+
+
+def test_quality_languages_and_edges(spark):
+    texts = [speech(300, 1, "de"), odd_texts(1)[0], speech(300, 2, "fr")]
+    assert [r.kept for r in quality.quality_rules(corpus(spark, texts, lang=None)).orderBy("doc_id").collect()] == [True, False, True]
+    assert all(r.kept for r in quality.quality_rules(corpus(spark, texts, lang="xx")).collect())
+    assert [r.kept for r in quality.quality_rules(corpus(spark, texts, lang="fr")).orderBy("doc_id").collect()] == [False, False, True]
+    docs = corpus(spark, [speech(300, 1)]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [(r.doc_id, r.kept) for r in quality.quality_rules(docs.unionByName(docs)).collect()] == [(None, True)] * 2
+    assert quality.quality_rules(corpus(spark, [])).count() == quality.keep(corpus(spark, [])).count() == 0
+
+
+def plain_verdict(text, lang):
+    """kept, by the definitions, in plain Python."""
+    n_words, _, _, _, repeated = plain_measure(text)
+    if n_words < 50 or 2 * repeated > n_words:
+        return False
+
+    def js(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        kl = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        return math.sqrt((kl(p) + kl(q)) / 2)
+
+    classes = Counter("beyond" if ord(c) > 127 else "space" if c in " \t\n\v\f\r" else "control" if not c.isprintable() else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "punctuation" if c in ".,;:!?'\"()-" else "symbol" for c in text)
+    want = {**quality.CLASS_PER_MILLE, "beyond": quality.BEYOND_ASCII_PER_MILLE[lang]}
+    want["lower"] = 1000 - sum(want.values())
+    chars = js([classes[k] / len(text) for k in want], [x / 1000 for x in want.values()])
+    counts = Counter(w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in re.sub("[A-Z]", lambda m: m[0].lower(), text).split())
+    shares = [counts[w] / n_words for w in quality.COMMON_WORDS[lang]]
+    ref = [x / 1000 for x in quality.PER_MILLE[lang]]
+    words = js([*shares, 1 - sum(shares)], [*ref, 1 - sum(ref)])
+    return (len(text) < 300 or chars <= math.sqrt(0.04 + 15 / len(text))) and words <= math.sqrt(0.04 + 6.2 / n_words)
+
+
+@pytest.mark.parametrize("lang", ["en", "fr"])
+def test_quality_verdict_by_its_definition(spark, lang):
+    rng = np.random.default_rng(len(lang))
+    texts = [" ".join(w if rng.random() > share else odd for w, odd in zip(speech(n, n, lang).split(), odd_texts(4)[k % 4].split() * 20)) for k, (n, share) in enumerate((n, s) for n in (50, 60, 150, 500) for s in np.linspace(0, 1, 13))]
+    rows = {r.doc_id: r.kept for r in quality.quality_rules(corpus(spark, texts, lang=lang)).collect()}
+    want = {k: plain_verdict(t, lang) for k, t in enumerate(texts)}
+    assert rows == want and 5 < sum(want.values()) < len(want) - 5
 
 
 # Mixing
