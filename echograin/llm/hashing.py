@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time.
-PART = 1 << 20
+PART = 1 << 16
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -69,7 +69,7 @@ def word_hashes(column: pa.Array, space: np.ndarray = SPACE) -> tuple[np.ndarray
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
     hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    while at < len(data):  # parts of some megabytes, cut behind white space
+    while at < len(data):  # parts, cut behind white space
         to = min(at + PART, len(data))
         while to < len(data) and not space[data[to - 1]]:
             more = np.flatnonzero(space[data[to : to + PART]])

@@ -46,8 +46,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, text_slices
+from .common import groups_of, materialize, release, spanning, text_slices
 from .graph import components
+from .hashing import mix, word_hashes
 
 SHINGLE = 3
 THRESHOLD = Fraction(9, 10)
@@ -62,87 +63,31 @@ FREQUENT = 1 << 21
 FREQUENT_IN_SLICE = 2
 CACHE_WORDS = 300_000
 FILTER_BITS = 1 << 27
-SLICE = 16 << 20
-#: Bytes of text that are hashed at a time.
-PART = 1 << 20
+SLICE = 8 << 20
+STEP = 1 << 14
 
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (multiply and shift), one to one."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def key_of(ids: np.ndarray) -> np.ndarray:
     """Mixed ids, one to one: the order in which documents are pivots."""
     return mix(ids.astype(np.int64).view(np.uint64) + _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _byte_values() -> np.ndarray:
-    values = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
-    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return values
-
-
-_BYTES = _byte_values()
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        _powers[:] = [np.cumprod(np.full(n, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _powers
-
-
-def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of UTF-8 bytes, and the place where each begins; ``edges`` (the first
-    bytes of texts) begin a word too. A word's hash is a polynomial of values of its bytes, from running sums."""
-    space = _SPACE[data]
-    first = np.ones(len(data), bool)
-    first[1:] = space[:-1]
-    first[edges[edges < len(data)]] = True
-    last = np.ones(len(data), bool)
-    last[:-1] = space[1:] | first[1:]
-    starts, ends = np.flatnonzero(first & ~space), np.flatnonzero(last & ~space)
-    up, down = _power_tables(len(data))
-    terms = _BYTES[data] * up[: len(data)]
-    sums = np.cumsum(terms)
-    h = (sums[ends] - sums[starts] + terms[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)), starts
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n``-grams of words, some at a time."""
+    out = np.full(max(0, len(h) - n + 1), n, np.uint64)
+    for at in range(0, len(out), STEP):
+        part = out[at : at + STEP]
+        for k in range(n):
+            part = mix(part * _U(0x9E3779B97F4A7C15) + h[at + k : at + k + len(part)])
+        out[at : at + STEP] = part
+    return out
 
 
 def text_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of the word n-grams of each text (none for null), in the column's order."""
-    column = column.cast(pa.large_binary())
-    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    hashes, starts, at = [], [], 0
-    while at < len(data):  # parts of some megabytes, cut behind white space or between texts
-        to = min(at + PART, len(data))
-        while to < len(data) and not _SPACE[data[to - 1]]:
-            more = np.flatnonzero(_SPACE[data[to : to + PART]])
-            to = min(len(data), to + (int(more[0]) + 1 if len(more) else PART))
-        h, own = word_hashes(data[at:to], ends[(ends >= at) & (ends < to)] - at)
-        hashes.append(h)
-        starts.append(own + at)
-        at = to
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    bounds = np.searchsorted(np.concatenate(starts) if starts else np.zeros(0, np.int64), ends)
-
-    def grams(h: np.ndarray, n: int) -> np.ndarray:
-        out = np.full(max(0, len(h) - n + 1), n, np.uint64)
-        for k in range(n):
-            out = mix(out * _U(0x9E3779B97F4A7C15) + h[k : k + len(out)])
-        return out
-
+    h, bounds = word_hashes(column)
     every = grams(h, width)
     for a, z in zip(bounds.tolist(), bounds[1:].tolist()):
         yield np.unique(every[a : z - width + 1] if z - a >= width else grams(h[a:z], z - a) if z > a else h[:0])
@@ -293,7 +238,7 @@ def _plausible_batches(t: Fraction):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
-        for group in _groups(batches, ["region"]):
+        for group in groups_of(batches, ["region"]):
             if group.num_rows < 2:
                 continue
             group = group.sort_by("key")
@@ -410,37 +355,7 @@ def forest(ids: np.ndarray, items: list[np.ndarray], t: Fraction) -> list[tuple[
     linked = np.zeros((m, m), bool)
     for k in range(0, m, 512):
         linked[k : k + 512] = shared[k : k + 512].astype(np.int64) * both >= num * (sizes[k : k + 512, None] + sizes[None, :])
-    out, open_ = [], np.ones(m, bool)
-    for k in range(m):
-        if open_[k]:
-            open_[k] = False
-            members = front = np.array([k])
-            while len(front):
-                front = np.flatnonzero(linked[front].any(axis=0) & open_)
-                open_[front] = False
-                members = np.concatenate([members, front])
-            own = np.unique(ids[members])
-            out += [(x, int(own[0])) for x in own[1:].tolist()]
-    return out
-
-
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal values in ``names``, which are sorted; one run is held at a time."""
-    here, held = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names])
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, z in zip(cuts, cuts[1:]):
-            name = tuple(keys[:, a].tolist())
-            if name != here and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            here = name
-            held.append(batch.slice(a, z - a))
-    if held:
-        yield pa.Table.from_batches(held)
+    return spanning(ids, linked)
 
 
 def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -456,7 +371,7 @@ def _block_batches(t: Fraction, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for group in _groups(batches, names):
+        for group in groups_of(batches, names):
             if group.num_rows > 1:
                 out += forest(group.column("doc_id").to_numpy(), _sets(group.column("items")), t)
             if len(out) > 20_000:

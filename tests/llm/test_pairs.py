@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from echograin.llm import graph, jaccard, permutation
+from echograin.llm import graph, hashing, jaccard, permutation
 
 DOCS = "doc_id bigint, text string"
 
@@ -174,13 +174,13 @@ def test_signatures_part_no_linked_sets(common, one, two, t, seed):
 @given(st.lists(st.one_of(st.none(), st.text("aB \t\n\x0b\u00a0é漢", max_size=40)), max_size=12), st.integers(1, 5), st.integers(1, 30))
 def test_text_sets(texts, width, part):
     """Equal sets of word n-grams for equal sets of hashes, whatever the parts in which bytes are hashed."""
-    column, before = jaccard.pa.array(texts, jaccard.pa.string()), jaccard.PART
+    column, before = jaccard.pa.array(texts, jaccard.pa.string()), hashing.PART
     try:
-        jaccard.PART = part
+        hashing.PART = part
         got = [frozenset(s.tolist()) for s in jaccard.text_sets(column, width)]
         assert [frozenset(s.tolist()) for s in jaccard.text_sets(column.slice(1), width)] == got[1:]
     finally:
-        jaccard.PART = before
+        hashing.PART = before
     words = [(x or "").encode().lower().split() for x in texts]
     want = [frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset() for w in words]
     assert [len(s) for s in got] == [len(s) for s in want]
