@@ -150,6 +150,78 @@ def key(token: Token, mode: str) -> str:
     return token.kind + (blind(token.kind, token.text, mode) or "")
 
 
+_PLAIN = re.compile(r"[A-Za-z0-9_]+|[^ \t\n\f\r]")
+
+
+def is_plain(lang: Language) -> bool:
+    """Whether a language has neither comments nor strings, so that its tokens are words and single characters."""
+    return not (lang.literate or lang.line or lang.block or lang.nested_comments or lang.quotes or lang.doc_quotes or lang.verbatim)
+
+
+class _Kinds(dict):
+    """(kind, text) of the tokens of plain text, each found once."""
+
+    def __missing__(self, token: str) -> tuple[str, str | None]:
+        if len(self) >= 200_000:
+            self.clear()
+        c = token[0]
+        word = c < "\x80" and (c.isalnum() or c == "_")
+        value = self[token] = (NUMBER if c.isdigit() else IDENT, token) if word else (PUNCT, token if c < "\x80" else None)
+        return value
+
+
+class _Keys(dict):
+    """Keys of the tokens of plain text under a blinding mode."""
+
+    def __init__(self, mode: str) -> None:
+        self.mode = mode
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= 200_000:
+            self.clear()
+        kind, text = _kinds[token]
+        value = self[token] = kind + (blind(kind, text, self.mode) or "")
+        return value
+
+
+_kinds = _Kinds()
+_keys: dict[str, _Keys] = {}
+
+
+def pairs(content: bytes, lang: str) -> list[tuple[str, str | None]]:
+    """(kind, text) of each token, without places."""
+    found = by_key().get(lang)
+    if found is None:
+        return []
+    if is_plain(found):
+        return list(map(_kinds.__getitem__, _PLAIN.findall(content.decode("latin-1"))))
+    return [(t.kind, t.text) for t in scan(content, found)[0]]
+
+
+def keys(content: bytes, lang: str, mode: str) -> list[str]:
+    """Key of each token."""
+    found = by_key().get(lang)
+    if found is None:
+        return []
+    if is_plain(found):
+        return list(map(_keys.setdefault(mode, _Keys(mode)).__getitem__, _PLAIN.findall(content.decode("latin-1"))))
+    return [key(t, mode) for t in scan(content, found)[0]]
+
+
+def counts(content: bytes, lang: str) -> Counts:
+    """Line counts; plain text needs no tokens for them."""
+    found = by_key().get(lang)
+    if found is None:
+        return Counts(0, 0, 0)
+    if not is_plain(found):
+        return scan(content, found)[1]
+    lines = content.split(b"\n")
+    if not lines[-1]:
+        lines.pop()
+    code = sum(1 for line in lines if line.strip(b" \t\f\r"))
+    return Counts(code, 0, len(lines) - code)
+
+
 def process(content: bytes, lang: str) -> tuple[list[Token], Counts]:
     """Tokens and counts by language key; an unknown key gives none."""
     found = by_key().get(lang)

@@ -7,6 +7,7 @@ distinct fingerprints and its sketch; everything after it is joins and aggregate
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +33,30 @@ def hash60(text: str) -> int:
     return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
 
 
-def gram_hashes(keys: list[str], k: int) -> list[int]:
+def gram_hashes(keys: list[str], k: int) -> np.ndarray:
     """Hash of each run of ``k`` token keys; none for fewer tokens or k = 0."""
-    return [hash60(" ".join(keys[i : i + k])) for i in range(len(keys) - k + 1)] if k else []
+    if not k or len(keys) < k:
+        return np.zeros(0, np.int64)
+    md5, runs = hashlib.md5, map(" ".join, zip(*(keys[i:] for i in range(k))))
+    digests = b"".join([md5(x).digest()[:8] for x in map(str.encode, runs)])
+    return (np.frombuffer(digests, ">u8") >> np.uint64(4)).astype(np.int64)
 
 
-def winnow(hashes: list[int], window: int) -> list[tuple[int, int]]:
-    """(position, hash) of each window's minimum, the rightmost among equals, each position once."""
+def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the windows' minima, the rightmost among equals, each once."""
     n = len(hashes) - window + 1
     if window <= 0 or n <= 0:
-        return []
-    h = np.array(hashes, np.int64)
+        return np.zeros(0, np.int64)
+    h = np.asarray(hashes, np.int64)
     rows = np.lib.stride_tricks.sliding_window_view(h, window)
-    at = np.unique(np.arange(n) + window - 1 - rows[:, ::-1].argmin(axis=1))
+    at = np.arange(n) + window - 1 - rows[:, ::-1].argmin(axis=1)
+    return at[np.append(True, at[1:] != at[:-1])]
+
+
+def winnow(hashes: list[int] | np.ndarray, window: int) -> list[tuple[int, int]]:
+    """(position, hash) of each window's minimum."""
+    h = np.asarray(hashes, np.int64)
+    at = winnowed(h, window)
     return list(zip(at.tolist(), h[at].tolist(), strict=True))
 
 
@@ -73,19 +85,22 @@ def _entries(options: ScanOptions, with_idents: bool):
             out = []
             for file_id, path, lang, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (content or "").encode()
-                found, _ = tokens.process(raw, lang)
-                if not found:
-                    continue
                 if options.granularity == "file":
-                    granules = [(-1, None, found)]
+                    idents = [t for kind, t in tokens.pairs(raw, lang) if kind == tokens.IDENT] if with_idents else None
+                    granules = [(-1, None, tokens.keys(raw, lang, options.blind), idents)]
                 else:
-                    granules = [(k, g, [t for t in found if g.byte_start <= t.start < g.byte_end]) for k, g in enumerate(slicing.slice_functions(raw, lang))]
-                for number, g, own in granules:
-                    keys = [tokens.key(t, options.blind) for t in own]
-                    fps = sorted({h for _, h in winnow(gram_hashes(keys, options.k), options.window)})
-                    if fps:
-                        idents = [t.text for t in own if t.kind == tokens.IDENT] if with_idents else None
-                        out.append((entry_id(file_id, number), path, lang, g and g.name, g and g.line_start, g and g.line_end, len(fps), fps, sketch(np.array(fps, np.int64), a, b).tolist(), idents))
+                    found = tokens.process(raw, lang)[0]
+                    keys, starts = [tokens.key(t, options.blind) for t in found], [t.start for t in found]
+                    granules = []
+                    for k, g in enumerate(slicing.slice_functions(raw, lang)):
+                        first, end = bisect_left(starts, g.byte_start), bisect_left(starts, g.byte_end)
+                        idents = [t.text for t in found[first:end] if t.kind == tokens.IDENT] if with_idents else None
+                        granules.append((k, g, keys[first:end], idents))
+                for number, g, keys, idents in granules:
+                    h = gram_hashes(keys, options.k)
+                    fps = np.unique(h[winnowed(h, options.window)])
+                    if len(fps):
+                        out.append((entry_id(file_id, number), path, lang, g and g.name, g and g.line_start, g and g.line_end, len(fps), fps.tolist(), sketch(fps, a, b).tolist(), idents))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(_ENTRY)], schema=schema)
 
     return run
@@ -101,22 +116,34 @@ def entries(corpus: DataFrame, options: ScanOptions = ScanOptions(), with_idents
     return rows.select("entry_id", "path", "lang", "content").mapInArrow(_entries(options, with_idents), ENTRY_DDL)
 
 
+_TOKENS = [("entry_id", pa.int64()), ("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), *((n, pa.int32()) for n in ("byte_start", "byte_end", "line", "col"))]
 _TOKEN_DDL = "entry_id bigint, pos int, kind string, text string, byte_start int, byte_end int, line int, col int"
 
 
-def token_rows(corpus: DataFrame, blind: str = "strict") -> DataFrame:
-    """The token table: one row a token, with what blinding leaves of its text."""
-    schema = pa.schema([("entry_id", pa.int64()), ("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), *((n, pa.int32()) for n in ("byte_start", "byte_end", "line", "col"))])
+def token_rows(corpus: DataFrame, blind: str = "strict", places: bool = True) -> DataFrame:
+    """The token table: one row a token, with what blinding leaves of its text; ``places=False`` leaves out offsets,
+    line and column, which cost as much as the tokens."""
+    schema = pa.schema(_TOKENS if places else _TOKENS[:4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                part, out = batch.slice(k, 64), []
-                for file_id, lang, content in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    out += [(file_id, pos, t.kind, tokens.blind(t.kind, t.text, blind), t.start, t.end, t.line, t.col) for pos, t in enumerate(tokens.process((content or "").encode(), lang)[0])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    return corpus.select("entry_id", "lang", "content").mapInArrow(run, _TOKEN_DDL)
+                part, out, sizes = batch.slice(k, 64), [[] for _ in range(6)], []
+                for lang, content in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
+                    raw = (content or "").encode()
+                    if places:
+                        found = [(t.kind, tokens.blind(t.kind, t.text, blind), t.start, t.end, t.line, t.col) for t in tokens.process(raw, lang)[0]]
+                    else:
+                        found = [(kind, tokens.blind(kind, t, blind)) for kind, t in tokens.pairs(raw, lang)]
+                    sizes.append(len(found))
+                    for column, values in zip(out, zip(*found, strict=True), strict=False):
+                        column += values
+                ids = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(ids), pa.array(pos), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[2:], strict=False))], schema=schema)
+
+    ddl = _TOKEN_DDL if places else "entry_id bigint, pos int, kind string, text string"
+    return corpus.select("entry_id", "lang", "content").mapInArrow(run, ddl)
 
 
 def fingerprint_rows(corpus: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -125,11 +152,13 @@ def fingerprint_rows(corpus: DataFrame, options: ScanOptions = ScanOptions()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for file_id, lang, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = [tokens.key(t, options.blind) for t in tokens.process((content or "").encode(), lang)[0]]
-                out += [(file_id, pos, h) for pos, h in winnow(gram_hashes(keys, options.k), options.window)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+            at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lang, content in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                h = gram_hashes(tokens.keys((content or "").encode(), lang, options.blind), options.k)
+                at.append(winnowed(h, options.window))
+                hashes.append(h[at[-1]])
+            ids = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in at[1:]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes))], schema=schema)
 
     return corpus.select("entry_id", "lang", "content").mapInArrow(run, "entry_id bigint, pos int, hash bigint")
 
@@ -140,7 +169,7 @@ def line_counts(corpus: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, g, *tokens.process((c or "").encode(), g)[1]) for i, g, c in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            out = [(i, g, *tokens.counts((c or "").encode(), g)) for i, g, c in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return corpus.select("entry_id", "lang", "content").mapInArrow(run, "entry_id bigint, lang string, code bigint, comment bigint, blank bigint")

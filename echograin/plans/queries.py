@@ -35,8 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Input for which a core is worth waking: smaller tables may be one row group, which one task would read and work on.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is too small to be split by its reader; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(2 * cores) if size < cores * SPREAD_BYTES else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return docs.select(F.col("doc_id").alias("entry_id"), path.alias("path"), F.lit("Text").alias("lang"), F.col("text").alias("content"))
 
@@ -68,7 +79,7 @@ _NAIVE = sql.BASE + sql.NAIVE + sql.findings("naive", "jaccard", "jaccard")
 
 @query("WITH " + sql.tokens("strict") + " SELECT doc_id, kind, count(*) AS n FROM kinds GROUP BY 1, 2")
 def tokens_count_by_kind(spark, sf_dir):
-    return E.token_rows(corpus(spark, sf_dir)).groupBy(F.col("entry_id").alias("doc_id"), "kind").agg(F.count("*").alias("n"))
+    return E.token_rows(corpus(spark, sf_dir), places=False).groupBy(F.col("entry_id").alias("doc_id"), "kind").agg(F.count("*").alias("n"))
 
 
 def _blinded(mode):
@@ -76,7 +87,7 @@ def _blinded(mode):
 
     def run(spark, sf_dir):
         key = F.concat("kind", F.coalesce("text", F.lit("")))
-        return E.token_rows(corpus(spark, sf_dir), mode).groupBy(F.col("entry_id").alias("doc_id")).agg(F.count("*").alias("n"), F.countDistinct(key).alias("distinct_keys"), F.min(F.md5(key.cast("binary"))).alias("low"))
+        return E.token_rows(corpus(spark, sf_dir), mode, places=False).groupBy(F.col("entry_id").alias("doc_id")).agg(F.count("*").alias("n"), F.countDistinct(key).alias("distinct_keys"), F.min(F.md5(key.cast("binary"))).alias("low"))
 
     run.__name__ = f"tokens_blind_{mode}"
     query(oracle)(run)
@@ -93,7 +104,7 @@ def kgram_hashes(spark, sf_dir):
 
     order = Window.partitionBy("entry_id").orderBy("pos")
     key = F.concat("kind", F.coalesce("text", F.lit("")))
-    runs = E.token_rows(corpus(spark, sf_dir), "mild").withColumn("key", key).select("entry_id", F.collect_list("key").over(order.rowsBetween(0, 4)).alias("run"))
+    runs = E.token_rows(corpus(spark, sf_dir), "mild", places=False).withColumn("key", key).select("entry_id", F.collect_list("key").over(order.rowsBetween(0, 4)).alias("run"))
     grams = runs.where(F.size("run") == 5).select("entry_id", text.md5_60(F.array_join("run", " ")).alias("h"))
     return grams.groupBy(F.col("entry_id").alias("doc_id")).agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
 
