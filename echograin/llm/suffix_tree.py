@@ -1,12 +1,13 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of up to ``depth`` preceding words; a text is scored word by word in the longest state that is a
-suffix of what went before. Every gram seen ``min_count`` times in training is counted, however large the corpus; a
-context is retained where its next-symbol distribution diverges from its parent's: the likelihood gain of its counts
-(a Kullback-Leibler divergence times its count) has to pay for its parameters, ``test`` times half a logarithm of the
-corpus size each. A retained state needs its parents, which stay with it. Distributions are smoothed by interpolation
-with the parent's (Witten-Bell; counts below the limit join the parent's share), down to add-one unigrams over all
-training tokens.
+States are contexts of preceding words, of any length; a text is scored word by word in the longest state that is a
+suffix of what went before. The tree grows level by level. A context is a candidate if it was seen ``min_count`` times
+in training, however large the corpus, and the context without its first word, its parent, is a state; it is retained
+where its next-symbol distribution diverges from its parent's: the likelihood gain of its counts (a Kullback-Leibler
+divergence times its count) has to pay for its parameters, ``test`` times half a logarithm of the corpus size each. The
+tree is finished when a level retains nothing; there is no other bound on depth. Distributions are smoothed by
+interpolation with the parent's (Witten-Bell; counts below the limit join the parent's share), down to add-one unigrams
+over all training tokens.
 
 Words, grams, states and weights are tables in the shared folder, keyed by 64-bit hashes, and grow with the corpus. A
 text's log score is a sum over its grams of all orders: a gram adds what it changes against its parent's share, and,
@@ -21,69 +22,23 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, rows_of, text_slices, utf8
+from .common import crc_mod, materialize, release, text_slices
+from .hashing import word_hashes
 
-DEPTH = 2
 MIN_COUNT = 2
 TEST = 1.0
 MODULUS, HELD_OUT = 7, 2
-#: Distinct words a worker holds before it hands its counts on.
-FLUSH = 200_000
 #: Weights that are broadcast, and bits of the bitmap of keys, at any corpus size.
 CACHE, BITS = 400_000, 27
-END = b""
-SEED = 42
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-def word_hash(word: bytes) -> int:
-    """Spark's xxhash64 of the word as a string."""
-    h = xxhash.xxh64_intdigest(word, SEED)
-    return h - (1 << 64) if h >> 63 else h
-
-
-@dataclass
-class Level:
-    """Grams of a level, sorted by key = context key * base + symbol; states by context key."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    states: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    share: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the parent in the state's distribution
-    total: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-
-@dataclass
-class Model:
-    ids: dict[bytes, int]
-    unigrams: np.ndarray
-    n: int
-    v: int
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def base(self) -> int:
-        return len(self.unigrams) + 1
-
-    def encode(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
-        words = words_of(text)
-        words.append(END)
-        get = self.ids.get
-        return np.fromiter([get(w, -1) for w in words], np.int64, len(words)), words
+END = np.uint64(0x5EED5EED5EED5EED)
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,179 +49,23 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def grams(ids: np.ndarray, order: int, base: int) -> np.ndarray:
-    """Keys of the grams that end at each place from ``order - 1`` on; -1 where a word is none of the model's."""
-    n = len(ids) - order + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    key, known = np.zeros(n, np.int64), np.ones(n, bool)
-    for k in range(order):
-        part = ids[k : k + n]
-        key = key * base + part
-        known &= part >= 0
-    return np.where(known, key, -1)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-    held: Counter[bytes] = Counter()
-    for batch in text_slices(batches, "text"):
-        for text in utf8(batch.column(0)):
-            held.update(words_of(text))
-            held[END] += 1
-            if len(held) >= FLUSH:
-                yield rows_of(schema, [list(held), list(held.values())])
-                held.clear()
-    if held:
-        yield rows_of(schema, [list(held), list(held.values())])
-
-
-def _count_grams(model: Model, order: int):
-    """Counts of grams whose words are the model's and whose prefix and suffix are grams of the level below."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-        below = model.levels[-1].keys if model.levels else None
-        for batch in text_slices(batches, "text", 8 << 20):
-            found = []
-            for text in utf8(batch.column(0)):
-                ids = model.encode(text)[0]
-                keys = grams(ids, order, model.base)
-                if below is not None and len(keys):
-                    shorter = grams(ids, order - 1, model.base)
-                    there = find(below, shorter)[1]
-                    keys = keys[there[:-1] & there[1:] & (keys >= 0)]
-                found.append(keys[keys >= 0])
-            keys, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], schema=schema)
-
-    return run
-
-
-def _split(key: np.ndarray, order: int, base: int) -> list[np.ndarray]:
-    out = []
-    for _ in range(order):
-        out.append(key % base)
-        key = key // base
-    return out[::-1]
-
-
-def _probability(model: Model, words: list[np.ndarray], order: int) -> np.ndarray:
-    """Smoothed P(last word | the words before), by states of the levels that are built so far."""
-    p = (model.unigrams[words[-1]] + 1) / (model.n + model.v + 1)
-    for k, level in enumerate(model.levels[: order - 1], start=1):
-        context = np.zeros(len(p), np.int64)
-        for w in words[-1 - k : -1]:
-            context = context * model.base + w
-        p = _step(level, context, context * model.base + words[-1], p)
-    return p
-
-
-def _step(level: Level, context: np.ndarray, gram: np.ndarray, p: np.ndarray) -> np.ndarray:
-    at, state = find(level.states, context)
-    if not state.any():
-        return p
-    place, seen = find(level.keys, gram)
-    count = np.where(seen, level.counts[place] if len(level.counts) else 0, 0)
-    return np.where(state, (count + level.share[at] * p) / level.total[at], p)
-
-
-def build_level(model: Model, keys: np.ndarray, counts: np.ndarray, order: int, test: float) -> None:
-    """Adds the level of grams of ``order`` words: its retained states and their smoothed distributions."""
-    rank = np.argsort(keys)
-    keys, counts = keys[rank], counts[rank]
-    level = Level(keys, counts)
-    if len(keys):
-        words = _split(keys, order, model.base)
-        context = keys // model.base
-        parent = _probability(model, words, order)
-        states, first = np.unique(context, return_index=True)
-        kept = np.add.reduceat(counts, first)
-        kinds = np.diff(np.append(first, len(keys)))
-        if order == 2:
-            total = model.unigrams[states]
-        else:
-            total = model.levels[-1].counts[find(model.levels[-1].keys, states)[0]]
-        total = np.maximum(total, kept).astype(float)
-        each = np.repeat(np.arange(len(states)), kinds)
-        gain = np.add.reduceat(counts * np.log(counts / total[each] / parent), first)
-        rest, parent_rest = total - kept, np.maximum(1 - np.add.reduceat(parent, first), 1e-12)
-        gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / total / parent_rest), 0)
-        good = gain >= test * kinds * np.log(max(model.n, 2)) / 2
-        if order > 2:  # a state's parent stands in the tree too
-            good &= find(model.levels[-1].states, states % model.base ** (order - 2))[1]
-        level.states, level.share, level.total = states[good], (rest + kinds)[good], (total + kinds)[good]
-    model.levels.append(level)
-
-
-def fit(train: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, test: float = TEST) -> tuple[Model, DataFrame]:
-    """The tree in the driver's memory, for small corpora only (tests hold the tables against it), and the table of all
-    training words' counts (hash, c); ``train`` has a column ``text``."""
-    spark = train.sparkSession
-    counted = train.select("text").mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
-    counted = materialize(counted, "pst-words")
-    n, v = (x or 0 for x in counted.agg(F.sum("c"), F.count("*")).first())
-    frequent = counted.where(F.col("c") >= min_count).toArrow()
-    words, counts = frequent.column("word").to_pylist(), frequent.column("c").to_numpy()
-    rank = np.argsort(-counts, kind="stable")
-    model = Model({words[k]: i for i, k in enumerate(rank)}, counts[rank], n, v)
-    for order in range(2, depth + 2):
-        shared = spark.sparkContext.broadcast(model)
-        found = train.select("text").mapInArrow(_late(shared, order), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-        kept = found.where(F.col("n") >= min_count).toArrow()
-        build_level(model, kept.column("key").to_numpy(), kept.column("n").to_numpy(), order, test)
-    return model, counted.select(F.xxhash64(F.col("word").cast("string")).alias("hash"), "c")
-
-
-def _late(shared, order: int):
-    return lambda batches: _count_grams(shared.value, order)(batches)
-
-
-def score_text(model: Model, text: bytes) -> tuple[int, int, float, float, list[bytes]]:
-    """Tokens, known ones among the frequent, log10 base and tree scores without the rare words' own part, rare words."""
-    ids, words = model.encode(text)
-    known = ids >= 0
-    own = np.where(known, (model.unigrams[ids] if len(model.unigrams) else 0) + 1, 1) / np.where(known, model.n + model.v + 1, 1)
-    p = own
-    for k, level in enumerate(model.levels, start=1):
-        context = np.full(len(ids), -1, np.int64)
-        got = grams(ids, k, model.base)
-        if len(got) > 1:
-            context[k:] = got[:-1]
-        gram = np.where((context >= 0) & known, context * model.base + ids, -1)
-        p = _step(level, context, gram, p)
-    return len(ids), int(known.sum()), float(np.log10(own).sum()), float(np.log10(p).sum()), [words[i] for i in np.flatnonzero(~known)]
-
-
-class Hashes(dict):
-    """Hashes of words, computed once each."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= FLUSH:
-            self.clear()
-        h = self[word] = word_hash(word)
-        return h
-
-
-def hashed(texts: list[bytes], hashes: Hashes, depth: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def hashed(column: pa.Array, orders: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Lengths of the texts with their ends, keys of the grams of each order that end at each token of all texts, and
     the tokens' places in their texts (a gram of order k is one from place k - 1 on)."""
-    words: list[bytes] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = words_of(text)
-        words += own
-        words.append(END)
-        sizes[i] = len(own) + 1
-    first = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    words, bounds = word_hashes(column)
+    sizes = np.diff(bounds) + 1
+    first = np.full(len(words) + len(sizes), END)
+    ends = np.cumsum(sizes) - 1
+    inner = np.ones(len(first), bool)
+    inner[ends] = False
+    first[inner] = words
     keys = [first]
-    for order in range(2, depth + 2):
-        context = np.concatenate([first[:1], keys[-1][:-1]])
-        x = context * np.uint64(0x9E3779B97F4A7C15) + first + np.uint64(order)
+    for order in range(2, orders + 1):
+        x = np.concatenate([first[:1], keys[-1][:-1]]) * np.uint64(0x9E3779B97F4A7C15) + first + np.uint64(order)
         for factor in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
             x = (x ^ (x >> np.uint64(32))) * np.uint64(factor)
         keys.append(x ^ (x >> np.uint64(32)))
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(first)) - np.repeat(ends + 1 - sizes, sizes)
     return sizes, [k.view(np.int64) for k in keys], place
 
 
@@ -285,62 +84,83 @@ def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-_GRAMS = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("shorter", pa.int64()), ("n", pa.int64())])
+_GRAMS = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("shorter", pa.int64()), ("above", pa.int64()), ("n", pa.int64())])
 
 
 def _gram_batches(shared, order: int):
-    """Counts of the grams of ``order`` words whose prefix and suffix may be grams of the level below."""
+    """Counts of the grams of ``order`` words whose context may be a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes = shared and shared.value, Hashes()
-        for batch in text_slices(batches, "text", 16 << 20):
-            _, keys, place = hashed(utf8(batch.column(0)), hashes, order - 1)
+        for batch in text_slices(batches, "text", 8 << 20):
+            _, keys, place = hashed(batch.column(0), order)
             at = np.flatnonzero(place >= order - 1)
-            if order > 1:
-                there = maybe(bits, keys[-2])
-                at = at[there[at] & there[at - 1]]
+            if order == 3:  # all pairs are counted, so contexts are known
+                at = at[maybe(shared.value[1], keys[1][at - 1])]
+            if order > 2:
+                at = at[maybe(shared.value[0], keys[order - 3][at - 1])]
             key, first, n = np.unique(keys[-1][at], return_index=True, return_counts=True)
-            context, shorter = (keys[-2][at - 1][first], keys[-2][at][first]) if order > 1 else (key, key)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (key, context, shorter, n)], schema=_GRAMS)
+            at = at[first]
+            none = np.zeros(len(at), np.int64)
+            columns = key, keys[order - 2][at - 1] if order > 1 else none, keys[order - 2][at] if order > 1 else none, keys[order - 3][at - 1] if order > 2 else none, n
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], schema=_GRAMS)
 
     return run
 
 
-def counted_grams(train: DataFrame, order: int, bits: np.ndarray | None = None) -> DataFrame:
-    shared = None if bits is None else train.sparkSession.sparkContext.broadcast(bits)
-    found = train.select("text").mapInArrow(_gram_batches(shared, order), "key bigint, context bigint, shorter bigint, n bigint")
-    return found.groupBy("key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("n").alias("n"))
+def counted_grams(train: DataFrame, order: int, *bits: np.ndarray) -> DataFrame:
+    shared = train.sparkSession.sparkContext.broadcast(bits)
+    found = train.select("text").mapInArrow(_gram_batches(shared, order), "key bigint, context bigint, shorter bigint, above bigint, n bigint")
+    return found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("context", "shorter", "above")], F.sum("n").alias("n"))
 
 
-def fit_tables(train: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, test: float = TEST) -> tuple[DataFrame, int, int]:
-    """The tree as a table of weights (key, w, base, known, n), training tokens and distinct words."""
+def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST, depth: int | None = None) -> tuple[DataFrame, int, int, int]:
+    """The tree as a table of weights (key, w, base, known, n), training tokens, distinct words, and the tree's depth.
+
+    ``depth`` ends the tree early, for comparisons.
+    """
     words = materialize(counted_grams(train, 1).select("key", "n"), "pst-words")
     n, v = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     nothing = F.lit(0.0)
     parts = [words.select("key", F.log10(F.col("n") + 1).alias("w"), F.log10(F.col("n") + 1).alias("base"), F.lit(1).alias("known"), "n")]
-    level = words.select("key", F.col("key").alias("shorter"), "n", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p")).where(F.col("n") >= min_count)
-    states = None
-    for order in range(2, depth + 2):
-        grams_ = counted_grams(train, order, bitmap(level.select("key"))).where(F.col("n") >= min_count)
-        grams_ = materialize(grams_.join(level.select(F.col("key").alias("shorter"), F.col("p").alias("parent")), "shorter"), f"pst-grams-{order}")
-        sums = grams_.groupBy("context").agg(F.sum("n").alias("kept"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("parent"))).alias("gain"), F.sum("parent").alias("mass"))
-        sums = sums.join(level.select(F.col("key").alias("context"), F.col("n").alias("total"), "shorter"), "context").withColumn("total", F.greatest("total", "kept"))
+    level = words.select("key", "n", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"))
+    states, order, held = None, 1, [words]
+    while depth is None or order <= depth:
+        order += 1
+        bits = [bitmap(states.select(F.col("context").alias("key")))] if states is not None else []
+        if order == 3:
+            bits.append(bitmap(level.where(F.col("n") >= min_count).select("key")))
+        grams_ = counted_grams(train, order, *bits)
+        if order > 2:
+            grams_ = grams_.join(states.select(F.col("context").alias("above")), "above", "left_semi")
+        # A context's count is that of all its grams, the rare ones too: every context is followed by a token.
+        frequent = F.col("n") >= min_count
+        totals = F.sum("n").over(Window.partitionBy("context")).alias("total") if order > 2 else None
+        if totals is None:
+            counted = grams_.where(frequent).join(level.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+        else:
+            counted = grams_.select("*", totals).where(frequent)
+        parents = level.where(frequent).select(F.col("key").alias("shorter"), F.col("p").alias("parent"))
+        counted = materialize(counted.join(parents, "shorter").select("key", "context", "n", "total", "parent"), f"pst-grams-{order}")
+        sums = counted.groupBy("context").agg(F.first("total").alias("total"), F.sum("n").alias("kept"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("parent"))).alias("gain"), F.sum("parent").alias("mass"))
         rest = F.col("total") - F.col("kept")
         gain = F.col("gain") - F.col("kept") * F.log("total") + F.when(rest > 0, rest * F.log(rest / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(nothing)
         good = sums.where(gain >= F.lit(test * np.log(max(n, 2)) / 2) * F.col("kinds"))
-        if states is not None:  # a state's parent stands in the tree too
-            good = good.join(states.select(F.col("context").alias("shorter")), "shorter", "left_semi")
         states = materialize(good.select("context", (rest + F.col("kinds")).cast("double").alias("share"), (F.col("total") + F.col("kinds")).cast("double").alias("sum")), f"pst-states-{order}")
+        if states.isEmpty():
+            order -= 1
+            break
         p = F.coalesce((F.col("n") + F.col("share") * F.col("parent")) / F.col("sum"), F.col("parent"))
         change = F.log10(p) - F.log10(F.col("share") / F.col("sum")) - F.log10("parent")
-        level = materialize(grams_.join(states, "context", "left").select("key", "shorter", "n", p.alias("p"), change.alias("w")), f"pst-level-{order}")
+        level = materialize(counted.join(states, "context", "left").select("key", "n", p.alias("p"), change.alias("w")), f"pst-level-{order}")
         parts.append(level.where("w IS NOT NULL").select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), "n"))
         parts.append(states.select(F.col("context").alias("key"), F.log10(F.col("share") / F.col("sum")).alias("w"), nothing.alias("base"), F.lit(0).alias("known"), F.lit(0).cast("long").alias("n")))
+        held += [counted, states, level]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    weights = whole.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("w", "base", "known", "n")])
-    return materialize(weights, "pst-weights"), n, v
+    weights = materialize(whole.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("w", "base", "known", "n")]), "pst-weights")
+    release(*held)
+    return weights, n, v, order
 
 
 _SCORES = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, tree double, rare array<bigint>"
@@ -351,9 +171,9 @@ def _score_batches(shared, depth: int):
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (cached, w, base, known, bits), hashes, row = shared.value, Hashes(), TaskContext.get().partitionId() << 40
+        (cached, w, base, known, bits), row = shared.value, TaskContext.get().partitionId() << 40
         for batch in text_slices(batches, "text"):
-            sizes, keys, place = hashed(utf8(batch.column(1)), hashes, depth)
+            sizes, keys, place = hashed(batch.column(1), depth)
             rows, of = batch.num_rows, np.repeat(np.arange(batch.num_rows), sizes)
             sums, owners, rare = np.zeros((3, rows)), [], []
             for k, key in enumerate(keys):
@@ -376,8 +196,8 @@ def _score_batches(shared, depth: int):
     return run
 
 
-def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int = DEPTH) -> DataFrame:
-    """Scores of the rows of ``docs`` (doc_id, text, held_out)."""
+def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int) -> DataFrame:
+    """Scores of the rows of ``docs`` (doc_id, text, held_out); ``depth`` is the longest gram's order."""
     top = weights.orderBy(F.desc("n"), "key").limit(CACHE).toArrow()
     columns = [top.column(c).to_numpy() for c in ("key", "w", "base", "known")]
     rank = np.argsort(columns[0])
@@ -392,7 +212,7 @@ def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int = DEPT
     )
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT, test: float = TEST) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count: int = MIN_COUNT, test: float = TEST) -> DataFrame:
     """Fits on the rows whose id's crc32 leaves another remainder than the held-out one, and scores all rows."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (crc_mod(F.col(doc_id), MODULUS) == HELD_OUT).alias("held_out"))
-    return score(own, *fit_tables(own.where(~F.col("held_out")), depth, min_count, test), depth)
+    return score(own, *fit_tables(own.where(~F.col("held_out")), min_count, test))

@@ -261,61 +261,102 @@ def test_surrogates_in_a_very_long_text(spark):
 # Language model
 
 
-def test_suffix_tree_base_and_normalisation(spark):
-    texts = [*EDGES, *(prose(80, k) for k in range(20)), "THE Of unknownword"]
-    docs = corpus(spark, texts)
-    rows = suffix_tree.score_documents(docs).collect()
-    split = lambda t: (t or "").encode().lower().split() + [b""]
-    train = Counter(w for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2 for w in split(t))
-    n, v = sum(train.values()), len(train)
+class PlainTree:
+    """The suffix tree by its definition, in plain Python."""
+
+    def __init__(self, texts, min_count=2, test=1.0):
+        seqs = [self.words(t) for t in texts]
+        self.uni = Counter(w for s in seqs for w in s)
+        self.n, self.v, self.states, order = sum(self.uni.values()), len(self.uni), {}, 1
+        while True:
+            order += 1
+            grams, total = Counter(), Counter()
+            for s in seqs:
+                for i in range(order - 1, len(s)):
+                    context = s[i - order + 1 : i]
+                    if order == 2 or context[1:] in self.states:
+                        grams[context, s[i]] += 1
+                        total[context] += 1
+            if order == 2:
+                total = {(w,): c for w, c in self.uni.items()}
+            by_context = {}
+            for (context, w), c in grams.items():
+                if c >= min_count:
+                    by_context.setdefault(context, {})[w] = c
+            found = {}
+            for context, counts in by_context.items():
+                kept, all_ = sum(counts.values()), total[context]
+                parent = {w: self.p(w, context[1:]) for w in counts}
+                gain = sum(c * math.log(c / all_ / parent[w]) for w, c in counts.items())
+                rest = all_ - kept
+                if rest:
+                    gain += rest * math.log(rest / all_ / max(1 - sum(parent.values()), 1e-12))
+                if gain >= test * len(counts) * math.log(max(self.n, 2)) / 2:
+                    found[context] = (counts, rest + len(counts), all_ + len(counts))
+            if not found:
+                break
+            self.states |= found
+        self.depth = order - 1
+
+    @staticmethod
+    def words(text):
+        return (*(text or "").encode().lower().split(), b"")
+
+    def p(self, w, context):
+        p = (self.uni[w] + 1) / (self.n + self.v + 1) if self.n else 1.0
+        for k in range(1, len(context) + 1):
+            if (state := self.states.get(context[-k:])) is None:
+                break
+            p = (state[0].get(w, 0) + state[1] * p) / state[2]
+        return p
+
+    def score(self, text):
+        s = self.words(text)
+        return sum(math.log10(self.p(w, s[:i])) for i, w in enumerate(s))
+
+
+@pytest.mark.parametrize(("test", "cache", "bits"), [(0.1, None, None), (0.1, 10, 8), (1.0, None, None)])
+def test_suffix_tree_against_a_plain_one(spark, monkeypatch, test, cache, bits):
+    if cache:
+        monkeypatch.setattr(suffix_tree, "CACHE", cache)
+        monkeypatch.setattr(suffix_tree, "BITS", bits)
+    rng, chain = np.random.default_rng(7), []  # each of the four words before tells something of the next
+    for _ in range(9):
+        bits_ = [0, 1, 0, 1]
+        for _ in range(900):
+            bits_.append(int(rng.random() < 0.05 + 0.4 * bits_[-1] + 0.25 * bits_[-2] + 0.15 * bits_[-3] + 0.1 * bits_[-4]))
+        chain.append(" ".join("yes" if x else "no" for x in bits_))
+    texts = [*EDGES, *(prose(80, k) + f" pair{k // 2} follows it{k // 2} twice{k // 2}" for k in range(40)), *chain, "THE Of unknownword"]
+    docs = corpus(spark, texts).withColumns({"key": F.lit("clash"), "n": F.lit(1)})
+    plain = PlainTree([t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2], test=test)
+    assert plain.depth >= 4
+    rows = suffix_tree.score_documents(docs, test=test).collect()
+    assert len(rows) == len(texts)
     for r in rows:
-        words = split(texts[r.doc_id])
-        want = sum(math.log10((train[w] + 1) / (n + v + 1)) for w in words)
-        assert r.base_score == pytest.approx(want) and r.n_tokens == len(words) and r.train_tokens == n
-        assert r.n_known == sum(train[w] > 0 for w in words)
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
-    model, counts = suffix_tree.fit(docs.where("text IS NOT NULL"), test=0.1)
-    assert any(len(level.states) for level in model.levels)
-    rare = dict(zip([r.hash for r in counts.collect()], [r.c for r in counts.collect()]))
-    # P(. | state) over the frequent words, the other training words and one unseen word sums to 1.
-    for state in model.levels[0].states[:5]:
-        ids = np.arange(len(model.unigrams))
-        base = (model.unigrams + 1) / (model.n + model.v + 1)
-        level = model.levels[0]
-        p = suffix_tree._step(level, np.full(len(ids), state), state * model.base + ids, base)
-        at = suffix_tree.find(level.states, np.array([state]))[0][0]
-        left = 1 - base.sum()
-        total = p.sum() + left * level.share[at] / level.total[at]
-        assert total == pytest.approx(1)
-    assert len(rare) == model.v
-    assert suffix_tree.score_documents(docs.limit(0)).count() == 0
+        words = plain.words(texts[r.doc_id])
+        assert r.base_score == pytest.approx(sum(math.log10((plain.uni[w] + 1) / (plain.n + plain.v + 1)) for w in words))
+        assert r.score == pytest.approx(plain.score(texts[r.doc_id])) and r.n_tokens == len(words) and r.train_tokens == plain.n
+        assert r.n_known == sum(plain.uni[w] > 0 for w in words) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+
+
+def test_suffix_tree_distributions_sum_to_one():
+    tree = PlainTree([prose(80, k) for k in range(20)], test=0.1)
+    assert tree.states
+    for context in [*list(tree.states)[:5], ()]:
+        # Words of training, and the share of one that is none.
+        assert sum(tree.p(w, context) for w in tree.uni) + tree.p(b"unseen", context) == pytest.approx(1)
 
 
-def test_suffix_tree_learns_context(spark):
+def test_suffix_tree_edges(spark):
     docs = corpus(spark, ["red fox blue bird " * 30 for _ in range(40)])
     rows = suffix_tree.score_documents(docs).where("held_out").collect()
     assert rows and all(r.score > r.base_score / 3 for r in rows)
-
-
-def test_suffix_tree_tables_keep_every_repeated_gram(spark, monkeypatch):
-    texts = [*EDGES, *(prose(80, k) + f" pair{k // 2} follows it{k // 2} twice{k // 2}" for k in range(40))]
-    docs = corpus(spark, texts)
-    train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    model, counts = suffix_tree.fit(train, test=0.1)
-    assert all(len(level.states) for level in model.levels)
-    seen = {r.hash: r.c for r in counts.collect()}
-    total = model.n + model.v + 1
-    for cache, bits in ((suffix_tree.CACHE, suffix_tree.BITS), (10, 8)):
-        monkeypatch.setattr(suffix_tree, "CACHE", cache)
-        monkeypatch.setattr(suffix_tree, "BITS", bits)
-        rows = suffix_tree.score_documents(docs, test=0.1).collect()
-        assert len(rows) == len(texts)
-        for r in rows:
-            n, known, base, tree, rare = suffix_tree.score_text(model, (texts[r.doc_id] or "").encode())
-            counted = [seen.get(suffix_tree.word_hash(w), 0) for w in rare]
-            own = sum(math.log10((c + 1) / total) for c in counted)
-            assert (r.n_tokens, r.n_known) == (n, known + sum(c > 0 for c in counted))
-            assert r.base_score == pytest.approx(base + own) and r.score == pytest.approx(tree + own)
+    twice = docs.unionByName(docs).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
+    found = suffix_tree.score_documents(twice).collect()
+    assert len(found) == 80 and sum(r.doc_id is None and not r.held_out for r in found) == 8
+    assert suffix_tree.score_documents(docs.limit(0)).count() == 0
+    alone = suffix_tree.score_documents(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")).first()
+    assert alone.train_tokens == 0 and alone.score == alone.base_score == 0
 
 
 def test_suffix_tree_levels_grow_with_the_corpus(spark):
@@ -323,9 +364,9 @@ def test_suffix_tree_levels_grow_with_the_corpus(spark):
     filler = "filler " * 1_200_000
     texts = [filler, filler, filler, *["odd pair stands here"] * 2]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
-    weights, n, _ = suffix_tree.fit_tables(docs, test=0.0)
+    weights, n, _, _ = suffix_tree.fit_tables(docs, test=0.0, depth=1)
     assert n > 3_000_000
-    key = suffix_tree.hashed([b"odd pair"], suffix_tree.Hashes(), 1)[1][1][1]
+    key = suffix_tree.hashed(suffix_tree.pa.array(["odd pair"]), 2)[1][1][1]
     assert weights.where(F.col("key") == int(key)).count() == 1
 
 
