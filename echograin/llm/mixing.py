@@ -4,20 +4,22 @@ Sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all
 ``MAX_COPIES`` times its source's words and the excess is shared anew by weight among the rest (the level is found in
 closed form from running sums over sources sorted by where they saturate).
 
-A document of a source with target T and S words is wanted T/S times: floor(T/S) whole copies are certain, and the
-fraction left over is its inclusion probability pi, unequal across sources. Documents are ranked by the ratio of their
-random odds u/(1-u) to their inclusion odds pi/(1-pi) (Rosen's Pareto order), and each source takes its lowest ranks
-up to the fixed size that is left of its target, the last one where that brings the sum nearer. u is a keyed hash of
-the id, so reruns agree.
+Within a source a document's share grows with the logarithm of its size: its weight g is one more than the binary digits
+of its size, and it is wanted min(``MAX_COPIES``, c g) times, with the one c that makes the wanted words the target (found
+in closed form over the source's classes of size). The whole part of that are certain copies; the fraction left over is
+the document's inclusion probability pi, which so differs between sources and between documents of one source. Documents
+are ranked by the ratio of their random odds u/(1-u) to their inclusion odds pi/(1-pi) (Rosen's Pareto order), and each
+source takes its lowest ranks up to the fixed size that is left of its target, the last one where that brings the sum
+nearer. u is a keyed hash of the id, so reruns agree.
 
 Only DataFrame functions are used. A source may hold a third of all rows, so ranks are not sorted within a source as a
-whole: documents fall into ``CELLS`` cells of equal probability by u, words are summed per (source, cell) with partial
-aggregates, running sums over those bounded rows find the one cell in which the fixed size ends, and only that cell is
-sorted. Cells before it are taken whole, cells after it not at all.
+whole: documents fall into ``CELLS`` cells by rank, words are summed per (source, cell) with partial aggregates, running
+sums over those bounded rows find the one cell in which the fixed size ends, and only that cell's ids and sizes are
+sorted, for the last rank that is taken. A document then learns its copies from its source's row alone; texts never move.
 
 Defined cases: null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in order;
-repeated ids are separate rows with equal rank, ordered by size (equal rows are interchangeable); an empty table gives
-an empty result; other columns of the caller's table are not read, whatever their names.
+repeated ids are separate rows, ordered by size; rows with equal id and size are taken or left together; an empty table
+gives an empty result; other columns of the caller's table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,41 +59,77 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     return first.select("source", "source_size", F.when(capped, F.col("most").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def plan(sizes: DataFrame, seed: str = SEED) -> DataFrame:
-    """A row a source: s, source_size, target, whole, pi, rest, and the cell where the fixed size ends with the words before."""
-    want = targets(sizes).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    want = want.withColumn("whole", F.floor("rate")).withColumn("pi", F.col("rate") - F.col("whole"))
-    want = want.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).drop("rate")
-    want = materialize(want.withColumnRenamed("source", "s"), "mix-targets")
-    cells = sizes.withColumn("cell", _cell(seed)).groupBy("source", "cell").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    # With one pi a source, Pareto's ratio rises with u: cells in order of u are cells in order of rank.
-    reach = cells.withColumn("before", before).join(want.select("s", "rest"), F.col("source").eqNullSafe(F.col("s")))
-    reach = reach.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-    reach = reach.groupBy(F.col("s").alias("s2")).agg(F.min("cell").alias("end_cell"), F.min_by("before", "cell").alias("end_before"))
-    # A small table (a row a source) that is written, so Spark knows its size and broadcasts it only under its limit.
-    return materialize(want.join(reach, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "mix-ends")
+def size_class(size: Column) -> Column:
+    """Binary digits of the size: 0 for 0, else the whole logarithm and one."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(0)
+
+
+def rank_of(u: Column, pi: Column) -> Column:
+    """Pareto's ranking variable: random odds by inclusion odds; null where a document can't be drawn."""
+    return F.when(pi > 0, (u / (1 - u)) / (pi / (1 - pi)))
+
+
+def _cell(rank: Column) -> Column:
+    return F.least(F.lit(CELLS - 1), F.floor(rank / (1 + rank) * CELLS)).cast("int")
 
 
-def _cell(seed: str) -> Column:
-    return F.floor(uniform(F.col("doc_id"), seed) * CELLS).cast("int")
+def classes(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+    """s, class, source_size, target, whole, pi, rest: one row a source and class of size.
 
+    Classes saturate in the order of their weights, the heaviest first. Up to a class, the c that shares what the ones
+    before leave is (target - most of those before) / (weighted words from it on).
+    """
+    per_class = sizes.groupBy("source", size_class(F.col("size")).alias("class")).agg(F.sum("size").alias("words"))
+    want = per_class.join(targets(sizes).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("source")
+    g = F.col("class") + 1
+    falling = Window.partitionBy("s").orderBy(F.col("class").desc())
+    left = F.col("target") - max_copies * F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    still = F.sum(g * F.col("words")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    shared = want.withColumns({"left": left, "still": still}).withColumn("open", (max_copies * F.col("still") >= F.col("left") * g) & (F.col("still") > 0))
+    c = F.first(F.when(F.col("open"), F.col("left") / F.col("still")), ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    copies = F.when(c.isNull() | (c * g >= max_copies), F.lit(float(max_copies))).otherwise(F.greatest(F.lit(0.0), c * g))
+    found = shared.withColumn("copies", copies).withColumn("whole", F.floor("copies")).withColumn("pi", F.col("copies") - F.col("whole"))
+    rest = F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("s")))
+    return found.withColumn("rest", rest).select("s", "class", "source_size", "target", "whole", "pi", "rest")
 
-def with_copies(rows: DataFrame, ends: DataFrame, seed: str = SEED) -> DataFrame:
+
+def _ranked(rows: DataFrame, wanted: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (doc_id, source, size and any others) with their class's plan and their rank and cell."""
+    wide = rows.withColumn("class_", size_class(F.col("size"))).join(wanted, F.col("source").eqNullSafe(F.col("s")) & (F.col("class_") == F.col("class")), "left")
+    wide = wide.withColumn("rank", rank_of(uniform(F.col("doc_id"), seed), F.col("pi")))
+    return wide.withColumn("cell", _cell(F.col("rank"))).drop("s", "class_", "class")
+
+
+def plan(sizes: DataFrame, seed: str = SEED) -> DataFrame:
+    """The rows of :func:`classes`, with the last rank that the source takes as cut (rank, doc_id, size)."""
+    wanted = materialize(classes(sizes), "mix-classes")
+    ranked = _ranked(sizes, wanted, seed).where("rank IS NOT NULL").select("source", "doc_id", "size", "rest", "rank", "cell")
+    cells = ranked.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    reach = cells.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
+    reach = reach.groupBy(F.col("source").alias("s")).agg(F.min("cell").alias("end_cell"), F.min_by("before", "cell").alias("end_before"))
+    ends = materialize(reach, "mix-ends")
+    at_end = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("end_cell")))
+    order = Window.partitionBy("s").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("end_before") + F.sum("size").over(order)
+    taken = at_end.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
+    cuts = taken.groupBy("s").agg(F.max(F.struct("rank", "doc_id", "size")).alias("cut"))
+    cuts = ends.select(F.col("s").alias("t"), "end_cell").join(cuts, F.col("t").eqNullSafe(F.col("s")), "left").drop("s")
+    # A row a source and class, and written, so that Spark knows its size and broadcasts it only under its limit.
+    return materialize(wanted.join(cuts, F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "mix-plan")
+
+
+def with_copies(rows: DataFrame, planned: DataFrame, seed: str = SEED) -> DataFrame:
     """``rows`` (doc_id, source, size and any others) with source_size, target and copies."""
-    rows = rows.withColumns({"u": uniform(F.col("doc_id"), seed), "cell": _cell(seed)}).join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
-    at_end = rows.where(F.col("cell") == F.col("end_cell")).withColumn("q", F.when(F.col("pi") > 0, odds).otherwise(F.col("u")))
-    ranked = Window.partitionBy("s").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("end_before") + F.sum("size").over(ranked)
-    at_end = at_end.withColumn("extra", ((F.col("pi") > 0) & (upto - F.col("size") / 2 <= F.col("rest"))).cast("int")).drop("q")
-    others = rows.where(F.col("end_cell").isNull() | (F.col("cell") != F.col("end_cell"))).withColumn("extra", ((F.col("pi") > 0) & (F.col("cell") < F.coalesce("end_cell", F.lit(CELLS)))).cast("int"))
-    out = at_end.unionByName(others)
-    return out.withColumn("copies", (F.col("whole") + F.col("extra")).cast("long")).drop("u", "cell", "s", "whole", "pi", "rest", "end_cell", "end_before", "extra")
+    wide = _ranked(rows, planned, seed)
+    first = F.col("end_cell").isNull() | (F.col("cell") < F.col("end_cell"))
+    last = (F.col("cell") == F.col("end_cell")) & (F.struct("rank", "doc_id", "size") <= F.col("cut"))
+    extra = F.coalesce((F.col("rank").isNotNull() & (first | F.coalesce(last, F.lit(False)))).cast("int"), F.lit(0))
+    return wide.withColumn("copies", (F.col("whole") + extra).cast("long")).drop("whole", "pi", "rest", "end_cell", "cut", "rank", "cell")
 
 
 def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> list[Column]:
-    return [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")]
+    return [F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")]
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
@@ -102,7 +140,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`mix` takes it. Only rows of the cells where sizes end are moved."""
+    """The rows of ``docs``, each as often as :func:`mix` takes it. No row is moved."""
     sizes = materialize(docs.select(*_sizes(docs, doc_id, text, source)), "mix-sizes")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     taken = with_copies(docs.select(row, *_sizes(docs, doc_id, text, source)), plan(sizes, seed), seed).where("copies > 0")
@@ -119,14 +157,24 @@ rising AS (
   FROM weighted WINDOW w AS (ORDER BY most::DOUBLE / weight, source NULLS LAST)),
 lev AS (SELECT arg_min(left_::DOUBLE / still, most::DOUBLE / weight) AS level FROM rising WHERE most * still >= left_ * weight),
 tgt AS (SELECT source, source_size, CASE WHEN level IS NULL OR most <= level * weight THEN most::DOUBLE ELSE level * weight END AS target FROM rising, lev),
-rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM tgt),
-parts AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS pi, greatest(0, target - floor(rate) * source_size) AS rest FROM rates),
-u AS (SELECT s.*, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM sizes s),
+per_class AS (SELECT source, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS class, sum(size)::BIGINT AS words FROM sizes GROUP BY 1, 2),
+falling AS (
+  SELECT c.*, t.source_size, t.target,
+         t.target - 3 * coalesce(sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS left_,
+         (sum((class + 1) * words) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS still
+  FROM per_class c JOIN tgt t ON c.source IS NOT DISTINCT FROM t.source
+  WINDOW w AS (PARTITION BY c.source ORDER BY class DESC)),
+factor AS (SELECT source, arg_max(left_ / still, class) AS c FROM falling WHERE still > 0 AND 3 * still >= left_ * (class + 1) GROUP BY 1),
+copied AS (
+  SELECT f.*, CASE WHEN c IS NULL OR c * (class + 1) >= 3 THEN 3.0::DOUBLE ELSE greatest(0, c * (class + 1)) END AS copies
+  FROM falling f LEFT JOIN factor x ON f.source IS NOT DISTINCT FROM x.source),
+parts AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS pi, greatest(0, target - sum(floor(copies) * words) OVER (PARTITION BY source)) AS rest FROM copied),
+u AS (SELECT s.*, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS class, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM sizes s),
 ranked AS (
-  SELECT u.doc_id, u.size, p.source_size, p.target, p.whole, p.pi, p.rest,
-         sum(u.size) OVER (PARTITION BY u.source ORDER BY CASE WHEN p.pi > 0 THEN (u.u / (1 - u.u)) / (p.pi / (1 - p.pi)) ELSE u.u END, u.doc_id, u.size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM u JOIN parts p ON u.source IS NOT DISTINCT FROM p.source)
+  SELECT u.doc_id, u.size, u.source, p.source_size, p.target, p.whole, p.pi, p.rest, CASE WHEN p.pi > 0 THEN (u.u / (1 - u.u)) / (p.pi / (1 - p.pi)) END AS q
+  FROM u JOIN parts p ON u.source IS NOT DISTINCT FROM p.source AND u.class = p.class),
+summed AS (SELECT *, sum(CASE WHEN pi > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ranked)
 SELECT doc_id, size, source_size, target,
-       (whole + CASE WHEN pi > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END)::BIGINT * size AS taken
-FROM ranked
+       (whole + CASE WHEN pi > 0 AND bool_or(upto - size / 2.0 <= rest) OVER (PARTITION BY source, q, doc_id, size) THEN 1 ELSE 0 END)::BIGINT * size AS taken
+FROM summed
 """

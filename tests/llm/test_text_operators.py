@@ -170,6 +170,34 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_includes_by_size(spark):
+    """Mean copies of each class of size are those wanted: unequal within a source, a fixed size in all."""
+    rng = np.random.default_rng(4)
+    sizes = np.concatenate([2 ** rng.integers(0, 7, 6000), np.full(50, 2000)])
+    docs = spark.createDataFrame([(int(k), "w " * int(n), "en", "one" if k % 3 else "two", 0) for k, n in enumerate(sizes)], DOCS)
+    got = mixing.mix(docs).toPandas()
+    got["source"] = ["one" if k % 3 else "two" for k in got.doc_id]
+    for _, own in got.groupby("source"):
+        target, g = own.target.iloc[0], np.array([int(n).bit_length() + 1 for n in own["size"]])
+        low, high = 0.0, 3.0
+        for _ in range(100):
+            c = (low + high) / 2
+            low, high = (c, high) if (np.minimum(3, c * g) * own["size"]).sum() < target else (low, c)
+        assert abs(own.taken.sum() - target) <= 2000
+        for k in np.unique(g):
+            some, want = own.copies[g == k], min(3, c * k)
+            part = want - math.floor(want)
+            assert abs(some.mean() - want) <= 5 * math.sqrt(max(part * (1 - part), 1e-9) / len(some)) + 1e-6, (k, want)
+            assert set(some) <= {math.floor(want), math.ceil(want)}
+
+
+def test_mixing_long_texts_and_clashing_columns(spark):
+    docs = corpus(spark, ["w " * 300_000, None, "", "x", "x"]).withColumns({n: F.lit("clash") for n in ("rank", "cell", "class", "s", "copies", "size", "u")})
+    assert {r["size"] for r in mixing.mix(docs).collect()} == {300_000, 0, 1}
+    assert mixing.mix_rows(docs).columns == docs.columns
+    assert mixing.mix(docs.where("doc_id in (1, 2)")).agg(F.sum("taken")).first()[0] == 0
+
+
 # Surrogates
 
 
