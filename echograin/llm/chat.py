@@ -3,7 +3,8 @@
 A declarative :class:`Template` names each role's opening and closing mark and whether its text carries loss. Turns of a
 conversation come in order (turn, then role and text; null turns last); the machine's transitions say which role may
 follow which, and each turn leaves as segments (mark, text, mark) with a loss flag each. Control strings inside a text
-are broken by an escape character, which is doubled, so reading back is exact.
+are broken by an escape character, which is doubled, so reading back is exact: a conversation's text alone, cut anywhere,
+gives its turns by the template's marks, and the machine runs again over what was read.
 
 Rows are dealt by conversation and sorted within partitions, and the machine runs over the stream of rows: what it
 holds is one state, never a conversation, so a conversation of any length takes no more memory.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import rows_of
 
 ESCAPE = "\\"
+#: Characters that a reader gathers before it reads.
+READ_CHARS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -112,42 +115,80 @@ def format_turns(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
 
 
 class Reader:
-    """Reads a conversation back from its formatted text, segment by segment."""
+    """Reads a conversation back from its formatted text, fed in pieces cut anywhere, each with its loss flag.
+
+    Turns are found by the template's marks alone. What is held is the open turn.
+    """
 
     def __init__(self, conv_id: int | None, template: Template) -> None:
         self.conv_id, self.template = conv_id, template
+        self.openings = sorted([(r.opening, name) for name, r in template.roles.items()] + [(template.other[0], None)], key=lambda x: -len(x[0]))
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
         self.valid, self.last = True, "start"
-        self.pending: list[str] = []
-        self.masked: list[str] = []
+        self.held, self.size = [], 0  # pieces (text, loss) that are not read yet
 
     def feed(self, text: str, loss: bool) -> None:
         self.chars += len(text)
-        self.pending.append(text)
-        if loss:
-            self.masked.append(text)
-
-    def end_turn(self, in_order: bool) -> None:
-        """The text fed since the last turn is parsed by the template's marks."""
-        whole, t = "".join(self.pending), self.template
-        for name, r in t.roles.items():
-            if whole.startswith(r.opening) and whole.endswith(r.closing) and len(whole) >= len(r.opening) + len(r.closing):
-                role, body = name, whole[len(r.opening) : len(whole) - len(r.closing)]
+        if text:
+            self.held.append((text, loss))
+            self.size += len(text)
+
+    def read(self) -> None:
+        """Take all whole turns from what is held. To be called now and then, and at the end."""
+        whole, at = "".join(text for text, _ in self.held), 0
+        while at < len(whole):
+            opening, name = next(((o, n) for o, n in self.openings if whole.startswith(o, at)), ("", None))
+            if not opening:
+                break
+            start = at + len(opening)
+            if name is None:
+                middle, closing = self.template.other[1:]
+                between = whole.find(middle, start)
+                end = whole.find(closing, between + len(middle)) if between >= 0 else -1
+                if end < 0:
+                    break
+                role, body = unescape(whole[start:between]), whole[between + len(middle) : end]
+            else:
+                closing = self.template.roles[name].closing
+                end = whole.find(closing, start)
+                if end < 0:
+                    break
+                role, body = name, whole[start:end]
+            self._turn(role, body, self._masked(at, end + len(closing)))
+            at = end + len(closing)
+        self._drop(at)
+
+    def _masked(self, a: int, z: int) -> str:
+        out, at = [], 0
+        for text, loss in self.held:
+            if at >= z:
                 break
-        else:
-            a, b, c = t.other
-            role, _, body = whole[len(a) : len(whole) - len(c)].partition(b)
-            role = unescape(role)
+            if loss and at + len(text) > a:
+                out.append(text[max(0, a - at) : z - at])
+            at += len(text)
+        return "".join(out)
+
+    def _drop(self, n: int) -> None:
+        kept, at = [], 0
+        for text, loss in self.held:
+            if at + len(text) > n:
+                kept.append((text[max(0, n - at) :], loss))
+            at += len(text)
+        self.held, self.size = kept, sum(len(text) for text, _ in kept)
+
+    def _turn(self, role: str, body: str, masked: str) -> None:
         self.turns.update(f"{role}\n{unescape(body)}\n".encode())
-        masked = unescape("".join(self.masked))
+        masked = unescape(masked)
         self.loss.update(masked.encode())
         self.loss_chars += len(masked)
         self.n_turns += 1
-        self.valid, self.last = self.valid and in_order, role
-        self.pending, self.masked = [], []
+        self.valid, self.last = self.valid and role in self.template.follows.get(self.last, ()), role
 
     def row(self) -> tuple:
+        self.read()
+        if self.held:
+            raise ValueError(f"conversation {self.conv_id}: its text goes on behind its last turn")
         return self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid and self.last in self.template.ends
 
 
@@ -159,13 +200,14 @@ def _read_batches(template: Template):
         reader: Reader | None = None
         for batch in batches:
             done = []
-            for conv, in_order, segments in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
+            for conv, segments in zip(*(batch.column(k).to_pylist() for k in (0, 4)), strict=True):
                 if reader is None or reader.conv_id != conv:
                     done += [reader.row()] if reader else []
                     reader = Reader(conv, template)
                 for s in segments:
                     reader.feed(s["text"], s["loss"])
-                reader.end_turn(in_order)
+                if reader.size > READ_CHARS:
+                    reader.read()
             if done:
                 yield rows_of(_READ, list(map(list, zip(*done, strict=True))))
         if reader:

@@ -585,6 +585,45 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
 
 
+CONTROL_BITS = ["<", ">", "/", "\\", "[", "]", "INST]", "[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "\n", " ", "<a>", "<|role|>", "<|text|>", "<|end|>", "|", "ok", "é", "s>", "a>", " </s>", "<</SYS>>\n"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chat_reads_back_from_text_cut_anywhere(seed):
+    """Texts made of pieces of marks; the reader gets the conversation's text in random cuts, without its rows."""
+    rng = np.random.default_rng(seed)
+    piece = lambda: "".join(rng.choice(CONTROL_BITS, int(rng.integers(0, 9))))
+    turns = [(str(rng.choice(["system", "user", "assistant", "tool", piece() or "x"])), piece()) for _ in range(int(rng.integers(1, 12)))]
+    if seed % 3 == 0:
+        turns = [("user", piece()), ("assistant", piece())] * 3
+    batch = chat.pa.RecordBatch.from_arrays([chat.pa.array([5] * len(turns)), chat.pa.array([r for r, _ in turns]), chat.pa.array([t for _, t in turns])], ["conv_id", "role", "text"])
+    out = [r for b in chat._format_batches(chat.DEFAULT)([batch]) for r in b.to_pylist()]
+    flags = [(c, s["loss"]) for r in out for s in r["segments"] for c in s["text"]]
+    reader, at = chat.Reader(5, chat.DEFAULT), 0
+    while at < len(flags):
+        n = int(rng.integers(1, 9))
+        for c, loss in flags[at : at + n]:
+            reader.feed(c, loss)
+        if rng.random() < 0.5:
+            reader.read()
+        at += n
+    _, n_turns, digest, loss_chars, loss_digest, chars, valid = reader.row()
+    spoken = "".join(t for r, t in turns if r == "assistant")
+    assert n_turns == len(turns) and digest == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert loss_chars == len(spoken) and loss_digest == hashlib.sha256(spoken.encode()).hexdigest() and chars == len(flags)
+    states = ["start", *(r for r, _ in turns)]
+    assert valid == (all(b in chat.DEFAULT.follows.get(a, ()) for a, b in zip(states, states[1:])) and states[-1] == "assistant")
+
+
+def test_chat_null_ids_and_long_conversations(spark):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", None), (3, None, None, "x"), *((9, k, ("user", "assistant")[k % 2], f"</s>[INST] {k} " * 50) for k in range(4000))]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").withColumns({"position": F.lit(1), "segments": F.lit("clash")})
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(turns)).collect()}
+    assert got[None].n_turns == 2 and got[None].loss_chars == 0 and got[None].valid and got[3].n_turns == 1 and not got[3].valid
+    assert got[9].n_turns == 4000 and got[9].loss_chars == sum(len(r[3]) for r in rows[4::2]) and got[9].valid
+    assert got[9].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows[3:]).encode()).hexdigest()
+
+
 LAYOUTS = [
     '<div class="page has-sidebar">{}</div>',
     '<div id="content" class="layout-right-sidebar">{}</div>',
