@@ -20,19 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, one of our own in local mode (tests), where driver and executors are one machine; on a cluster
+    a machine's own folder would lose results, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         folder = "file:///tmp/echograin-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut, lost executors cost no rework."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage is cut, lost executors cost no rework.
+
+    The table goes with :func:`release`, or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/echograin/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop_path, fs = _hadoop_path(spark, path)
+    fs.deleteOnExit(hadoop_path)
     out = spark.read.schema(df.schema).parquet(path)
     out._echograin_path = path
     return out
@@ -43,9 +61,9 @@ def release(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "_echograin_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            hadoop_path, fs = _hadoop_path(df.sparkSession, path)
+            fs.delete(hadoop_path, True)
+            fs.cancelDeleteOnExit(hadoop_path)
 
 
 def n_words(text: Column) -> Column:

@@ -285,3 +285,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(f"a{r.doc_id}@x.org" not in r.text and "@" in r.text and r.n_chars == len(r.text) for r in out)
     assert {r.doc_id for r in kept[4].collect()} == {r.doc_id for r in kept[3].collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[4].count()
+
+
+def test_shared_folder(spark, monkeypatch):
+    from echograin.llm import common
+
+    table = common.materialize(spark.range(3), "t")
+    assert table.count() == 3
+    common.release(table)
+    assert table._echograin_path.startswith(common.shared_folder(spark))
+
+    class Session:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://h:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_folder(Session)
