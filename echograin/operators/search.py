@@ -12,6 +12,8 @@ from .entries import entries, pad_sketch, sketch_similarity
 from .pairs import bands
 
 K1, B = 1.2, 0.75
+#: Above so many entries, and for snippets of so many fingerprints, candidates come from shared bands.
+BANDS_ABOVE_ENTRIES, BANDS_FROM_FINGERPRINTS = 5_000, 20
 RESULT = ["path", "lang", "fn_name", "line_start", "line_end", "unique_fps"]
 
 
@@ -66,8 +68,12 @@ def rank_matches(index: DataFrame, query: DataFrame, min_jaccard: float, top: in
 
 
 def search_snippet(index: DataFrame, snippet: str, options: SearchOptions = SearchOptions(), lang: str | None = None) -> DataFrame:
-    query = snippet_entry(index.sparkSession, snippet, options, lang)
-    return rank_matches(index, query, options.min_jaccard, options.top).drop("query_id")
+    """Entries similar to a snippet: all are compared in a small index or with a short snippet, else those that share
+    a band with it."""
+    query = snippet_entry(index.sparkSession, snippet, options, lang).persist()
+    long = query.where(F.col("unique_fps") >= BANDS_FROM_FINGERPRINTS).isEmpty() is False
+    use_bands = long and index.limit(BANDS_ABOVE_ENTRIES + 1).count() > BANDS_ABOVE_ENTRIES
+    return rank_matches(index, query, options.min_jaccard, options.top, use_bands).drop("query_id")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -119,7 +125,9 @@ def register(spark: SparkSession) -> None:
     def functions(content: str, lang: str):
         return [tuple(g) for g in slicing.slice_functions((content or "").encode(), lang)]
 
-    spark.udf.register("tokenize", tokenize, "array<struct<kind:string,text:string,byte_start:int,byte_end:int,line:int,col:int>>")
-    spark.udf.register("slice_functions", functions, "array<struct<name:string,byte_start:int,byte_end:int,line_start:int,line_end:int>>")
+    tokens_ddl = "array<struct<kind:string,text:string,byte_start:int,byte_end:int,line:int,col:int>>"
+    functions_ddl = "array<struct<name:string,byte_start:int,byte_end:int,line_start:int,line_end:int>>"
+    spark.udf.register("tokenize", F.udf(tokenize, tokens_ddl, useArrow=True))
+    spark.udf.register("slice_functions", F.udf(functions, functions_ddl, useArrow=True))
 
 

@@ -1,8 +1,11 @@
 """Incremental upkeep: state tables of entries and findings, changed by micro-batches, and a change feed.
 
-State lives in Parquet generations under one folder: ``entries`` and ``findings``, each batch writing the next
-generation and then a one-row pointer, so a batch that fails or is repeated leaves the last whole state (the pointer
-carries the batch id, and a batch that it has already seen is skipped). Compaction is what every rewrite does.
+State lives in Parquet generations under one folder: ``entries``, ``findings`` and ``hashes`` (path and content hash),
+each batch writing the next generation and then a one-row pointer, so a batch that fails or is repeated leaves the last
+whole state (the pointer carries the batch id, and a batch that it has already seen is skipped). Renames become a
+removal and a creation, and changes that leave a file's content as it was are dropped before any work; a batch of none
+but those writes its pointer only. Compaction is what every rewrite does, and generations older than the one that
+readers may still hold are deleted.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ EPSILON = 1e-4
 CHANGES_DDL = "path string, version bigint, op string, content string, lang string"
 KEY = ["path", "fn_name", "line_start", "line_end"]
 COMPACT_ABOVE = 0.25
+HASHES_DDL = "path string, hash string"
+#: Generations that stay: the last, and the one before for readers that have just opened it.
+KEPT_GENERATIONS = 2
 
 
 def coalesce_changes(changes: DataFrame) -> DataFrame:
@@ -44,11 +50,17 @@ def expand_renames(events: DataFrame) -> DataFrame:
 
 
 def unchanged_suppressed(changes: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Changes whose content differs from the last hash known; no content counts as a removal. hashes: path, hash."""
-    kept = changes.join(hashes, "path", "left").where(F.col("content").isNull() | ~F.md5(F.col("content").cast("binary")).eqNullSafe(F.col("hash")))
+    """Removals, and changes whose content differs from the last hash known; no content counts as a removal. hashes:
+    path, hash."""
+    kept = changes.join(hashes, "path", "left").where((F.col("op") == "remove") | F.col("content").isNull() | ~F.md5(F.col("content").cast("binary")).eqNullSafe(F.col("hash")))
     return kept.withColumn("op", F.when(F.col("content").isNull(), "remove").otherwise(F.col("op"))).drop("hash")
 
 
+def content_hashes(files: DataFrame) -> DataFrame:
+    """path, hash of the files (path, content) that have content."""
+    return files.where(F.col("content").isNotNull()).select("path", F.md5(F.col("content").cast("binary")).alias("hash"))
+
+
 def tombstone_ratio(entries_: DataFrame) -> DataFrame:
     """ratio of dead entries, and whether it calls for compaction."""
     return entries_.agg(F.coalesce(F.avg((~F.col("alive")).cast("double")), F.lit(0.0)).alias("ratio")).withColumn("compact", F.col("ratio") > COMPACT_ABOVE)
@@ -118,25 +130,50 @@ class Upkeep:
         found = self._pointer()
         return self._table("findings", found[0]) if found else pairs.scan_entries(self.spark.createDataFrame([], ENTRY_DDL), self.options)
 
-    def _commit(self, generation: int, batch_id: int, state: DataFrame, findings: DataFrame) -> None:
-        for name, df in (("entries", state), ("findings", findings)):
+    def hashes(self) -> DataFrame:
+        """path, hash of the files whose content is known."""
+        found = self._pointer()
+        return self._table("hashes", found[0]) if found else self.spark.createDataFrame([], HASHES_DDL)
+
+    def _commit(self, generation: int, batch_id: int, **tables: DataFrame) -> None:
+        for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.folder}/{name}/generation={generation}")
+        self._point(generation, batch_id)
+        for name in ("pointer", *tables):
+            for old in range(generation - KEPT_GENERATIONS, -1, -1):
+                if not self._delete(f"{self.folder}/{name}/generation={old}"):
+                    break
+
+    def _point(self, generation: int, batch_id: int) -> None:
         self.spark.createDataFrame([(batch_id,)], "batch_id bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/pointer/generation={generation}")
 
+    def _delete(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def bootstrap(self, corpus: DataFrame) -> None:
         """Full scan into the first generation."""
         state = entries(corpus, self.options)
-        self._commit(0, -1, state, pairs.scan_entries(state, self.options, self.root))
+        self._commit(0, -1, entries=state, findings=pairs.scan_entries(state, self.options, self.root), hashes=content_hashes(corpus))
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         found = self._pointer()
         if found and batch_id <= found[1]:
             return
         generation = found[0] + 1 if found else 0
-        old = self.findings()
-        state, new, _ = apply_batch(self.state(), old, batch, self.options, self.root)
-        self._commit(generation, batch_id, state, new)
-        feed = diff_findings(old, self._table("findings", generation))
+        old, hashes = self.findings(), self.hashes()
+        if "new_path" in batch.columns:
+            batch = expand_renames(batch)
+        last = unchanged_suppressed(interesting(coalesce_changes(batch)), hashes).persist()
+        if found and last.isEmpty():
+            self._point(found[0], batch_id)
+            feed = diff_findings(old, old)
+        else:
+            state, new, _ = apply_batch(self.state(), old, last, self.options, self.root)
+            gone = hashes.join(last.select("path"), "path", "left_anti")
+            self._commit(generation, batch_id, entries=state, findings=new, hashes=gone.unionByName(content_hashes(last.where("op <> 'remove'"))))
+            feed = diff_findings(old, self._table("findings", generation))
+        last.unpersist()
         if self.publish:
             self.publish(feed, batch_id)
         else:

@@ -170,6 +170,16 @@ def test_stream_upkeep(spark, tmp_path):
     assert up.findings().count() == 0 and up.state().count() == 1
     up.apply(_changes(spark, [("z.py", 9, "create", PLANT)]), 0)  # an old batch changes nothing
     assert up.state().count() == 1
+    generation = up._pointer()[0]
+    up.apply(_changes(spark, [("a.py", 10, "modify", PLANT)]), 50)  # the same content again
+    assert up._pointer() == (generation, 50) and up.hashes().count() == 1
+    renamed_ = spark.createDataFrame([("a.py", "n.py", 11, "rename", PLANT, "Python")], "path string, new_path string, version bigint, op string, content string, lang string")
+    up.apply(renamed_, 51)
+    assert [r.path for r in up.state().collect()] == ["n.py"] and [r.path for r in up.hashes().collect()] == ["n.py"]
+    up.apply(_changes(spark, [("m.py", 12, "create", renamed(PLANT))]), 52)
+    assert up.findings().count() == 1
+    held = sorted(x.name for x in (folder / "entries").iterdir())
+    assert held == [f"generation={up._pointer()[0] - k}" for k in (1, 0)]
 
 
 def test_change_log_helpers(spark):
