@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +77,34 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Re-slice Arrow batches so that a slice holds about ``max_bytes`` of the text column, one row at least."""
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library, which has its own ways
+        return lambda _: None
+
+
+_trim = _trimmer()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers are reused, and what one stage has freed is not the next one's."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+#: Tables that an operator keeps in a worker from task to task, by operator: how to empty them.
+kept_tables: dict[str, Callable[[], None]] = {}
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20, operator: str = "") -> Iterator[pa.RecordBatch]:
+    """Re-slice Arrow batches so that a slice holds about ``max_bytes`` of the text column, one row at least.
+
+    Tables that other operators than ``operator`` have kept in this worker are emptied first.
+    """
+    for name, empty in kept_tables.items():
+        if name != operator:
+            empty()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         start = held = 0
@@ -88,6 +115,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4
                 start, held = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch, column
+    give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -116,6 +145,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[p
             held.append(batch.slice(a, z - a))
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def spanning(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices, utf8
+from .common import kept_tables, materialize, text_slices, utf8
 
 WINDOW = 4096
 OPEN_WINDOWS = 8
@@ -102,6 +102,7 @@ class WordEncoder:
 def encoder(path: str) -> WordEncoder:
     if path not in _worker:
         _worker[path] = WordEncoder(path)
+        kept_tables["packing"] = lambda: [e.words.clear() for e in _worker.values()]
     return _worker[path]
 
 
@@ -167,7 +168,7 @@ def _pack_batches(path: str, window: int, space: int, min_cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         packer, encode = Packer(window, space, min_cut, part << 32), encoder(path).encode
-        for batch in text_slices(batches, "text", 2 << 20):
+        for batch in text_slices(batches, "text", 2 << 20, "packing"):
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 ids = np.append(encode(text), np.uint32(END_ID)).astype("<u4")
 

@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,27 +67,49 @@ def ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    #: Terms (sorted hashes) with their weights; entries[k]:entries[k + 1] are term k's blocks.
+    #: Terms (sorted hashes) with their weights; starts[k]:starts[k + 1] are term k's postings.
     terms: np.ndarray
     weight: np.ndarray
-    entries: np.ndarray
-    #: Of each entry: block, largest weight, and where its postings begin (one more at the end).
-    block: np.ndarray
-    largest: np.ndarray
-    begin: np.ndarray
-    #: Postings: example and weight in its vector of length 1.
+    starts: np.ndarray
+    #: Postings, by term and example: example, and how often it has the term.
     example: np.ndarray
-    posting: np.ndarray
-    #: Examples by number: id and label.
+    tf: np.ndarray
+    #: Examples by number: length of the vector, id and label.
+    length: np.ndarray
     doc_ids: np.ndarray
     toxic: np.ndarray
     prior: float
     empty_rate: float
-    #: The most frequent terms (numbers, sorted) and their weights in all examples.
+    #: The most frequent terms (numbers, sorted).
     common: np.ndarray
-    matrix: np.ndarray
-    #: Slope and shift of the calibration.
-    curve: tuple[float, float] = (1.0, 0.0)
+
+    #: What follows from these is not sent along.
+    _DERIVED = ("posting", "block", "begin", "largest", "entries", "matrix")
+
+    def __post_init__(self) -> None:
+        of = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
+        #: Weights of the postings in vectors of length 1.
+        self.posting = (1 + np.log(self.tf)) * self.weight[of] / self.length[self.example]
+        # Entries are a term's postings in a block: block, largest weight, and where they begin (one more at the end);
+        # entries[k]:entries[k + 1] are term k's.
+        at = self.example // BLOCK
+        first = np.flatnonzero((of[1:] != of[:-1]) | (at[1:] != at[:-1])) + 1
+        first = np.append(0, first) if len(of) else first
+        self.block, self.begin = at[first].astype(np.int32), np.append(first, len(of))
+        self.largest = np.maximum.reduceat(self.posting, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(of[first], np.arange(len(self.terms) + 1))
+        #: Weights of the common terms in all examples.
+        self.matrix = np.zeros((len(self.common), -(-len(self.doc_ids) // BLOCK) * BLOCK))
+        for k, term in enumerate(self.common.tolist()):
+            own = slice(self.starts[term], self.starts[term + 1])
+            self.matrix[k, self.example[own]] = self.posting[own]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in self._DERIVED}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
 
     def vector(self, words: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their weights at length 1; none if no word is known."""
@@ -165,9 +188,9 @@ class Index:
                 score = ((share * self.toxic[row]).sum() + PRIOR_WEIGHT * self.prior) / (share.sum() + PRIOR_WEIGHT)
                 yield float(score), [{"doc_id": int(self.doc_ids[r]), "cosine": round(float(c), 6), "toxic": int(self.toxic[r])} for c, r in zip(cosine[:EVIDENCE], row[:EVIDENCE])]
 
-    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[dict]]]:
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]], curve: tuple[float, float] = (1.0, 0.0)) -> Iterator[tuple[float, list[dict]]]:
         for raw, evidence in self.votes(texts):
-            yield (self.empty_rate, []) if raw is None else (float(calibrated(raw, *self.curve)), evidence)
+            yield (self.empty_rate, []) if raw is None else (float(calibrated(raw, *curve)), evidence)
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -216,20 +239,13 @@ def build_index(doc_ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, words
     place[order] = np.arange(n)
     at = np.lexsort((place[row], of))
     at = at[w[at] > 0]
-    of, example, posting = of[at], place[row[at]], w[at]
-    entry = of * (n // BLOCK + 1) + example // BLOCK
-    first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1])) if len(entry) else np.zeros(0, np.int64)
-    largest = np.maximum.reduceat(posting, first) if len(first) else np.zeros(0)
-    entries = np.searchsorted(of[first], np.arange(len(terms) + 1))
+    starts = np.searchsorted(of[at], np.arange(len(terms) + 1))
     common = np.sort(np.argsort(-df, kind="stable")[:COMMON])
-    matrix = np.zeros((len(common), -(-n // BLOCK) * BLOCK))
-    for k, term in enumerate(common.tolist()):
-        a, z = np.searchsorted(of, (term, term + 1))
-        matrix[k, example[a:z]] = posting[a:z]
     empty, prior = ~full, bad / max(n, 1)
     # Laplace-smoothed, so that a handful of such examples is no certainty.
     rate = (toxic[empty].sum() + prior) / (empty.sum() + 1) if n else 0.0
-    return Index(terms, weight, entries, (example[first] // BLOCK).astype(np.int32), largest, np.append(first, len(posting)), example.astype(np.int32), posting, doc_ids[order], toxic[order], prior, float(rate), common, matrix)
+    small = lambda x: x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.int64)
+    return Index(terms, weight, starts, small(place[row[at]]), small(tf[at]), np.where(full, length, 1)[order], doc_ids[order], toxic[order], prior, float(rate), common)
 
 
 _BAGS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("words", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32()))])
@@ -257,8 +273,11 @@ def _own_votes(shared):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Index:
-    """``docs``: doc_id, text. ``labels``: doc_id, toxic; only rows outside the held-out fold are read."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> tuple[Broadcast, tuple[float, float]]:
+    """The index, sent to the workers (its size is bounded by the sample's), and the curve of its calibration.
+
+    ``docs``: doc_id, text. ``labels``: doc_id, toxic; only rows outside the held-out fold are read.
+    """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), MODULUS) != HELD_OUT))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("long").alias("toxic"))
@@ -276,23 +295,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     index = build_index(found.column("doc_id").to_numpy(), found.column("toxic").to_numpy(), lengths, flat("words", np.int64).view(np.uint64), flat("tf", np.int64))
     shared = spark.sparkContext.broadcast(index)
     own = bag_rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_own_votes(shared), "toxic bigint, raw double").where("raw IS NOT NULL").toArrow()
+    curve = (1.0, 0.0)
     if own.num_rows:
         # In a fixed order, so that sums are equal in reruns.
         raw, toxic = own.column("raw").to_numpy(), own.column("toxic").to_numpy()
         rank = np.lexsort((toxic, raw))
-        index.curve = fit_curve(raw[rank], toxic[rank])
-    shared.unpersist()
+        curve = fit_curve(raw[rank], toxic[rank])
     release(sizes, bag_rows)
-    return index
+    return shared, curve
 
 
-def _score_batches(shared):
+def _score_batches(shared, curve: tuple[float, float]):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in text_slices(batches, "text"):
-            found = list(index.scores(list(bags(batch.column(1)))))
+            found = list(index.scores(list(bags(batch.column(1))), curve))
             yield rows_of(schema, [batch.column(0).to_pylist(), batch.column(2).to_pylist(), [x[0] for x in found], [x[1] for x in found]])
 
     return run
@@ -301,6 +320,6 @@ def _score_batches(shared):
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", **limits: int) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (nearest examples) for each row of ``docs``."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (crc_mod(F.col(doc_id), MODULUS) == HELD_OUT).alias("held_out"))
-    index = fit(own.select("doc_id", "text"), labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).alias("toxic")), **limits)
-    found = own.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(index)), "doc_id bigint, held_out boolean, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
+    index, curve = fit(own.select("doc_id", "text"), labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).alias("toxic")), **limits)
+    found = own.mapInArrow(_score_batches(index, curve), "doc_id bigint, held_out boolean, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
