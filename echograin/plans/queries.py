@@ -42,7 +42,7 @@ SPREAD_BYTES = 64 << 20
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if it is too small to be split by its reader; large tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * cores) if size < cores * SPREAD_BYTES else df
 
 
