@@ -83,10 +83,12 @@ class Index:
     #: The most frequent terms (numbers, sorted).
     common: np.ndarray
 
-    #: What follows from these is not sent along.
+    #: What follows from these is made where it is used, and not sent along.
     _DERIVED = ("posting", "block", "begin", "largest", "entries", "matrix")
 
-    def __post_init__(self) -> None:
+    def unpack(self) -> None:
+        if "matrix" in self.__dict__:
+            return
         of = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
         #: Weights of the postings in vectors of length 1.
         self.posting = (1 + np.log(self.tf)) * self.weight[of] / self.length[self.example]
@@ -107,10 +109,6 @@ class Index:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in self._DERIVED}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.__post_init__()
-
     def vector(self, words: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their weights at length 1; none if no word is known."""
         if not len(self.terms) or not len(words):
@@ -130,6 +128,7 @@ class Index:
 
     def common_sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
         """What the most frequent terms add to each example, for each of some queries, and which terms are left."""
+        self.unpack()
         query, left = np.zeros((len(vectors), len(self.common))), []
         for k, (terms, w) in enumerate(vectors):
             at = np.minimum(np.searchsorted(self.common, terms), len(self.common) - 1)
@@ -141,6 +140,7 @@ class Index:
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and examples, best first, ``k`` at most; examples sharing no word are none. ``base`` is what terms
         that are not among ``terms`` add to each example."""
+        self.unpack()
         counts = self.entries[terms + 1] - self.entries[terms]
         at, share = ranges(self.entries[terms], counts), np.repeat(w, counts)
         # Terms in few blocks are added up at once; of the others, a block's largest weights bound what they can add.
