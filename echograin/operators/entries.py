@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,6 +147,21 @@ def token_rows(corpus: DataFrame, blind: str = "strict", places: bool = True) ->
     return corpus.select("entry_id", "lang", "content").mapInArrow(run, ddl)
 
 
+def kind_counts(corpus: DataFrame) -> DataFrame:
+    """entry_id, kind, n: tokens of each kind, counted where they are found."""
+    schema = pa.schema([("entry_id", pa.int64()), ("kind", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file_id, lang, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = Counter(kind for kind, _ in tokens.pairs((content or "").encode(), lang))
+                out += [(file_id, kind, n) for kind, n in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return corpus.select("entry_id", "lang", "content").mapInArrow(run, "entry_id bigint, kind string, n bigint")
+
+
 def fingerprint_rows(corpus: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """entry_id, pos, hash: winnowed fingerprints of whole files, by position."""
     schema = pa.schema([("entry_id", pa.int64()), ("pos", pa.int32()), ("hash", pa.int64())])

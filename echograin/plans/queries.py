@@ -79,7 +79,7 @@ _NAIVE = sql.BASE + sql.NAIVE + sql.findings("naive", "jaccard", "jaccard")
 
 @query("WITH " + sql.tokens("strict") + " SELECT doc_id, kind, count(*) AS n FROM kinds GROUP BY 1, 2")
 def tokens_count_by_kind(spark, sf_dir):
-    return E.token_rows(corpus(spark, sf_dir), places=False).groupBy(F.col("entry_id").alias("doc_id"), "kind").agg(F.count("*").alias("n"))
+    return E.kind_counts(corpus(spark, sf_dir)).groupBy(F.col("entry_id").alias("doc_id"), "kind").agg(F.sum("n").alias("n"))
 
 
 def _blinded(mode):
