@@ -49,6 +49,14 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+def gram_key(context: np.ndarray, shorter: np.ndarray, order: int) -> np.ndarray:
+    """Key of a gram by those of its context (without the last word) and of the gram without its first word."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + shorter + np.uint64(order)
+    for factor in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
+
+
 def hashed(column: pa.Array, orders: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Lengths of the texts with their ends, keys of the grams of each order that end at each token of all texts, and
     the tokens' places in their texts (a gram of order k is one from place k - 1 on)."""
@@ -61,10 +69,7 @@ def hashed(column: pa.Array, orders: int) -> tuple[np.ndarray, list[np.ndarray],
     first[inner] = words
     keys = [first]
     for order in range(2, orders + 1):
-        x = np.concatenate([first[:1], keys[-1][:-1]]) * np.uint64(0x9E3779B97F4A7C15) + first + np.uint64(order)
-        for factor in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(factor)
-        keys.append(x ^ (x >> np.uint64(32)))
+        keys.append(gram_key(np.concatenate([keys[-1][:1], keys[-1][:-1]]), keys[-1], order))
     place = np.arange(len(first)) - np.repeat(ends + 1 - sizes, sizes)
     return sizes, [k.view(np.int64) for k in keys], place
 
@@ -84,33 +89,47 @@ def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-_GRAMS = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("shorter", pa.int64()), ("above", pa.int64()), ("n", pa.int64())])
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches, "text", 8 << 20):
+        key, n = np.unique(hashed(batch.column(0), 1)[1][0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
 def _gram_batches(shared, order: int):
     """Counts of the grams of ``order`` words whose context may be a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above, below = shared.value
         for batch in text_slices(batches, "text", 8 << 20):
             _, keys, place = hashed(batch.column(0), order)
             at = np.flatnonzero(place >= order - 1)
-            if order == 3:  # all pairs are counted, so contexts are known
-                at = at[maybe(shared.value[1], keys[1][at - 1])]
-            if order > 2:
-                at = at[maybe(shared.value[0], keys[order - 3][at - 1])]
-            key, first, n = np.unique(keys[-1][at], return_index=True, return_counts=True)
+            if above is not None:
+                at = at[maybe(above, keys[order - 3][at - 1])]
+            if below is not None:
+                there = maybe(below, keys[order - 2])
+                at = at[there[at] & there[at - 1]]
+            _, first, n = np.unique(keys[-1][at], return_index=True, return_counts=True)
             at = at[first]
-            none = np.zeros(len(at), np.int64)
-            columns = key, keys[order - 2][at - 1] if order > 1 else none, keys[order - 2][at] if order > 1 else none, keys[order - 3][at - 1] if order > 2 else none, n
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], schema=_GRAMS)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[order - 2][at - 1], keys[order - 2][at], n.astype(np.int64))], ["context", "shorter", "n"])
 
     return run
 
 
-def counted_grams(train: DataFrame, order: int, *bits: np.ndarray) -> DataFrame:
-    shared = train.sparkSession.sparkContext.broadcast(bits)
-    found = train.select("text").mapInArrow(_gram_batches(shared, order), "key bigint, context bigint, shorter bigint, above bigint, n bigint")
-    return found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("context", "shorter", "above")], F.sum("n").alias("n"))
+def counted_grams(train: DataFrame, order: int, above: np.ndarray | None, below: np.ndarray | None) -> DataFrame:
+    """context, shorter, n. ``above``: bits of the states that a context's parent must be one of (pairs have no parent
+    to look for). ``below``: bits of the frequent grams that context and shorter gram must be two of."""
+    shared = train.sparkSession.sparkContext.broadcast((above, below))
+    found = train.select("text").mapInArrow(_gram_batches(shared, order), "context bigint, shorter bigint, n bigint")
+    return found.groupBy("context", "shorter").agg(F.sum("n").alias("n"))
+
+
+def _key_of(order: int):
+    @F.arrow_udf("bigint")
+    def key(context: pa.Array, shorter: pa.Array) -> pa.Array:
+        as_bits = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return pa.array(gram_key(as_bits(context), as_bits(shorter), order).view(np.int64))
+
+    return key("context", "shorter")
 
 
 def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST, depth: int | None = None) -> tuple[DataFrame, int, int, int]:
@@ -118,29 +137,31 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
 
     ``depth`` ends the tree early, for comparisons.
     """
-    words = materialize(counted_grams(train, 1).select("key", "n"), "pst-words")
+    words = train.select("text").mapInArrow(_word_batches, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    words = materialize(words, "pst-words")
     n, v = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     nothing = F.lit(0.0)
     parts = [words.select("key", F.log10(F.col("n") + 1).alias("w"), F.log10(F.col("n") + 1).alias("base"), F.lit(1).alias("known"), "n")]
-    level = words.select("key", "n", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"))
+    # Weight null: the gram's context is no state, so none of its extensions has one as parent.
+    level = words.select("key", "n", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"), nothing.alias("w")).where(F.col("n") >= min_count)
     states, order, held = None, 1, [words]
     while depth is None or order <= depth:
         order += 1
-        bits = [bitmap(states.select(F.col("context").alias("key")))] if states is not None else []
-        if order == 3:
-            bits.append(bitmap(level.where(F.col("n") >= min_count).select("key")))
-        grams_ = counted_grams(train, order, *bits)
-        if order > 2:
-            grams_ = grams_.join(states.select(F.col("context").alias("above")), "above", "left_semi")
-        # A context's count is that of all its grams, the rare ones too: every context is followed by a token.
+        above = bitmap(states.select(F.col("context").alias("key"))) if states is not None else None
+        # Words and pairs are all counted, so what is not among the frequent ones can be left out, and a context's count
+        # is known. Later levels count the grams of candidates only, so a context's count is that of all its grams: the
+        # rare ones are counted too (every context is followed by a token).
+        whole = order <= 3
+        grams_ = counted_grams(train, order, above, bitmap(level.select("key")) if whole else None)
         frequent = F.col("n") >= min_count
-        totals = F.sum("n").over(Window.partitionBy("context")).alias("total") if order > 2 else None
-        if totals is None:
+        if whole:
             counted = grams_.where(frequent).join(level.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
         else:
-            counted = grams_.select("*", totals).where(frequent)
-        parents = level.where(frequent).select(F.col("key").alias("shorter"), F.col("p").alias("parent"))
-        counted = materialize(counted.join(parents, "shorter").select("key", "context", "n", "total", "parent"), f"pst-grams-{order}")
+            counted = grams_.withColumn("total", F.sum("n").over(Window.partitionBy("context"))).where(frequent)
+        # Only parents under a state, so what the bitmap let by in excess goes here.
+        parents = level.where("w IS NOT NULL").select(F.col("key").alias("shorter"), F.col("p").alias("parent"))
+        counted = counted.join(parents, "shorter").select(_key_of(order).alias("key"), "context", "n", "total", "parent")
+        counted = materialize(counted, f"pst-grams-{order}")
         sums = counted.groupBy("context").agg(F.first("total").alias("total"), F.sum("n").alias("kept"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("parent"))).alias("gain"), F.sum("parent").alias("mass"))
         rest = F.col("total") - F.col("kept")
         gain = F.col("gain") - F.col("kept") * F.log("total") + F.when(rest > 0, rest * F.log(rest / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(nothing)
@@ -155,10 +176,10 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
         parts.append(level.where("w IS NOT NULL").select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), "n"))
         parts.append(states.select(F.col("context").alias("key"), F.log10(F.col("share") / F.col("sum")).alias("w"), nothing.alias("base"), F.lit(0).alias("known"), F.lit(0).cast("long").alias("n")))
         held += [counted, states, level]
-    whole = parts[0]
+    every = parts[0]
     for part in parts[1:]:
-        whole = whole.unionByName(part)
-    weights = materialize(whole.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("w", "base", "known", "n")]), "pst-weights")
+        every = every.unionByName(part)
+    weights = materialize(every.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("w", "base", "known", "n")]), "pst-weights")
     release(*held)
     return weights, n, v, order
 
