@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -49,7 +52,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/echograin/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Once the table is there, the shuffles that made it are of no use: Spark deletes their files at the end of the write.
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     hadoop_path, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(hadoop_path)
     out = spark.read.schema(df.schema).parquet(path)
