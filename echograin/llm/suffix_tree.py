@@ -169,13 +169,16 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
         states = materialize(good.select("context", (rest + F.col("kinds")).cast("double").alias("share"), (F.col("total") + F.col("kinds")).cast("double").alias("sum")), f"pst-states-{order}")
         if states.isEmpty():
             order -= 1
+            release(counted, states)
             break
         p = F.coalesce((F.col("n") + F.col("share") * F.col("parent")) / F.col("sum"), F.col("parent"))
         change = F.log10(p) - F.log10(F.col("share") / F.col("sum")) - F.log10("parent")
-        level = materialize(counted.join(states, "context", "left").select("key", "n", p.alias("p"), change.alias("w")), f"pst-level-{order}")
+        below = counted.join(states, "context", "left" if order == 2 else "inner")  # pairs are asked for their counts, too
+        level = materialize(below.select("key", "n", p.alias("p"), change.alias("w")), f"pst-level-{order}")
+        release(counted)
         parts.append(level.where("w IS NOT NULL").select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), "n"))
         parts.append(states.select(F.col("context").alias("key"), F.log10(F.col("share") / F.col("sum")).alias("w"), nothing.alias("base"), F.lit(0).alias("known"), F.lit(0).cast("long").alias("n")))
-        held += [counted, states, level]
+        held += [states, level]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
