@@ -11,9 +11,13 @@ over all training tokens.
 
 Words, grams, states and weights are tables in the shared folder, keyed by 64-bit hashes, and grow with the corpus. A
 text's log score is a sum over its grams of all orders: a gram adds what it changes against its parent's share, and,
-as a context, its share. So one join of a text's grams with one table of weights scores it. Two broadcasts of fixed
+as a context, its share. So one join of a text's grams with one table of weights scores it. Two broadcasts of bounded
 size spare rows but decide nothing: the weights of the most frequent grams, and a bitmap of hashes, which leaves out
-only keys that are surely not in the table.
+only keys that are surely not in the table. Each goes as soon as its job is done.
+
+The places below a level's states hold those of all deeper levels. Once they are few, they are written with the words
+before them, and the deeper levels count there instead of in all texts; the last few of them, at any size of the
+corpus, are worked on in one piece, since a level of three places is not worth a job.
 
 Defined cases: null text is empty and scores as its end alone; a table without training rows gives N = V = 0, so every
 token has the probability 1; repeated rows count each time; a null id counts as remainder 0, so for training; an
@@ -38,6 +42,10 @@ TEST = 1.0
 MODULUS, HELD_OUT = 7, 2
 #: Weights that are broadcast, and bits of the bitmap of keys, at any corpus size.
 CACHE, BITS = 400_000, 27
+#: Places are written with so many words before them (or more, at greater depth) once at most one token in FEW is one.
+WINDOW, FEW = 16, 64
+#: Words in windows from which levels are tables; fewer are worked on in the driver.
+IN_PIECE = 4_000_000
 END = np.uint64(0x5EED5EED5EED5EED)
 
 
@@ -57,9 +65,8 @@ def gram_key(context: np.ndarray, shorter: np.ndarray, order: int) -> np.ndarray
     return x ^ (x >> np.uint64(32))
 
 
-def hashed(column: pa.Array, orders: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Lengths of the texts with their ends, keys of the grams of each order that end at each token of all texts, and
-    the tokens' places in their texts (a gram of order k is one from place k - 1 on)."""
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the texts with their ends, keys of all their tokens, and the tokens' places in their texts."""
     words, bounds = word_hashes(column)
     sizes = np.diff(bounds) + 1
     first = np.full(len(words) + len(sizes), END)
@@ -67,19 +74,32 @@ def hashed(column: pa.Array, orders: int) -> tuple[np.ndarray, list[np.ndarray],
     inner = np.ones(len(first), bool)
     inner[ends] = False
     first[inner] = words
+    return sizes, first, np.arange(len(first)) - np.repeat(ends + 1 - sizes, sizes)
+
+
+def longer(keys: np.ndarray, order: int) -> np.ndarray:
+    """Keys of the grams of ``order`` that end at each token, by those of one word less (a gram of order k is one from
+    place k - 1 on)."""
+    return gram_key(np.concatenate([keys[:1], keys[:-1]]), keys, order)
+
+
+def hashed(column: pa.Array, orders: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Lengths of the texts, keys of the grams of each order that end at each token, and the tokens' places."""
+    sizes, first, place = tokens(column)
     keys = [first]
     for order in range(2, orders + 1):
-        keys.append(gram_key(np.concatenate([keys[-1][:1], keys[-1][:-1]]), keys[-1], order))
-    place = np.arange(len(first)) - np.repeat(ends + 1 - sizes, sizes)
+        keys.append(longer(keys[-1], order))
     return sizes, [k.view(np.int64) for k in keys], place
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the column ``key``, 2 ** BITS of them: a key whose bit is not set is not in the column."""
-    at = F.shiftrightunsigned("key", 64 - BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 as int))")
+    """Bits of the column ``key``, 64 for each key and 2 ** BITS at most: a key whose bit is not set is not in the
+    column."""
+    n_bits = min(BITS, max(20, (64 * keys.count()).bit_length()))
+    at = F.shiftrightunsigned("key", 64 - n_bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - n_bits}) & 63 as int))")
     found = keys.select(F.shiftrightunsigned(at, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.int64)
+    out = np.zeros(1 << (n_bits - 6), np.int64)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint64)
 
@@ -91,36 +111,159 @@ def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text", 8 << 20):
-        key, n = np.unique(hashed(batch.column(0), 1)[1][0], return_counts=True)
+        key, n = np.unique(tokens(batch.column(0))[1].view(np.int64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
+def _gram_counts(parent: np.ndarray | None, context: np.ndarray, shorter: np.ndarray, order: int, above: np.ndarray | None, below: np.ndarray | None) -> pa.RecordBatch:
+    """Counts of the grams whose context may be a candidate; equal contexts stand together, which packs well."""
+    if above is not None:
+        may = maybe(above, parent)
+        context, shorter = context[may], shorter[may]
+    if below is not None:
+        may = maybe(below, context) & maybe(below, shorter)
+        context, shorter = context[may], shorter[may]
+    _, first, n = np.unique(gram_key(context, shorter, order), return_index=True, return_counts=True)
+    rank = np.argsort(context[first])
+    columns = context[first][rank].view(np.int64), shorter[first][rank].view(np.int64), n[rank].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["context", "shorter", "n"])
+
+
+def _keys_before(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """Keys and places of all tokens, and for the places with a gram of ``order``: their numbers, the key of the context
+    without its first word (none in pairs), and those of context and shorter gram."""
+    _, first, place = tokens(column)
+    keys = before = first
+    for k in range(2, order):
+        before, keys = keys, longer(keys, k)
+    at = np.flatnonzero(place >= order - 1)
+    return first, place, at, before[at - 1] if order > 2 else None, keys[at - 1], keys[at]
+
+
 def _gram_batches(shared, order: int):
     """Counts of the grams of ``order`` words whose context may be a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        above, below = shared.value
-        for batch in text_slices(batches, "text", 8 << 20):
-            _, keys, place = hashed(batch.column(0), order)
-            at = np.flatnonzero(place >= order - 1)
-            if above is not None:
-                at = at[maybe(above, keys[order - 3][at - 1])]
-            if below is not None:
-                there = maybe(below, keys[order - 2])
-                at = at[there[at] & there[at - 1]]
-            _, first, n = np.unique(keys[-1][at], return_index=True, return_counts=True)
-            at = at[first]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[order - 2][at - 1], keys[order - 2][at], n.astype(np.int64))], ["context", "shorter", "n"])
+        for batch in text_slices(batches, "text", 4 << 20):
+            yield _gram_counts(*_keys_before(batch.column(0), order)[3:], order, *shared.value)
+
+    return run
+
+
+def _window_batches(shared, order: int, width: int):
+    """The last ``width`` words, or as many as there are, at the places whose context may be a candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", 4 << 20):
+            first, place, at, parent, _, _ = _keys_before(batch.column(0), order)
+            above, exact = shared.value
+            at = at[maybe(above, parent) if exact is None else find(exact, parent.view(np.int64))[1]]
+            sizes = np.minimum(place[at] + 1, width)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            each = np.arange(ends[-1]) - np.repeat(ends[1:] - 1 - at, sizes)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(first[each].view(np.int64)))], ["words"])
+
+    return run
+
+
+def _windowed(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows with a gram of ``order`` at their end; keys of the context without its first word, context and shorter gram."""
+    sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(sizes >= order)
+    words = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    keys = before = words[np.cumsum(sizes)[at][:, None] + np.arange(-order, 0)[None, :]]
+    for k in range(2, order):
+        before, keys = keys, gram_key(keys[:, :-1], keys[:, 1:], k)
+    return at, before[:, 1], keys[:, 0], keys[:, 1]
+
+
+def _ending_batches(shared, order: int):
+    """Windows at the places whose context may be a candidate, by the states' sorted keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1 << 16):
+                part = batch.slice(k, 1 << 16)
+                at, parent, _, _ = _windowed(part.column(0), order)
+                yield part.take(pa.array(at[find(shared.value, parent.view(np.int64))[1]]))
+
+    return run
+
+
+def sorted_keys(states: DataFrame) -> np.ndarray:
+    return np.sort(states.select("context").toArrow().column(0).to_numpy())
+
+
+def levels_in_piece(windows: DataFrame, states: DataFrame, level: DataFrame, order: int, width: int, size: int, min_count: int, test: float, depth: int):
+    """The levels from ``order`` on, as far as the windows reach: their weights (key, w, n), the last level's states
+    (context, share, sum, total) and grams (key, n, p, w), and the order of the last level that retains a state."""
+    above = sorted_keys(states)
+    shared = windows.sparkSession.sparkContext.broadcast(above)
+    places = windows.mapInArrow(_ending_batches(shared, order), "words array<bigint>").toArrow().column(0).combine_chunks()
+    shared.destroy()
+    grams = level.where("w IS NOT NULL").select("key", "p").toArrow().sort_by("key")
+    known, probability = (grams.column(c).to_numpy() for c in ("key", "p"))
+    weights, last = [], None
+    while order <= min(width, depth):
+        at, parent, context, shorter = _windowed(places, order)
+        at_states = find(above, parent.view(np.int64))[1]
+        places = places.take(pa.array(at[at_states]))
+        context, shorter = context[at_states], shorter[at_states]
+        key, first, n = np.unique(gram_key(context, shorter, order).view(np.int64), return_index=True, return_counts=True)
+        contexts, of = np.unique(context[first].view(np.int64), return_inverse=True)
+        total = np.bincount(of, n, len(contexts))
+        where, there = find(known, shorter[first].view(np.int64))
+        kept = there & (n >= min_count)
+        key, n, of, p = key[kept], n[kept], of[kept], probability[where[kept]] if len(known) else np.zeros(0)
+        per = lambda x: np.bincount(of, x, len(contexts))  # noqa: E731, B023
+        kinds, counted, mass = per(np.ones(len(n))), per(n), per(p)
+        rest, gain = total - counted, per(n * np.log(n / p))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = gain - counted * np.log(total) + np.where(rest > 0, rest * np.log(rest / total / np.maximum(1 - mass, 1e-12)), 0)
+        good = (kinds > 0) & (gain >= test * np.log(max(size, 2)) / 2 * kinds)
+        if not good.any():
+            return weights, None, None, order - 1
+        share, sum_ = rest + kinds, total + kinds
+        own = good[of]
+        key, n, of, p = key[own], n[own], of[own], p[own]
+        above, known = contexts[good], key
+        probability = (n + share[of] * p) / sum_[of]
+        change = np.log10(probability) - np.log10(share[of] / sum_[of]) - np.log10(p)
+        weights += [(key, change, n), (above, np.log10(share[good] / sum_[good]), np.zeros(len(above), np.int64))]
+        last = pa.table({"context": above, "share": share[good], "sum": sum_[good], "total": total[good].astype(np.int64)}), pa.table({"key": key, "n": n.astype(np.int64), "p": probability, "w": change})
+        order += 1
+    return weights, *last, order - 1
+
+
+def _windowed_gram_batches(shared, order: int):
+    """The same counts as those of :func:`_gram_batches`, of the grams that end windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1 << 16):
+                column = batch.column(0).slice(k, 1 << 16)
+                yield _gram_counts(*_windowed(column, order)[1:], order, *shared.value)
 
     return run
 
 
-def counted_grams(train: DataFrame, order: int, above: np.ndarray | None, below: np.ndarray | None) -> DataFrame:
-    """context, shorter, n. ``above``: bits of the states that a context's parent must be one of (pairs have no parent
-    to look for). ``below``: bits of the frequent grams that context and shorter gram must be two of."""
+def counted_grams(train: DataFrame, order: int, above: np.ndarray | None, below: np.ndarray | None, windows: bool = False):
+    """context, shorter, n, and the broadcast to drop once that is written. ``above``: bits of the states that a
+    context's parent must be one of (pairs have no parent to look for). ``below``: bits of the frequent grams that
+    context and shorter gram must be two of. ``windows``: whether ``train`` has windows instead of texts."""
     shared = train.sparkSession.sparkContext.broadcast((above, below))
-    found = train.select("text").mapInArrow(_gram_batches(shared, order), "context bigint, shorter bigint, n bigint")
-    return found.groupBy("context", "shorter").agg(F.sum("n").alias("n"))
+    run = _windowed_gram_batches(shared, order) if windows else _gram_batches(shared, order)
+    found = train.select("words" if windows else "text").mapInArrow(run, "context bigint, shorter bigint, n bigint")
+    return found.groupBy("context", "shorter").agg(F.sum("n").alias("n")), shared
+
+
+def windows_of(train: DataFrame, order: int, above: np.ndarray, exact: np.ndarray | None, width: int) -> DataFrame:
+    """words: windows at the places of ``train`` whose context may be a candidate for ``order``; is one, if ``exact``
+    has the states' sorted keys."""
+    shared = train.sparkSession.sparkContext.broadcast((above, exact))
+    found = materialize(train.select("text").mapInArrow(_window_batches(shared, order, width), "words array<bigint>"), f"pst-windows-{order}")
+    shared.destroy()
+    return found
 
 
 def _key_of(order: int):
@@ -144,7 +287,7 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
     parts = [words.select("key", F.log10(F.col("n") + 1).alias("w"), F.log10(F.col("n") + 1).alias("base"), F.lit(1).alias("known"), "n")]
     # Weight null: the gram's context is no state, so none of its extensions has one as parent.
     level = words.select("key", "n", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"), nothing.alias("w")).where(F.col("n") >= min_count)
-    states, order, held = None, 1, [words]
+    states, order, held, covered, windows, width = None, 1, [words], n, None, 0
     while depth is None or order <= depth:
         order += 1
         above = bitmap(states.select(F.col("context").alias("key"))) if states is not None else None
@@ -152,34 +295,55 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
         # is known. Later levels count the grams of candidates only, so a context's count is that of all its grams: the
         # rare ones are counted too (every context is followed by a token).
         whole = order <= 3
-        grams_ = counted_grams(train, order, above, bitmap(level.select("key")) if whole else None)
+        if not whole and order > width and covered * FEW <= n:
+            release(windows)
+            exact = sorted_keys(states) if covered * WINDOW <= IN_PIECE else None
+            width = max(WINDOW, 4 * order, IN_PIECE // covered if exact is not None else 0)
+            windows = windows_of(train, order, above, exact, width)
+        if windows is not None and covered * width <= IN_PIECE:
+            few, states, level, order = levels_in_piece(windows, states, level, order, width, n, min_count, test, depth or 1 << 62)
+            if few:
+                columns = [np.concatenate([x[i] for x in few]) for i in range(3)]
+                few = train.sparkSession.createDataFrame(pa.table({"key": columns[0], "w": columns[1], "n": columns[2].astype(np.int64)}))
+                parts.append(few.select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), "n"))
+            if states is None:
+                break
+            covered = sum(states.column("total").to_pylist())
+            states, level = (train.sparkSession.createDataFrame(x) for x in (states, level))
+            continue
+        grams_, shared = counted_grams(windows or train, order, above, bitmap(level.select("key")) if whole else None, windows is not None)
         frequent = F.col("n") >= min_count
-        if whole:
-            counted = grams_.where(frequent).join(level.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
-        else:
-            counted = grams_.withColumn("total", F.sum("n").over(Window.partitionBy("context"))).where(frequent)
+        if not whole:
+            grams_ = grams_.withColumn("total", F.sum("n").over(Window.partitionBy("context")))
+        # Written before the joins, so that the counts' shuffle, the largest, is gone before theirs come.
+        counts = materialize(grams_.where(frequent), f"pst-counts-{order}")
+        shared.destroy()
+        counted = counts.join(level.select(F.col("key").alias("context"), F.col("n").alias("total")), "context") if whole else counts
         # Only parents under a state, so what the bitmap let by in excess goes here.
         parents = level.where("w IS NOT NULL").select(F.col("key").alias("shorter"), F.col("p").alias("parent"))
         counted = counted.join(parents, "shorter").select(_key_of(order).alias("key"), "context", "n", "total", "parent")
         counted = materialize(counted, f"pst-grams-{order}")
+        release(counts)
         sums = counted.groupBy("context").agg(F.first("total").alias("total"), F.sum("n").alias("kept"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("parent"))).alias("gain"), F.sum("parent").alias("mass"))
         rest = F.col("total") - F.col("kept")
         gain = F.col("gain") - F.col("kept") * F.log("total") + F.when(rest > 0, rest * F.log(rest / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(nothing)
         good = sums.where(gain >= F.lit(test * np.log(max(n, 2)) / 2) * F.col("kinds"))
-        states = materialize(good.select("context", (rest + F.col("kinds")).cast("double").alias("share"), (F.col("total") + F.col("kinds")).cast("double").alias("sum")), f"pst-states-{order}")
-        if states.isEmpty():
+        states = materialize(good.select("context", (rest + F.col("kinds")).cast("double").alias("share"), (F.col("total") + F.col("kinds")).cast("double").alias("sum"), "total"), f"pst-states-{order}")
+        covered = states.agg(F.sum("total")).first()[0]  # tokens after a state
+        if covered is None:
             order -= 1
             release(counted, states)
             break
         p = F.coalesce((F.col("n") + F.col("share") * F.col("parent")) / F.col("sum"), F.col("parent"))
         change = F.log10(p) - F.log10(F.col("share") / F.col("sum")) - F.log10("parent")
-        below = counted.join(states, "context", "left" if order == 2 else "inner")  # pairs are asked for their counts, too
+        below = counted.join(states.drop("total"), "context", "left" if order == 2 else "inner")  # pairs are asked for their counts, too
         level = materialize(below.select("key", "n", p.alias("p"), change.alias("w")), f"pst-level-{order}")
         release(counted)
         parts.append(level.where("w IS NOT NULL").select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), "n"))
         parts.append(states.select(F.col("context").alias("key"), F.log10(F.col("share") / F.col("sum")).alias("w"), nothing.alias("base"), F.lit(0).alias("known"), F.lit(0).cast("long").alias("n")))
         held += [states, level]
     every = parts[0]
+    release(windows)
     for part in parts[1:]:
         every = every.unionByName(part)
     weights = materialize(every.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("w", "base", "known", "n")]), "pst-weights")
@@ -197,18 +361,28 @@ def _score_batches(shared, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (cached, w, base, known, bits), row = shared.value, TaskContext.get().partitionId() << 40
         for batch in text_slices(batches, "text"):
-            sizes, keys, place = hashed(batch.column(1), depth)
+            sizes, key, place = tokens(batch.column(1))
             rows, of = batch.num_rows, np.repeat(np.arange(batch.num_rows), sizes)
-            sums, owners, rare = np.zeros((3, rows)), [], []
-            for k, key in enumerate(keys):
-                own, key = of[place >= k], key[place >= k]
-                at, hit = find(cached, key)
-                if hit.any():
-                    for i, column in enumerate((w, base, known)):
-                        sums[i] += np.bincount(own[hit], column[at[hit]], rows)
-                open_ = ~hit & maybe(bits, key)
-                owners.append(own[open_])
-                rare.append(key[open_])
+            sums, owners, rare, open_ = np.zeros((3, rows)), [], [], np.arange(len(key))
+            for order in range(1, depth + 1):
+                # A gram has a weight only if the one without its first word has.
+                if order > 1:
+                    key, open_ = longer(key, order), open_[place[open_] >= order - 1]
+                at, hit = find(cached, key.view(np.int64)[open_])
+                own = of[open_[hit]]
+                for i, column in enumerate((w, base, known)):
+                    sums[i] += np.bincount(own, column[at[hit]], rows)
+                may = ~hit & maybe(bits, key[open_])
+                owners.append(of[open_[may]])
+                rare.append(key.view(np.int64)[open_[may]])
+                open_ = open_[hit | may]
+                if not len(open_):
+                    break
+                left = np.bincount(of[open_], minlength=rows) > 0
+                if 2 * sizes[left].sum() < len(key):  # the others' tokens are done
+                    there = left[of]
+                    open_ = (np.cumsum(there) - 1)[open_]
+                    key, place, of = key[there], place[there], of[there]
             owner, key = np.concatenate(owners), np.concatenate(rare)
             rank = np.argsort(owner, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32)
@@ -227,6 +401,7 @@ def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int) -> Da
     rank = np.argsort(columns[0])
     shared = docs.sparkSession.sparkContext.broadcast((*(c[rank] for c in columns), bitmap(weights)))
     found = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(_score_batches(shared, depth), _SCORES), "pst-scores")
+    shared.destroy()
     rare = found.select("row", F.explode("rare").alias("key")).join(weights, "key")
     rare = rare.groupBy("row").agg(F.sum("w").alias("rare_w"), F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"))
     unseen = F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))

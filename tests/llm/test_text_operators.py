@@ -367,6 +367,28 @@ def test_suffix_tree_against_a_plain_one(spark, monkeypatch, test, cache, bits):
         assert r.n_known == sum(plain.uni[w] > 0 for w in words) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
 
 
+@pytest.mark.parametrize("in_piece", [0, 4_000_000])
+def test_suffix_tree_counts_deep_levels_at_few_places(spark, monkeypatch, in_piece):
+    """Deep levels count in windows, which are written anew where a level reaches beyond them, and no level leaves its
+    broadcasts behind (without that, each held up to 17 MB in every process and on disk)."""
+    monkeypatch.setattr(suffix_tree, "WINDOW", 4)
+    monkeypatch.setattr(suffix_tree, "FEW", 1)
+    monkeypatch.setattr(suffix_tree, "IN_PIECE", in_piece)
+    sent, windows, context = [], [], type(spark.sparkContext)
+    broadcast, windows_of = context.broadcast, suffix_tree.windows_of
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(broadcast(self, value)) or sent[-1])
+    monkeypatch.setattr(suffix_tree, "windows_of", lambda train, order, *rest: windows.append(order) or windows_of(train, order, *rest))
+    rng = np.random.default_rng(3)
+    texts = ["", None, *(" ".join(f"w{x}" for x in rng.integers(0, 3, 30)) + " a b c d e f g h i j k l m n o p q r s t" * 6 for _ in range(30))]
+    rows = suffix_tree.score_documents(corpus(spark, texts), test=0.001).collect()
+    plain = PlainTree([t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2], test=0.001)
+    assert windows[0] == 4 and plain.depth >= 6
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        assert r.score == pytest.approx(plain.score(texts[r.doc_id]))
+    assert sent and all(not b._jbroadcast.isValid() for b in sent)
+
+
 def test_suffix_tree_distributions_sum_to_one():
     tree = PlainTree([prose(80, k) for k in range(20)], test=0.1)
     assert tree.states
