@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import ScanOptions, SearchOptions
 from ..functions import languages, text
 from .entries import entries, pad_sketch, sketch_similarity
-from .pairs import bands
+from .pairs import bands, fps
 
 K1, B = 1.2, 0.75
 #: Above so many entries, and for snippets of so many fingerprints, candidates come from shared bands.
@@ -47,18 +47,37 @@ def snippet_entry(spark: SparkSession, snippet: str, options: ScanOptions, lang:
     return entries(corpus, ScanOptions(blind=options.blind, k=options.k, window=options.window))
 
 
-def rank_matches(index: DataFrame, query: DataFrame, min_jaccard: float, top: int, use_bands: bool = False) -> DataFrame:
+def sharing(index: DataFrame, query: DataFrame, min_jaccard: float) -> DataFrame:
+    """query_id, entry_id: every pair that can reach ``min_jaccard`` (over 0).
+
+    Sets with that similarity share ``min_jaccard`` times the query's fingerprints or more, so of any larger choice
+    than the rest of them they share one: the choice is those that the fewest entries have.
+    """
+    own = query.select(F.col("entry_id").alias("query_id"), F.size("fps").alias("size"), F.explode("fps").alias("hash"))
+    postings = fps(index)
+    df = postings.join(own.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "hash")
+    # Shared ones are a whole number; what a product in floating point may be too large by must not raise it.
+    needed = F.greatest(F.ceil(F.col("size") * F.lit(min_jaccard) - 1e-6), F.lit(1))
+    chosen = own.join(df, "hash", "left").withColumn("n", F.row_number().over(rarest)).where(F.col("n") <= F.col("size") - needed + 1)
+    return chosen.select("query_id", "hash").join(postings, "hash").select("query_id", "entry_id").distinct()
+
+
+def rank_matches(index: DataFrame, query: DataFrame, min_jaccard: float, top: int, use_bands: bool = False, many: bool = False) -> DataFrame:
     """Entries similar to the query entries, ranked for each query.
 
     Brute force compares all sketches and verifies those with half the threshold or more; with ``use_bands`` only
     entries that share a band are compared. The query side is a stated, small set and the index side streams by it.
+    With ``many`` queries, brute force leaves out pairs that cannot reach the threshold by their shared fingerprints;
+    its results are the same.
     """
     q = query.select(F.col("entry_id").alias("query_id"), F.col("sketch").alias("q_sketch"), F.col("fps").alias("q_fps"))
     if use_bands:
         hit = bands(query).withColumnRenamed("entry_id", "query_id").join(bands(index), ["band", "key"]).select("query_id", "entry_id").distinct()
         both = hit.join(q, "query_id").join(index, "entry_id")
     else:
-        both = index.join(q, F.lit(True))
+        # Pairs meet an entry's sets where that is and the queries' there, so that no pair's sets move.
+        both = sharing(index, query, min_jaccard).join(index, "entry_id").join(F.broadcast(q), "query_id") if many and min_jaccard > 0 else index.join(q, F.lit(True))
         both = both.where(sketch_similarity(F.col("sketch"), F.col("q_sketch")) >= 0.5 * min_jaccard)
     shared = F.size(F.array_intersect("fps", "q_fps"))
     exact = shared / (F.size("fps") + F.size("q_fps") - shared)

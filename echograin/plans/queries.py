@@ -305,7 +305,7 @@ SELECT query_id, entry_id, round(jaccard, 6) AS jaccard, rank FROM (SELECT *, ro
 def snippet_bruteforce(spark, sf_dir):
     """Stated queries (every fiftieth document) against all entries."""
     e = held(spark, sf_dir)
-    return search.rank_matches(e, e.where("entry_id % 50 = 0"), 0.3, 10).select("query_id", "entry_id", r6("jaccard").alias("jaccard"), "rank")
+    return search.rank_matches(e, e.where("entry_id % 50 = 0"), 0.3, 10, many=True).select("query_id", "entry_id", r6("jaccard").alias("jaccard"), "rank")
 
 
 @query(sql.BASE + sql.sketches() + """, cs AS (SELECT DISTINCT x.entry_id AS query_id, y.entry_id FROM banded x JOIN banded y ON x.band = y.band AND x.key = y.key WHERE x.entry_id % 50 = 0),

@@ -9,7 +9,7 @@ from echograin.cli import main
 from echograin.config import ScanOptions, SearchOptions, WalkOptions
 from echograin.operators import entries as E
 from echograin.operators import pairs, search
-from echograin.plans import report
+from echograin.plans import queries, report
 from echograin.plans.scan import scan
 from echograin.sources import files
 from echograin.streaming.incremental import Upkeep, apply_batch, coalesce_changes, expand_renames, interesting
@@ -182,6 +182,23 @@ def test_stream_upkeep(spark, tmp_path):
     assert held == [f"generation={up._pointer()[0] - k}" for k in (1, 0)]
 
 
+@pytest.mark.parametrize("least", [0.1, 0.3, 0.5, 1.0])
+def test_many_queries_find_what_brute_force_finds(spark, least):
+    sets = [sorted({(7 * k) % 11, *range(k % 5, k % 5 + 1 + k % 13), 100 + k % 3}) for k in range(120)]
+    rows = [(k, f"p{k % 50}", "Text", None, None, None, len(x), x, [1] * 128, None) for k, x in enumerate(sets)]
+    index = spark.createDataFrame(rows, E.ENTRY_DDL).cache()
+    query = index.where("entry_id % 7 = 0")
+    plain, fast = (search.rank_matches(index, query, least, 200, many=m) for m in (False, True))
+    key = lambda df: sorted((r.query_id, r["rank"], r.entry_id, r.score) for r in df.collect())
+    assert key(fast) == key(plain) and fast.count() >= query.count()
+
+
+def test_registered_brute_force_is_no_product_of_queries_and_entries(spark):
+    plan = queries.QUERIES["snippet_bruteforce"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join " in x]
+    assert joins and all("=" in x for x in joins)
+
+
 def test_change_log_helpers(spark):
     e = spark.createDataFrame([("a", "b", "rename", 1), ("c", None, "modify", 2), ("d", None, "access", 3)], "path string, new_path string, op string, version bigint")
     out = expand_renames(e)
