@@ -298,7 +298,7 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
         if not whole and order > width and covered * FEW <= n:
             release(windows)
             exact = sorted_keys(states) if covered * WINDOW <= IN_PIECE else None
-            width = max(WINDOW, 4 * order, IN_PIECE // covered if exact is not None else 0)
+            width = max(WINDOW, 4 * order)
             windows = windows_of(train, order, above, exact, width)
         if windows is not None and covered * width <= IN_PIECE:
             few, states, level, order = levels_in_piece(windows, states, level, order, width, n, min_count, test, depth or 1 << 62)
