@@ -57,6 +57,18 @@ def bands(entries: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFra
     return entries.select("entry_id", F.posexplode(slots).alias("band", "key"))
 
 
+def band_keys(entries: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """entry_id, key: :func:`bands` with the band inside a key of 16 bytes, for joins of large tables."""
+    return bands(entries, n_bands, rows).select("entry_id", F.unhex("key").alias("key"))
+
+
+def candidates_of(some: DataFrame, entries: DataFrame) -> DataFrame:
+    """a < b sharing a band, once each, one of them at least in ``some``, whose rows are among ``entries``. Only the
+    bands of ``some`` meet those of all."""
+    met = band_keys(some).withColumnRenamed("entry_id", "id").join(band_keys(entries), "key").where("id <> entry_id")
+    return met.select(F.least("id", "entry_id").alias("a"), F.greatest("id", "entry_id").alias("b")).distinct()
+
+
 def candidates(banded: DataFrame) -> DataFrame:
     """a < b sharing a band, once each."""
     left, right = banded.withColumnRenamed("entry_id", "a"), banded.withColumnRenamed("entry_id", "b")
@@ -105,6 +117,26 @@ def tags_and_score(exact: Column, a: dict[str, Column], b: dict[str, Column], sh
     return tags, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+#: Keys that are broadcast to pick rows; more are joined.
+FEW_KEYS = 400_000
+
+
+def picked(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The ``rows`` with (or, left_anti, without) one of ``keys``, by the keys' column. The keys are counted, since few
+    of them can be broadcast: then rows with long sets stay where they are."""
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, keys.columns, how)
+
+
+def findings_of(some: DataFrame, entries: DataFrame, options: ScanOptions = ScanOptions(), root: str | None = None) -> DataFrame:
+    """Those of :func:`scan_entries`' findings by sketches that have an endpoint in ``some``, rows of ``entries``. The
+    candidates, two numbers each, are persisted."""
+    near = candidates_of(some, entries).persist()
+    own = picked(entries, near.select(F.explode(F.array("a", "b")).alias("entry_id")).distinct())
+    close = estimate(near, own).where(F.col("estimated") >= options.min_jaccard)
+    return classify(verify(close, own).where(F.col("exact") >= options.min_jaccard), own, root)
+
+
 def classify(verified: DataFrame, entries: DataFrame, root: str | None = None) -> DataFrame:
     """Findings: endpoints a and b (structs), exact_jaccard, estimated_jaccard, shared, tags, score."""
     wide = _sides(verified.select("a", "b", "exact", "estimated", "shared"), entries, *ENDPOINT)

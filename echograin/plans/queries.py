@@ -526,9 +526,8 @@ def stream_upkeep(spark, sf_dir):
     """A batch of changes over documents: the change feed of an incremental update."""
     docs = corpus(spark, sf_dir)
     state = held(spark, sf_dir)
-    findings = pairs.scan_entries(state)
     batch = docs.where("entry_id % 10 = 0").select("path", F.lit(1).cast("bigint").alias("version"), F.when(F.col("entry_id") % 20 == 0, "remove").otherwise("modify").alias("op"), F.when(F.col("entry_id") % 20 != 0, F.col("content")).alias("content"), "lang")
-    return incremental.apply_batch(state, findings, batch)[2].select("op", F.col("finding.a.path").alias("a"), F.col("finding.b.path").alias("b"))
+    return incremental.apply_batch(state, incremental.touched_findings(state, batch), batch)[2].select("op", F.col("finding.a.path").alias("a"), F.col("finding.b.path").alias("b"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

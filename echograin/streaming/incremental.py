@@ -86,23 +86,33 @@ def diff_findings(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(op.alias("op"), F.coalesce("new", "old").alias("finding")).where("op IS NOT NULL")
 
 
+def touched_paths(batch: DataFrame) -> DataFrame:
+    """path: those that a batch changes, found without their contents."""
+    return interesting(coalesce_changes(batch.select("path", "version", "op"))).select("path")
+
+
+def touched_findings(state: DataFrame, batch: DataFrame, options: ScanOptions = ScanOptions(), root: str | None = None) -> DataFrame:
+    """The findings among the entries ``state`` that a batch can change: all that :func:`apply_batch` needs for its feed."""
+    return pairs.findings_of(pairs.picked(state, touched_paths(batch)), state, options, root)
+
+
 def apply_batch(state: DataFrame, findings: DataFrame, batch: DataFrame, options: ScanOptions = ScanOptions(), root: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, findings, feed) after a batch of changes (path, version, op, content, lang).
 
-    Only pairs with an endpoint in a touched path are computed anew: the changed entries' bands meet all bands.
+    Only pairs with an endpoint in a touched path are computed anew: the changed entries' bands meet all bands. The
+    others are the same before and after, so the feed is that of the touched ones.
     """
     last = interesting(coalesce_changes(batch))
-    touched = last.select("path").distinct()
+    touched = touched_paths(batch)
     fresh = last.where((F.col("op") != "remove") & F.col("content").isNotNull())
     new = entries(fresh.select(F.conv(F.substring(F.md5(F.col("path").cast("binary")), 1, 15), 16, 10).cast("bigint").alias("entry_id"), "path", "lang", "content"), options)
-    after = state.join(touched, "path", "left_anti").unionByName(new)
-    near = pairs.partners(pairs.bands(after), new.select("entry_id")).select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).distinct()
-    near = pairs.estimate(near, after).where(F.col("estimated") >= options.min_jaccard)
-    found = pairs.classify(pairs.verify(near, after).where(F.col("exact") >= options.min_jaccard), after, root)
-    is_touched = lambda df, n: df.join(touched.withColumnRenamed("path", "_p"), F.col(f"{n}.path") == F.col("_p"), "left_anti")
-    kept = is_touched(is_touched(findings, "a"), "b")
-    all_after = kept.unionByName(found)
-    return after, all_after, diff_findings(findings, all_after)
+    after = pairs.picked(state, touched, "left_anti").unionByName(new)
+    found = pairs.findings_of(new, after, options, root)
+    flag = lambda n: touched.select(F.col("path").alias(f"_{n}"))
+    marked = findings.join(flag("a"), F.col("a.path") == F.col("_a"), "left").join(flag("b"), F.col("b.path") == F.col("_b"), "left")
+    is_touched = F.col("_a").isNotNull() | F.col("_b").isNotNull()
+    kept, old = (marked.where(c).select(*findings.columns) for c in (~is_touched, is_touched))
+    return after, kept.unionByName(found), diff_findings(old, found)
 
 
 class Upkeep:

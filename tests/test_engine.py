@@ -154,6 +154,26 @@ def test_incremental_equals_rebuild(spark):
     assert key(rebuilt) == key(new_found)
 
 
+@pytest.mark.parametrize("few", [0, 400_000])
+def test_feed_needs_touched_findings_only(spark, monkeypatch, few):
+    """The feed by the findings that a batch can change is that of two whole scans; entries with their sets are picked by
+    broadcast keys where those are few (before, all were shuffled by path and for each side of the pairs)."""
+    from echograin.streaming.incremental import diff_findings, touched_findings
+
+    monkeypatch.setattr(pairs, "FEW_KEYS", few)
+    options = ScanOptions(blind="aggressive")
+    content = [PLANT, renamed(PLANT), OTHER, PLANT + OTHER]
+    empty = spark.createDataFrame([], E.ENTRY_DDL)
+    state = apply_batch(empty, pairs.scan_entries(empty), _changes(spark, [(f"f{k}.py", 1, "create", content[k % 4]) for k in range(12)]), options)[0].cache()
+    batch = _changes(spark, [("f1.py", 2, "remove", None), ("f2.py", 2, "modify", PLANT), ("f3.py", 2, "modify", PLANT + OTHER), ("n.py", 2, "create", PLANT), ("f5.py", 2, "access", PLANT)])
+    after, _, feed = apply_batch(state, touched_findings(state, batch, options), batch, options)
+    whole = diff_findings(pairs.scan_entries(state, options), pairs.scan_entries(after, options))
+    key = lambda df: sorted((r.op, *sorted((r.finding.a.path, r.finding.b.path)), r.finding.shared) for r in df.collect())
+    assert key(feed) == key(whole) and {r.op for r in feed.collect()} >= {"added", "removed"}
+    picks = [x for x in feed._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftSemi" in x or "Join LeftAnti" in x]
+    assert picks and all(("strategy=broadcast" in x) == (few > 0) for x in picks)
+
+
 def test_stream_upkeep(spark, tmp_path):
     changes, folder = tmp_path / "changes", tmp_path / "state"
     changes.mkdir()
