@@ -16,8 +16,9 @@ size spare rows but decide nothing: the weights of the most frequent grams, and
 only keys that are surely not in the table. Each goes as soon as its job is done.
 
 The places below a level's states hold those of all deeper levels. Once they are few, they are written with the words
-before them, and the deeper levels count there instead of in all texts; the last few of them, at any size of the
-corpus, are worked on in one piece, since a level of three places is not worth a job.
+before them, and the deeper levels count there instead of in all texts. What is below a state lies at its own places,
+so all levels that the windows reach are worked on in one job, states parted into buckets; places that reach further get
+longer windows and another job. Only below a state with more places than a task may hold, levels stay tables.
 
 Defined cases: null text is empty and scores as its end alone; a table without training rows gives N = V = 0, so every
 token has the probability 1; repeated rows count each time; a null id counts as remainder 0, so for training; an
@@ -44,8 +45,10 @@ MODULUS, HELD_OUT = 7, 2
 CACHE, BITS = 400_000, 27
 #: Places are written with so many words before them (or more, at greater depth) once at most one token in FEW is one.
 WINDOW, FEW = 16, 64
-#: Words in windows from which levels are tables; fewer are worked on in the driver.
-IN_PIECE = 4_000_000
+#: Words in a state's windows from which levels are tables; states with fewer are worked on in buckets of BUCKET words.
+IN_PIECE, BUCKET = 4_000_000, 500_000
+#: The longest windows, and states' keys that are broadcast sorted, beside their bitmap.
+WIDEST, EXACT = 4096, 250_000
 END = np.uint64(0x5EED5EED5EED5EED)
 
 
@@ -150,18 +153,39 @@ def _gram_batches(shared, order: int):
     return run
 
 
-def _window_batches(shared, order: int, width: int):
-    """The last ``width`` words, or as many as there are, at the places whose context may be a candidate."""
+_BASE = 0x9E3779B97F4A7C15
+
+
+def runs(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the ``length`` words that end at each of the places ``at``: polynomials of the words, from running sums,
+    whose cost does not depend on the length."""
+    up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * down[:-1])])
+    return (sums[at + 1] - sums[at + 1 - length]) * up[at]
+
+
+def _window_batches(shared, order: int, width: int, by_runs: bool):
+    """The last ``width`` words, or as many as there are, at the places whose context may be a candidate, and the key of
+    the context without its first word; ``by_runs``: that of :func:`runs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 4 << 20):
-            first, place, at, parent, _, _ = _keys_before(batch.column(0), order)
+            if by_runs:
+                _, first, place = tokens(batch.column(0))
+                at = np.flatnonzero(place >= order - 1)
+                parent = runs(first, at - 1, order - 2)
+            else:
+                first, place, at, parent, _, _ = _keys_before(batch.column(0), order)
             above, exact = shared.value
-            at = at[maybe(above, parent) if exact is None else find(exact, parent.view(np.int64))[1]]
+            may = np.flatnonzero(maybe(above, parent))
+            if exact is not None:
+                may = may[find(exact, parent.view(np.int64)[may])[1]]
+            at, parent = at[may], parent[may]
             sizes = np.minimum(place[at] + 1, width)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             each = np.arange(ends[-1]) - np.repeat(ends[1:] - 1 - at, sizes)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(first[each].view(np.int64)))], ["words"])
+            words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(first[each].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(parent.view(np.int64)), words], ["g", "words"])
 
     return run
 
@@ -177,40 +201,56 @@ def _windowed(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.
     return at, before[:, 1], keys[:, 0], keys[:, 1]
 
 
-def _ending_batches(shared, order: int):
-    """Windows at the places whose context may be a candidate, by the states' sorted keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1 << 16):
-                part = batch.slice(k, 1 << 16)
-                at, parent, _, _ = _windowed(part.column(0), order)
-                yield part.take(pa.array(at[find(shared.value, parent.view(np.int64))[1]]))
-
-    return run
-
-
-def sorted_keys(states: DataFrame) -> np.ndarray:
-    return np.sort(states.select("context").toArrow().column(0).to_numpy())
-
-
-def levels_in_piece(windows: DataFrame, states: DataFrame, level: DataFrame, order: int, width: int, size: int, min_count: int, test: float, depth: int):
-    """The levels from ``order`` on, as far as the windows reach: their weights (key, w, n), the last level's states
-    (context, share, sum, total) and grams (key, n, p, w), and the order of the last level that retains a state."""
-    above = sorted_keys(states)
-    shared = windows.sparkSession.sparkContext.broadcast(above)
-    places = windows.mapInArrow(_ending_batches(shared, order), "words array<bigint>").toArrow().column(0).combine_chunks()
-    shared.destroy()
-    grams = level.where("w IS NOT NULL").select("key", "p").toArrow().sort_by("key")
-    known, probability = (grams.column(c).to_numpy() for c in ("key", "p"))
-    weights, last = [], None
+_DEEP = "kind int, depth int, key bigint, w double, n bigint, g bigint, context bigint, p double"
+WEIGHT, OPEN_GRAM, OPEN_STATE = range(3)
+
+
+def extended(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of all grams that begin one word, ``word``, earlier. Row j of ``keys`` has those that end j words before the
+    windows' ends."""
+    k = len(keys)
+    out = np.empty((k + 1, len(word)), np.uint64)
+    out[k] = word
+    for j in range(k - 1, -1, -1):
+        out[j] = gram_key(out[j + 1], keys[j], k + 1 - j)
+    return out
+
+
+def deep_levels(windows: pa.Table, grams: pa.Table, order: int, width: int, size: int, min_count: int, test: float, depth: int) -> pa.Table:
+    """The levels from ``order`` on, as far as the windows (g, words) reach, below the states g of the last level's
+    ``grams`` (g, key, p): weights (key, w, n), and, where the windows end before the tree, the last level's grams (key,
+    n, p, g, context) and states (context, g, and their places as n)."""
+    parts = []
+
+    def put(kind: int, at: int, rows: int, **columns: np.ndarray) -> None:
+        columns |= {"kind": np.full(rows, kind, np.int32), "depth": np.full(rows, at, np.int32)}
+        columns = {c: x.astype(np.int64) if c == "n" else x.view(np.int64) if x.dtype == np.uint64 else x for c, x in columns.items()}
+        types = {"kind": pa.int32(), "depth": pa.int32(), "w": pa.float64(), "p": pa.float64()}
+        names = [x.split()[0] for x in _DEEP.split(", ")]
+        parts.append(pa.table({c: pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(rows, types.get(c, pa.int64())) for c in names}))
+
+    put(WEIGHT, 0, 0)
+    list_ = windows.column("words").combine_chunks()
+    sizes = pa.compute.list_value_length(list_).to_numpy(zero_copy_only=False)
+    ends, flat = np.cumsum(sizes), list_.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    to_numpy = lambda t, c: t.column(c).to_numpy()
+    here = np.flatnonzero((sizes >= order) & find(np.unique(to_numpy(grams, "g")), to_numpy(windows, "g"))[1])
+    rank = np.argsort(to_numpy(grams, "key"))
+    known, probability = to_numpy(grams, "key")[rank], to_numpy(grams, "p")[rank]
+    sizes, last = sizes[here], ends[here] - 1
+    word = lambda k: flat[last - k]
+    keys, above = word(0)[None, :], None
+    for k in range(1, order - 1):
+        keys = extended(keys, word(k))
     while order <= min(width, depth):
-        at, parent, context, shorter = _windowed(places, order)
-        at_states = find(above, parent.view(np.int64))[1]
-        places = places.take(pa.array(at[at_states]))
-        context, shorter = context[at_states], shorter[at_states]
-        key, first, n = np.unique(gram_key(context, shorter, order).view(np.int64), return_index=True, return_counts=True)
-        contexts, of = np.unique(context[first].view(np.int64), return_inverse=True)
+        on = sizes >= order
+        if above is not None:
+            on &= find(above, keys[1].view(np.int64))[1]
+        sizes, last, keys = sizes[on], last[on], keys[:, on]
+        shorter, keys = keys[0], extended(keys, word(order - 1))
+        context = keys[1].view(np.int64)
+        key, first, n = np.unique(keys[0].view(np.int64), return_index=True, return_counts=True)
+        contexts, of = np.unique(context[first], return_inverse=True)
         total = np.bincount(of, n, len(contexts))
         where, there = find(known, shorter[first].view(np.int64))
         kept = there & (n >= min_count)
@@ -222,17 +262,40 @@ def levels_in_piece(windows: DataFrame, states: DataFrame, level: DataFrame, ord
             gain = gain - counted * np.log(total) + np.where(rest > 0, rest * np.log(rest / total / np.maximum(1 - mass, 1e-12)), 0)
         good = (kinds > 0) & (gain >= test * np.log(max(size, 2)) / 2 * kinds)
         if not good.any():
-            return weights, None, None, order - 1
+            return pa.concat_tables(parts)
         share, sum_ = rest + kinds, total + kinds
         own = good[of]
         key, n, of, p = key[own], n[own], of[own], p[own]
         above, known = contexts[good], key
         probability = (n + share[of] * p) / sum_[of]
         change = np.log10(probability) - np.log10(share[of] / sum_[of]) - np.log10(p)
-        weights += [(key, change, n), (above, np.log10(share[good] / sum_[good]), np.zeros(len(above), np.int64))]
-        last = pa.table({"context": above, "share": share[good], "sum": sum_[good], "total": total[good].astype(np.int64)}), pa.table({"key": key, "n": n.astype(np.int64), "p": probability, "w": change})
+        put(WEIGHT, order, len(key), key=key, w=change, n=n)
+        put(WEIGHT, order, len(above), key=above, w=np.log10(share[good] / sum_[good]), n=np.zeros(len(above), np.int64))
         order += 1
-    return weights, *last, order - 1
+    if above is not None:
+        one, at = np.unique(context, return_index=True)
+        at = at[find(one, contexts)[0]]
+        g, power = np.zeros(len(contexts), np.uint64), np.uint64(1)
+        for k in range(1, order - 1):
+            g += flat[last[at] - k] * power
+            power = np.uint64(int(power) * _BASE % (1 << 64))
+        put(OPEN_GRAM, order - 1, len(key), key=key, n=n, p=probability, g=g[of], context=contexts[of])
+        put(OPEN_STATE, order - 1, len(above), n=total[good], g=g[good], context=above)
+    return pa.concat_tables(parts)
+
+
+def deep_job(train: DataFrame, states: DataFrame, level: DataFrame, order: int, width: int, words: int, by_runs: bool, *rest) -> DataFrame:
+    """:func:`deep_levels` in buckets of states. ``words``: about how many there are in all windows."""
+    keys = states.select(F.col("g" if by_runs else "context").alias("key"))
+    exact = keys.limit(EXACT + 1).toArrow().column(0).to_numpy()
+    windows = windows_of(train, order, bitmap(keys), np.sort(exact) if len(exact) <= EXACT else None, width, by_runs)
+    bucket = F.pmod("g", F.lit(1 + words // BUCKET)).alias("bucket")
+    grams = level.where("w IS NOT NULL").select("g", "key", "p", bucket)
+    work = lambda a, b: deep_levels(a, b, order, width, *rest)
+    found = windows.select("g", "words", bucket).groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(work, _DEEP)
+    found = materialize(found, f"pst-deep-{order}")
+    release(windows)
+    return found
 
 
 def _windowed_gram_batches(shared, order: int):
@@ -257,11 +320,11 @@ def counted_grams(train: DataFrame, order: int, above: np.ndarray | None, below:
     return found.groupBy("context", "shorter").agg(F.sum("n").alias("n")), shared
 
 
-def windows_of(train: DataFrame, order: int, above: np.ndarray, exact: np.ndarray | None, width: int) -> DataFrame:
-    """words: windows at the places of ``train`` whose context may be a candidate for ``order``; is one, if ``exact``
-    has the states' sorted keys."""
+def windows_of(train: DataFrame, order: int, above: np.ndarray, exact: np.ndarray | None, width: int, by_runs: bool = False) -> DataFrame:
+    """g, words: windows at the places of ``train`` whose context may be a candidate for ``order``; is one, if ``exact``
+    has the states' sorted keys. g: the key of the state, that of :func:`runs` if ``by_runs``."""
     shared = train.sparkSession.sparkContext.broadcast((above, exact))
-    found = materialize(train.select("text").mapInArrow(_window_batches(shared, order, width), "words array<bigint>"), f"pst-windows-{order}")
+    found = materialize(train.select("text").mapInArrow(_window_batches(shared, order, width, by_runs), "g bigint, words array<bigint>"), f"pst-windows-{order}")
     shared.destroy()
     return found
 
@@ -287,30 +350,33 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
     parts = [words.select("key", F.log10(F.col("n") + 1).alias("w"), F.log10(F.col("n") + 1).alias("base"), F.lit(1).alias("known"), "n")]
     # Weight null: the gram's context is no state, so none of its extensions has one as parent.
     level = words.select("key", "n", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"), nothing.alias("w")).where(F.col("n") >= min_count)
-    states, order, held, covered, windows, width = None, 1, [words], n, None, 0
+    states, order, held, covered, hottest, windows, width, by_runs = None, 1, [words], n, n, None, 0, False
     while depth is None or order <= depth:
-        order += 1
-        above = bitmap(states.select(F.col("context").alias("key"))) if states is not None else None
+        reached, order = order, order + 1
         # Words and pairs are all counted, so what is not among the frequent ones can be left out, and a context's count
         # is known. Later levels count the grams of candidates only, so a context's count is that of all its grams: the
         # rare ones are counted too (every context is followed by a token).
         whole = order <= 3
-        if not whole and order > width and covered * FEW <= n:
-            release(windows)
-            exact = sorted_keys(states) if covered * WINDOW <= IN_PIECE else None
-            width = max(WINDOW, 4 * order)
-            windows = windows_of(train, order, above, exact, width)
-        if windows is not None and covered * width <= IN_PIECE:
-            few, states, level, order = levels_in_piece(windows, states, level, order, width, n, min_count, test, depth or 1 << 62)
-            if few:
-                columns = [np.concatenate([x[i] for x in few]) for i in range(3)]
-                few = train.sparkSession.createDataFrame(pa.table({"key": columns[0], "w": columns[1], "n": columns[2].astype(np.int64)}))
-                parts.append(few.select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), "n"))
-            if states is None:
+        few = not whole and covered * FEW <= n
+        wide = min(max(WINDOW, n // (4 * max(covered, 1)), 2 * order), max(WIDEST, 2 * order))
+        if few and hottest * 2 * order <= IN_PIECE:
+            wide = max(2 * order, min(wide, IN_PIECE // hottest))
+            deep = deep_job(train, states, level, order, wide, covered * wide, by_runs, n, min_count, test, depth + 1 if depth else 1 << 62)
+            held.append(deep)
+            parts.append(deep.where(F.col("kind") == WEIGHT).select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), "n"))
+            level = deep.where(F.col("kind") == OPEN_GRAM).select("key", "n", "p", nothing.alias("w"), "g")
+            states = deep.where(F.col("kind") == OPEN_STATE).select("context", "g", F.col("n").alias("total"))
+            places = F.when(F.col("kind") == OPEN_STATE, F.col("n"))
+            order, covered, hottest = deep.agg(F.coalesce(F.max("depth"), F.lit(reached)), F.sum(places), F.max(places)).first()
+            by_runs = True
+            if covered is None:
                 break
-            covered = sum(states.column("total").to_pylist())
-            states, level = (train.sparkSession.createDataFrame(x) for x in (states, level))
             continue
+        above = bitmap(states.select(F.col("context").alias("key"))) if states is not None else None
+        if few and order > width:
+            release(windows)
+            width = max(WINDOW, 4 * order)
+            windows = windows_of(train, order, above, None, width)
         grams_, shared = counted_grams(windows or train, order, above, bitmap(level.select("key")) if whole else None, windows is not None)
         frequent = F.col("n") >= min_count
         if not whole:
@@ -329,7 +395,8 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
         gain = F.col("gain") - F.col("kept") * F.log("total") + F.when(rest > 0, rest * F.log(rest / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(nothing)
         good = sums.where(gain >= F.lit(test * np.log(max(n, 2)) / 2) * F.col("kinds"))
         states = materialize(good.select("context", (rest + F.col("kinds")).cast("double").alias("share"), (F.col("total") + F.col("kinds")).cast("double").alias("sum"), "total"), f"pst-states-{order}")
-        covered = states.agg(F.sum("total")).first()[0]  # tokens after a state
+        by_runs = False
+        covered, hottest = states.agg(F.sum("total"), F.max("total")).first()  # tokens after a state
         if covered is None:
             order -= 1
             release(counted, states)
@@ -337,7 +404,7 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
         p = F.coalesce((F.col("n") + F.col("share") * F.col("parent")) / F.col("sum"), F.col("parent"))
         change = F.log10(p) - F.log10(F.col("share") / F.col("sum")) - F.log10("parent")
         below = counted.join(states.drop("total"), "context", "left" if order == 2 else "inner")  # pairs are asked for their counts, too
-        level = materialize(below.select("key", "n", p.alias("p"), change.alias("w")), f"pst-level-{order}")
+        level = materialize(below.select("key", "n", p.alias("p"), change.alias("w"), F.col("context").alias("g")), f"pst-level-{order}")
         release(counted)
         parts.append(level.where("w IS NOT NULL").select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), "n"))
         parts.append(states.select(F.col("context").alias("key"), F.log10(F.col("share") / F.col("sum")).alias("w"), nothing.alias("base"), F.lit(0).alias("known"), F.lit(0).cast("long").alias("n")))

@@ -389,6 +389,24 @@ def test_suffix_tree_counts_deep_levels_at_few_places(spark, monkeypatch, in_pie
     assert sent and all(not b._jbroadcast.isValid() for b in sent)
 
 
+def test_suffix_tree_works_on_deep_levels_in_few_jobs(spark, monkeypatch):
+    """However many places deep levels have together, as long as none of their states has too many, they take a job for
+    each length of windows (before, each took its own dozen of jobs if they did not fit the driver together)."""
+    for name, value in (("WINDOW", 4), ("FEW", 1), ("IN_PIECE", 40_000), ("BUCKET", 500)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    tags, orders, materialize, deep_job = [], [], suffix_tree.materialize, suffix_tree.deep_job
+    monkeypatch.setattr(suffix_tree, "materialize", lambda df, tag: tags.append(tag) or materialize(df, tag))
+    monkeypatch.setattr(suffix_tree, "deep_job", lambda *x: orders.append(x[3]) or deep_job(*x))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k % 5}x{x}" for x in rng.integers(0, 2, 8)) + f" a{k % 5}" * int(rng.integers(3, 40)) for k in range(300)]
+    rows = suffix_tree.score_documents(corpus(spark, texts), test=0.001).collect()
+    plain = PlainTree([t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2], test=0.001)
+    assert plain.depth >= 20 and len(orders) >= 2 and orders[0] == 4
+    assert [t for t in tags if t.startswith("pst-level")] == ["pst-level-2", "pst-level-3"] and len(tags) < 16
+    for r in rows:
+        assert r.score == pytest.approx(plain.score(texts[r.doc_id]))
+
+
 def test_suffix_tree_distributions_sum_to_one():
     tree = PlainTree([prose(80, k) for k in range(20)], test=0.1)
     assert tree.states
