@@ -418,12 +418,15 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
     return weights, n, v, order
 
 
-_SCORES = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, tree double, rare array<bigint>"
+#: Texts' other grams are joined by the first bits of their keys, part after part, so that one part's shuffle is on disk.
+PART_BITS = 2
+RARE = [f"rare{k}" for k in range(1 << PART_BITS)]
+_SCORES = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, tree double, " + ", ".join(f"{c} array<bigint>" for c in RARE)
 
 
 def _score_batches(shared, depth: int):
     """Sums of the broadcast weights of each text; keys of its other grams that may have one."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), *((c, pa.list_(pa.int64())) for c in RARE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (cached, w, base, known, bits), row = shared.value, TaskContext.get().partitionId() << 40
@@ -451,11 +454,13 @@ def _score_batches(shared, depth: int):
                     open_ = (np.cumsum(there) - 1)[open_]
                     key, place, of = key[there], place[there], of[there]
             owner, key = np.concatenate(owners), np.concatenate(rare)
-            rank = np.argsort(owner, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[rank]))
+            part, lists = key.view(np.uint64) >> np.uint64(64 - PART_BITS), []
+            for k in range(len(RARE)):
+                own, mine = owner[part == k], key[part == k]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=rows))]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(mine[np.argsort(own, kind="stable")])))
             numbers = [pa.array(x) for x in (sizes, np.rint(sums[2]).astype(np.int64), sums[1], sums[0])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + rows)), batch.column(0), batch.column(2), *numbers, lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + rows)), batch.column(0), batch.column(2), *numbers, *lists], schema=schema)
             row += rows
 
     return run
@@ -469,10 +474,15 @@ def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int) -> Da
     shared = docs.sparkSession.sparkContext.broadcast((*(c[rank] for c in columns), bitmap(weights)))
     found = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(_score_batches(shared, depth), _SCORES), "pst-scores")
     shared.destroy()
-    rare = found.select("row", F.explode("rare").alias("key")).join(weights, "key")
-    rare = rare.groupBy("row").agg(F.sum("w").alias("rare_w"), F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"))
+    sums, rare = [F.sum(c).alias(f"rare_{c}") for c in ("w", "base", "known")], None
+    for k, column in enumerate(RARE):
+        own = weights.where(F.shiftrightunsigned("key", 64 - PART_BITS) == k).select("key", "w", "base", "known")
+        part = found.select("row", F.explode(column).alias("key")).join(own, "key").groupBy("row").agg(*sums)
+        part = materialize(part, f"pst-rare-{k}")
+        rare = part if rare is None else rare.unionByName(part)
+    rare = rare.groupBy("row").agg(*[F.sum(c).alias(c) for c in rare.columns[1:]])
     unseen = F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
-    return found.drop("rare").join(rare, "row", "left").select(
+    return found.drop(*RARE).join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - unseen).alias("base_score"), (F.col("tree") + F.coalesce("rare_w", F.lit(0.0)) - unseen).alias("score"),
     )
