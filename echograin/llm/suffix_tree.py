@@ -9,8 +9,9 @@ tree is finished when a level retains nothing; there is no other bound on depth.
 interpolation with the parent's (Witten-Bell; counts below the limit join the parent's share), down to add-one unigrams
 over all training tokens.
 
-Words, grams, states and weights are tables in the shared folder, keyed by 64-bit hashes, and grow with the corpus. A
-text's log score is a sum over its grams of all orders: a gram adds what it changes against its parent's share, and,
+Words, grams, states and weights are tables in the shared folder, keyed by 64-bit hashes, and grow with the corpus.
+Texts' words are hashed once; counts and look-ups move as buckets of keys, a row each, instead of a row a gram. A text's
+log score is a sum over its grams of all orders: a gram adds what it changes against its parent's share, and,
 as a context, its share. So one join of a text's grams with one table of weights scores it. Two broadcasts of bounded
 size spare rows but decide nothing: the weights of the most frequent grams, and a bitmap of hashes, which leaves out
 only keys that are surely not in the table. Each goes as soon as its job is done.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize, release, text_slices
@@ -49,6 +50,8 @@ WINDOW, FEW = 16, 64
 IN_PIECE, BUCKET = 4_000_000, 500_000
 #: The longest windows, and states' keys that are broadcast sorted, beside their bitmap.
 WIDEST, EXACT = 4096, 250_000
+#: Grams of a bucket of counts, and weights of a bucket that texts' grams are looked up in.
+COUNTED, WEIGHED = 1 << 19, 1 << 20
 END = np.uint64(0x5EED5EED5EED5EED)
 
 
@@ -69,8 +72,13 @@ def gram_key(context: np.ndarray, shorter: np.ndarray, order: int) -> np.ndarray
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths of the texts with their ends, keys of all their tokens, and the tokens' places in their texts."""
-    words, bounds = word_hashes(column)
+    """Lengths of the texts with their ends, keys of all their tokens, and the tokens' places in their texts. A binary
+    column has the words' hashes already."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        words, bounds = word_hashes(column)
+    else:
+        parts = column.to_pylist()
+        words, bounds = np.frombuffer(b"".join(x or b"" for x in parts), np.uint64), np.cumsum([0, *(len(x or b"") // 8 for x in parts)])
     sizes = np.diff(bounds) + 1
     first = np.full(len(words) + len(sizes), END)
     ends = np.cumsum(sizes) - 1
@@ -99,12 +107,23 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     """Bits of the column ``key``, 64 for each key and 2 ** BITS at most: a key whose bit is not set is not in the
     column."""
     n_bits = min(BITS, max(20, (64 * keys.count()).bit_length()))
-    at = F.shiftrightunsigned("key", 64 - n_bits)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - n_bits}) & 63 as int))")
-    found = keys.select(F.shiftrightunsigned(at, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (n_bits - 6), np.int64)
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    return out.view(np.uint64)
+    share = max(0, min(6, n_bits - 6))  # bits of the map's parts
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in gathered(batches):
+            at = np.unique(held.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - n_bits))
+            yield pa.RecordBatch.from_arrays(in_buckets(at << np.uint64(64 - n_bits), share, at.astype("<u4")), ["bucket", "at"])
+
+    def fill(group: pa.Table) -> pa.Table:
+        own = np.zeros(1 << (n_bits - share), np.uint8)
+        own[numbers(group.column("at"), "<u4") & np.uint32(len(own) - 1)] = 1
+        return pa.table({"bucket": group.column("bucket")[:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    found = keys.select("key").mapInArrow(gather, "bucket int, at binary").groupBy("bucket").applyInArrow(fill, "bucket int, bits binary").toArrow()
+    out = np.zeros((1 << share, 1 << (n_bits - share - 6)), np.uint64)
+    for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[bucket] = np.frombuffer(bits, "<u8")
+    return out.reshape(-1)
 
 
 def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -112,24 +131,107 @@ def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text", 8 << 20):
-        key, n = np.unique(tokens(batch.column(0))[1].view(np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
+def bits_of(rows: int, size: int) -> int:
+    """So many first bits of a key part ``rows`` rows into buckets of ``size``."""
+    return min(16, max(0, (rows - 1) // size).bit_length())
+
+
+def in_buckets(key: np.ndarray, bits: int, *columns: np.ndarray) -> list[pa.Array]:
+    """Buckets by the first ``bits`` bits of the sorted ``key``, and each one's part of the columns as bytes: a row is a
+    bucket, so what a row costs is not paid for every number."""
+    bucket = (key >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int32)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(first, len(key))
+    out = [pa.array(bucket[first])]
+    for x in columns:
+        x = np.ascontiguousarray(x)
+        out.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]))
+    return out
+
+
+def numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The numbers of all buckets in a column."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def sums_by(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The sorted distinct keys, the place of one row of each, and each column's sums."""
+    rank = np.argsort(key)
+    key = key[rank]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return key[first], rank[first], *(np.add.reduceat(c[rank], first) if len(first) else c for c in columns)
+
 
+_GRAMS = "kind int, bucket int, context binary, shorter binary, n binary"
+GRAM, TOTAL = range(2)
 
-def _gram_counts(parent: np.ndarray | None, context: np.ndarray, shorter: np.ndarray, order: int, above: np.ndarray | None, below: np.ndarray | None) -> pa.RecordBatch:
-    """Counts of the grams whose context may be a candidate; equal contexts stand together, which packs well."""
+
+def _gram_counts(parent: np.ndarray | None, context: np.ndarray, shorter: np.ndarray, order: int, above: np.ndarray | None, below: np.ndarray | None, bits: int, part: int | None) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams whose context may be a candidate, and, where not all are counted, of their contexts.
+    ``part``: the first bit of the grams' keys, if only one half of them is asked for."""
     if above is not None:
         may = maybe(above, parent)
         context, shorter = context[may], shorter[may]
     if below is not None:
         may = maybe(below, context) & maybe(below, shorter)
         context, shorter = context[may], shorter[may]
-    _, first, n = np.unique(gram_key(context, shorter, order), return_index=True, return_counts=True)
-    rank = np.argsort(context[first])
-    columns = context[first][rank].view(np.int64), shorter[first][rank].view(np.int64), n[rank].astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["context", "shorter", "n"])
+    names = [x.split()[0] for x in _GRAMS.split(", ")]
+    key = gram_key(context, shorter, order)
+    if part is not None:
+        own = key >> np.uint64(63) == part
+        key, context, shorter = key[own], context[own], shorter[own]
+    key, at, n = sums_by(key, np.ones(len(context), np.uint32))
+    bucket, *columns = in_buckets(key, bits, context[at], shorter[at], n.astype("<u4"))
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), GRAM, np.int32)), bucket, *columns], names)
+    if below is None and order > 2:
+        key, _, n = sums_by(context, np.ones(len(context), np.uint32))
+        bucket, *columns = in_buckets(key, bits, key, n.astype("<u4"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), TOTAL, np.int32)), bucket, columns[0], pa.nulls(len(bucket), pa.binary()), columns[1]], names)
+
+
+def _word_batches(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", 8 << 20):
+            key, n = np.unique(tokens(batch.column(0))[1], return_counts=True)
+            bucket, *columns = in_buckets(key, bits, key, n.astype("<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), TOTAL, np.int32)), bucket, columns[0], pa.nulls(len(bucket), pa.binary()), columns[1]], [x.split()[0] for x in _GRAMS.split(", ")])
+
+    return run
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 19) -> Iterator[pa.Table]:
+    """Batches put together to so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+_COUNTS = "key bigint, context bigint, shorter bigint, n bigint"
+
+
+def _bucket_counts(order: int, min_count: int):
+    """Frequent grams of a bucket, or frequent contexts (shorter is null)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        kind = group.column("kind")[0].as_py()
+        context, n = numbers(group.column("context"), "<u8"), numbers(group.column("n"), "<u4").astype(np.int64)
+        shorter = numbers(group.column("shorter"), "<u8") if kind == GRAM else None
+        key, at, n = sums_by(gram_key(context, shorter, order) if kind == GRAM else context, n)
+        kept = n >= min_count
+        columns = [pa.array(x[kept].view(np.int64)) for x in (key, context[at], *([shorter[at]] if kind == GRAM else []), n)]
+        if kind == TOTAL:
+            columns.insert(2, pa.nulls(len(columns[0]), pa.int64()))
+        return pa.table(columns, [x.split()[0] for x in _COUNTS.split(", ")])
+
+    return run
 
 
 def _keys_before(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
@@ -143,12 +245,12 @@ def _keys_before(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray,
     return first, place, at, before[at - 1] if order > 2 else None, keys[at - 1], keys[at]
 
 
-def _gram_batches(shared, order: int):
+def _gram_batches(shared, order: int, bits: int, part: int | None):
     """Counts of the grams of ``order`` words whose context may be a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 4 << 20):
-            yield _gram_counts(*_keys_before(batch.column(0), order)[3:], order, *shared.value)
+            yield from _gram_counts(*_keys_before(batch.column(0), order)[3:], order, *shared.value, bits, part)
 
     return run
 
@@ -205,15 +307,24 @@ _DEEP = "kind int, depth int, key bigint, w double, n bigint, g bigint, context
 WEIGHT, OPEN_GRAM, OPEN_STATE = range(3)
 
 
-def extended(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys of all grams that begin one word, ``word``, earlier. Row j of ``keys`` has those that end j words before the
-    windows' ends."""
-    k = len(keys)
-    out = np.empty((k + 1, len(word)), np.uint64)
-    out[k] = word
-    for j in range(k - 1, -1, -1):
-        out[j] = gram_key(out[j + 1], keys[j], k + 1 - j)
-    return out
+def extended(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row j of ``keys`` has the keys of grams that end j words before the windows' ends and all begin with the same word.
+    The same with all grams that begin with the last of ``words``, the next ones before; and for each of those words the
+    grams that begin there, whole and without the last word. Works gram length by gram length, on all words at once."""
+    k, b = len(keys), len(words)
+    out, ends, here = np.empty((k + b, words.shape[1]), np.uint64), np.empty((b, 2, words.shape[1]), np.uint64), words
+    for length in range(1, k + b + 1):
+        low = max(0, length - k - 1)  # the first word with so long a gram
+        if length > 1:
+            before = np.concatenate([keys[k - length + 1][None], here[:-1]]) if length <= k + 1 else here[low - 1 - skipped : -1]
+            here = gram_key(here[low - skipped :], before, length)
+        skipped = low
+        for last in (0, 1):
+            i = length + last - 1 - k
+            if 0 <= i < b:
+                ends[i, last] = here[i - low]
+        out[k + b - length] = here[-1]
+    return out, ends
 
 
 def deep_levels(windows: pa.Table, grams: pa.Table, order: int, width: int, size: int, min_count: int, test: float, depth: int) -> pa.Table:
@@ -240,19 +351,26 @@ def deep_levels(windows: pa.Table, grams: pa.Table, order: int, width: int, size
     sizes, last = sizes[here], ends[here] - 1
     word = lambda k: flat[last - k]
     keys, above = word(0)[None, :], None
-    for k in range(1, order - 1):
-        keys = extended(keys, word(k))
+    words = lambda k, z: flat[np.maximum(last - np.arange(k, z)[:, None], 0)]
+    if order > 2:
+        keys, _ = extended(keys, words(1, order - 1))
+    ahead, shorter = [], keys[0]  # grams that end the windows, whole and without the last word, of the next orders
     while order <= min(width, depth):
         on = sizes >= order
         if above is not None:
-            on &= find(above, keys[1].view(np.int64))[1]
-        sizes, last, keys = sizes[on], last[on], keys[:, on]
-        shorter, keys = keys[0], extended(keys, word(order - 1))
-        context = keys[1].view(np.int64)
-        key, first, n = np.unique(keys[0].view(np.int64), return_index=True, return_counts=True)
+            on &= find(above, context)[1]
+        if not on.all():
+            sizes, last, keys, shorter, ahead = sizes[on], last[on], keys[:, on], shorter[on], [x[:, on] for x in ahead]
+        if not ahead:
+            keys, ends_ = extended(keys, words(order - 1, order - 1 + min(max(1, order // 8), 64, min(width, depth) - order + 1)))
+            ahead = list(ends_)
+        gram, context = ahead.pop(0)
+        context = context.view(np.int64)
+        key, first, n = np.unique(gram.view(np.int64), return_index=True, return_counts=True)
         contexts, of = np.unique(context[first], return_inverse=True)
         total = np.bincount(of, n, len(contexts))
         where, there = find(known, shorter[first].view(np.int64))
+        shorter = gram
         kept = there & (n >= min_count)
         key, n, of, p = key[kept], n[kept], of[kept], probability[where[kept]] if len(known) else np.zeros(0)
         per = lambda x: np.bincount(of, x, len(contexts))  # noqa: E731, B023
@@ -298,26 +416,28 @@ def deep_job(train: DataFrame, states: DataFrame, level: DataFrame, order: int,
     return found
 
 
-def _windowed_gram_batches(shared, order: int):
+def _windowed_gram_batches(shared, order: int, bits: int, part: int | None):
     """The same counts as those of :func:`_gram_batches`, of the grams that end windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1 << 16):
                 column = batch.column(0).slice(k, 1 << 16)
-                yield _gram_counts(*_windowed(column, order)[1:], order, *shared.value)
+                yield from _gram_counts(*_windowed(column, order)[1:], order, *shared.value, bits, part)
 
     return run
 
 
-def counted_grams(train: DataFrame, order: int, above: np.ndarray | None, below: np.ndarray | None, windows: bool = False):
-    """context, shorter, n, and the broadcast to drop once that is written. ``above``: bits of the states that a
-    context's parent must be one of (pairs have no parent to look for). ``below``: bits of the frequent grams that
-    context and shorter gram must be two of. ``windows``: whether ``train`` has windows instead of texts."""
-    shared = train.sparkSession.sparkContext.broadcast((above, below))
-    run = _windowed_gram_batches(shared, order) if windows else _gram_batches(shared, order)
-    found = train.select("words" if windows else "text").mapInArrow(run, "context bigint, shorter bigint, n bigint")
-    return found.groupBy("context", "shorter").agg(F.sum("n").alias("n")), shared
+def counted_grams(train: DataFrame, order: int, above: np.ndarray | None, below: np.ndarray | None, windows: bool = False, min_count: int = MIN_COUNT, rows: int = 0, part: int | None = None):
+    """key, context, shorter, n of the frequent grams, and the broadcast to drop once that is written; rows without
+    ``shorter`` have the counts of frequent contexts, if ``below`` does not leave any grams out. ``above``: bits of the
+    states that a context's parent must be one of (pairs have no parent to look for). ``below``: bits of the frequent
+    grams that context and shorter gram must be two of. ``windows``: whether ``train`` has windows instead of texts.
+    ``rows``: about how many grams there are. ``part``: which half of the grams, if ``below`` is given."""
+    shared, bits = train.sparkSession.sparkContext.broadcast((above, below)), bits_of(rows, COUNTED)
+    run = _windowed_gram_batches(shared, order, bits, part) if windows else _gram_batches(shared, order, bits, part)
+    found = train.select("words" if windows else "text").mapInArrow(run, _GRAMS)
+    return found.groupBy("kind", "bucket").applyInArrow(_bucket_counts(order, min_count), _COUNTS), shared
 
 
 def windows_of(train: DataFrame, order: int, above: np.ndarray, exact: np.ndarray | None, width: int, by_runs: bool = False) -> DataFrame:
@@ -329,22 +449,15 @@ def windows_of(train: DataFrame, order: int, above: np.ndarray, exact: np.ndarra
     return found
 
 
-def _key_of(order: int):
-    @F.arrow_udf("bigint")
-    def key(context: pa.Array, shorter: pa.Array) -> pa.Array:
-        as_bits = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        return pa.array(gram_key(as_bits(context), as_bits(shorter), order).view(np.int64))
-
-    return key("context", "shorter")
-
-
 def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST, depth: int | None = None) -> tuple[DataFrame, int, int, int]:
-    """The tree as a table of weights (key, w, base, known, n), training tokens, distinct words, and the tree's depth.
+    """The tree as a table of weights (key, w, base, known, n; they add up where a key is a gram's and a state's),
+    training tokens, distinct words, and the tree's depth.
 
     ``depth`` ends the tree early, for comparisons.
     """
-    words = train.select("text").mapInArrow(_word_batches, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    words = materialize(words, "pst-words")
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    words = train.select("text").mapInArrow(_word_batches(bits_of(size >> 5, COUNTED)), _GRAMS)
+    words = materialize(words.groupBy("kind", "bucket").applyInArrow(_bucket_counts(1, 1), _COUNTS).select("key", "n"), "pst-words")
     n, v = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     nothing = F.lit(0.0)
     parts = [words.select("key", F.log10(F.col("n") + 1).alias("w"), F.log10(F.col("n") + 1).alias("base"), F.lit(1).alias("known"), "n")]
@@ -377,19 +490,22 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
             release(windows)
             width = max(WINDOW, 4 * order)
             windows = windows_of(train, order, above, None, width)
-        grams_, shared = counted_grams(windows or train, order, above, bitmap(level.select("key")) if whole else None, windows is not None)
-        frequent = F.col("n") >= min_count
-        if not whole:
-            grams_ = grams_.withColumn("total", F.sum("n").over(Window.partitionBy("context")))
-        # Written before the joins, so that the counts' shuffle, the largest, is gone before theirs come.
-        counts = materialize(grams_.where(frequent), f"pst-counts-{order}")
-        shared.destroy()
-        counted = counts.join(level.select(F.col("key").alias("context"), F.col("n").alias("total")), "context") if whole else counts
+        below = bitmap(level.select("key")) if whole else None
+        # Written before the joins, so that the counts' shuffle, the largest, is gone before theirs come; that of all
+        # pairs and triples goes in halves, one on disk at a time.
+        halves, counts = [], None
+        for part in (0, 1) if whole else (None,):
+            grams_, shared = counted_grams(windows or train, order, above, below, windows is not None, min_count, covered, part)
+            halves.append(materialize(grams_, f"pst-counts-{order}"))
+            shared.destroy()
+            counts = halves[-1] if counts is None else counts.unionByName(halves[-1])
+        totals = level.select(F.col("key").alias("context"), F.col("n").alias("total")) if whole else counts.where("shorter IS NULL").select("context", F.col("n").alias("total"))
+        counted = counts.where("shorter IS NOT NULL").join(totals, "context")
         # Only parents under a state, so what the bitmap let by in excess goes here.
         parents = level.where("w IS NOT NULL").select(F.col("key").alias("shorter"), F.col("p").alias("parent"))
-        counted = counted.join(parents, "shorter").select(_key_of(order).alias("key"), "context", "n", "total", "parent")
+        counted = counted.join(parents, "shorter").select("key", "context", "n", "total", "parent")
         counted = materialize(counted, f"pst-grams-{order}")
-        release(counts)
+        release(*halves)
         sums = counted.groupBy("context").agg(F.first("total").alias("total"), F.sum("n").alias("kept"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("parent"))).alias("gain"), F.sum("parent").alias("mass"))
         rest = F.col("total") - F.col("kept")
         gain = F.col("gain") - F.col("kept") * F.log("total") + F.when(rest > 0, rest * F.log(rest / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(nothing)
@@ -413,23 +529,34 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
     release(windows)
     for part in parts[1:]:
         every = every.unionByName(part)
-    weights = materialize(every.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("w", "base", "known", "n")]), "pst-weights")
+    weights = materialize(every, "pst-weights")
     release(*held)
     return weights, n, v, order
 
 
-#: Texts' other grams are joined by the first bits of their keys, part after part, so that one part's shuffle is on disk.
+#: Texts' other grams are looked up by the first bits of their keys, part after part, so that one part's shuffle is on disk.
 PART_BITS = 2
 RARE = [f"rare{k}" for k in range(1 << PART_BITS)]
-_SCORES = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, tree double, " + ", ".join(f"{c} array<bigint>" for c in RARE)
+_SCORES = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, tree double, " + ", ".join(f"{c} struct<bucket: int, key: binary, owner: binary>" for c in RARE)
+_BUCKET = [("bucket", pa.int32()), ("key", pa.binary()), ("owner", pa.binary())]
+#: Bits of the table that leads to the broadcast weights.
+SLOTS = 22
+
 
+def slots_of(keys: np.ndarray) -> np.ndarray:
+    """For the first bits of a key, the place in ``keys`` of one that begins with them."""
+    out = np.zeros(1 << SLOTS, np.int32)
+    out[(keys.view(np.uint64) >> np.uint64(64 - SLOTS)).astype(np.int64)] = np.arange(len(keys), dtype=np.int32)
+    return out
 
-def _score_batches(shared, depth: int):
+
+def _score_batches(shared, depth: int, n_bits: int):
     """Sums of the broadcast weights of each text; keys of its other grams that may have one."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), *((c, pa.list_(pa.int64())) for c in RARE)])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), *((c, pa.struct(_BUCKET)) for c in RARE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (cached, w, base, known, bits), row = shared.value, TaskContext.get().partitionId() << 40
+        slots, cached = slots_of(cached), cached.view(np.uint64)
         for batch in text_slices(batches, "text"):
             sizes, key, place = tokens(batch.column(1))
             rows, of = batch.num_rows, np.repeat(np.arange(batch.num_rows), sizes)
@@ -438,14 +565,18 @@ def _score_batches(shared, depth: int):
                 # A gram has a weight only if the one without its first word has.
                 if order > 1:
                     key, open_ = longer(key, order), open_[place[open_] >= order - 1]
-                at, hit = find(cached, key.view(np.int64)[open_])
-                own = of[open_[hit]]
-                for i, column in enumerate((w, base, known)):
-                    sums[i] += np.bincount(own, column[at[hit]], rows)
-                may = ~hit & maybe(bits, key[open_])
-                owners.append(of[open_[may]])
-                rare.append(key.view(np.int64)[open_[may]])
-                open_ = open_[hit | may]
+                mine = key[open_]
+                # Those that share their first bits with another one are looked up like all others.
+                at = slots[(mine >> np.uint64(64 - SLOTS)).view(np.int64)]
+                hit = cached[at] == mine if len(cached) else np.zeros(len(mine), bool)
+                own, at, other = of[open_[hit]], at[hit], np.flatnonzero(~hit)
+                for i, column in enumerate((w, base, known) if order == 1 else (w,)):
+                    sums[i] += np.bincount(own, column[at], rows)
+                other = other[maybe(bits, mine[other])]
+                owners.append(of[open_[other]])
+                rare.append(mine[other])
+                hit[other] = True
+                open_ = open_[hit]
                 if not len(open_):
                     break
                 left = np.bincount(of[open_], minlength=rows) > 0
@@ -454,41 +585,87 @@ def _score_batches(shared, depth: int):
                     open_ = (np.cumsum(there) - 1)[open_]
                     key, place, of = key[there], place[there], of[there]
             owner, key = np.concatenate(owners), np.concatenate(rare)
-            part, lists = key.view(np.uint64) >> np.uint64(64 - PART_BITS), []
-            for k in range(len(RARE)):
-                own, mine = owner[part == k], key[part == k]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=rows))]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(mine[np.argsort(own, kind="stable")])))
-            numbers = [pa.array(x) for x in (sizes, np.rint(sums[2]).astype(np.int64), sums[1], sums[0])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + rows)), batch.column(0), batch.column(2), *numbers, *lists], schema=schema)
+            rank = np.argsort(key)
+            key, owner = key[rank], owner[rank] + row
+            own = [pa.array(np.arange(row, row + rows)), batch.column(0), batch.column(2), *(pa.array(x) for x in (sizes, np.rint(sums[2]).astype(np.int64), sums[1], sums[0]))]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(rows, f.type) for f in list(schema)[len(own):])], schema=schema)
+            cuts = [0, *np.searchsorted(key >> np.uint64(64 - PART_BITS), np.arange(1, len(RARE))).tolist(), len(key)]
+            for k, (a, z) in enumerate(zip(cuts, cuts[1:])):  # a part is a column, so it is read alone
+                buckets = pa.StructArray.from_arrays(in_buckets(key[a:z], n_bits, key[a:z], owner[a:z]), [c for c, _ in _BUCKET])
+                columns = [pa.nulls(len(buckets), f.type) for f in schema]
+                columns[len(own) + k] = buckets
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
             row += rows
 
     return run
 
 
+_WEIGHTS = "bucket int, key binary, w binary, base binary, known binary"
+
+
+def _weight_batches(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in gathered(batches):
+            key, *others = (c.to_numpy() for c in held.columns)
+            rank = np.argsort(key.view(np.uint64))
+            yield pa.RecordBatch.from_arrays(in_buckets(key.view(np.uint64)[rank], bits, key[rank], *(x[rank] for x in others)), [x.split()[0] for x in _WEIGHTS.split(", ")])
+
+    return run
+
+
+def _looked_up(wanted: pa.Table, weights: pa.Table) -> pa.Table:
+    """Sums of a bucket's weights for each row that has grams there."""
+    key, owner = numbers(wanted.column("key"), "<u8"), numbers(wanted.column("owner"), "<i8")
+    columns = [numbers(weights.column(c), t) for c, t in (("w", "<f8"), ("base", "<f8"), ("known", "<i4"))]
+    known, _, *columns = sums_by(numbers(weights.column("key"), "<u8"), *columns)
+    at, hit = find(known, key)
+    row, _, *sums = sums_by(owner[hit], *(c[at[hit]] for c in columns))
+    return pa.table([pa.array(row), *(pa.array(x, t) for x, t in zip(sums, (pa.float64(), pa.float64(), pa.int64())))], ["row", "w", "base", "known"])
+
+
 def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int) -> DataFrame:
-    """Scores of the rows of ``docs`` (doc_id, text, held_out); ``depth`` is the longest gram's order."""
-    top = weights.orderBy(F.desc("n"), "key").limit(CACHE).toArrow()
+    """Scores of the rows of ``docs`` (doc_id, text, held_out); ``depth`` is the longest gram's order. Tables written for
+    it are deleted as soon as they are read."""
+    counts = weights.where("n > 0").groupBy("n").count().toArrow().sort_by([("n", "descending")])
+    least = counts.column("n").to_numpy()[np.cumsum(counts.column("count").to_numpy()) <= CACHE]
+    most = F.broadcast(weights.where(F.col("n") >= (int(least[-1]) if len(least) else 1 << 62)).select("key"))
+    top = weights.join(most, "key").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("w", "base", "known")]).toArrow()
     columns = [top.column(c).to_numpy() for c in ("key", "w", "base", "known")]
     rank = np.argsort(columns[0])
     shared = docs.sparkSession.sparkContext.broadcast((*(c[rank] for c in columns), bitmap(weights)))
-    found = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(_score_batches(shared, depth), _SCORES), "pst-scores")
+    bits = PART_BITS + bits_of(weights.count() >> PART_BITS, WEIGHED)
+    table = materialize(weights.select("key", "w", "base", "known").mapInArrow(_weight_batches(bits), _WEIGHTS), "pst-buckets")
+    release(weights)
+    found = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(_score_batches(shared, depth, bits), _SCORES), "pst-scores")
     shared.destroy()
+    release(docs)
     sums, rare = [F.sum(c).alias(f"rare_{c}") for c in ("w", "base", "known")], None
     for k, column in enumerate(RARE):
-        own = weights.where(F.shiftrightunsigned("key", 64 - PART_BITS) == k).select("key", "w", "base", "known")
-        part = found.select("row", F.explode(column).alias("key")).join(own, "key").groupBy("row").agg(*sums)
-        part = materialize(part, f"pst-rare-{k}")
+        own = table.where(F.shiftright("bucket", bits - PART_BITS) == k)
+        wanted = found.select(F.col(column + ".bucket").alias("bucket"), F.col(column + ".key").alias("key"), F.col(column + ".owner").alias("owner")).where("bucket IS NOT NULL")
+        part = wanted.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(_looked_up, "row bigint, w double, base double, known bigint")
+        part = materialize(part.groupBy("row").agg(*sums), f"pst-rare-{k}")
         rare = part if rare is None else rare.unionByName(part)
+    release(table)
+    found = found.where("row IS NOT NULL").drop(*RARE)
     rare = rare.groupBy("row").agg(*[F.sum(c).alias(c) for c in rare.columns[1:]])
     unseen = F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
-    return found.drop(*RARE).join(rare, "row", "left").select(
+    return found.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - unseen).alias("base_score"), (F.col("tree") + F.coalesce("rare_w", F.lit(0.0)) - unseen).alias("score"),
     )
 
 
+def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches, "text"):
+        words, bounds = word_hashes(batch.column(1))
+        column = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(words))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), column, batch.column(2)], ["doc_id", "text", "held_out"])
+
+
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count: int = MIN_COUNT, test: float = TEST) -> DataFrame:
     """Fits on the rows whose id's crc32 leaves another remainder than the held-out one, and scores all rows."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (crc_mod(F.col(doc_id), MODULUS) == HELD_OUT).alias("held_out"))
+    # Every level reads all texts again, so their words are hashed once.
+    own = materialize(own.mapInArrow(_hash_batches, "doc_id bigint, text binary, held_out boolean"), "pst-tokens")
     return score(own, *fit_tables(own.where(~F.col("held_out")), min_count, test))

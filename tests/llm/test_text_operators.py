@@ -408,6 +408,39 @@ def test_suffix_tree_works_on_deep_levels_in_few_jobs(spark, monkeypatch):
         assert r.score == pytest.approx(plain.score(texts[r.doc_id]))
 
 
+def test_suffix_tree_counts_move_in_buckets(spark, monkeypatch):
+    """A gram is no row until it is known to be frequent (before, all of them were rows of a shuffle), and texts' words
+    are hashed once (before, at each level)."""
+    monkeypatch.setattr(suffix_tree, "COUNTED", 50)
+    texts = [prose(200, k % 7) for k in range(20)]
+    counted, shared = suffix_tree.counted_grams(corpus(spark, texts), 2, None, None, rows=4000)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "bucket" in plan
+    grams = Counter(g for t in texts for g in zip(PlainTree.words(t), PlainTree.words(t)[1:]))
+    rows = counted.collect()
+    shared.destroy()
+    assert sorted(r.n for r in rows) == sorted(c for c in grams.values() if c > 1) and len({r.key for r in rows}) == len(rows)
+    sent, hashed = [], suffix_tree.materialize
+    monkeypatch.setattr(suffix_tree, "materialize", lambda df, tag: sent.append((tag, df.schema["text"].dataType.simpleString() if "text" in df.columns else "")) or hashed(df, tag))
+    assert suffix_tree.score_documents(corpus(spark, texts)).count() == 20
+    assert [x for x in sent if x[1]] == [("pst-tokens", "binary")]
+
+
+def test_suffix_tree_windows_grow_in_blocks():
+    """Keys of windows that grow by many words at once are those of grams built word by word (before: one word a call,
+    and a call for every shorter gram)."""
+    words = np.random.default_rng(1).integers(0, 1 << 62, (40, 3)).astype(np.uint64)
+
+    def gram(k, j):  # begins k words before the end, ends j words before it
+        return words[k] if k == j else suffix_tree.gram_key(gram(k, j + 1), gram(k - 1, j), k - j + 1)
+
+    for have, more in ((1, 1), (1, 8), (3, 5), (7, 2)):
+        keys = np.stack([gram(have - 1, j) for j in range(have)])
+        out, ends = suffix_tree.extended(keys, words[have : have + more])
+        assert all((out[j] == gram(have + more - 1, j)).all() for j in range(have + more))
+        assert all((ends[i, j] == gram(have + i, j)).all() for i in range(more) for j in (0, 1))
+
+
 def test_suffix_tree_distributions_sum_to_one():
     tree = PlainTree([prose(80, k) for k in range(20)], test=0.1)
     assert tree.states
