@@ -7,8 +7,10 @@ and emitted, and the rest opens a window of its own. Windows still open at a par
 merged whole, best-fit, in groups of ``MERGE`` partitions, of which each hands its ``open_windows`` emptiest windows on
 to a group of ``MERGE`` groups, and so on up a tree, so no group holds more than ``MERGE`` times ``open_windows`` rows.
 
-Tokenizing is the cost, so each Python worker keeps a bounded table of words it has met. Lower-case runs of letters,
-with the punctuation after them, go straight to the tokenizer's model; any other word takes its whole pipeline. Words
+Tokenizing is the cost, so each Python worker keeps a bounded table of words it has met, in two generations: where the
+younger is full, it becomes the older, and what is met again comes back from there. Lower-case runs of letters, with
+the punctuation after them, go straight to the tokenizer's model, and stand in the table once,
+whatever punctuation follows; any other word takes the tokenizer's whole pipeline. Words
 never span white space and the tokenizer drops white space, so ids are those of the whole text. Control strings count
 as such in their own spelling only, so words that hold one in any case go to the pipeline as they are written.
 
@@ -21,8 +23,9 @@ pieces carry equal ids); an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
+import string
+import sys
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -40,13 +43,22 @@ OPEN_WINDOWS = 8
 MIN_CUT = 16
 MERGE = 64
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 MAX_CACHED = 48
+MAX_MARKS = 1000
 
-_LETTERS = re.compile(r"([^\W\d_]+)([.,!?;:]*)")
+_MARKS = string.punctuation.encode()
 _worker: dict[str, WordEncoder] = {}
 
 
+def _plain(word: bytes) -> bool:
+    """Lower-case letters of Latin, all of them whole and one piece to the tokenizer."""
+    if word.isalpha():
+        return True
+    text = word.decode()
+    return text.isalpha() and max(text) < "ɐ" and text == text.lower()
+
+
 class WordEncoder:
     """ids of a text, as unsigned 16- or 32-bit little-endian numbers, by way of a bounded table of words."""
 
@@ -56,53 +68,79 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.letters = self.tokenizer.model
+        self.punctuation: dict[bytes, bytes] = {}
         self.marks = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # The byte-level alphabet: printable bytes stand for themselves, the rest for code points from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
-    def _model(self, piece: str) -> list[int]:
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _model(self, piece: str) -> bytes:
         symbols = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-        return [t.id for t in self.tokenizer.model.tokenize(symbols)]
+        return self._bytes([t.id for t in self.letters.tokenize(symbols)])
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        m = _LETTERS.fullmatch(text)
-        if m and (text.isascii() or (max(text) < "ɐ" and text == text.lower() and unicodedata.is_normalized("NFC", text))):
-            ids = self._model(m[1]) + (self._model(m[2]) if m[2] else [])
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, self.kind).tobytes()
+        return self._model(word.decode()) if _plain(word) else self._bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+
+    def ids_of(self, word: bytes) -> bytes:
+        """ids of a lower-case word, from the table or for it. Plain letters are there without the punctuation after them."""
+        run = word.rstrip(_MARKS)
+        if len(run) < len(word) and not _plain(run):
+            run = word
+        ids = self.words.get(run)
+        if ids is None:
+            ids = self.older.get(run)
+            if ids is None:
+                ids = self._word(run)
+            if len(run) <= MAX_CACHED:
+                if len(self.words) >= CACHE_WORDS // 2:
+                    self.words, self.older = {}, self.words
+                self.words[run] = ids
+        if len(run) == len(word):
+            return ids
+        marks = word[len(run) :]
+        after = self.punctuation.get(marks)
+        if after is None:
+            after = self._model(marks.decode())
+            if len(marks) <= MAX_CACHED and len(self.punctuation) < MAX_MARKS:
+                self.punctuation[marks] = after
+        return ids + after
+
+    def forget(self) -> None:
+        self.words, self.older = {}, {}
 
     def encode(self, text: bytes) -> np.ndarray:
-        known, parts = self.words, []
-        lower = text.lower()
+        parts, lower = [], text.lower()
         if any(mark in lower for mark in self.marks):
             for raw in text.split():
                 w = raw.lower()
                 if any(mark in w for mark in self.marks):
-                    parts.append(np.asarray(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, self.kind).tobytes())
+                    parts.append(self._bytes(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids))
                 else:
                     parts.append(self._word(w))
             return np.frombuffer(b"".join(parts), self.kind).astype("<u4")
-        for w in lower.split():
-            ids = known.get(w)
+        words = lower.split()
+        parts = list(map(self.words.get, words))
+        for k, ids in enumerate(parts):
             if ids is None:
-                ids = self._word(w)
-                if len(w) <= MAX_CACHED:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[w] = ids
-            parts.append(ids)
+                parts[k] = self.ids_of(words[k])
         return np.frombuffer(b"".join(parts), self.kind).astype("<u4")
 
 
 def encoder(path: str) -> WordEncoder:
     if path not in _worker:
         _worker[path] = WordEncoder(path)
-        kept_tables["packing"] = lambda: [e.words.clear() for e in _worker.values()]
+        kept_tables["packing"] = lambda: [e.forget() for e in _worker.values()]
     return _worker[path]
 
 

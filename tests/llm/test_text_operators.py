@@ -625,6 +625,23 @@ def test_packing_edges_and_the_merge_tree(spark, tokenizer, monkeypatch):
     assert len(step) == 60 and step.open.sum() <= 4 and step.groupby("into")["used"].first().max() <= 100
 
 
+def test_packing_learns_a_run_of_letters_once(tokenizer, monkeypatch):
+    """Whatever follows a word, its letters meet the model once (before, "red," and "red." did so each), frequent words
+    stay when the table is full (before, it was emptied), and numbers above the line are no letters."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    e = packing.WordEncoder(default_tokenizer())
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    model, asked = e._model, []
+    e._model = lambda piece: asked.append(piece) or model(piece)
+    text = "red, red. RED red*** größe größe; $$$ red's x² x²! don't. Ünï, İ. ªº, a_b_ (red) 3.14, ſt. <red> e\u0301, -"
+    assert e.encode(text.encode()).tolist() == ids(text)
+    assert asked.count("red") == 1 and asked.count("größe") == 1
+    for k in range(60):
+        text = f"red frequent, w{'abcdefghij'[k % 10] * (k // 10 + 1)}"
+        assert e.encode(text.encode()).tolist() == ids(text)
+    assert asked.count("frequent") == 1 and len(e.words) + len(e.older) <= 20
+
+
 def test_packer_keeps_its_bounds():
     rng = np.random.default_rng(3)
     p = packing.Packer(100, 4, 10)
