@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,17 @@ def _hadoop_path(spark: SparkSession, path: str):
     return hadoop_path, hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+@contextmanager
+def sweeping(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of jobs in here as soon as each ends."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, lost executors cost no rework.
 
@@ -52,13 +64,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/echograin/{tag}-{uuid.uuid4().hex}"
-    # Once the table is there, the shuffles that made it are of no use: Spark deletes their files at the end of the write.
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with sweeping(spark):  # once the table is there, the shuffles that made it are of no use
         df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
     hadoop_path, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(hadoop_path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, release, text_slices
+from .common import crc_mod, materialize, release, sweeping, text_slices
 from .hashing import word_hashes
 
 MIN_COUNT = 2
@@ -52,6 +52,9 @@ IN_PIECE, BUCKET = 4_000_000, 500_000
 WIDEST, EXACT = 4096, 250_000
 #: Grams of a bucket of counts, and weights of a bucket that texts' grams are looked up in.
 COUNTED, WEIGHED = 1 << 19, 1 << 20
+#: Grams of a bucket that meets those of the level above, bytes of text that are packed together, and of packed texts that
+#: are worked on at a time (one pack at least).
+MET, PACKED, SLICE = 1 << 17, 6 << 20, 1 << 20
 END = np.uint64(0x5EED5EED5EED5EED)
 
 
@@ -71,15 +74,44 @@ def gram_key(context: np.ndarray, shorter: np.ndarray, order: int) -> np.ndarray
     return x ^ (x >> np.uint64(32))
 
 
+def pack(words: np.ndarray, bounds: np.ndarray) -> bytes:
+    """Texts' words as numbers in the pack's own list of words, the most frequent first, byte by byte and compressed: an
+    eighth to a third of their hashes."""
+    own, code, n = np.unique(words, return_inverse=True, return_counts=True)
+    rank = np.argsort(-n, kind="stable")
+    place = np.empty(len(own), "<u4")
+    place[rank] = np.arange(len(own), dtype=np.uint32)
+    planes = np.ascontiguousarray(place[code].view(np.uint8).reshape(-1, 4).T)
+    raw = b"".join(x.tobytes() for x in (np.array([len(own), len(bounds) - 1], "<u8"), own[rank], np.diff(bounds).astype("<u4"), planes))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(value: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The list of words, the numbers of all texts' words in it, and how many each text has."""
+    raw = pa.decompress(value[8:], int.from_bytes(value[:8].to_pybytes(), "little"), "zstd")
+    n, rows = np.frombuffer(raw, "<u8", 2).tolist()
+    own, sizes = np.frombuffer(raw, "<u8", n, 16), np.frombuffer(raw, "<u4", rows, 16 + 8 * n)
+    code = np.zeros(int(sizes.sum()), np.uint32)
+    for k, plane in enumerate(np.frombuffer(raw, np.uint8, 4 * len(code), 16 + 8 * n + 4 * rows).reshape(4, -1)):
+        if plane.any():
+            code |= plane.astype(np.uint32) << np.uint32(8 * k)
+    return own, code, sizes
+
+
+def is_text(column: pa.Array) -> bool:
+    return pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lengths of the texts with their ends, keys of all their tokens, and the tokens' places in their texts. A binary
-    column has the words' hashes already."""
-    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+    column has packs of texts."""
+    if is_text(column):
         words, bounds = word_hashes(column)
+        sizes = np.diff(bounds) + 1
     else:
-        parts = column.to_pylist()
-        words, bounds = np.frombuffer(b"".join(x or b"" for x in parts), np.uint64), np.cumsum([0, *(len(x or b"") // 8 for x in parts)])
-    sizes = np.diff(bounds) + 1
+        packs = [unpack(x.as_buffer()) for x in column]
+        words = np.concatenate([np.zeros(0, np.uint64), *(own[code] for own, code, _ in packs)])
+        sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, _, n in packs)]) + 1
     first = np.full(len(words) + len(sizes), END)
     ends = np.cumsum(sizes) - 1
     inner = np.ones(len(first), bool)
@@ -88,6 +120,16 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, first, np.arange(len(first)) - np.repeat(ends + 1 - sizes, sizes)
 
 
+def word_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct tokens and their counts."""
+    if is_text(column):
+        return np.unique(tokens(column)[1], return_counts=True)
+    packs = [unpack(x.as_buffer()) for x in column]
+    key = np.concatenate([[END], *(own for own, _, _ in packs)])
+    key, _, n = sums_by(key, np.concatenate([[sum(len(x) for _, _, x in packs)], *(np.bincount(code, minlength=len(own)) for own, code, _ in packs)]))
+    return key, n
+
+
 def longer(keys: np.ndarray, order: int) -> np.ndarray:
     """Keys of the grams of ``order`` that end at each token, by those of one word less (a gram of order k is one from
     place k - 1 on)."""
@@ -103,15 +145,16 @@ def hashed(column: pa.Array, orders: int) -> tuple[np.ndarray, list[np.ndarray],
     return sizes, [k.view(np.int64) for k in keys], place
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
+def bitmap(keys: DataFrame, rows: int | None = None) -> np.ndarray:
     """Bits of the column ``key``, 64 for each key and 2 ** BITS at most: a key whose bit is not set is not in the
-    column."""
-    n_bits = min(BITS, max(20, (64 * keys.count()).bit_length()))
+    column. A binary column has buckets of keys, ``rows`` of them."""
+    n_bits = min(BITS, max(20, (64 * (keys.count() if rows is None else rows)).bit_length()))
     share = max(0, min(6, n_bits - 6))  # bits of the map's parts
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in gathered(batches):
-            at = np.unique(held.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - n_bits))
+            key = held.column("key")
+            at = np.unique((spread(key, "<u8") if pa.types.is_binary(key.type) else key.to_numpy().view(np.uint64)) >> np.uint64(64 - n_bits))
             yield pa.RecordBatch.from_arrays(in_buckets(at << np.uint64(64 - n_bits), share, at.astype("<u4")), ["bucket", "at"])
 
     def fill(group: pa.Table) -> pa.Table:
@@ -119,7 +162,8 @@ def bitmap(keys: DataFrame) -> np.ndarray:
         own[numbers(group.column("at"), "<u4") & np.uint32(len(own) - 1)] = 1
         return pa.table({"bucket": group.column("bucket")[:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
-    found = keys.select("key").mapInArrow(gather, "bucket int, at binary").groupBy("bucket").applyInArrow(fill, "bucket int, bits binary").toArrow()
+    with sweeping(keys.sparkSession):
+        found = keys.select("key").mapInArrow(gather, "bucket int, at binary").groupBy("bucket").applyInArrow(fill, "bucket int, bits binary").toArrow()
     out = np.zeros((1 << share, 1 << (n_bits - share - 6)), np.uint64)
     for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("bits").to_pylist(), strict=True):
         out[bucket] = np.frombuffer(bits, "<u8")
@@ -136,13 +180,26 @@ def bits_of(rows: int, size: int) -> int:
     return min(16, max(0, (rows - 1) // size).bit_length())
 
 
-def in_buckets(key: np.ndarray, bits: int, *columns: np.ndarray) -> list[pa.Array]:
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers byte by byte and compressed: first bytes of sorted keys, and most of small numbers, take no room."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T)
+    return planes.size.to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unsqueeze(value: pa.Buffer, kind: str) -> np.ndarray:
+    raw = pa.decompress(value[8:], int.from_bytes(value[:8].to_pybytes(), "little"), "zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def in_buckets(key: np.ndarray, bits: int, *columns: np.ndarray, squeezed: bool = False) -> list[pa.Array]:
     """Buckets by the first ``bits`` bits of the sorted ``key``, and each one's part of the columns as bytes: a row is a
-    bucket, so what a row costs is not paid for every number."""
+    bucket, so what a row costs is not paid for every number. ``squeezed``: as those of :func:`squeeze`."""
     bucket = (key >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int32)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(first, len(key))
     out = [pa.array(bucket[first])]
+    if squeezed:
+        return out + [pa.array([squeeze(x[a:z]) for a, z in zip(first.tolist(), ends[1:].tolist() if len(first) else [])], pa.binary()) for x in columns]
     for x in columns:
         x = np.ascontiguousarray(x)
         out.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]))
@@ -154,6 +211,11 @@ def numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def spread(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The same, of squeezed buckets."""
+    return np.concatenate([np.zeros(0, kind), *(unsqueeze(x.as_buffer(), kind) for x in column)])
+
+
 def sums_by(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """The sorted distinct keys, the place of one row of each, and each column's sums."""
     rank = np.argsort(key)
@@ -193,8 +255,8 @@ def _gram_counts(parent: np.ndarray | None, context: np.ndarray, shorter: np.nda
 
 def _word_batches(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 8 << 20):
-            key, n = np.unique(tokens(batch.column(0))[1], return_counts=True)
+        for batch in text_slices(batches, "text", SLICE):
+            key, n = word_counts(batch.column(0))
             bucket, *columns = in_buckets(key, bits, key, n.astype("<u4"))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), TOTAL, np.int32)), bucket, columns[0], pa.nulls(len(bucket), pa.binary()), columns[1]], [x.split()[0] for x in _GRAMS.split(", ")])
 
@@ -234,6 +296,75 @@ def _bucket_counts(order: int, min_count: int):
     return run
 
 
+def bucketed(frame: DataFrame, bits: int) -> DataFrame:
+    """The rows of ``frame`` as buckets by the first bits of its first column, each column as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in gathered(batches):
+            key, *others = (c.to_numpy() for c in held.columns)
+            rank = np.argsort(key.view(np.uint64))
+            yield pa.RecordBatch.from_arrays(in_buckets(key.view(np.uint64)[rank], bits, key[rank], *(x[rank] for x in others), squeezed=True), ["bucket", *held.column_names])
+
+    return frame.mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in frame.columns))
+
+
+def _with_parents(order: int, bits: int):
+    """The counted grams of a bucket of shorter grams whose shorter gram is under a state, with its share, as buckets of
+    contexts."""
+
+    def run(grams: pa.Table, parents: pa.Table) -> pa.Table:
+        known, at = np.unique(spread(parents.column("key"), "<u8"), return_index=True)
+        shorter, context = spread(grams.column("shorter"), "<u8"), spread(grams.column("context"), "<u8")
+        where, there = find(known, shorter)
+        rank = np.flatnonzero(there)
+        rank = rank[np.argsort(context[rank])]
+        context, key = context[rank], gram_key(context[rank], shorter[rank], order)
+        p = spread(parents.column("p"), "<f8")[at[where[rank]]] if len(at) else np.zeros(0)
+        return pa.table(in_buckets(context, bits, context, key, spread(grams.column("n"), "<i8")[rank], p, squeezed=True), ["bucket", "context", "key", "n", "p"])
+
+    return run
+
+
+_LEVEL = "kind int, key bigint, n bigint, p double, w double, g bigint"
+UNDER, ALONE, STATE = range(3)
+
+
+def _level(order: int, size: int, test: float):
+    """States among a bucket's contexts (n: their tokens, w: the share they leave to their parents), and the grams under
+    them; pairs are asked for their counts, so those under no state stay, too."""
+
+    def run(grams: pa.Table, totals: pa.Table) -> pa.Table:
+        context, key = (spread(grams.column(c), "<u8") for c in ("context", "key"))
+        n, p = spread(grams.column("n"), "<i8"), spread(grams.column("p"), "<f8")
+        contexts, of = np.unique(context, return_inverse=True)
+        known, at = np.unique(spread(totals.column("key"), "<u8"), return_index=True)
+        where, there = find(known, contexts)
+        total = np.where(there, spread(totals.column("n"), "<i8")[at[where]], 1) if len(at) else np.ones(len(contexts), np.int64)
+        per = lambda x: np.bincount(of, x, len(contexts))
+        kinds, kept, mass = per(np.ones(len(n))), per(n), per(p)
+        rest, gain = total - kept, per(n * np.log(n / p)) - kept * np.log(total)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain += np.where(rest > 0, rest * np.log(rest / total / np.maximum(1 - mass, 1e-12)), 0)
+        good = there & (gain >= test * np.log(max(size, 2)) / 2 * kinds)
+        share, sum_, own = rest + kinds, total + kinds, good[of]
+        alone = ~own & there[of] if order == 2 else np.zeros(len(of), bool)
+        key_, of, n_, p = key[own], of[own], n[own], p[own]
+        new = (n_ + share[of] * p) / sum_[of]
+        change = np.log10(new) - np.log10(share[of] / sum_[of]) - np.log10(p)
+        rows, zeros = (len(key_), int(alone.sum()), int(good.sum())), lambda k, kind=np.float64: np.zeros(rows[k], kind)
+        columns = (
+            np.repeat(np.arange(3, dtype=np.int32), rows),
+            np.concatenate([key_, key[alone], contexts[good]]).view(np.int64),
+            np.concatenate([n_, n[alone], total[good]]),
+            np.concatenate([new, zeros(ALONE), zeros(STATE)]),
+            np.concatenate([change, zeros(ALONE), np.log10(share[good] / sum_[good])]),
+            np.concatenate([context[own], zeros(ALONE, np.uint64), zeros(STATE, np.uint64)]).view(np.int64),
+        )
+        return pa.table(list(map(pa.array, columns)), [x.split()[0] for x in _LEVEL.split(", ")])
+
+    return run
+
+
 def _keys_before(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
     """Keys and places of all tokens, and for the places with a gram of ``order``: their numbers, the key of the context
     without its first word (none in pairs), and those of context and shorter gram."""
@@ -249,7 +380,7 @@ def _gram_batches(shared, order: int, bits: int, part: int | None):
     """Counts of the grams of ``order`` words whose context may be a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 4 << 20):
+        for batch in text_slices(batches, "text", SLICE):
             yield from _gram_counts(*_keys_before(batch.column(0), order)[3:], order, *shared.value, bits, part)
 
     return run
@@ -271,7 +402,7 @@ def _window_batches(shared, order: int, width: int, by_runs: bool):
     the context without its first word; ``by_runs``: that of :func:`runs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 4 << 20):
+        for batch in text_slices(batches, "text", SLICE):
             if by_runs:
                 _, first, place = tokens(batch.column(0))
                 at = np.flatnonzero(place >= order - 1)
@@ -450,13 +581,13 @@ def windows_of(train: DataFrame, order: int, above: np.ndarray, exact: np.ndarra
 
 
 def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST, depth: int | None = None) -> tuple[DataFrame, int, int, int]:
-    """The tree as a table of weights (key, w, base, known, n; they add up where a key is a gram's and a state's),
-    training tokens, distinct words, and the tree's depth.
+    """The tree as weights (key, w, base, known, n; they add up where a key is a gram's and a state's; the tables they are
+    read from are in ``_held``), training tokens, distinct words, and the tree's depth.
 
     ``depth`` ends the tree early, for comparisons.
     """
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = train.select("text").mapInArrow(_word_batches(bits_of(size >> 5, COUNTED)), _GRAMS)
+    words = train.select("text").mapInArrow(_word_batches(bits_of(size >> 3, COUNTED)), _GRAMS)
     words = materialize(words.groupBy("kind", "bucket").applyInArrow(_bucket_counts(1, 1), _COUNTS).select("key", "n"), "pst-words")
     n, v = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     nothing = F.lit(0.0)
@@ -491,54 +622,49 @@ def fit_tables(train: DataFrame, min_count: int = MIN_COUNT, test: float = TEST,
             width = max(WINDOW, 4 * order)
             windows = windows_of(train, order, above, None, width)
         below = bitmap(level.select("key")) if whole else None
-        # Written before the joins, so that the counts' shuffle, the largest, is gone before theirs come; that of all
-        # pairs and triples goes in halves, one on disk at a time.
+        # Written before they meet the level above, so that the counts' shuffle, the largest, is gone before others come;
+        # that of all pairs and triples goes in halves, one on disk at a time.
         halves, counts = [], None
         for part in (0, 1) if whole else (None,):
             grams_, shared = counted_grams(windows or train, order, above, below, windows is not None, min_count, covered, part)
-            halves.append(materialize(grams_, f"pst-counts-{order}"))
+            halves.append(materialize(grams_.drop("key"), f"pst-counts-{order}"))
             shared.destroy()
             counts = halves[-1] if counts is None else counts.unionByName(halves[-1])
-        totals = level.select(F.col("key").alias("context"), F.col("n").alias("total")) if whole else counts.where("shorter IS NULL").select("context", F.col("n").alias("total"))
-        counted = counts.where("shorter IS NOT NULL").join(totals, "context")
         # Only parents under a state, so what the bitmap let by in excess goes here.
-        parents = level.where("w IS NOT NULL").select(F.col("key").alias("shorter"), F.col("p").alias("parent"))
-        counted = counted.join(parents, "shorter").select("key", "context", "n", "total", "parent")
-        counted = materialize(counted, f"pst-grams-{order}")
-        release(*halves)
-        sums = counted.groupBy("context").agg(F.first("total").alias("total"), F.sum("n").alias("kept"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("parent"))).alias("gain"), F.sum("parent").alias("mass"))
-        rest = F.col("total") - F.col("kept")
-        gain = F.col("gain") - F.col("kept") * F.log("total") + F.when(rest > 0, rest * F.log(rest / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(nothing)
-        good = sums.where(gain >= F.lit(test * np.log(max(n, 2)) / 2) * F.col("kinds"))
-        states = materialize(good.select("context", (rest + F.col("kinds")).cast("double").alias("share"), (F.col("total") + F.col("kinds")).cast("double").alias("sum"), "total"), f"pst-states-{order}")
+        bits = bits_of(counts.count(), MET)
+        grams = bucketed(counts.where("shorter IS NOT NULL").select("shorter", "context", "n"), bits)
+        parents = bucketed(level.where("w IS NOT NULL").select("key", "p"), bits)
+        counted = grams.groupBy("bucket").cogroup(parents.groupBy("bucket")).applyInArrow(_with_parents(order, bits), "bucket int, context binary, key binary, n binary, p binary")
+        counted = materialize(counted, f"pst-parents-{order}")
+        if whole:
+            release(*halves)
+        totals = bucketed(level.select("key", "n") if whole else counts.where("shorter IS NULL").select(F.col("context").alias("key"), "n"), bits)
+        grown = counted.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(_level(order, n, test), _LEVEL)
+        grown = materialize(grown, f"pst-level-{order}")
+        release(counted, *([] if whole else halves))
         by_runs = False
+        states = grown.where(F.col("kind") == STATE).select(F.col("key").alias("context"), F.col("n").alias("total"), "w")
         covered, hottest = states.agg(F.sum("total"), F.max("total")).first()  # tokens after a state
         if covered is None:
             order -= 1
-            release(counted, states)
+            release(grown)
             break
-        p = F.coalesce((F.col("n") + F.col("share") * F.col("parent")) / F.col("sum"), F.col("parent"))
-        change = F.log10(p) - F.log10(F.col("share") / F.col("sum")) - F.log10("parent")
-        below = counted.join(states.drop("total"), "context", "left" if order == 2 else "inner")  # pairs are asked for their counts, too
-        level = materialize(below.select("key", "n", p.alias("p"), change.alias("w"), F.col("context").alias("g")), f"pst-level-{order}")
-        release(counted)
-        parts.append(level.where("w IS NOT NULL").select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), "n"))
-        parts.append(states.select(F.col("context").alias("key"), F.log10(F.col("share") / F.col("sum")).alias("w"), nothing.alias("base"), F.lit(0).alias("known"), F.lit(0).cast("long").alias("n")))
-        held += [states, level]
+        level = grown.where(F.col("kind") != STATE).select("key", "n", "p", F.when(F.col("kind") == UNDER, F.col("w")).alias("w"), "g")
+        parts.append(grown.where(F.col("kind") != ALONE).select("key", "w", nothing.alias("base"), F.lit(0).alias("known"), F.when(F.col("kind") == UNDER, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n")))
+        held.append(grown)
     every = parts[0]
     release(windows)
     for part in parts[1:]:
         every = every.unionByName(part)
-    weights = materialize(every, "pst-weights")
-    release(*held)
-    return weights, n, v, order
+    every._held = held
+    return every, n, v, order
 
 
 #: Texts' other grams are looked up by the first bits of their keys, part after part, so that one part's shuffle is on disk.
 PART_BITS = 2
 RARE = [f"rare{k}" for k in range(1 << PART_BITS)]
-_SCORES = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, tree double, " + ", ".join(f"{c} struct<bucket: int, key: binary, owner: binary>" for c in RARE)
-_BUCKET = [("bucket", pa.int32()), ("key", pa.binary()), ("owner", pa.binary())]
+_SCORES = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, tree double, " + ", ".join(f"{c} struct<bucket: int, first: bigint, key: binary, owner: binary>" for c in RARE)
+_BUCKET = [("bucket", pa.int32()), ("first", pa.int64()), ("key", pa.binary()), ("owner", pa.binary())]
 #: Bits of the table that leads to the broadcast weights.
 SLOTS = 22
 
@@ -557,9 +683,9 @@ def _score_batches(shared, depth: int, n_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (cached, w, base, known, bits), row = shared.value, TaskContext.get().partitionId() << 40
         slots, cached = slots_of(cached), cached.view(np.uint64)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 1):  # a pack, so texts have short numbers
             sizes, key, place = tokens(batch.column(1))
-            rows, of = batch.num_rows, np.repeat(np.arange(batch.num_rows), sizes)
+            rows, of = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
             sums, owners, rare, open_ = np.zeros((3, rows)), [], [], np.arange(len(key))
             for order in range(1, depth + 1):
                 # A gram has a weight only if the one without its first word has.
@@ -586,12 +712,13 @@ def _score_batches(shared, depth: int, n_bits: int):
                     key, place, of = key[there], place[there], of[there]
             owner, key = np.concatenate(owners), np.concatenate(rare)
             rank = np.argsort(key)
-            key, owner = key[rank], owner[rank] + row
-            own = [pa.array(np.arange(row, row + rows)), batch.column(0), batch.column(2), *(pa.array(x) for x in (sizes, np.rint(sums[2]).astype(np.int64), sums[1], sums[0]))]
+            key, owner = key[rank], owner[rank].astype("<u2")
+            own = [pa.array(np.arange(row, row + rows)), _ids(batch.column(0)[0].as_buffer()), pa.repeat(batch.column(2)[0], rows), *(pa.array(x) for x in (sizes, np.rint(sums[2]).astype(np.int64), sums[1], sums[0]))]
             yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(rows, f.type) for f in list(schema)[len(own):])], schema=schema)
             cuts = [0, *np.searchsorted(key >> np.uint64(64 - PART_BITS), np.arange(1, len(RARE))).tolist(), len(key)]
             for k, (a, z) in enumerate(zip(cuts, cuts[1:])):  # a part is a column, so it is read alone
-                buckets = pa.StructArray.from_arrays(in_buckets(key[a:z], n_bits, key[a:z], owner[a:z]), [c for c, _ in _BUCKET])
+                bucket, *others = in_buckets(key[a:z], n_bits, key[a:z], owner[a:z], squeezed=True)
+                buckets = pa.StructArray.from_arrays([bucket, pa.array(np.full(len(bucket), row)), *others], [c for c, _ in _BUCKET])
                 columns = [pa.nulls(len(buckets), f.type) for f in schema]
                 columns[len(own) + k] = buckets
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -600,49 +727,65 @@ def _score_batches(shared, depth: int, n_bits: int):
     return run
 
 
-_WEIGHTS = "bucket int, key binary, w binary, base binary, known binary"
+def _chosen(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch]:
+    """Weights (key, w, base, known) of the rows of buckets that ``choose`` picks by their keys and counts."""
+    for batch in batches:
+        columns = [spread(batch.column(c), t) for c, t in _WEIGHT]
+        own = choose(columns[0], columns[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in columns[:-1]], [c for c, _ in _WEIGHT[:-1]])
 
 
-def _weight_batches(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in gathered(batches):
-            key, *others = (c.to_numpy() for c in held.columns)
-            rank = np.argsort(key.view(np.uint64))
-            yield pa.RecordBatch.from_arrays(in_buckets(key.view(np.uint64)[rank], bits, key[rank], *(x[rank] for x in others)), [x.split()[0] for x in _WEIGHTS.split(", ")])
+_WEIGHT = [("key", "<i8"), ("w", "<f8"), ("base", "<f8"), ("known", "<i4"), ("n", "<i8")]
 
-    return run
+
+def most_frequent(table: DataFrame) -> list[np.ndarray]:
+    """Key, w, base and known of the most frequent grams of the buckets in ``table``, CACHE at most, sorted by key."""
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in gathered(batches):
+            n, count = np.unique(spread(held.column("n"), "<i8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(n[n > 0]), pa.array(count[n > 0])], ["n", "rows"])
+
+    schema = "key bigint, w double, base double, known int"
+    counts = table.select("n").mapInArrow(histogram, "n bigint, rows bigint").groupBy("n").agg(F.sum("rows").alias("rows")).toArrow().sort_by([("n", "descending")])
+    least = counts.column("n").to_numpy()[np.cumsum(counts.column("rows").to_numpy()) <= CACHE]
+    least = int(least[-1]) if len(least) else 1 << 62
+    table = table.drop("bucket")
+    keys = np.unique(table.mapInArrow(lambda batches: _chosen(batches, lambda _, n: n >= least), schema).select("key").toArrow().column(0).to_numpy())
+    # Where a gram is a state, too, that weight has a row of its own.
+    shared = table.sparkSession.sparkContext.broadcast(keys)
+    top = table.mapInArrow(lambda batches: _chosen(batches, lambda key, _: find(shared.value, key)[1]), schema).toArrow()
+    shared.destroy()
+    key, _, *sums = sums_by(*(top.column(c).to_numpy() for c, _ in _WEIGHT[:-1]))
+    return [key, *sums]
 
 
 def _looked_up(wanted: pa.Table, weights: pa.Table) -> pa.Table:
     """Sums of a bucket's weights for each row that has grams there."""
-    key, owner = numbers(wanted.column("key"), "<u8"), numbers(wanted.column("owner"), "<i8")
-    columns = [numbers(weights.column(c), t) for c, t in (("w", "<f8"), ("base", "<f8"), ("known", "<i4"))]
-    known, _, *columns = sums_by(numbers(weights.column("key"), "<u8"), *columns)
+    key, firsts = spread(wanted.column("key"), "<u8"), wanted.column("first").to_pylist()
+    owner = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(x.as_buffer(), "<u2") + np.int64(first) for x, first in zip(wanted.column("owner"), firsts))])
+    columns = [spread(weights.column(c), t) for c, t in (("w", "<f8"), ("base", "<f8"), ("known", "<i4"))]
+    known, _, *columns = sums_by(spread(weights.column("key"), "<u8"), *columns)
     at, hit = find(known, key)
     row, _, *sums = sums_by(owner[hit], *(c[at[hit]] for c in columns))
     return pa.table([pa.array(row), *(pa.array(x, t) for x, t in zip(sums, (pa.float64(), pa.float64(), pa.int64())))], ["row", "w", "base", "known"])
 
 
 def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int) -> DataFrame:
-    """Scores of the rows of ``docs`` (doc_id, text, held_out); ``depth`` is the longest gram's order. Tables written for
-    it are deleted as soon as they are read."""
-    counts = weights.where("n > 0").groupBy("n").count().toArrow().sort_by([("n", "descending")])
-    least = counts.column("n").to_numpy()[np.cumsum(counts.column("count").to_numpy()) <= CACHE]
-    most = F.broadcast(weights.where(F.col("n") >= (int(least[-1]) if len(least) else 1 << 62)).select("key"))
-    top = weights.join(most, "key").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("w", "base", "known")]).toArrow()
-    columns = [top.column(c).to_numpy() for c in ("key", "w", "base", "known")]
-    rank = np.argsort(columns[0])
-    shared = docs.sparkSession.sparkContext.broadcast((*(c[rank] for c in columns), bitmap(weights)))
-    bits = PART_BITS + bits_of(weights.count() >> PART_BITS, WEIGHED)
-    table = materialize(weights.select("key", "w", "base", "known").mapInArrow(_weight_batches(bits), _WEIGHTS), "pst-buckets")
-    release(weights)
+    """Scores of the texts in the packs of ``docs`` (doc_id, text, held_out); ``depth`` is the longest gram's order. Tables
+    written for it are deleted as soon as they are read."""
+    rows = weights.count()
+    bits = PART_BITS + bits_of(rows >> PART_BITS, WEIGHED)
+    table = materialize(bucketed(weights.select(*(c for c, _ in _WEIGHT)), bits), "pst-buckets")
+    release(*weights._held)
+    shared = docs.sparkSession.sparkContext.broadcast((*most_frequent(table), bitmap(table.select("key"), rows)))
     found = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(_score_batches(shared, depth, bits), _SCORES), "pst-scores")
     shared.destroy()
     release(docs)
     sums, rare = [F.sum(c).alias(f"rare_{c}") for c in ("w", "base", "known")], None
     for k, column in enumerate(RARE):
-        own = table.where(F.shiftright("bucket", bits - PART_BITS) == k)
-        wanted = found.select(F.col(column + ".bucket").alias("bucket"), F.col(column + ".key").alias("key"), F.col(column + ".owner").alias("owner")).where("bucket IS NOT NULL")
+        own = table.where(F.shiftright("bucket", bits - PART_BITS) == k).drop("n")
+        wanted = found.select(column + ".*").where("bucket IS NOT NULL")
         part = wanted.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(_looked_up, "row bigint, w double, base double, known bigint")
         part = materialize(part.groupBy("row").agg(*sums), f"pst-rare-{k}")
         rare = part if rare is None else rare.unionByName(part)
@@ -656,16 +799,24 @@ def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int) -> Da
     )
 
 
-def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text"):
-        words, bounds = word_hashes(batch.column(1))
-        column = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(words))])
-        yield pa.RecordBatch.from_arrays([batch.column(0), column, batch.column(2)], ["doc_id", "text", "held_out"])
+def _ids(value: pa.Buffer) -> pa.Array:
+    """The numbers of a pack's texts, null where their last byte is 0."""
+    rows = value.size // 9
+    return pa.array(np.frombuffer(value, "<i8", rows), mask=np.frombuffer(value, np.uint8, rows, 8 * rows) == 0)
+
+
+def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches, "text", PACKED):
+        for held in (False, True):
+            every = batch.filter(pa.compute.equal(batch.column(2), held))
+            for own in (every.slice(k, 1 << 16) for k in range(0, every.num_rows, 1 << 16)):
+                ids = own.column(0).fill_null(0).to_numpy().tobytes() + own.column(0).is_valid().to_numpy(zero_copy_only=False).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([pack(*word_hashes(own.column(1)))], pa.binary()), pa.array([held])], ["doc_id", "text", "held_out"])
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count: int = MIN_COUNT, test: float = TEST) -> DataFrame:
     """Fits on the rows whose id's crc32 leaves another remainder than the held-out one, and scores all rows."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (crc_mod(F.col(doc_id), MODULUS) == HELD_OUT).alias("held_out"))
-    # Every level reads all texts again, so their words are hashed once.
-    own = materialize(own.mapInArrow(_hash_batches, "doc_id bigint, text binary, held_out boolean"), "pst-tokens")
+    # Every level reads all texts again, so their words are hashed once. Rows are packs of training or of held-out texts.
+    own = materialize(own.mapInArrow(_pack_batches, "doc_id binary, text binary, held_out boolean"), "pst-tokens")
     return score(own, *fit_tables(own.where(~F.col("held_out")), min_count, test))

@@ -426,6 +426,22 @@ def test_suffix_tree_counts_move_in_buckets(spark, monkeypatch):
     assert [x for x in sent if x[1]] == [("pst-tokens", "binary")]
 
 
+def test_suffix_tree_texts_are_packed():
+    """Packs of texts have the same tokens in less than half of their hashes' room (before, 8 bytes a word), and squeezed
+    numbers come back."""
+    rng = np.random.default_rng(2)
+    texts = [None, "", *(" ".join(f"w{x}" for x in rng.zipf(1.3, 3000) % 5000) for _ in range(40)), "END of it"]
+    column = suffix_tree.pa.array(texts)
+    value = suffix_tree.pack(*suffix_tree.word_hashes(column))
+    packs = suffix_tree.pa.array([value], suffix_tree.pa.binary())
+    for x, y in zip((*suffix_tree.tokens(column), *suffix_tree.word_counts(column)), (*suffix_tree.tokens(packs), *suffix_tree.word_counts(packs)), strict=True):
+        assert np.array_equal(x, y)
+    assert len(value) < 4 * 40 * 3000
+    for x in (np.array([1, 2**63, 5], np.uint64), np.array([-0.5, np.inf]), np.array([7], "<u2")):
+        back = suffix_tree.unsqueeze(suffix_tree.pa.py_buffer(suffix_tree.squeeze(x)), x.dtype.str)
+        assert np.array_equal(back, x) and back.dtype == x.dtype
+
+
 def test_suffix_tree_windows_grow_in_blocks():
     """Keys of windows that grow by many words at once are those of grams built word by word (before: one word a call,
     and a call for every shorter gram)."""
