@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, release, sweeping, text_slices
+from .common import crc_mod, give_back, materialize, release, sweeping, text_slices
 from .hashing import word_hashes
 
 MIN_COUNT = 2
@@ -54,7 +54,7 @@ WIDEST, EXACT = 4096, 250_000
 COUNTED, WEIGHED = 1 << 19, 1 << 20
 #: Grams of a bucket that meets those of the level above, bytes of text that are packed together, and of packed texts that
 #: are worked on at a time (one pack at least).
-MET, PACKED, SLICE = 1 << 17, 6 << 20, 1 << 20
+MET, PACKED, SLICE = 1 << 17, 4 << 20, 1 << 20
 END = np.uint64(0x5EED5EED5EED5EED)
 
 
@@ -66,6 +66,31 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+def ranks(key: np.ndarray) -> np.ndarray:
+    """Places of 64-bit hashes in their order. Sorting takes a fraction of the time if no places are asked for, so these
+    stand in the hashes' last bits; where the bits left do not tell two hashes apart, that order may be wrong, and the
+    usual one is taken."""
+    bits = max(len(key) - 1, 0).bit_length()
+    if bits <= 21 and key.dtype == np.uint64:
+        mask = np.uint64((1 << bits) - 1)
+        rank = (np.sort((key & ~mask) | np.arange(len(key), dtype=np.uint64)) & mask).view(np.int64)
+        own = key[rank]
+        if (own[1:] >= own[:-1]).all():
+            return rank
+    return np.argsort(key)
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, and each one's place among them."""
+    rank = ranks(key)
+    own = key[rank]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    at = np.empty(len(key), np.int64)
+    at[rank] = np.cumsum(new) - 1
+    return own[new], at
+
+
 def gram_key(context: np.ndarray, shorter: np.ndarray, order: int) -> np.ndarray:
     """Key of a gram by those of its context (without the last word) and of the gram without its first word."""
     x = context * np.uint64(0x9E3779B97F4A7C15) + shorter + np.uint64(order)
@@ -77,8 +102,8 @@ def gram_key(context: np.ndarray, shorter: np.ndarray, order: int) -> np.ndarray
 def pack(words: np.ndarray, bounds: np.ndarray) -> bytes:
     """Texts' words as numbers in the pack's own list of words, the most frequent first, byte by byte and compressed: an
     eighth to a third of their hashes."""
-    own, code, n = np.unique(words, return_inverse=True, return_counts=True)
-    rank = np.argsort(-n, kind="stable")
+    own, code = distinct(words)
+    rank = np.argsort(-np.bincount(code, minlength=len(own)), kind="stable")
     place = np.empty(len(own), "<u4")
     place[rank] = np.arange(len(own), dtype=np.uint32)
     planes = np.ascontiguousarray(place[code].view(np.uint8).reshape(-1, 4).T)
@@ -194,9 +219,13 @@ def unsqueeze(value: pa.Buffer, kind: str) -> np.ndarray:
 def in_buckets(key: np.ndarray, bits: int, *columns: np.ndarray, squeezed: bool = False) -> list[pa.Array]:
     """Buckets by the first ``bits`` bits of the sorted ``key``, and each one's part of the columns as bytes: a row is a
     bucket, so what a row costs is not paid for every number. ``squeezed``: as those of :func:`squeeze`."""
-    bucket = (key >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int32)
+    return in_groups((key >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int32), *columns, squeezed=squeezed)
+
+
+def in_groups(bucket: np.ndarray, *columns: np.ndarray, squeezed: bool = False) -> list[pa.Array]:
+    """The same by sorted buckets."""
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    ends = np.append(first, len(key))
+    ends = np.append(first, len(bucket))
     out = [pa.array(bucket[first])]
     if squeezed:
         return out + [pa.array([squeeze(x[a:z]) for a, z in zip(first.tolist(), ends[1:].tolist() if len(first) else [])], pa.binary()) for x in columns]
@@ -218,7 +247,7 @@ def spread(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 
 def sums_by(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """The sorted distinct keys, the place of one row of each, and each column's sums."""
-    rank = np.argsort(key)
+    rank = ranks(key)
     key = key[rank]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
@@ -302,8 +331,9 @@ def bucketed(frame: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in gathered(batches):
             key, *others = (c.to_numpy() for c in held.columns)
-            rank = np.argsort(key.view(np.uint64))
+            rank = ranks(key.view(np.uint64))
             yield pa.RecordBatch.from_arrays(in_buckets(key.view(np.uint64)[rank], bits, key[rank], *(x[rank] for x in others), squeezed=True), ["bucket", *held.column_names])
+        give_back()
 
     return frame.mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in frame.columns))
 
@@ -313,13 +343,16 @@ def _with_parents(order: int, bits: int):
     contexts."""
 
     def run(grams: pa.Table, parents: pa.Table) -> pa.Table:
-        known, at = np.unique(spread(parents.column("key"), "<u8"), return_index=True)
+        known = spread(parents.column("key"), "<u8")
+        at = ranks(known)
+        known = known[at]
         shorter, context = spread(grams.column("shorter"), "<u8"), spread(grams.column("context"), "<u8")
         where, there = find(known, shorter)
         rank = np.flatnonzero(there)
-        rank = rank[np.argsort(context[rank])]
+        rank = rank[ranks(context[rank])]
         context, key = context[rank], gram_key(context[rank], shorter[rank], order)
         p = spread(parents.column("p"), "<f8")[at[where[rank]]] if len(at) else np.zeros(0)
+        give_back()
         return pa.table(in_buckets(context, bits, context, key, spread(grams.column("n"), "<i8")[rank], p, squeezed=True), ["bucket", "context", "key", "n", "p"])
 
     return run
@@ -336,8 +369,10 @@ def _level(order: int, size: int, test: float):
     def run(grams: pa.Table, totals: pa.Table) -> pa.Table:
         context, key = (spread(grams.column(c), "<u8") for c in ("context", "key"))
         n, p = spread(grams.column("n"), "<i8"), spread(grams.column("p"), "<f8")
-        contexts, of = np.unique(context, return_inverse=True)
-        known, at = np.unique(spread(totals.column("key"), "<u8"), return_index=True)
+        contexts, of = distinct(context)
+        known = spread(totals.column("key"), "<u8")
+        at = ranks(known)
+        known = known[at]
         where, there = find(known, contexts)
         total = np.where(there, spread(totals.column("n"), "<i8")[at[where]], 1) if len(at) else np.ones(len(contexts), np.int64)
         per = lambda x: np.bincount(of, x, len(contexts))
@@ -360,6 +395,7 @@ def _level(order: int, size: int, test: float):
             np.concatenate([change, zeros(ALONE), np.log10(share[good] / sum_[good])]),
             np.concatenate([context[own], zeros(ALONE, np.uint64), zeros(STATE, np.uint64)]).view(np.int64),
         )
+        give_back()
         return pa.table(list(map(pa.array, columns)), [x.split()[0] for x in _LEVEL.split(", ")])
 
     return run
@@ -711,7 +747,7 @@ def _score_batches(shared, depth: int, n_bits: int):
                     open_ = (np.cumsum(there) - 1)[open_]
                     key, place, of = key[there], place[there], of[there]
             owner, key = np.concatenate(owners), np.concatenate(rare)
-            rank = np.argsort(key)
+            rank = ranks(key)
             key, owner = key[rank], owner[rank].astype("<u2")
             own = [pa.array(np.arange(row, row + rows)), _ids(batch.column(0)[0].as_buffer()), pa.repeat(batch.column(2)[0], rows), *(pa.array(x) for x in (sizes, np.rint(sums[2]).astype(np.int64), sums[1], sums[0]))]
             yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(rows, f.type) for f in list(schema)[len(own):])], schema=schema)
@@ -760,15 +796,28 @@ def most_frequent(table: DataFrame) -> list[np.ndarray]:
     return [key, *sums]
 
 
+#: Bits of the texts' numbers that are one bucket's, when their sums are added up.
+ROWS = 12
+_SUMS = ["bucket", "row", "w", "base", "known"]
+
+
 def _looked_up(wanted: pa.Table, weights: pa.Table) -> pa.Table:
-    """Sums of a bucket's weights for each row that has grams there."""
+    """Sums of a bucket's weights for each row that has grams there, as buckets of rows: a text may have grams in any
+    number of buckets."""
     key, firsts = spread(wanted.column("key"), "<u8"), wanted.column("first").to_pylist()
     owner = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(x.as_buffer(), "<u2") + np.int64(first) for x, first in zip(wanted.column("owner"), firsts))])
     columns = [spread(weights.column(c), t) for c, t in (("w", "<f8"), ("base", "<f8"), ("known", "<i4"))]
     known, _, *columns = sums_by(spread(weights.column("key"), "<u8"), *columns)
     at, hit = find(known, key)
     row, _, *sums = sums_by(owner[hit], *(c[at[hit]] for c in columns))
-    return pa.table([pa.array(row), *(pa.array(x, t) for x, t in zip(sums, (pa.float64(), pa.float64(), pa.int64())))], ["row", "w", "base", "known"])
+    give_back()
+    return pa.table(in_groups(row >> ROWS, row, *sums[:2], sums[2].astype(np.int64), squeezed=True), _SUMS)
+
+
+def _summed(parts: pa.Table) -> pa.Table:
+    """Sums of all buckets for a bucket of texts."""
+    row, _, *sums = sums_by(*(spread(parts.column(c), t) for c, t in zip(_SUMS[1:], ("<i8", "<f8", "<f8", "<i8"))))
+    return pa.table([pa.array(x) for x in (row, *sums)], ["row", *(f"rare_{c}" for c in _SUMS[2:])])
 
 
 def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int) -> DataFrame:
@@ -782,16 +831,16 @@ def score(docs: DataFrame, weights: DataFrame, n: int, v: int, depth: int) -> Da
     found = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(_score_batches(shared, depth, bits), _SCORES), "pst-scores")
     shared.destroy()
     release(docs)
-    sums, rare = [F.sum(c).alias(f"rare_{c}") for c in ("w", "base", "known")], None
+    rare = None
     for k, column in enumerate(RARE):
         own = table.where(F.shiftright("bucket", bits - PART_BITS) == k).drop("n")
         wanted = found.select(column + ".*").where("bucket IS NOT NULL")
-        part = wanted.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(_looked_up, "row bigint, w double, base double, known bigint")
-        part = materialize(part.groupBy("row").agg(*sums), f"pst-rare-{k}")
+        part = wanted.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(_looked_up, "bucket bigint, row binary, w binary, base binary, known binary")
+        part = materialize(part, f"pst-rare-{k}")
         rare = part if rare is None else rare.unionByName(part)
     release(table)
     found = found.where("row IS NOT NULL").drop(*RARE)
-    rare = rare.groupBy("row").agg(*[F.sum(c).alias(c) for c in rare.columns[1:]])
+    rare = rare.groupBy("bucket").applyInArrow(_summed, "row bigint, rare_w double, rare_base double, rare_known bigint")
     unseen = F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     return found.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
