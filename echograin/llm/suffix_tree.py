@@ -51,7 +51,7 @@ IN_PIECE, BUCKET = 4_000_000, 500_000
 #: The longest windows, and states' keys that are broadcast sorted, beside their bitmap.
 WIDEST, EXACT = 4096, 250_000
 #: Grams of a bucket of counts, and weights of a bucket that texts' grams are looked up in.
-COUNTED, WEIGHED = 1 << 19, 1 << 20
+COUNTED, WEIGHED = 1 << 19, 1 << 18
 #: Grams of a bucket that meets those of the level above, bytes of text that are packed together, and of packed texts that
 #: are worked on at a time (one pack at least).
 MET, PACKED, SLICE = 1 << 17, 4 << 20, 1 << 20
